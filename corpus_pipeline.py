@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, jaccard, resample, secret_spans
-from tallyspark.llm.common import shared_dir
+from tallyspark.llm.common import shared_dir, ship
 from tallyspark.llm.queries import vocabulary
 
 
+def _shipped(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample of good text leaves out go."""
     return resample.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return jaccard.keep_one(docs)
 
 
+@_shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule names go."""
     whole = docs.select("text", F.struct(*docs.columns).alias("row"))
@@ -29,11 +42,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.filter(~decontam.contaminated()).select("row.*")
 
 
+@_shipped
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets masked."""
     return secret_spans.redact(docs)
 
 
+@_shipped
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded text, as counts and digests."""
     return bpe.digests(docs.select("doc_id", "text"), vocabulary())

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +86,31 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
-        import tempfile
-
         given = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python workers import it; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    # The driver serves the file from where it lies, so it stays until the driver ends.
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="tallyspark-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors.
 

@@ -34,7 +34,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def bands_and_rows(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """The most rows a band can have, and so the fewest false candidates, for the recall at the similarity."""
     for r in range(most, 0, -1):
-        b = math.ceil(math.log(1 - recall) / math.log(1 - similarity**r)) if similarity < 1 else 1
+        agree = similarity**r
+        b = 1 if agree == 1 else math.ceil(math.log(1 - recall) / math.log1p(-agree)) if agree > 1e-9 else most + 1
         if b * r <= most:
             return b, r
     raise ValueError("no banding reaches this recall with so few hashes")

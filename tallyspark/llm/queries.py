@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, jaccard, lengths, resample, rules, secret_spans, templates, toxicity
+from .common import ship
 
 
 def vocabulary() -> str:
@@ -65,6 +68,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_bpe, op6_importance_resampling, op7_chat_formatting, op8_secret_scan, op9_quality_rules, op10_html_extraction)}
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_bpe, op6_importance_resampling, op7_chat_formatting, op8_secret_scan, op9_quality_rules, op10_html_extraction)}
 
 ORACLE = {"op7_chat_formatting": chat.ORACLE}

@@ -2,7 +2,8 @@
 
 The target model counts the n-grams of documents labelled good, the raw model those of all documents. A document's
 log weight is the sum of the log ratios of its n-grams. With Gumbel noise added, the k greatest keys are a sample
-without replacement in proportion to the weights; k is the labelled share of good documents, of all documents.
+without replacement in proportion to the weights; k is the number of documents whose weight lies on the good side of
+the labelled ones.
 
 N-grams are of two kinds: words, and word shapes (letter case, digits and the marks around them; a word equal to the
 one before has a shape of its own), each alone and with its successor.
@@ -170,18 +171,34 @@ def kth_greatest(keys: DataFrame, k: int, few: int = 5_000, bins: int = 2048) ->
     raise AssertionError
 
 
+def good_side(weighed: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> float | None:
+    """The log weight that splits labelled documents with the fewest errors, in the middle of its gap; None without labels."""
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality") > 0).alias("good"))
+    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # At most ``rows`` pairs are broadcast and at most as many come back, but for repeated ids.
+    got = weighed.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.first("good").alias("good"), F.min("log_weight").alias("w")).collect()
+    if not got:
+        return None
+    w, good = np.array([r["w"] for r in got]), np.array([r["good"] for r in got], bool)
+    order = np.argsort(w, kind="stable")
+    w, good = w[order], good[order]
+    wrong = np.concatenate(([0], np.cumsum(good))) + np.concatenate((np.cumsum(~good[::-1])[::-1], [0]))
+    i = int(wrong.argmin())
+    return float("-inf") if i == 0 else float("inf") if i == len(w) else float(w[i - 1] + w[i]) / 2
+
+
 def threshold(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> tuple[np.ndarray, DataFrame, float]:
     """(log ratios, weighed documents, the key that a kept document must reach).
 
-    k is the labels' share of good documents times the number of documents. Without labels all are kept; rows whose
-    keys tie with the k-th are kept, too, so repeated rows share their fate.
+    k is the number of documents on the good side of the weight that splits the labelled ones best. Without labels
+    all are kept; rows whose keys tie with the k-th are kept, too, so repeated rows share their fate.
     """
     ratios = log_ratios(docs, labels, text, rows)
     weighed = stored(weigh(docs, ratios, text, ["doc_id"]), "weighed")
-    share = labels.agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0]
-    if share is None:
+    cut = good_side(weighed, labels, rows)
+    if cut is None:
         return ratios, weighed, float("-inf")
-    return ratios, weighed, kth_greatest(weighed, round(share * weighed.count()))
+    return ratios, weighed, kth_greatest(weighed, weighed.filter(F.col("log_weight") >= cut).count())
 
 
 def resample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> DataFrame:

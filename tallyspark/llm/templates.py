@@ -5,7 +5,8 @@ each hash, and a subtree that recurs on many of them belongs to the site's templ
 furniture by their tag, role or class (menus, footers, adverts, forms ...) go on any page, also on a host with few.
 
 Where a page marks its main content (article, main), only that is taken, and its running text is never template: a
-paragraph stays however often it recurs. Boxes within it that recur across different articles go.
+paragraph, list or table stays however often it recurs. Boxes (div, section ...) in it that recur across different
+articles go.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe textarea title button select dialog menu object svg canvas audio video xmp".split())
 MAIN = frozenset(["article", "main"])
-BOX = frozenset("div section aside ul ol dl table figure details blockquote nav header footer form".split())
+BOX = frozenset("div section aside nav header footer form".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "optgroup": frozenset(["optgroup", "option"]),

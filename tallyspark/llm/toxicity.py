@@ -1,13 +1,16 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-Grades come from labelled rows: 0 without toxic content, then 1 to 3 by the share of a text's words that tell toxic
-from other texts. One weight vector serves every threshold: P(grade > k) = sigmoid(w x - t_k) with t_0 < t_1 < t_2.
+Grades come from labelled rows: 0 without toxic content, then 1 to 3 by how much of a text tells toxic from other
+texts. One weight vector serves every threshold: P(grade > k) = sigmoid(w x - t_k) with t_0 < t_1 < t_2.
 The output is the expected severity, the sum of these probabilities.
+
+Features are hashed words and word beginnings, which hold through inflection; those that labels say nothing about
+are left out before the fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +22,15 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, batch_of, binaries, carried, chunks, words
 
 #: Labelled rows to fit on at most; the labels' ids are drawn in the order of their hash.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 BUCKETS = 1 << 20
 MOST_FEATURES = 4096
 LEAST_DOCS = 8
 #: Likelihood-ratio statistic that a feature must reach to take part.
 LEAST_SIGNAL = 25.0
 GRADES = 3
+#: Lengths, in characters, of the word beginnings that count as features.
+PREFIXES = (4, 5)
 OWN = ("expected_severity", "p_toxic", "grade", "toxic")
 
 
@@ -36,23 +41,39 @@ class Model:
     thresholds: np.ndarray
 
 
-def bucket(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+def buckets(word: bytes) -> list[int]:
+    """The features of a word: itself and its beginnings."""
+    text = word.decode("utf-8", "replace")
+    parts = [word, *(b"^" + text[:k].encode() for k in PREFIXES if len(text) >= k)]
+    return [xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts]
+
+
+class _Known(dict):
+    """What a function gives for the most recent distinct words."""
+
+    def __init__(self, of: Callable[[bytes], list[int]]):
+        self.of = of
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = value = self.of(word)
+        return value
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Known(buckets)
     for whole in batches:
         for batch in chunks(whole, "text"):
-            keys, counts, sizes = [], [], []
+            keys, counts = [], []
             for t in binaries(batch.column("text")):
                 w = words(t)
-                k, n = np.unique(np.fromiter(map(bucket, w), np.uint32, len(w)), return_counts=True)
+                k, n = np.unique(np.fromiter((b for x in w for b in known[x]), np.uint32), return_counts=True)
                 keys.append(k.tobytes())
                 counts.append(n.astype(np.uint32).tobytes())
-                sizes.append(len(w))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(sizes, pa.int64())],
-                names=["toxic", "keys", "counts", "size"],
+                [batch.column("toxic"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                names=["toxic", "keys", "counts"],
             )
 
 
@@ -67,10 +88,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
     )
     # At most ``rows`` pairs of numbers are broadcast.
     few = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return few.select("toxic", "text").mapInArrow(_features, "toxic int, keys binary, counts binary, size long")
+    return few.select("toxic", "text").mapInArrow(_features, "toxic int, keys binary, counts binary")
 
 
-def fit(rows: list, grades: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> Model:
+def fit(rows: list, grades: int = GRADES, rounds: int = 600, rate: float = 0.1, ridge: float = 1e-5) -> Model:
     """Fit to collected training rows. Without both kinds of label nothing counts as toxic."""
     rows = sorted(rows, key=lambda r: (r["toxic"], bytes(r["keys"]), bytes(r["counts"])))
     toxic = np.array([r["toxic"] > 0 for r in rows], bool)
@@ -93,9 +114,8 @@ def fit(rows: list, grades: int = GRADES, rounds: int = 400, rate: float = 0.05,
     column = np.full(BUCKETS, -1)
     column[good] = np.arange(len(good))
 
-    # Grades of toxic rows: thirds of the share of their words that speak for toxicity.
-    telling = np.bincount(of, many * (odds[flat] > 1) * (column[flat] >= 0), minlength=len(rows))
-    load = telling / np.maximum([r["size"] for r in rows], 1)
+    # Grades of toxic rows: thirds of how much in them speaks for toxicity.
+    load = np.bincount(of, np.log1p(many) * (odds[flat] > 1) * (column[flat] >= 0), minlength=len(rows))
     edges = np.quantile(load[toxic], np.arange(1, grades) / grades)
     grade = np.where(toxic, 1 + np.searchsorted(edges, load, side="left"), 0)
 
@@ -120,17 +140,6 @@ def fit(rows: list, grades: int = GRADES, rounds: int = 400, rate: float = 0.05,
     return Model(dict(zip(good.tolist(), range(len(good)))), p[: len(good)], np.cumsum(np.concatenate((d[:1], np.exp(d[1:])))))
 
 
-class _Columns(dict):
-    def __init__(self, features: dict[int, int]):
-        self.features = features
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = self.features.get(bucket(word), -1)
-        return value
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """expected_severity (0 to 3), p_toxic = P(grade > 0), grade (the likeliest) and toxic (p_toxic at least a half).
 
@@ -142,16 +151,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        column = _Columns(model.features)
+        nothing: list[int] = []
+        known = _Known(lambda w: [model.features[b] for b in buckets(w) if b in model.features] or nothing)
         for whole in batches:
             for batch in chunks(whole, text):
                 n = batch.num_rows
                 lists = [words(t) for t in binaries(batch.column(text))]
-                size = [len(w) for w in lists]
-                at = np.fromiter((column[w] for some in lists for w in some), np.int64, sum(size))
-                of = np.repeat(np.arange(n), size)
-                has = at >= 0
-                key, many = np.unique(of[has] * max(1, len(model.weights)) + at[has], return_counts=True)
+                found = [(i, c) for i, some in enumerate(lists) for got in map(known.__getitem__, some) if got for c in got]
+                of, at = np.array(found, np.int64).reshape(-1, 2).T
+                key, many = np.unique(of * max(1, len(model.weights)) + at, return_counts=True)
                 of, at = np.divmod(key, max(1, len(model.weights)))
                 total = np.bincount(of, np.log1p(many) * model.weights[at], minlength=n)
                 p = 1 / (1 + np.exp(-np.clip(total[:, None] - model.thresholds, -500, 500)))
