@@ -24,8 +24,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _SQL
+
+
+def load() -> None:
+    """Registers every query of the library."""
+    from . import history_queries, person_queries  # noqa: F401
