@@ -155,35 +155,56 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int,
     return blocks, trees
 
 
-def parsed(pages: DataFrame, html_column: str, carry: list[str]) -> DataFrame:
-    """Carried columns with the page's blocks, its deletable subtrees and a key of its text."""
-    own = ("blocks", "trees", "page_key")
-    names, ddl = carried(pages, carry, own)
+def main_blocks(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The blocks that can be in the main text, and (hash, first, last) of the subtrees that may be deleted."""
+    blocks, trees = parse(page or "")
+    if any(m for _, m in blocks):  # only the main content counts; subtrees keep their places in it
+        place, k = [], 0
+        for _, m in blocks:
+            place.append(k)
+            k += m
+        place.append(k)
+        trees = [(h, place[a], place[b], d) for h, a, b, d in trees]
+        blocks = [x for x in blocks if x[1]]
+    return [x for x, _ in blocks], [(h, a, b) for h, a, b, d in trees if d]
+
+
+def subtrees(pages: DataFrame, html_column: str, carry: list[str]) -> DataFrame:
+    """Carried columns with the page's deletable subtrees and a key of its text."""
+    names, ddl = carried(pages, carry, ("trees", "page_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
         for whole in batches:
             for batch in chunks(whole, html_column):
-                texts, trees, keys = [], [], []
+                trees, keys = [], []
                 for t in batch.column(html_column).to_pylist():
-                    blocks, found = parse(t or "")
-                    if any(m for _, m in blocks):  # only the main content counts; subtrees keep their places in it
-                        place, k = [], 0
-                        for _, m in blocks:
-                            place.append(k)
-                            k += m
-                        place.append(k)
-                        found = [(h, place[a], place[b], d) for h, a, b, d in found]
-                        blocks = [x for x in blocks if x[1]]
-                    texts.append([x for x, _ in blocks])
-                    trees.append([{"hash": h, "first": a, "last": b} for h, a, b, d in found if d])
-                    keys.append(xxhash.xxh3_64_intdigest("\n".join(texts[-1]).encode("utf-8", "surrogatepass")) - (1 << 63))
-                yield batch_of(batch, names, blocks=pa.array(texts, pa.list_(pa.string())), trees=pa.array(trees, kind), page_key=pa.array(keys, pa.int64()))
-
-    form = "blocks array<string>, trees array<struct<hash: long, first: int, last: int>>, page_key long"
+                    blocks, found = main_blocks(t)
+                    trees.append([dict(zip(("hash", "first", "last"), x)) for x in found])
+                    keys.append(xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
+                yield batch_of(batch, names, trees=pa.array(trees, kind), page_key=pa.array(keys, pa.int64()))
+
+    form = "trees array<struct<hash: long, first: int, last: int>>, page_key long"
     return pages.select(*dict.fromkeys([*names, html_column])).mapInArrow(run, f"{ddl}{form}")
 
 
+def without(pages: DataFrame, html_column: str, cuts: str, carry: list[str]) -> DataFrame:
+    """Carried columns with the page's main text; ``cuts`` has the ranges of blocks to leave out, null for none."""
+    names, ddl = carried(pages, carry, ("text",))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, html_column):
+                texts = []
+                for t, out in zip(batch.column(html_column).to_pylist(), batch.column(cuts).to_pylist()):
+                    blocks = main_blocks(t)[0]
+                    gone = {i for c in out or () for i in range(c["first"], c["last"])}
+                    texts.append("\n".join(x for i, x in enumerate(blocks) if i not in gone))
+                yield batch_of(batch, names, text=pa.array(texts, pa.string()))
+
+    return pages.select(*dict.fromkeys([*names, html_column, cuts])).mapInArrow(run, f"{ddl}text string")
+
+
 def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -194,15 +215,16 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     Pages of equal main text count once, so copies of a page don't make its content template. A null or empty html
     has an empty text; a null url counts to the host of no name. Repeated rows each get their row.
     """
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = stored(parsed(rows, "html", ["page_id", "url", "host"]).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    # Pages of one url and html have one key: the same subtrees are cut from them.
+    key = F.md5(F.concat_ws("\0", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary"))
+    rows = pages.select("html", host_of(F.col("url")).alias("host"), key.alias("key"))
+    rows = stored(subtrees(rows, "html", ["host", "key"]), "subtrees")
     count = rows.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     tree = rows.select("host", "page_key", F.explode("trees.hash").alias("hash")).distinct()
     often = tree.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     often = often.join(count, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
-    # Only subtrees that still hold blocks can change a text.
-    placed = rows.select("row", "host", F.explode("trees").alias("t")).filter("t.last > t.first").select("row", "host", "t.hash", "t.first", "t.last")
-    cut = placed.join(often, ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
-    left = F.filter("blocks", lambda x, i: ~F.exists("cuts", lambda c: (c["first"] <= i) & (i < c["last"])))
-    text = F.array_join(F.when(F.col("cuts").isNull(), F.col("blocks")).otherwise(left), "\n")
-    return rows.join(cut, "row", "left").select("page_id", "url", text.alias("text"))
+    # Only subtrees that still hold blocks can change a text. The ranges are stored, so their size is known before
+    # the join with the pages is planned: few are broadcast, many are joined by key.
+    placed = rows.select("key", "host", F.explode("trees").alias("t")).filter("t.last > t.first").select("key", "host", "t.hash", "t.first", "t.last")
+    cut = stored(placed.join(often, ["host", "hash"]).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
+    return without(pages.withColumn("key", key).join(cut, "key", "left"), "html", "cuts", ["page_id", "url"])
