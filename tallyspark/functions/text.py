@@ -57,7 +57,7 @@ def first_number(text: Column) -> Column:
 def alternatives_block(alternatives: Column, letters: str = "ABCDEFGHIJ") -> Column:
     """One line for each alternative (title, price), lettered; what is missing is n/a."""
     line = lambda a, i: F.concat(
-        F.substring(F.lit(letters), i + 1, F.lit(1)), F.lit(") "), F.coalesce(a["title"], F.lit("n/a")), F.lit(" | $"), F.coalesce(F.format_number(a["price"], "0.00"), F.lit("n/a"))
+        F.substring(F.lit(letters), i + 1, F.lit(1)), F.lit(") "), F.coalesce(a["title"], F.lit("n/a")), F.lit(" | $"), F.when(a["price"].isNull(), "n/a").otherwise(F.format_string("%.2f", a["price"]))
     )
     return F.array_join(F.transform(alternatives, line), "\n")
 
@@ -70,4 +70,4 @@ def rotations(items: Column, k: Column) -> Column:
 
 
 def title_of_alternative(title: Column, category: Column, price: Column, popularity: Column) -> Column:
-    return F.concat_ws(". ", F.coalesce(title, F.lit("")), F.concat(F.lit("Category: "), category), F.concat(F.lit("Price: $"), F.format_number(price, "0.0")), F.concat(F.lit("Popularity: "), popularity.cast("string")))
+    return F.concat_ws(". ", F.coalesce(title, F.lit("")), F.concat(F.lit("Category: "), category), F.concat(F.lit("Price: $"), F.format_string("%.1f", price)), F.concat(F.lit("Popularity: "), popularity.cast("string")))

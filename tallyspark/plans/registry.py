@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Registers every query of the library."""
-    from . import history_queries, person_queries  # noqa: F401
+    from . import eval_queries, history_queries, model_queries, person_queries  # noqa: F401

@@ -71,6 +71,7 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
             seq.alias("seq"),
             F.col("p_name").alias("title"),
             F.col("n_name").alias("state"),
+            F.col("o_orderkey").alias("order_id"),
         )
     )
 
@@ -79,7 +80,7 @@ PURCHASES = """SELECT CAST(o_custkey AS VARCHAR) AS customer_id, epoch_us(o_orde
   l_extendedprice / l_quantity AS price, l_quantity AS quantity,
   lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || lpad(CAST(l_partkey AS VARCHAR), 12, '0')
     || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') || lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0') AS seq,
-  p_name AS title, n_name AS state
+  p_name AS title, n_name AS state, o_orderkey AS order_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 
 
