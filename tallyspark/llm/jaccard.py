@@ -235,7 +235,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
         ),
         "wanted",
     )
-    texts = keyed.join(wanted, (keyed.text_hash == wanted.text_hash) & keyed.doc_id.eqNullSafe(wanted.at_id)).select("text", "digest", "copies", "comp", "blocks", "block")
+    # This join moves texts, so it shuffles at every size; its key has the id, so copies of a text don't meet.
+    texts = keyed.join(wanted.hint("merge"), (keyed.text_hash == wanted.text_hash) & keyed.doc_id.eqNullSafe(wanted.at_id)).select("text", "digest", "copies", "comp", "blocks", "block")
     sets = _with_sets(texts, "text", ["digest", "copies", "comp", "blocks", "block"], size)
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "digest", "shingles", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp"
@@ -277,7 +278,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     )
     lost = touched.filter("not keep").select("id", "text_hash")
     left = docs.withColumns({"_id": F.coalesce(doc_id, last), "_hash": F.xxhash64(text)})
-    left = left.join(lost, (left["_id"] == lost["id"]) & (left["_hash"] == lost["text_hash"]), "left_anti")
+    left = left.join(lost.hint("merge"), (left["_id"] == lost["id"]) & (left["_hash"] == lost["text_hash"]), "left_anti")
     again = touched.filter("keep and times > 1").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"))
     if again.isEmpty():
         return left.drop("_id", "_hash")
