@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_FORM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CHUNK_BYTES = 4 << 20
-CACHE_WORDS = 400_000
+CHUNK_BYTES = 2 << 20
+CACHE_WORDS = 250_000
 
 
 def _word_table() -> bytes:
