@@ -40,7 +40,7 @@ def model_id(name: Column) -> Column:
 
 def outcomes(completion: Column, k: int) -> Column:
     """The first k lines of a completion that aren't blank, trimmed, filled up to k."""
-    lines = F.filter(F.transform(F.split(completion, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(completion, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.concat(F.slice(lines, 1, k), F.array_repeat(F.lit(PAD), k)), 1, k)
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..sources.binding import DAY_US
 from .metrics import share
 
-_ORDER = Window.partitionBy("customer_id").orderBy("us", "seq")
+
+def _in_order():
+    return Window.partitionBy("customer_id").orderBy("us", "seq")
 
 
 def transitions(events: DataFrame, most: int = 10) -> DataFrame:
     """(category, next, n, share) among the most frequent categories; those count without each customer's last row."""
-    moves = events.select("category", F.lead("category").over(_ORDER).alias("next")).filter("next is not null")
+    moves = events.select("category", F.lead("category").over(_in_order()).alias("next")).filter("next is not null")
     counts = moves.groupBy("category", "next").agg(F.count("*").alias("n"))
     top = counts.groupBy("category").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "category").limit(most).select("category")
     kept = counts.join(F.broadcast(top), "category").join(F.broadcast(top.withColumnRenamed("category", "next")), "next")  # ``most`` rows
@@ -28,7 +30,7 @@ def self_transition(events: DataFrame, most: int = 10) -> DataFrame:
 def posterior_stats(events: DataFrame, brand: str = "brand") -> DataFrame:
     """One row: repeat rate, mean gap in days, mean price of customers and their mean concentration on brands."""
     again = (F.row_number().over(Window.partitionBy("customer_id", "asin").orderBy("us", "seq")) > 1).cast("double")
-    gap = F.floor((F.col("us") - F.lag("us").over(_ORDER)) / DAY_US)
+    gap = F.floor((F.col("us") - F.lag("us").over(_in_order())) / DAY_US)
     rows = events.withColumns({"again": again, "gap": gap})
     customers = rows.groupBy("customer_id").agg(F.avg("again").alias("again"), F.avg("price").alias("price"), F.sum("gap").alias("gaps"), F.count("gap").alias("n_gaps"))
     brands = events.groupBy("customer_id", brand).agg(F.count("*").alias("n"))
