@@ -1,0 +1,54 @@
+"""SQL for DuckDB of the queries that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+from . import chat, rules
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SHA = "sha256(coalesce({}, ''))"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT item, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS t(i)),
+dw AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) AS t(i)),
+occ AS (SELECT rid, i, dw.n, item FROM dw JOIN win USING (k)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, i, n FROM occ), unnest(range(i, i + n)) AS t(p) GROUP BY 1),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, {_SHA.format("items")} AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)"""
+
+QUALITY_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_SPACED.format("coalesce(text, '')")} AS w FROM documents),
+rep AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + 7], ' ')) AS n FROM d, unnest(range(1, len(w) - 6)) AS t(i)),
+cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM rep, unnest(range(i, i + 8)) AS t(p) WHERE n > 1 GROUP BY 1),
+ln AS (SELECT rid, host, text, line, array_to_string({_WORDS.format("line")}, ' ') AS norm, len({_WORDS.format("line")}) AS m, len({_SPACED.format("line")}) AS k FROM d, unnest(string_split(text, chr(10))) AS t(line)),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE k > 0 GROUP BY 1),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+often AS (SELECT host, norm FROM ln JOIN hosts USING (host) WHERE m >= {rules.LINE_WORDS} GROUP BY host, norm, texts HAVING count(DISTINCT text) > {rules.LEAST_TEXTS} AND count(DISTINCT text) > {rules.SHARE_OF_HOST}::DOUBLE * texts),
+gone AS (SELECT rid, sum(k)::BIGINT AS removed_words FROM ln JOIN often USING (host, norm) GROUP BY 1),
+a AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_words,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= {rules.LEFT}::DOUBLE * n_words AS kept FROM a"""
+
+JACCARD_JOIN = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(doc_id) AS least FROM r JOIN d ON d.rid = b GROUP BY 1),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN m ON m.a = rid LEFT JOIN l ON l.a = rid"""
+
+ORACLE = {
+    "op2_ngram_jaccard_join": JACCARD_JOIN,
+    "op3_decontamination": DECONTAMINATION,
+    "op7_chat_formatting": chat.ORACLE,
+    "op9_quality_rules": QUALITY_RULES,
+}

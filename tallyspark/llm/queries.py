@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, jaccard, lengths, resample, rules, secret_spans, templates, toxicity
 from .common import ship
+from .oracles import ORACLE  # noqa: F401
 
 
 def vocabulary() -> str:
@@ -33,7 +34,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.digests(decontam.find(docs, _table(spark, sf_dir, "benchmark"), carry=["doc_id"]))
+    return decontam.digests(decontam.find(docs, _table(spark, sf_dir, "benchmark"), carry=["doc_id"])).drop("spans")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,3 @@ def _shipped(query):
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_bpe, op6_importance_resampling, op7_chat_formatting, op8_secret_scan, op9_quality_rules, op10_html_extraction)}
 
-ORACLE = {"op7_chat_formatting": chat.ORACLE}
