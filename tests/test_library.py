@@ -285,3 +285,58 @@ def test_stream_counts(spark, tmp_path, sf):
     q.stop()
     want = windowed_popularity(spark.read.parquet(path), "ts", "event_type")
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_terms():
+    from tallyspark.functions import terms
+
+    t = terms.parse("threshold(popularity, cutoff=2.5)")
+    assert t.shown == "threshold(popularity, cutoff=2.5)" and t.complexity == 2 and terms.parse("routine").complexity == 1
+    assert terms.log_prior([t, terms.parse("routine")]) == pytest.approx(-3 * np.log(2))
+    for bad in ("nope", "interaction(routine)", "interaction(routine, nope)", "threshold(popularity, cutoff=x)", "f(x", "power(routine, novelty)"):
+        with pytest.raises(formula.FormulaError):
+            terms.parse(bad)
+
+
+def test_rankers_and_leaks(spark):
+    from tallyspark.operators import search
+
+    r = spark.createDataFrame([('x {"A": 1, "b": 3}',), ("nothing",), (None,)], "r string")
+    got = [x[0] for x in r.select(search.letter_probabilities(F.col("r"), "ABC")).collect()]
+    assert got[0] == [0.25, 0.75, 0.0] and all(abs(sum(g) - 1) < 1e-9 for g in got) and got[1] != got[2]
+    ev = spark.createDataFrame([(1, ["p", "q", "r"])], "event_id long, alts array<string>")
+    fair = search.rank_by_letters(ev, lambda shown: F.lit('{"A": 1}'), 3).collect()
+    assert {round(x["score"], 6) for x in fair} == {round(float(np.log(1 / 3)), 6)}
+    rows = spark.createDataFrame([(1, 0, True, 1.0, 1.0), (1, 1, False, 0.0, 1.0), (2, 0, False, 0.0, 0.0), (2, 1, True, 3.0, 0.0)], "event_id long, alt_idx long, chosen boolean, a double, b double")
+    assert search.leaking_features(rows, ["a", "b"]) == ["a"]
+
+
+def test_structure_search_and_leaderboard(spark):
+    from tallyspark.functions.terms import Term
+    from tallyspark.operators import search
+
+    rows = search.synthetic(spark, 240, [2.0, 0.0], alternatives=4, seed=3).withColumns({"routine": F.col("x0"), "novelty": F.col("x1"), "asin": F.col("alt_idx").cast("string")})
+    train, test = rows.filter("event_id < 180"), rows.filter("event_id >= 180")
+    best, nll, log = search.descend([Term("novelty")], train, test, ["routine"], steps=3, seed=2)
+    assert nll < np.log(4) - 0.2 and any(t.name == "routine" or "routine" in t.args for t in best) and len(log) == 3
+    board = {r["model"]: r for r in search.leaderboard({"popularity": models.Popularity, "broken": lambda: 1 / 0, "forest": lambda: models.Classifier(["x0", "x1"])}, train, test).collect()}
+    assert board["broken"]["status"] == "errored" and board["popularity"]["uplift"] == 0.0 and board["forest"]["uplift"] > 0.1
+    assert search.annealed(0)(1.0, 0, 0) and not search.greedy(0.0, 0, 0) and search.by_posterior(-0.1, 0, 0.5) and search.within_tolerance(-1e-4, 0, 0)
+
+
+def test_reports_and_simulation(spark, events):
+    from tallyspark.operators import search
+
+    sim = search.simulate(events, 1.0, steps=4)
+    last = {r["customer_id"]: r["m"] for r in events.groupBy("customer_id").agg(F.max("us").alias("m")).collect()}
+    got = sim.collect()
+    assert len(got) == 12 * 4 and all(r["us"] > last[r["customer_id"]] for r in got)
+    a = spark.createDataFrame([(1, 0, 0, m, float(m)) for m in range(3)], "event_id long, alt_idx long, k long, m long, a double")
+    w = spark.createDataFrame([(1, m, 2.0) for m in range(3)], "event_id long, m long, w double")
+    assert [p["m"] for p in search.decision(a, w, 1).first()["parts"]] == [2, 1, 0]
+    net = models.UtilityNet(outcomes=1, width=2, persons=2).init()
+    ev = spark.createDataFrame([(1, [0.5, 1.0], [1.0, 0.0, 0.0, 1.0])], "event_id long, z array<double>, e array<double>")
+    same = search.counterfactual(ev, net.score, lambda z: z).collect()
+    assert len(same) == 2 and all(r["delta"] == 0 for r in same)
+    with pytest.raises(Exception, match="without a score"):
+        search.external_scores(spark.createDataFrame([(1, 0)], "event_id long, alt_idx long"), spark.createDataFrame([], "event_id long, alt_idx long, logit double")).collect()
