@@ -63,19 +63,35 @@ def _meets(a: tuple[str, int, int], starts: list[int], others: list[tuple[str, i
     return False
 
 
+class _Taken:
+    """Spans joined into disjoint ones, so whether another meets any takes one search."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, m: re.Match) -> bool:
+        i = bisect_left(self.starts, m.end()) - 1
+        return i < 0 or self.ends[i] <= m.start()
+
+
 def linked_spans(text: str, base: list[tuple[str, int, int]], lower: str | None = None) -> list[tuple[str, int, int]]:
     """The weak parts that complement each other or a certain finding."""
     lower = text.lower() if lower is None else lower
-    taken = [s for s in base]
-    free = lambda m: not any(s[1] < m.end() and m.start() < s[2] for s in taken)
+    free = _Taken(base).free
     ident = [("ident", *m.span()) for m in IDENT.finditer(text) if free(m)] if any(n in lower for n in _IDENTS) else []
     ends = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text) if free(m)] if "://" in text else []
     ids = ident + [s for s in base if s[0] == "access"]
     if not ids and not ends:
         return []
-    taken = taken + ident + ends
+    free = _Taken(base + ident + ends).free
     weak = [("weak", *m.span()) for m in WEAK.finditer(text) if free(m) and _random_looking(m[0])]
-    secrets = weak + [s for s in base if s[0] != "access"]
     scope = [m.start() for m in re.finditer(r"\n\s*\n", text)]
 
     def keep(parts, *others):

@@ -389,3 +389,12 @@ def test_word_chunks_and_long_texts(spark):
     assert got == {1: 400_000, 2: 400_000, 3: 0}
     assert {r["doc_id"]: r["n_words"] for r in rules.judge(docs).collect()} == {1: 400_000, 2: 400_001, 3: 0}
     assert {r["doc_id"]: r["n_links"] for r in jaccard.join(docs).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_secret_scan_of_a_text_full_of_secrets():
+    """Time follows the length, also where everything is a span."""
+    text = "user: bob password=hunter22 https://x.example.net/a Zx81kQ99aa7LmN20pQ " * 20_000
+    base = secret_spans.base_spans(text)
+    assert len(base) == 20_000
+    kinds = Counter(k for k, _, _ in secret_spans.linked_spans(text, base))
+    assert kinds == {"ident": 20_000, "endpoint": 20_000, "weak": 20_000}
