@@ -66,6 +66,77 @@ def loss_and_gradient(events: DataFrame, names: list[str], w: np.ndarray) -> tup
     return (r["loss"] or 0.0) / n, np.array([g or 0.0 for g in r["grad"]]) / n, n
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(-1, keepdims=True))
+    return x / x.sum(-1, keepdims=True)
+
+
+def curvature(events: DataFrame, names: list[str], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Summed negative log likelihood, gradient and Hessian over packed events; a partition gives one row."""
+    k = len(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loss, out = 0.0, np.zeros(k + k * k)
+        for pdf in batches:
+            for flat, chosen in zip(pdf["x"], pdf["own"]):
+                x = np.asarray(flat, float).reshape(-1, k)
+                p = _softmax(x @ w)
+                loss -= np.log(max(p[chosen], 1e-300))
+                mean = p @ x
+                out[:k] += mean - x[chosen]
+                out[k:] += ((x * p[:, None]).T @ x - np.outer(mean, mean)).ravel()
+        yield pd.DataFrame({"loss": [loss], "out": [out.tolist()]})
+
+    r = events.mapInPandas(run, "loss double, out array<double>").agg(F.sum("loss"), F.array(*(F.sum(F.col("out")[i]) for i in range(k + k * k)))).first()
+    out = np.array([x or 0.0 for x in r[1]])
+    return r[0] or 0.0, out[:k], out[k:].reshape(k, k)
+
+
+@dataclass
+class PriorLogit:
+    """Conditional logit with a Gaussian prior of its own precision on every weight, by Newton steps.
+
+    With ``relevance`` the precisions are learned: each becomes one over the weight's square and its posterior variance,
+    and weights whose precision passes ``dropped`` count as irrelevant. This stands in for sampling the posterior.
+    """
+
+    names: list[str]
+    precision: float | dict[str, float] = 1.0
+    relevance: bool = False
+    rounds: int = 8
+    dropped: float = 1e4
+
+    def fit(self, training: DataFrame) -> PriorLogit:
+        events = packed(training, self.names).persist()
+        try:
+            a = np.array([self.precision.get(n, 1.0) if isinstance(self.precision, dict) else self.precision for n in self.names], float)
+            w = np.zeros(len(a))
+            for _ in range(self.rounds):
+                _, grad, hess = curvature(events, self.names, w)
+                full = hess + np.diag(a)
+                w = w - np.linalg.solve(full, grad + a * w)
+                if self.relevance:
+                    a = np.minimum(1 / (w**2 + np.diag(np.linalg.inv(full))), 1e8)
+            self.weights, self.precisions = w, a
+            self.relevant = [n for n, x in zip(self.names, a) if x < self.dropped]
+            return self
+        finally:
+            events.unpersist()
+
+    def score(self, alternatives: DataFrame) -> DataFrame:
+        out = F.lit(0.0)
+        for n, w in zip(self.names, self.weights):
+            out = out + F.col(n) * float(w)
+        return alternatives.withColumn("score", out)
+
+
+def hierarchical(alternatives: DataFrame, names: list[str], group: str, values: list[str]) -> tuple[DataFrame, list[str]]:
+    """Alternatives with a deviation column for each feature and group value: shared weights plus a group's own, whose
+    prior says how far groups may differ."""
+    made = {f"{n}__{i}": F.when(F.col(group) == v, F.col(n)).otherwise(0.0) for n in names for i, v in enumerate(values)}
+    return alternatives.withColumns(made), [*names, *made]
+
+
 @dataclass
 class SparseLogit:
     """Conditional logit with an L1 penalty: accelerated proximal steps down a descending path of penalties, each
@@ -246,7 +317,8 @@ class UtilityNet:
     """The main utility model: attribute heads over outcome vectors, person weights, salience over outcomes.
 
     A forward pass runs in Arrow batches over events (z, e: alternatives x outcomes x width, flat); training is Adam in
-    NumPy over a bounded sample of events.
+    NumPy over a bounded sample of events. Ablations: ``salience`` "uniform" instead of "net", ``weighting`` "softplus"
+    instead of "softmax".
     """
 
     attributes: int = 5
@@ -255,6 +327,8 @@ class UtilityNet:
     persons: int = 26
     hidden: int = 32
     temperature: float = 1.0
+    salience: str = "net"
+    weighting: str = "softmax"
     seed: int = 0
 
     def init(self) -> UtilityNet:
@@ -267,20 +341,82 @@ class UtilityNet:
         }
         return self
 
+    @property
+    def n_params(self) -> int:
+        return sum(v.size for v in self.p.values())
+
     def forward(self, z: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
         """z (b, persons), e (b, j, k, width): A (b, j, k, m), w (b, m), S and U (b, j, k), V (b, j)."""
         b, j, k, _ = e.shape
-        heads = np.maximum(e @ self.p["h1"], 0).reshape(b, j, k, self.attributes, self.hidden)
-        a = (heads * self.p["h2"]).sum(-1)
-        raw = np.maximum(z @ self.p["w1"], 0) @ self.p["w2"]
-        w = np.exp(raw - raw.max(-1, keepdims=True))
-        w /= w.sum(-1, keepdims=True)
+        pre = (e @ self.p["h1"]).reshape(b, j, k, self.attributes, self.hidden)
+        a = (np.maximum(pre, 0) * self.p["h2"]).sum(-1)
+        zh = z @ self.p["w1"]
+        raw = np.maximum(zh, 0) @ self.p["w2"]
+        w = np.logaddexp(0, raw) if self.weighting == "softplus" else _softmax(raw)
         both = np.concatenate((e, np.broadcast_to(z[:, None, None, :], (b, j, k, z.shape[1]))), -1)
-        s = (np.maximum(both @ self.p["s1"], 0) @ self.p["s2"])[..., 0]
-        s = np.exp(s - s.max(-1, keepdims=True))
-        s /= s.sum(-1, keepdims=True)
+        sh = both @ self.p["s1"]
+        s = np.full((b, j, k), 1 / k) if self.salience == "uniform" else _softmax((np.maximum(sh, 0) @ self.p["s2"])[..., 0])
         u = (a * w[:, None, None, :]).sum(-1)
-        return {"A": a, "w": w, "S": s, "U": u, "V": (s * u).sum(-1) / self.temperature}
+        return {"A": a, "w": w, "S": s, "U": u, "V": (s * u).sum(-1) / self.temperature, "pre": pre, "zh": zh, "raw": raw, "both": both, "sh": sh}
+
+    def gradient(self, z: np.ndarray, e: np.ndarray, own: np.ndarray, weight: np.ndarray, weight_l2: float = 0.0) -> tuple[float, dict[str, np.ndarray]]:
+        """Weighted mean negative log likelihood (with a penalty on the person weights) and its gradient."""
+        f = self.forward(z, e)
+        p = _softmax(f["V"])
+        rows = np.arange(len(own))
+        share = weight / weight.sum()
+        loss = float(-(share * np.log(np.maximum(p[rows, own], 1e-300))).sum() + weight_l2 * (share * (f["w"] ** 2).sum(1)).sum())
+        d = p.copy()
+        d[rows, own] -= 1
+        d = d * share[:, None] / self.temperature
+        du, ds = d[:, :, None] * f["S"], d[:, :, None] * f["U"]
+        da = du[..., None] * f["w"][:, None, None, :]
+        dw = (du[..., None] * f["A"]).sum((1, 2)) + 2 * weight_l2 * share[:, None] * f["w"]
+        draw = dw / (1 + np.exp(-f["raw"])) if self.weighting == "softplus" else f["w"] * (dw - (f["w"] * dw).sum(-1, keepdims=True))
+        g = {"h2": (da[..., None] * np.maximum(f["pre"], 0)).sum((0, 1, 2))}
+        dpre = da[..., None] * self.p["h2"] * (f["pre"] > 0)
+        g["h1"] = e.reshape(-1, self.width).T @ dpre.reshape(-1, self.attributes * self.hidden)
+        g["w2"] = np.maximum(f["zh"], 0).T @ draw
+        g["w1"] = z.T @ (draw @ self.p["w2"].T * (f["zh"] > 0))
+        if self.salience == "uniform":
+            g["s1"], g["s2"] = np.zeros_like(self.p["s1"]), np.zeros_like(self.p["s2"])
+        else:
+            dsr = (f["S"] * (ds - (f["S"] * ds).sum(-1, keepdims=True)))[..., None]
+            g["s2"] = np.maximum(f["sh"], 0).reshape(-1, self.hidden).T @ dsr.reshape(-1, 1)
+            dsh = dsr @ self.p["s2"].T * (f["sh"] > 0)
+            g["s1"] = f["both"].reshape(-1, self.width + self.persons).T @ dsh.reshape(-1, self.hidden)
+        return loss, g
+
+    def fit(self, train: tuple, val: tuple, epochs: int = 30, batch: int = 64, rate: float = 1e-3, patience: int = 5, weight_l2: float = 0.0) -> list[float]:
+        """Adam with a cosine rate and gradients cut at norm 1; ends after ``patience`` epochs without a better validation
+        likelihood, and the best epoch's weights stay. train and val: (z, e, own, weight). Gives the validation curve."""
+        self.init()
+        rng = np.random.default_rng(self.seed)
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        z, e, own, weight = train
+        steps, step = max(1, epochs * -(-len(own) // batch)), 0
+        best, kept, curve = np.inf, {k: x.copy() for k, x in self.p.items()}, []
+        for _ in range(epochs):
+            order = rng.permutation(len(own))
+            for i in range(0, len(own), batch):
+                b = order[i : i + batch]
+                _, g = self.gradient(z[b], e[b], own[b], weight[b], weight_l2)
+                norm = np.sqrt(sum((x**2).sum() for x in g.values()))
+                step += 1
+                now = rate * 0.5 * (1 + np.cos(np.pi * step / steps))
+                for k, x in g.items():
+                    x = x / max(norm, 1.0)
+                    m[k] = 0.9 * m[k] + 0.1 * x
+                    v[k] = 0.999 * v[k] + 0.001 * x * x
+                    self.p[k] = self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            curve.append(self.gradient(val[0], val[1], val[2], np.ones(len(val[2])))[0])
+            if curve[-1] < best:
+                best, kept = curve[-1], {k: x.copy() for k, x in self.p.items()}
+            elif len(curve) - int(np.argmin(curve)) > patience:
+                break
+        self.p = kept
+        return curve
 
     def score(self, events: DataFrame) -> DataFrame:
         """events: event_id, z array, e array (alternatives x outcomes x width). Rows (event_id, alt_idx, score)."""

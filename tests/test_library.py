@@ -340,3 +340,37 @@ def test_reports_and_simulation(spark, events):
     assert len(same) == 2 and all(r["delta"] == 0 for r in same)
     with pytest.raises(Exception, match="without a score"):
         search.external_scores(spark.createDataFrame([(1, 0)], "event_id long, alt_idx long"), spark.createDataFrame([], "event_id long, alt_idx long, logit double")).collect()
+
+
+def test_utility_net_learns_and_its_gradient_is_right():
+    rng = np.random.default_rng(0)
+    for salience, weighting in (("net", "softmax"), ("uniform", "softplus")):
+        net = models.UtilityNet(attributes=2, outcomes=2, width=3, persons=2, hidden=4, salience=salience, weighting=weighting).init()
+        z, e, own, w = rng.normal(size=(5, 2)), rng.normal(size=(5, 3, 2, 3)), rng.integers(0, 3, 5), rng.random(5) + 0.5
+        _, g = net.gradient(z, e, own, w, 0.1)
+        for k, v in net.p.items():
+            i = tuple(rng.integers(0, n) for n in v.shape)
+            v[i] += 1e-5
+            up = net.gradient(z, e, own, w, 0.1)[0]
+            v[i] -= 2e-5
+            down = net.gradient(z, e, own, w, 0.1)[0]
+            v[i] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(g[k][i], abs=1e-6)
+    n = 400
+    z, e = rng.normal(size=(n, 2)), rng.normal(size=(n, 3, 2, 3))
+    own = (e[..., 0].mean(-1) * 3).argmax(1)
+    data = lambda s: (z[s], e[s], own[s], np.ones(len(own[s])))
+    net = models.UtilityNet(attributes=2, outcomes=2, width=3, persons=2, hidden=8)
+    curve = net.fit(data(slice(0, 300)), data(slice(300, n)), epochs=25, rate=0.02)
+    assert min(curve) < np.log(3) * 0.7 and net.gradient(*data(slice(300, n)))[0] == pytest.approx(min(curve))
+
+
+def test_prior_logit(spark):
+    from tallyspark.operators import search
+
+    rows = search.synthetic(spark, 500, [1.5, 0.0, 0.0], alternatives=4, seed=9).withColumn("g", (F.col("event_id") % 2).cast("string"))
+    ard = models.PriorLogit(["x0", "x1", "x2"], relevance=True, rounds=12).fit(rows)
+    assert "x0" in ard.relevant and abs(ard.weights[0] - 1.5) < 0.4 and ard.precisions[0] < min(ard.precisions[1:])
+    wide, names = models.hierarchical(rows, ["x0"], "g", ["0", "1"])
+    h = models.PriorLogit(names, {n: 50.0 for n in names[1:]} | {"x0": 0.01}).fit(wide)
+    assert abs(h.weights[0] - 1.5) < 0.5 and np.abs(h.weights[1:]).max() < 0.5
