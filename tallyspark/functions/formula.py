@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,8 +129,16 @@ UTILITY_FUNCTIONS = {"log1p": signed_log, "exp": clipped_exp, "sqrt": lambda x:
 UTILITY_INPUTS, UTILITY_COEFFICIENTS = 4, 8
 
 
-def utility(text: str, inputs: list[Column], coefficients: list[float]) -> tuple[Column, int]:
-    """(column, number of coefficients) of a utility equation; anything outside the grammar raises FormulaError."""
+NUMPY_FUNCTIONS = {
+    "log1p": lambda x: np.sign(x) * np.log1p(np.abs(x)), "exp": lambda x: np.exp(np.clip(x, -10, 10)), "sqrt": lambda x: np.sqrt(np.abs(x)), "tanh": np.tanh, "abs": np.abs,
+}
+
+
+def utility(text: str, inputs: list, coefficients: list[float], functions: Mapping[str, Callable] = UTILITY_FUNCTIONS, literal: Callable = F.lit) -> tuple[Any, int]:
+    """(column, number of coefficients) of a utility equation; anything outside the grammar raises FormulaError.
+
+    With NUMPY_FUNCTIONS and float as the literal, the inputs and the result are arrays.
+    """
     try:
         module = ast.parse(text.strip())
     except (SyntaxError, ValueError) as e:
@@ -146,12 +156,12 @@ def utility(text: str, inputs: list[Column], coefficients: list[float]) -> tuple
         nonlocal most
         match node:
             case ast.Constant(value=v) if isinstance(v, int | float) and not isinstance(v, bool):
-                return F.lit(float(v))
+                return literal(float(v))
             case ast.Subscript(value=ast.Name(id="x"), slice=ast.Constant(value=int(i))) if 0 <= i < UTILITY_INPUTS:
                 return inputs[i]
             case ast.Subscript(value=ast.Name(id="c"), slice=ast.Constant(value=int(i))) if 0 <= i < UTILITY_COEFFICIENTS:
                 most = max(most, i)
-                return F.lit(float(coefficients[i] if i < len(coefficients) else 0.0))
+                return literal(float(coefficients[i] if i < len(coefficients) else 0.0))
             case ast.UnaryOp(op=ast.USub(), operand=a):
                 return -build(a)
             case ast.BinOp(left=a, op=ast.Add(), right=b):
@@ -162,10 +172,40 @@ def utility(text: str, inputs: list[Column], coefficients: list[float]) -> tuple
                 return build(a) * build(b)
             case ast.BinOp(left=a, op=ast.Pow(), right=ast.Constant(value=int(p))) if p in (0, 1, 2):
                 base = build(a)
-                return F.lit(1.0) if p == 0 else base if p == 1 else base * base
-            case ast.Call(func=ast.Name(id=n), args=[a], keywords=[]) if n in UTILITY_FUNCTIONS:
-                return UTILITY_FUNCTIONS[n](build(a))
+                return literal(1.0) if p == 0 else base if p == 1 else base * base
+            case ast.Call(func=ast.Name(id=n), args=[a], keywords=[]) if n in functions:
+                return functions[n](build(a))
         raise FormulaError(f"not allowed: {ast.dump(node)[:80]}")
 
     column = build(f.body[0].value)
     return column, most + 1
+
+
+def canonical(node: ast.expr) -> str:
+    """An expression's form without its numbers: coefficients and constants as c, sums and products in sorted order."""
+    match node:
+        case ast.Constant() | ast.Subscript(value=ast.Name(id="c")):
+            return "c"
+        case ast.UnaryOp(operand=a):
+            return canonical(a)
+        case ast.BinOp(left=a, op=op, right=b):
+            parts = [canonical(a), canonical(b)]
+            sign = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Pow: "**"}[type(op)]
+            if sign in "+*":
+                parts.sort()
+            return f"({parts[0]}{sign}{ast.unparse(b) if sign == '**' else parts[1]})"
+        case ast.Call(func=f, args=[a]):
+            return f"{ast.unparse(f)}({canonical(a)})"
+        case _:
+            return ast.unparse(node)
+
+
+def _depth(node: ast.expr) -> int:
+    inner = [_depth(n) for n in ast.iter_child_nodes(node) if isinstance(n, ast.expr) and not isinstance(node, ast.Subscript)]
+    return 1 + max(inner, default=0)
+
+
+def concepts(text: str, low: int = 2, high: int = 4) -> set[str]:
+    """The canonical forms of an equation's parts of these depths that use an input."""
+    tree = ast.parse(text.strip()).body[0].body[0].value
+    return {canonical(n) for n in ast.walk(tree) if isinstance(n, ast.BinOp | ast.Call) and low <= _depth(n) <= high and "x[" in ast.unparse(n)}

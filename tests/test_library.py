@@ -95,7 +95,7 @@ def test_pool_lines_hold_all_draws(events):
 
 
 @pytest.mark.parametrize("bad", ["__import__('os')", "a.b", "[1]", "lambda: 1", "a if b else c", "a == 1 == 2", "'x' + 1", "nope + 1", "`a", "a; b", "abs(a, a)", "min(a)", "t + 1", "f(a)", "a < 1"])
-def test_hostile_formulas(bad):
+def test_hostile_formulas(spark, bad):
     with pytest.raises(formula.FormulaError):
         formula.composite(bad, {"a": "double", "b": "double", "c": "double", "t": "string"})
 
@@ -103,7 +103,7 @@ def test_hostile_formulas(bad):
 @pytest.mark.parametrize(
     "bad", ["import os", "def utility(x, c): return x[9]", "def utility(x, c): return c[-1]", "def utility(x): return 1", "def utility(x, c):\n    y = 1\n    return y", "def utility(x, c): return x[0] ** 3", "def utility(x, c): return x[0] / x[1]", "def utility(x, c): return open('f')", "def utility(x, c=1): return 1"]
 )
-def test_hostile_equations(bad):
+def test_hostile_equations(spark, bad):
     with pytest.raises(formula.FormulaError):
         formula.utility(bad, [F.lit(1.0)] * 4, [1.0] * 8)
 
@@ -374,3 +374,18 @@ def test_prior_logit(spark):
     wide, names = models.hierarchical(rows, ["x0"], "g", ["0", "1"])
     h = models.PriorLogit(names, {n: 50.0 for n in names[1:]} | {"x0": 0.01}).fit(wide)
     assert abs(h.weights[0] - 1.5) < 0.5 and np.abs(h.weights[1:]).max() < 0.5
+
+
+def test_equation_search(spark):
+    from tallyspark.operators import search, symbolic
+
+    a, b = "def utility(x, c):\n    return c[0] * x[1] + log1p(x[0]) * 2.0", "def utility(x, c):\n    return 3 * log1p(x[0]) + x[1] * c[4]"
+    assert formula.concepts(a) & formula.concepts(b) >= {"log1p(x[0])"} or formula.concepts(a, 2, 4) & formula.concepts(b, 2, 4)
+    rows = search.synthetic(spark, 300, [2.0, 0.0], alternatives=4, seed=4)
+    found = symbolic.EquationSearch(["x0", "x1"], proposals=12, library=20, promote_at=1).fit(rows.filter("event_id < 200"))
+    test = rows.filter("event_id >= 200")
+    nll = metrics.per_event(found.score(test)).agg(F.avg("nll")).first()[0]
+    assert found.likelihood < np.log(4) - 0.2 and nll < np.log(4) - 0.15 and found.concepts
+    data = symbolic.sample(test, ["x0", "x1"])
+    arrays = formula.utility(found.text, [*data[0], np.zeros(len(data[1])), np.zeros(len(data[1]))], list(found.coefficients), formula.NUMPY_FUNCTIONS, float)[0]
+    assert symbolic.likelihood(arrays, data[1], data[2]) == pytest.approx(nll)
