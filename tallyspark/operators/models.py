@@ -32,18 +32,30 @@ class Popularity:
         return alternatives.join(self.counts, list(self.by), "left").withColumn("score", F.log(F.coalesce("_n", F.lit(0)) + self.alpha)).drop("_n")
 
 
+def _events(pdf: pd.DataFrame, k: int, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """All events of a batch at once: (summed loss, features of all alternatives, their probabilities, event means less
+    the chosen features)."""
+    flat = [np.asarray(x, float) for x in pdf["x"]]
+    size = np.array([len(x) // k for x in flat])
+    x = np.concatenate(flat).reshape(-1, k)
+    starts = np.cumsum(size) - size
+    s = x @ w
+    s = s - np.repeat(np.maximum.reduceat(s, starts), size)
+    e = np.exp(s)
+    total = np.add.reduceat(e, starts)
+    own = starts + pdf["own"].to_numpy()
+    p = e / np.repeat(total, size)
+    mean = np.add.reduceat(x * p[:, None], starts)
+    return float((np.log(total) - s[own]).sum()), x, p, np.stack((mean, mean - x[own]))
+
+
 def _parts(batches: Iterator[pd.DataFrame], names: list[str], w: np.ndarray) -> Iterator[pd.DataFrame]:
     """Sum of negative log likelihoods, of gradients and the number of events of a partition."""
     loss, grad, n = 0.0, np.zeros(len(w)), 0
     for pdf in batches:
-        for flat, chosen in zip(pdf["x"], pdf["own"]):
-            x = np.asarray(flat, float).reshape(-1, len(names))
-            s = x @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            loss -= np.log(max(p[chosen], 1e-300))
-            grad += p @ x - x[chosen]
-            n += 1
+        if len(pdf):
+            part, _, _, means = _events(pdf, len(names), w)
+            loss, grad, n = loss + part, grad + means[1].sum(0), n + len(pdf)
     yield pd.DataFrame({"loss": [loss], "grad": [grad.tolist()], "n": [n]})
 
 
@@ -78,13 +90,11 @@ def curvature(events: DataFrame, names: list[str], w: np.ndarray) -> tuple[float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loss, out = 0.0, np.zeros(k + k * k)
         for pdf in batches:
-            for flat, chosen in zip(pdf["x"], pdf["own"]):
-                x = np.asarray(flat, float).reshape(-1, k)
-                p = _softmax(x @ w)
-                loss -= np.log(max(p[chosen], 1e-300))
-                mean = p @ x
-                out[:k] += mean - x[chosen]
-                out[k:] += ((x * p[:, None]).T @ x - np.outer(mean, mean)).ravel()
+            if len(pdf):
+                part, x, p, means = _events(pdf, k, w)
+                loss += part
+                out[:k] += means[1].sum(0)
+                out[k:] += ((x * p[:, None]).T @ x - means[0].T @ means[0]).ravel()
         yield pd.DataFrame({"loss": [loss], "out": [out.tolist()]})
 
     r = events.mapInPandas(run, "loss double, out array<double>").agg(F.sum("loss"), F.array(*(F.sum(F.col("out")[i]) for i in range(k + k * k)))).first()

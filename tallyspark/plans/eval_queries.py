@@ -119,9 +119,9 @@ def a14_repeat_novel(spark, sf_dir):
     return _rounded(metrics.repeat_novel(scored(spark, sf_dir).withColumn("is_repeat", F.col("n_alts") % 2 == 0)))
 
 
-@query("a20_j13_weighted_loss", f"WITH {_EVENTS}, w AS (SELECT c_custkey::VARCHAR AS customer_id, 1 + c_nationkey / 10.0::DOUBLE AS w FROM customer WHERE c_custkey % 3 = 0) SELECT round(sum(coalesce(w, 1) * nll) / sum(coalesce(w, 1)), 7) AS loss FROM pe LEFT JOIN w USING (customer_id)")
+@query("a20_j13_weighted_loss", f"WITH {_EVENTS}, w AS (SELECT c_custkey::VARCHAR AS customer_id, 1 + c_nationkey / 10.0::DOUBLE AS w FROM customer WHERE c_acctbal > 3000) SELECT round(sum(coalesce(w, 1) * nll) / sum(coalesce(w, 1)), 7) AS loss FROM pe LEFT JOIN w USING (customer_id)")
 def a20_weighted_loss(spark, sf_dir):
-    w = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("customer_id"), (1 + F.col("c_nationkey") / 10.0).alias("w"))
+    w = table(spark, sf_dir, "customer").filter("c_acctbal > 3000").select(F.col("c_custkey").cast("string").alias("customer_id"), (1 + F.col("c_nationkey") / 10.0).alias("w"))
     rows = scored(spark, sf_dir).join(w, "customer_id", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     return _rounded(metrics.weighted_loss(rows, "w"))
 
