@@ -78,3 +78,22 @@ def test_oracles(spark, sf, name):
     a = sorted(map(tuple, want[key].astype(str).values.tolist()))
     b = sorted(map(tuple, got[key].astype(str).values.tolist()))
     assert a == b
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf):
+    """Nulls, empty texts, repeated rows, an empty table, and columns that carry names the operators use inside."""
+    from pyspark.sql import functions as F
+    from test_operators import DOCS, corpus
+
+    rows = corpus()
+    rows += [rows[1], (None, None, None, None, None, None, None, None), (None, "some words", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("secrets", "redacted", "items", "spans", "digest", "log_weight", "id", "text_hash", "_noise", "class_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, stage_name
+        got = out.collect()
+        assert got and all(r["spans"] == "spans" and r["id"] == "id" for r in got), stage_name
+        assert stage(spark, docs.filter("false"), sf).count() == 0, stage_name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
