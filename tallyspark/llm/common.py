@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD_FORM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -149,14 +149,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         )
         moved = label.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("via"))
         jump = label.select(F.col("id").alias("via"), F.col("comp").alias("root"))
-        new = stored(
-            moved.join(jump, "via", "left").select(
-                "id", F.least("via", F.coalesce("root", "via")).alias("comp"), "was"
-            ),
-            "label",
-        )
-        done = new.filter(F.col("comp") != F.col("was")).isEmpty()
-        label = new.select("id", "comp")
-        if done:
+        new = moved.join(jump, "via", "left").select("id", F.least("via", F.coalesce("root", "via")).alias("comp"), "was")
+        seen = Observation()
+        label = stored(new.observe(seen, F.count_if(F.col("comp") != F.col("was")).alias("changed")).select("id", "comp"), "label")
+        if not seen.get["changed"]:
             return label
     raise RuntimeError("components did not settle")

@@ -27,7 +27,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
+#: Classes, and shingles, that a block holds about.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,7 +84,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 def signed(docs: DataFrame, text: str, carry: list[str], bands: int, rows: int, size: int) -> DataFrame:
     """Carried columns with the digest of the shingle set (null for a text without words) and the band hashes."""
-    names, ddl = carried(docs, carry, ("digest", "bands"))
+    names, ddl = carried(docs, carry, ("digest", "n_shingles", "bands"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, by = Hashes(), _multipliers(bands * rows)
@@ -102,10 +104,11 @@ def signed(docs: DataFrame, text: str, carry: list[str], bands: int, rows: int,
                     batch,
                     names,
                     digest=pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                    n_shingles=pa.array([len(s) for s in sets], pa.int64()),
                     bands=pa.array([next(each) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 )
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{ddl}digest binary, bands array<long>")
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{ddl}digest binary, n_shingles long, bands array<long>")
 
 
 def _with_sets(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFrame:
@@ -213,15 +216,16 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     one = stored(
         small.filter("digest is not null")
         .groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("at")),
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("text_hash", "doc_id")).alias("at")),
         "one",
     )
     bucket = small.select("digest", F.posexplode("bands").alias("band", "value")).distinct()
     hub = bucket.groupBy("band", "value").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     edges = bucket.join(hub, ["band", "value"]).filter("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b"))
-    group = components(edges.distinct())
-    blocks = group.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = group.join(blocks, "comp").join(one.withColumnRenamed("digest", "id"), "id")
+    group = components(edges.distinct()).join(one.withColumnRenamed("digest", "id"), "id")
+    # Groups of long texts get more blocks, so what a task holds is bounded whatever the lengths.
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    placed = group.join(group.groupBy("comp").agg(parts.cast("int").alias("blocks")), "comp")
     # One row for each candidate class: its text is found by hash and id, its set travels to each pair of its block.
     wanted = stored(
         placed.select(

@@ -187,8 +187,9 @@ def brute_classes(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_jaccard_join(docs, rows, block):
+@pytest.mark.parametrize("block, shingles_of_block", [(3, 1 << 20), (256, 150), (256, 1 << 20)])
+def test_jaccard_join(docs, rows, monkeypatch, block, shingles_of_block):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles_of_block)
     got = jaccard.join(docs, block=block).collect()
     assert Counter(map(tuple, got)) == Counter(brute_classes(rows))
 
@@ -242,8 +243,8 @@ def test_toxicity_thresholds_are_ordered(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
     model = toxicity.fit(toxicity.training_rows(docs, labels).collect())
     assert (np.diff(model.thresholds) > 0).all() and len(model.features) <= toxicity.MOST_FEATURES
-    got = toxicity.score(docs, model).join(labels, "doc_id").agg(F.avg((F.col("toxic") == (labels["toxic"] > 0)).cast("int")) if False else F.count("*")).first()
-    assert got[0] == labels.count()
+    both = toxicity.score(docs, model).withColumnRenamed("toxic", "said").join(labels, "doc_id")
+    assert both.filter(F.col("said") == (F.col("toxic") > 0)).count() >= 0.95 * labels.count()
 
 
 def test_resampling_separates_quality(spark, sf):
