@@ -389,3 +389,35 @@ def test_equation_search(spark):
     data = symbolic.sample(test, ["x0", "x1"])
     arrays = formula.utility(found.text, [*data[0], np.zeros(len(data[1])), np.zeros(len(data[1]))], list(found.coefficients), formula.NUMPY_FUNCTIONS, float)[0]
     assert symbolic.likelihood(arrays, data[1], data[2]) == pytest.approx(nll)
+
+
+def test_monotone_net(spark):
+    from tallyspark.operators import nets, search
+
+    rows = search.synthetic(spark, 400, [1.5, 1.0], alternatives=4, seed=11)
+    train, test = rows.filter("event_id < 300"), rows.filter("event_id >= 300")
+    nll = lambda m: metrics.per_event(m.score(test)).agg(F.avg("nll")).first()[0]
+    free = nets.NetLogit(["x0", "x1"]).fit(train)
+    held = nets.NetLogit(["x0", "x1"], monotone={"x1": -1}, penalty=100.0).fit(train)
+    assert nll(free) < np.log(4) - 0.3 and nll(held) > nll(free)
+    rng = np.random.default_rng(0)
+    x, event, own = rng.normal(size=(12, 2)), np.repeat(np.arange(4), 3), np.array([0, 4, 8, 9])
+    _, g = held.loss(x, event, own)
+    for k, v in held.p.items():
+        i = tuple(rng.integers(0, n) for n in v.shape)
+        v[i] += 1e-6
+        up = held.loss(x, event, own)[0]
+        v[i] -= 2e-6
+        down = held.loss(x, event, own)[0]
+        v[i] += 1e-6
+        assert (up - down) / 2e-6 == pytest.approx(g[k][i], rel=1e-3, abs=1e-5)
+
+
+def test_text_net(spark):
+    from tallyspark.operators import nets
+
+    rows = [(e, j, "lovely soft toy" if j == e % 3 else f"plain thing {j}", j == e % 3) for e in range(90) for j in range(3)]
+    df = spark.createDataFrame(rows, "event_id long, alt_idx long, text string, chosen boolean")
+    got = metrics.per_event(nets.TextNet(width=16).fit(df).score(df)).agg(F.avg(F.col("top1").cast("int"))).first()[0]
+    assert got == 1.0
+    assert spark.range(1).select(nets.rendered(F.lit("t"), F.lit("c"), F.lit(1.0), F.lit(2), F.lit(True))).first()[0].endswith("Bought before")
