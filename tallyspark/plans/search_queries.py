@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import catalog, history, search, split
+from ..operators import catalog, history, models, nets, search, split, symbolic
 from ..sources.binding import PURCHASES, purchases, table
 from .eval_queries import _LONG, _RESULTS, alternatives, results
 from .history_queries import SPLIT_SQL
+from .model_queries import CUT_US
 from .registry import query
 
 _TERMS = ["interaction(routine, affinity)", "split_by(popularity, novelty)", "threshold(popularity, cutoff=2)", "log_transform(price_sensitivity)", "ratio(routine, popularity)", "power(price_sensitivity, exponent=2)", "difference(affinity, popularity)", "recency"]
@@ -101,3 +102,76 @@ def e13_significance_summary(spark, sf_dir):
 def split_counts(spark, sf_dir):
     return split.temporal_split(purchases(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"))
 
+
+
+def _tabular(spark, sf_dir):
+    a = alternatives(spark, sf_dir).drop("score")
+    return a.withColumns({"log_price": F.log1p("price"), "position": F.col("alt_idx").cast("double"), "units": F.col("quantity") / 10})
+
+
+def _halves(spark, sf_dir):
+    a = _tabular(spark, sf_dir)
+    return a.filter(F.col("us") < CUT_US), a.filter(F.col("us") >= CUT_US)
+
+
+@query("m4_relevance_logit")
+def m4_relevance_logit(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    return models.PriorLogit(["units", "log_price", "position"], relevance=True, rounds=3).fit(train).score(test).select("event_id", "alt_idx", "score")
+
+
+@query("m15_hierarchical_logit")
+def m15_hierarchical_logit(spark, sf_dir):
+    rows, names = models.hierarchical(_tabular(spark, sf_dir), ["units"], "category", ["ECONOMY", "PROMO", "STANDARD"])
+    fitted = models.PriorLogit(names, {n: 10.0 for n in names}, rounds=3).fit(rows.filter(F.col("us") < CUT_US))
+    return fitted.score(rows.filter(F.col("us") >= CUT_US)).select("event_id", "alt_idx", "score")
+
+
+@query("m5_monotone_net")
+def m5_monotone_net(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    return nets.NetLogit(["units", "log_price", "position"], monotone={"log_price": -1}, epochs=15).fit(train).score(test).select("event_id", "alt_idx", "score")
+
+
+@query("m7_text_net")
+def m7_text_net(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    return nets.TextNet("title", width=8, epochs=10).fit(train).score(test).select("event_id", "alt_idx", "score")
+
+
+@query("m9_m10_equation_search")
+def m9_equation_search(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    found = symbolic.EquationSearch(["units", "log_price", "position"], proposals=4, library=20).fit(train)
+    return found.score(test).select("event_id", "alt_idx", "score")
+
+
+@query("e9_leaderboard")
+def e9_leaderboard(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    made = {"popularity": models.Popularity, "position": lambda: models.Popularity(1.0, ("category", "alt_idx")), "net": lambda: nets.NetLogit(["units", "log_price"], epochs=10)}
+    return search.leaderboard(made, train, test).select("model", "status", "nll", "top1", "mrr", "uplift")
+
+
+def _net_events(spark, sf_dir):
+    """Six vectors an event: two alternatives of three outcomes."""
+    v = table(spark, sf_dir, "embeddings").withColumn("event_id", F.floor(F.col("vec_id") / 6))
+    e = v.groupBy("event_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("e"), F.count("*").alias("n"))
+    return e.filter("n = 6").withColumn("z", F.transform(F.sequence(F.lit(1), F.lit(26)), lambda i: i / 26.0))
+
+
+@query("e8_counterfactual")
+def e8_counterfactual(spark, sf_dir):
+    net = models.UtilityNet().init()
+    return search.counterfactual(_net_events(spark, sf_dir), net.score, lambda z: F.transform(z, lambda x: x * 2))
+
+
+@query(
+    "e6_decision_report",
+    "WITH p AS (SELECT vec_id AS k, m::BIGINT AS m, (m * embedding[m]::DOUBLE) AS part FROM embeddings, range(1, 6) AS r(m)) SELECT k, string_agg(m::VARCHAR, ',' ORDER BY part DESC, m DESC) AS parts FROM p GROUP BY 1",
+)
+def e6_decision_report(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.lit(1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("alt_idx"), F.col("vec_id").alias("k"), F.posexplode(F.slice("embedding", 1, 5)).alias("m", "a"))
+    a = v.withColumns({"m": (F.col("m") + 1).cast("long"), "a": F.col("a").cast("double")})
+    w = spark.range(1, 6).select(F.lit(1).cast("long").alias("event_id"), F.col("id").alias("m"), F.col("id").cast("double").alias("w"))
+    return search.decision(a, w, 1).select("k", F.array_join(F.transform("parts", lambda p: p["m"].cast("string")), ",").alias("parts"))
