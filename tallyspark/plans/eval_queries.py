@@ -16,8 +16,8 @@ l AS (SELECT *, alt_idx = event_id % j AS chosen, floor(quantity / 10)::DOUBLE A
 
 def alternatives(spark, sf_dir):
     """Orders as events, their lines as alternatives; one of them, by position, is the choice."""
-    w = Window.partitionBy("order_id")
-    rows = purchases(spark, sf_dir).withColumns({"event_id": F.col("order_id"), "alt_idx": (F.row_number().over(w.orderBy("seq")) - 1).cast("long"), "j": F.count("*").over(w)})
+    w = Window.partitionBy("event_id")  # the key of all that follows, so one exchange serves
+    rows = purchases(spark, sf_dir).withColumnRenamed("order_id", "event_id").withColumns({"alt_idx": (F.row_number().over(w.orderBy("seq")) - 1).cast("long"), "j": F.count("*").over(w)})
     return rows.filter("j between 2 and 10").withColumns({"chosen": F.col("alt_idx") == F.col("event_id") % F.col("j"), "score": F.floor(F.col("quantity") / 10).cast("double")})
 
 
