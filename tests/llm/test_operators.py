@@ -216,6 +216,16 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_long_chains_with_random_ids(spark):
+    """Two chains, one with shortcuts, and a tree: the rounds don't follow their length."""
+    rng = random.Random(3)
+    ids = rng.sample(range(1 << 40), 4500)
+    path, braid, tree = ids[:3000], ids[3000:4000], ids[4000:]
+    edges = [*zip(path, path[1:])] + [e for d in (1, 2, 3) for e in zip(braid, braid[d:])] + [(tree[i], tree[rng.randrange(max(0, i - 5), i)]) for i in range(1, 500)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: min(part) for part in (path, braid, tree) for i in part}
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(1)
     bad = ["vile", "nasty", "rotten"]
