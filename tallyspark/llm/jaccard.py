@@ -207,8 +207,10 @@ def _verified(similarity: float):
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): every row's doc_id, text hash and shingle digest; every digest's class and number of links.
 
-    The class id is the least doc_id of the class; a link is another row whose similarity reaches the bound, copies
-    with the same set included. Rows without words have no digest, link to nothing and stand alone.
+    ``key`` names the class: its least digest. The class id is the least doc_id of the class, so classes that share
+    that id, or whose rows all have none, have one class id but keys of their own. A link is another row whose
+    similarity reaches the bound, copies with the same set included. Rows without words have no digest, link to
+    nothing and stand alone.
     """
     bands, rows = bands_and_rows(similarity, recall)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -250,17 +252,18 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     linked = found.filter("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
     final = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "digest")
     named = final.join(one.select("digest", "least"), "digest").groupBy("comp").agg(F.min("least").alias("class_id"))
-    member = final.join(named, "comp").select("digest", "class_id")
+    member = final.join(named, "comp").select("digest", "comp", "class_id")
     info = (
         one.join(member, "digest", "left")
         .join(linked, "digest", "left")
-        .select("digest", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        .select("digest", F.coalesce("comp", "digest").alias("key"), F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
     return small.select("doc_id", "text_hash", "digest"), stored(info, "classes")
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least doc_id of its near-duplicate class) and n_links."""
+    """One row per row of ``docs``: doc_id, class_id (least doc_id of its near-duplicate class, null where no row of
+    it has one) and n_links. Where ids are null or repeat, the class is told by the key that ``classes`` gives."""
     rows, info = classes(docs, text, doc_id, **options)
     return rows.join(info, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -272,7 +275,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     """
     last = F.lit((1 << 63) - 1)
     rows, info = classes(docs, text, doc_id, **options)
-    rows = rows.join(info.select("digest", F.coalesce("class_id", last).alias("c")), "digest")
+    rows = rows.join(info.select("digest", F.col("key").alias("c")), "digest")
     rows = rows.select("c", F.coalesce("doc_id", last).alias("id"), "text_hash")
     best = rows.groupBy("c").agg(F.min(F.struct("id", "text_hash")).alias("best"), F.count("*").alias("n")).filter("n > 1")
     # Rows to lose, by id and text; of equal rows of the kept one, all but one.

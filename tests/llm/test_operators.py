@@ -204,6 +204,21 @@ def test_jaccard_keeps_one_of_each(docs, rows):
     assert jaccard.join(docs.filter("false")).count() == 0 and jaccard.keep_one(docs.filter("false")).count() == 0
 
 
+def test_jaccard_keeps_unrelated_classes_apart(spark):
+    """Texts without an id, or with one id, are of one class only where they are near copies."""
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a", 29)), (None, text("b")), (None, text("c")), (None, ""), (None, None)]
+    rows += [(5, text("d")), (5, text("e")), (5, text("e")), (6, text("e", 31)), (6, text("f")), (7, text("d", 31))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, jaccard.keep_one(table).collect()))
+    assert sum(kept[None, t] for t in (text("a"), text("a", 29))) == 1
+    assert {r: n for r, n in kept.items() if not (r[1] or "").startswith("a")} == {
+        (None, text("b")): 1, (None, text("c")): 1, (None, ""): 1, (None, None): 1, (5, text("d")): 1, (5, text("e")): 1, (6, text("f")): 1,
+    }
+    found, info = jaccard.classes(table)
+    assert found.filter("digest is not null").join(info, "digest").select("key").distinct().count() == 6
+
+
 def test_banding_reaches_recall():
     for similarity in (0.5, 0.8, 0.9):
         b, r = jaccard.bands_and_rows(similarity, 0.999)
