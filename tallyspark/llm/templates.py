@@ -4,9 +4,13 @@ A page becomes a tree of elements. Every block element's subtree has a hash; a h
 each hash, and a subtree that recurs on many of them belongs to the site's template and is deleted. Elements that are
 furniture by their tag, role or class (menus, footers, adverts, forms ...) go on any page, also on a host with few.
 
+Ids and classes of boxes and lists tell furniture. Headings and running text, and all elements inside the main content,
+count only by a class (boxes also by an id) made of such words alone: ids there are anchors named after the content. An
+article goes as a whole where its class or id says comment or teaser.
+
 Where a page marks its main content (article, main), only that is taken, and its running text is never template: a
 paragraph, list or table stays however often it recurs. Boxes (div, section ...) in it that recur across different
-articles go.
+articles go. Articles count as main content only if they hold as much text outside links as the rest of the page.
 """
 
 from __future__ import annotations
@@ -43,6 +47,14 @@ FURNITURE = re.compile(
     r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|widget|footer|masthead|topbar|comment|comments|disqus|replies|related|recommended|share|sharing|social|login|signup|search|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+WORD = FURNITURE.pattern.removeprefix(r"(?:^|[\s_-])").removesuffix(r"(?:$|[\s_-])")
+COMMENTS = "comment|comments|disqus|replies"
+#: What furniture's names add to its word; a name with any other part ("market-share") may be the content's own.
+FRAMES = "area|bar|block|body|box|btn|button|buttons|container|content|footer|form|header|icons|inner|item|items|link|links|list|main|outer|panel|post|posts|row|section|site|thread|top|bottom|left|right|unit|wrap|wrapper|div|[0-9]+"
+NAMED = re.compile(rf"(?=.*(?:^|[_-]){WORD}(?:$|[_-]))(?:{WORD}|{FRAMES})(?:[_-]+(?:{WORD}|{FRAMES}))*", re.I)
+ASIDE = re.compile(rf"(?=.*(?:^|[_-])(?:{COMMENTS}|related|recommended|teaser|promo|sponsored|advert|ad)(?:$|[_-]))(?:{WORD}|{FRAMES}|teaser)(?:[_-]+(?:{WORD}|{FRAMES}|teaser))*", re.I)
+COMMENT_ID = re.compile(rf"(?=.*(?:^|[_-])(?:{COMMENTS})(?:$|[_-]))(?:{COMMENTS}|{FRAMES})(?:[_-]+(?:{COMMENTS}|{FRAMES}))*", re.I)
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre dl dt dd li figure figcaption table caption thead tbody tfoot tr td th center address details summary a b i em strong span code small sub sup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -50,10 +62,10 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "parts", "first", "dropped", "main")
+    __slots__ = ("tag", "parts", "first", "dropped", "main", "link")
 
-    def __init__(self, tag: str, first: int, dropped: bool, main: bool):
-        self.tag, self.first, self.dropped, self.main = tag, first, dropped, main
+    def __init__(self, tag: str, first: int, dropped: bool, main: int, link: bool):
+        self.tag, self.first, self.dropped, self.main, self.link = tag, first, dropped, main, link
         self.parts: list[bytes] = [tag.encode()]
 
 
@@ -66,25 +78,42 @@ def _furniture(tag: str, attributes: str, in_main: bool) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
             return True
-        if name in ("class", "id") and tag not in MAIN and FURNITURE.search(value):
+        if name in ("class", "id") and tag != "main" and value and _named(tag, name, value, in_main):
             return True
     return False
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]]]:
-    """(blocks, subtrees): blocks of text outside furniture with whether they are in the main content; for each block
-    element a signed 64-bit hash of its subtree, the blocks [first, last) in it, and whether it may be deleted."""
-    blocks: list[tuple[str, bool]] = []
+def _named(tag: str, name: str, value: str, in_main: bool) -> bool:
+    """Whether a class or id says that the element is furniture."""
+    if tag == "article":
+        return bool(COMMENT_ID.fullmatch(value)) if name == "id" else any(map(ASIDE.fullmatch, value.split()))
+    if not FURNITURE.search(value):
+        return False
+    if name == "id" and (tag in TEXTUAL or (in_main and tag != "div")):
+        return False
+    if name == "id" and tag == "section":
+        return bool(COMMENT_ID.fullmatch(value))
+    return not (in_main or tag in TEXTUAL) or any(map(NAMED.fullmatch, value.split()))
+
+
+def parse(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int, bool]]]:
+    """(blocks, subtrees): blocks of text outside furniture, whether they are in an article (1) or main element (2), and
+    their characters outside links; for each block element a signed 64-bit hash of its subtree, the blocks [first,
+    last) in it, and whether it may be deleted."""
+    blocks: list[tuple[str, int, int]] = []
     trees: list[tuple[int, int, int, bool]] = []
-    stack = [Element("", 0, False, False)]
+    stack = [Element("", 0, False, 0, False)]
     line: list[str] = []
+    free = 0
 
     def flush() -> None:
+        nonlocal free
         if line:
             text = " ".join("".join(line).split())
             line.clear()
             if text:
-                blocks.append((text, stack[-1].main))
+                blocks.append((text, stack[-1].main, free))
+            free = 0
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -98,11 +127,14 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int,
                 trees.append((h - (1 << 63), e.first, len(blocks), (e.tag in BOX or not e.main) and e.tag not in MAIN))
 
     def text(raw: str) -> None:
+        nonlocal free
         if not raw:
             return
         stack[-1].parts.append(raw.strip().encode("utf-8", "surrogatepass"))
         if not stack[-1].dropped:
             line.append(html.unescape(raw) if "&" in raw else raw)
+            if not stack[-1].link:
+                free += len(raw.strip())
 
     at, n = 0, len(page)
     while at < n:
@@ -144,7 +176,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int,
                 flush()
             top.parts.append(tag.encode())
             continue
-        stack.append(Element(tag, len(blocks), top.dropped or _furniture(tag, m[3], top.main), top.main or tag in MAIN))
+        stack.append(Element(tag, len(blocks), top.dropped or _furniture(tag, m[3], top.main > 0), max(top.main, 2 if tag == "main" else int(tag == "article")), top.link or tag == "a"))
         if tag in RAW:
             end = _END[tag].search(page, at)
             stop = end.start() if end else n
@@ -158,15 +190,17 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int,
 def main_blocks(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The blocks that can be in the main text, and (hash, first, last) of the subtrees that may be deleted."""
     blocks, trees = parse(page or "")
-    if any(m for _, m in blocks):  # only the main content counts; subtrees keep their places in it
+    inside = sum(n for _, m, n in blocks if m)
+    if any(m == 2 for _, m, _ in blocks) or (any(m for _, m, _ in blocks) and 2 * inside >= sum(n for *_, n in blocks)):
+        # Only the main content counts; subtrees keep their places in it.
         place, k = [], 0
-        for _, m in blocks:
+        for _, m, _ in blocks:
             place.append(k)
-            k += m
+            k += m > 0
         place.append(k)
         trees = [(h, place[a], place[b], d) for h, a, b, d in trees]
         blocks = [x for x in blocks if x[1]]
-    return [x for x, _ in blocks], [(h, a, b) for h, a, b, d in trees if d]
+    return [x for x, *_ in blocks], [(h, a, b) for h, a, b, d in trees if d]
 
 
 def subtrees(pages: DataFrame, html_column: str, carry: list[str]) -> DataFrame:

@@ -407,6 +407,19 @@ def test_html(spark):
     assert templates.extract(empty).count() == 0
 
 
+def test_html_keeps_content_with_names_of_furniture():
+    texts = lambda body: templates.main_blocks(f"<body>{body}</body>")[0]
+    body = "<h2 id=related-work>Related work</h2><p class=market-share>Ours grew</p><section id=search><p>How to search</p></section><div class='section social-history' id=social-history>Past</div>"
+    kept = ["Related work", "Ours grew", "How to search", "Past"]
+    for tag in ("article", "main"):
+        assert texts(f"<{tag}>{body}<div id=comments>First</div><div class='share-buttons'>Tell</div><section class=comments-area>No</section></{tag}>") == kept
+    assert texts("<div>" + body.split("<div")[0] + "</div><div id=search>Find</div><section id=comments>First</section>") == kept[:3]
+    assert texts("<main><p>Text</p><article class='comment depth-1'>Reply</article><article id=comment-12>Reply</article></main>") == ["Text"]
+    assert texts("<div><p>The real text</p></div><article class=related>Teaser</article>") == ["The real text"]
+    assert texts("<div><p>The real text of this page, at length</p></div><article><p>Short</p></article>") == ["The real text of this page, at length", "Short"]
+    assert texts("<div><a>Many links that say much more than the text</a></div><article class='post tag-social category-search'><p>Text</p></article>") == ["Text"]
+
+
 def test_word_chunks_and_long_texts(spark):
     long = "word " * 400_000
     docs = spark.createDataFrame([(1, long, "a"), (2, long + "x", "a"), (3, None, None)], "doc_id long, text string, source string")
