@@ -1,7 +1,9 @@
 """HTML extraction with site template removal.
 
 A page becomes a tree of elements. Every block element's subtree has a hash; a host's pages are counted in Spark for
-each hash, and a subtree that recurs on many of them belongs to the site's template and is deleted. Elements that are
+each hash, and a subtree that recurs on many of them belongs to the site's template and is deleted. Boxes, lists and
+tables are also counted within each part of a host (the first step of the path), and go from a fixed number of pages on
+however large the host is. Elements that are
 furniture by their tag, role or class (menus, footers, adverts, forms ...) go on any page, also on a host with few.
 
 Ids and classes of boxes and lists tell furniture. Headings and running text, and all elements inside the main content,
@@ -29,6 +31,8 @@ from .common import batch_of, carried, chunks, stored
 #: A subtree is template from this many distinct pages of its host on, if they are this share of them or more.
 LEAST_PAGES = 5
 SHARE_OF_HOST = 0.05
+#: A box, list or table is template from this many distinct pages of its host on, whatever their share.
+MANY_PAGES = 1000
 
 # Element names and words of the HTML standard and of common page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,6 +41,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe textarea title button select dialog menu object svg canvas audio video xmp".split())
 MAIN = frozenset(["article", "main"])
 BOX = frozenset("div section aside nav header footer form".split())
+WIDE = BOX | frozenset("ul ol dl table menu".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "optgroup": frozenset(["optgroup", "option"]),
@@ -96,12 +101,12 @@ def _named(tag: str, name: str, value: str, in_main: bool) -> bool:
     return not (in_main or tag in TEXTUAL) or any(map(NAMED.fullmatch, value.split()))
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int, bool]]]:
+def parse(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int, bool, bool]]]:
     """(blocks, subtrees): blocks of text outside furniture, whether they are in an article (1) or main element (2), and
     their characters outside links; for each block element a signed 64-bit hash of its subtree, the blocks [first,
-    last) in it, and whether it may be deleted."""
+    last) in it, whether it may be deleted, and whether it is a box, list or table."""
     blocks: list[tuple[str, int, int]] = []
-    trees: list[tuple[int, int, int, bool]] = []
+    trees: list[tuple[int, int, int, bool, bool]] = []
     stack = [Element("", 0, False, 0, False)]
     line: list[str] = []
     free = 0
@@ -124,7 +129,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, i
             h = xxhash.xxh3_64_intdigest(b"\0".join(e.parts))
             stack[-1].parts.append(h.to_bytes(8, "little"))
             if e.tag in BLOCK and e.tag not in ("html", "body", "head"):
-                trees.append((h - (1 << 63), e.first, len(blocks), (e.tag in BOX or not e.main) and e.tag not in MAIN))
+                trees.append((h - (1 << 63), e.first, len(blocks), (e.tag in BOX or not e.main) and e.tag not in MAIN, e.tag in WIDE))
 
     def text(raw: str) -> None:
         nonlocal free
@@ -187,8 +192,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, i
     return blocks, trees
 
 
-def main_blocks(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The blocks that can be in the main text, and (hash, first, last) of the subtrees that may be deleted."""
+def main_blocks(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+    """The blocks that can be in the main text, and (hash, first, last, wide) of the subtrees that may be deleted."""
     blocks, trees = parse(page or "")
     inside = sum(n for _, m, n in blocks if m)
     if any(m == 2 for _, m, _ in blocks) or (any(m for _, m, _ in blocks) and 2 * inside >= sum(n for *_, n in blocks)):
@@ -198,9 +203,9 @@ def main_blocks(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]
             place.append(k)
             k += m > 0
         place.append(k)
-        trees = [(h, place[a], place[b], d) for h, a, b, d in trees]
+        trees = [(h, place[a], place[b], d, w) for h, a, b, d, w in trees]
         blocks = [x for x in blocks if x[1]]
-    return [x for x, *_ in blocks], [(h, a, b) for h, a, b, d in trees if d]
+    return [x for x, *_ in blocks], [(h, a, b, w) for h, a, b, d, w in trees if d]
 
 
 def subtrees(pages: DataFrame, html_column: str, carry: list[str]) -> DataFrame:
@@ -208,17 +213,17 @@ def subtrees(pages: DataFrame, html_column: str, carry: list[str]) -> DataFrame:
     names, ddl = carried(pages, carry, ("trees", "page_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("wide", pa.bool_())]))
         for whole in batches:
             for batch in chunks(whole, html_column):
                 trees, keys = [], []
                 for t in batch.column(html_column).to_pylist():
                     blocks, found = main_blocks(t)
-                    trees.append([dict(zip(("hash", "first", "last"), x)) for x in found])
+                    trees.append([dict(zip(("hash", "first", "last", "wide"), x)) for x in found])
                     keys.append(xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
                 yield batch_of(batch, names, trees=pa.array(trees, kind), page_key=pa.array(keys, pa.int64()))
 
-    form = "trees array<struct<hash: long, first: int, last: int>>, page_key long"
+    form = "trees array<struct<hash: long, first: int, last: int, wide: boolean>>, page_key long"
     return pages.select(*dict.fromkeys([*names, html_column])).mapInArrow(run, f"{ddl}{form}")
 
 
@@ -243,7 +248,12 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE_OF_HOST) -> DataFrame:
+def part_of(url) -> F.Column:
+    """The first step of the path."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*/+([^/?#]*)/", 1)
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE_OF_HOST, many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text: the main text of every page, its blocks joined by line breaks, without its site's template.
 
     Pages of equal main text count once, so copies of a page don't make its content template. A null or empty html
@@ -251,14 +261,22 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     """
     # Pages of one url and html have one key: the same subtrees are cut from them.
     key = F.md5(F.concat_ws("\0", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary"))
-    rows = pages.select("html", host_of(F.col("url")).alias("host"), key.alias("key"))
-    rows = stored(subtrees(rows, "html", ["host", "key"]), "subtrees")
-    count = rows.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    tree = rows.select("host", "page_key", F.explode("trees.hash").alias("hash")).distinct()
-    often = tree.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    often = often.join(count, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    rows = pages.select("html", host_of(F.col("url")).alias("host"), part_of(F.col("url")).alias("part"), key.alias("key"))
+    rows = stored(subtrees(rows, "html", ["host", "part", "key"]), "subtrees")
+    # A page of a host lies in one part or, as copies, in several; it counts once in each part and once in the host.
+    seen = rows.select("host", "part", "page_key").distinct()
+    tree = rows.select("host", "part", "page_key", F.explode("trees").alias("t")).select("host", "part", "page_key", "t.hash", "t.wide")
+
+    def often(of: list[str], some: DataFrame, enough) -> DataFrame:
+        count = seen.select(*of, "page_key").distinct().groupBy(*of).agg(F.count("*").alias("pages"))
+        n = some.select(*of, "page_key", "hash", "wide").distinct().groupBy(*of, "hash", "wide").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+        return n.join(count, of).filter(enough).select(*of, "hash")
+
+    large = F.col("n") >= share * F.col("pages")
     # Only subtrees that still hold blocks can change a text. The ranges are stored, so their size is known before
     # the join with the pages is planned: few are broadcast, many are joined by key.
-    placed = rows.select("key", "host", F.explode("trees").alias("t")).filter("t.last > t.first").select("key", "host", "t.hash", "t.first", "t.last")
-    cut = stored(placed.join(often, ["host", "hash"]).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
+    placed = rows.select("key", "host", "part", F.explode("trees").alias("t")).filter("t.last > t.first").select("key", "host", "part", "t.hash", "t.first", "t.last", "t.wide")
+    cuts = placed.join(often(["host"], tree, large | (F.col("wide") & (F.col("n") >= many_pages))), ["host", "hash"]).select("key", "first", "last")
+    own = placed.filter("wide and part <> ''").join(often(["host", "part"], tree.filter("wide and part <> ''"), large), ["host", "part", "hash"]).select("key", "first", "last")
+    cut = stored(cuts.union(own).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
     return without(pages.withColumn("key", key).join(cut, "key", "left"), "html", "cuts", ["page_id", "url"])

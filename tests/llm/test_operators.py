@@ -407,6 +407,18 @@ def test_html(spark):
     assert templates.extract(empty).count() == 0
 
 
+def test_html_template_of_a_part_of_a_large_host(spark):
+    """A section's menu and a box on very many pages go, however large the host; running text is not touched."""
+    page = lambda part, i, more: (i, f"http://h.example/{part}/{i}", f"<body>{more}<p>Own {i}</p></body>")
+    rows = [page("news", i, "<ul><li>News menu</ul><p>Said in the news</p>") for i in range(6)]
+    rows += [page(f"p{i}", i, "<div>Box of many</div>" if i < 20 else "") for i in range(10, 400)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in templates.extract(table, many_pages=10).collect()}
+    assert text == {i: (f"Said in the news\nOwn {i}" if i < 6 else f"Own {i}") for i, *_ in rows}
+    text = {r["page_id"]: r["text"] for r in templates.extract(table).collect()}
+    assert text[12] == "Box of many\nOwn 12" and text[3] == "Said in the news\nOwn 3"
+
+
 def test_html_keeps_content_with_names_of_furniture():
     texts = lambda body: templates.main_blocks(f"<body>{body}</body>")[0]
     body = "<h2 id=related-work>Related work</h2><p class=market-share>Ours grew</p><section id=search><p>How to search</p></section><div class='section social-history' id=social-history>Past</div>"
