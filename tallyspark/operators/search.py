@@ -135,20 +135,50 @@ def legacy_rows(alternatives: DataFrame, popularity: DataFrame, category_price:
     )
 
 
+def numbered(items: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:
+    """Items (asin and ``keys``) with ``at``, their place from 0 on among those of equal keys, and ``size``, how many
+    these are; places are ranks within buckets of hashes plus the sizes of the buckets before."""
+    rows = items.withColumn("_b", F.pmod(F.xxhash64("asin"), F.lit(buckets)))
+    sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(*keys)
+    base = sizes.select(*keys, "_b", (F.sum("_n").over(every.orderBy("_b")) - F.col("_n")).alias("_base"), F.sum("_n").over(every).alias("size"))
+    at = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("asin")) - 1 + F.col("_base")
+    return rows.join(base, [*keys, "_b"]).withColumn("at", at).drop("_b", "_base")
+
+
+def places(size: Column, k: int, *parts: Column) -> Column:
+    """``k`` distinct places below ``size`` (all, where it has no more), every set as likely; fixed by their parts."""
+
+    def step(got: Column, j: Column) -> Column:
+        x = F.floor(uniform(*parts, j) * (j + 1)).cast("long")
+        return F.array_append(got, F.when(F.array_contains(got, x), j).otherwise(x))
+
+    empty = F.expr("cast(array() as array<long>)")
+    return F.when(size > 0, F.aggregate(F.sequence(F.greatest(size - k, F.lit(0)).cast("long"), (size - 1).cast("long")), empty, step)).otherwise(empty)
+
+
 def simulate(events: DataFrame, weight: float, steps: int = 10, candidates: int = 10, seed: int = 42) -> DataFrame:
     """(customer_id, us, seq, asin, category, price): for each customer ``steps`` purchases after the last, each drawn by a
-    logit over candidates from their last category by how often they bought them.
+    logit over candidates by how often they bought them. Half of the candidates, rounded down, are of their last category,
+    the rest of the whole catalogue, drawn anew for each customer and step; category is the last one, price the item's mean.
 
     A customer's steps don't feed back into counts, so all steps are one join; draws are Gumbel keys from hashes.
     """
     last = events.groupBy("customer_id").agg(F.max("us").alias("us"), F.max_by("category", F.struct("us", "seq")).alias("category"))
-    items = events.groupBy("category", "asin").agg(F.avg("price").alias("price"))
-    few = F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64(F.lit(seed), "asin"), "asin"))
-    pool = items.withColumn("_n", few).filter(F.col("_n") <= candidates)
+    items = events.groupBy("asin").agg(F.avg("price").alias("price"))
+    near = numbered(events.select("category", "asin").filter("category is not null").distinct(), ["category"])
+    whole = numbered(items.select("asin"), [])
+    one = whole.agg(F.count("*").alias("_all"))
+    rows = last.join(near.groupBy("category").agg(F.max("size").alias("_own")), "category", "left").crossJoin(F.broadcast(one)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    same = candidates // 2
+    pick = lambda size, k, tag: F.explode(places(size, k, F.lit(seed), F.lit(tag), F.col("customer_id"), F.col("step"))).alias("at")
+    kept = ["customer_id", "us", "category", "step"]
+    own = rows.select(*kept, pick(F.coalesce("_own", F.lit(0)), same, "own")).join(near.select("category", "at", "asin"), ["category", "at"]).select(*kept, "asin")
+    rest = rows.select(*kept, pick(F.col("_all"), candidates - same, "all")).join(whole.select("at", "asin"), "at").select(*kept, "asin")
     bought = events.groupBy("customer_id", "asin").agg(F.count("*").alias("n"))
-    rows = last.join(pool, "category").join(bought, ["customer_id", "asin"], "left").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    drawn_from = own.union(rest).distinct().join(items, "asin").join(bought, ["customer_id", "asin"], "left")
     noise = -F.log(-F.log(uniform(F.lit(seed), "customer_id", "step", "asin")))
-    keyed = rows.withColumn("key", F.coalesce("n", F.lit(0)) * weight + noise)
+    keyed = drawn_from.withColumn("key", F.coalesce("n", F.lit(0)) * weight + noise)
     drawn = keyed.groupBy("customer_id", "step").agg(F.max_by(F.struct("us", "asin", "category", "price"), F.struct("key", "asin")).alias("x"))
     gap = (1 + F.floor(uniform(F.lit(seed), F.lit("gap"), "customer_id", "step") * 29)).cast("long")
     days = F.sum(gap).over(Window.partitionBy("customer_id").orderBy("step"))

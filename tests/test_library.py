@@ -342,6 +342,24 @@ def test_reports_and_simulation(spark, events):
         search.external_scores(spark.createDataFrame([(1, 0)], "event_id long, alt_idx long"), spark.createDataFrame([], "event_id long, alt_idx long, logit double")).collect()
 
 
+def test_simulation_draws_from_the_whole_category_and_catalogue(spark):
+    from tallyspark.operators import search
+
+    rows = [(f"c{c}", c * 40 + i, f"{i:04}", f"a{i % 60:02}" if c % 2 else f"b{i % 60:02}", "A" if c % 2 else "B", 1.0 * (i % 60)) for c in range(40) for i in range(60)]
+    events = spark.createDataFrame(rows, "customer_id string, us long, seq string, asin string, category string, price double")
+    got = search.simulate(events, 0.0).collect()
+    assert len(got) == 400 and all(r["price"] == float(r["asin"][1:]) for r in got)
+    assert len({r["asin"] for r in got}) > 100  # of 120; ten fixed ones a category would give 20
+    own = sum(r["asin"][0].upper() == r["category"] for r in got) / 400
+    assert 0.6 < own < 0.85  # five of the category, and half of the other five
+    at = spark.range(2000).select(search.places(F.lit(7), 5, F.col("id")).alias("p")).collect()
+    assert all(len(set(r["p"])) == 5 and set(r["p"]) <= set(range(7)) for r in at)
+    assert all(1300 < sum(x in r["p"] for r in at) < 1560 for x in range(7))
+    assert spark.range(1).select(search.places(F.lit(3), 5, F.col("id")).alias("p")).first()["p"].__len__() == 3
+    keep = search.simulate(events.filter("customer_id = 'c1'"), 50.0).collect()
+    assert len(keep) == 10
+
+
 def test_utility_net_learns_and_its_gradient_is_right():
     rng = np.random.default_rng(0)
     for salience, weighting in (("net", "softmax"), ("uniform", "softplus")):
