@@ -1,9 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Certain findings stand alone: assignments to names such as password, access identifiers and long hex strings. Weak
-parts (account identifiers, random-looking strings, endpoints) say little alone. They are linked by an interval join
-within one scope, a paragraph: sorted by position, a part is joined with the parts whose interval, widened by REACH,
-meets its own. A weak part is reported only where complementary parts co-occur.
+parts (account identifiers, random-looking strings, endpoints) say little alone. They are linked within one scope, a
+paragraph of any length: a weak part is reported only where complementary parts co-occur in it, beside the part.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from .common import batch_of, carried, chunks
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 BASE = KINDS[:3]
-REACH = 200
 MASK = "[secret]"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?:client_?id|user(?:name)?|login|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", re.I | re.A)
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}""", re.A)
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _IDENTS = ("client", "user", "login", "account", "access")
 
@@ -54,13 +52,14 @@ def _random_looking(s: str) -> bool:
     return classes >= 2 and any(map(str.isdigit, s)) and bits >= 3.0
 
 
-def _meets(a: tuple[str, int, int], starts: list[int], others: list[tuple[str, int, int]], longest: int, scope: list[int]) -> bool:
-    """Whether any other part lies within REACH of ``a`` in its scope."""
-    for i in range(bisect_left(starts, a[1] - REACH - longest), bisect_right(starts, a[2] + REACH)):
-        b = others[i]
-        if b[2] + REACH >= a[1] and not (b[1] < a[2] and a[1] < b[2]) and bisect_right(scope, a[1]) == bisect_right(scope, b[1]):
-            return True
-    return False
+def _ends(parts: list[tuple[str, int, int]], scope: list[int]) -> dict[int, tuple[int, int]]:
+    """The least end and the greatest start of the parts of each scope."""
+    out: dict[int, tuple[int, int]] = {}
+    for _, a, b in parts:
+        k = bisect_right(scope, a)
+        least, most = out.get(k, (b, a))
+        out[k] = min(least, b), max(most, a)
+    return out
 
 
 class _Taken:
@@ -95,11 +94,10 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], lower: str | None
     scope = [m.start() for m in re.finditer(r"\n\s*\n", text)]
 
     def keep(parts, *others):
-        lists = []
-        for some in others:
-            some = sorted(some, key=lambda s: s[1])
-            lists.append(([s[1] for s in some], some, max((s[2] - s[1] for s in some), default=0)))
-        return [p for p in parts if all(_meets(p, a, b, n, scope) for a, b, n in lists)]
+        # Some part of a scope lies beside ``p`` just if its first end or its last start does.
+        ends = [_ends(some, scope) for some in others]
+        found = [[(p, e.get(bisect_right(scope, p[1]))) for p in parts] for e in ends]
+        return [p for i, p in enumerate(parts) if all(x[i][1] and (x[i][1][0] <= p[1] or x[i][1][1] >= p[2]) for x in found)]
 
     # A random-looking string needs who or where it is for; who and where need something secret beside them.
     weak = keep(weak, ids + ends)

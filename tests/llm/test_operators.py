@@ -347,6 +347,17 @@ def test_secrets(docs, rows, spark):
     assert masked.count() == len(rows) and secret_spans.redact(docs.filter("false")).count() == 0
 
 
+def test_secrets_link_over_the_whole_paragraph():
+    """Runs of any length count, and parts link however far apart they lie in one paragraph."""
+    spans = lambda t: [k for k, *_ in secret_spans.linked_spans(t, secret_spans.base_spans(t))]
+    run = "Zx81kQ99aa7LmN20pQ"
+    for n in (128, 129, 5000):
+        assert spans("user: bob key " + (run * 300)[:n]) == ["weak", "ident"]
+    assert spans("user: bob " + "and so on " * 500 + run) == ["weak", "ident"]
+    assert spans(run + " " + "and so on\n" * 500 + "at https://db.example.net/x") == ["weak", "endpoint"]
+    assert spans("user: bob\n\n" + run) == [] == spans("user: bob " + run[:15])
+
+
 def brute_rules(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
