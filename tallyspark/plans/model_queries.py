@@ -176,7 +176,7 @@ def _tabular(spark, sf_dir):
 @query("m2_sparse_logit")
 def m2_sparse_logit(spark, sf_dir):
     a = _tabular(spark, sf_dir)
-    m = models.SparseLogit(["quantity", "log_price", "position"], penalties=(0.03, 0.003), rounds=4).fit(a.filter(F.col("us") < CUT_US), a.filter(F.col("us") >= CUT_US))
+    m = models.SparseLogit(["quantity", "log_price", "position"]).fit(a.filter(F.col("us") < CUT_US), a.filter(F.col("us") >= CUT_US))
     return m.score(a).select("event_id", "alt_idx", "score")
 
 

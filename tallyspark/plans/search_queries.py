@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -117,13 +118,13 @@ def _halves(spark, sf_dir):
 @query("m4_relevance_logit")
 def m4_relevance_logit(spark, sf_dir):
     train, test = _halves(spark, sf_dir)
-    return models.PriorLogit(["units", "log_price", "position"], relevance=True, rounds=3).fit(train).score(test).select("event_id", "alt_idx", "score")
+    return models.PriorLogit(["units", "log_price", "position"], relevance=True).fit(train).score(test).select("event_id", "alt_idx", "score")
 
 
 @query("m15_hierarchical_logit")
 def m15_hierarchical_logit(spark, sf_dir):
     rows, names = models.hierarchical(_tabular(spark, sf_dir), ["units"], "category", ["ECONOMY", "PROMO", "STANDARD"])
-    fitted = models.PriorLogit(names, {n: 10.0 for n in names}, rounds=3).fit(rows.filter(F.col("us") < CUT_US))
+    fitted = models.PriorLogit(names, {n: 10.0 for n in names}).fit(rows.filter(F.col("us") < CUT_US))
     return fitted.score(rows.filter(F.col("us") >= CUT_US)).select("event_id", "alt_idx", "score")
 
 
@@ -136,13 +137,13 @@ def m5_monotone_net(spark, sf_dir):
 @query("m7_text_net")
 def m7_text_net(spark, sf_dir):
     train, test = _halves(spark, sf_dir)
-    return nets.TextNet("title", width=8, epochs=10).fit(train).score(test).select("event_id", "alt_idx", "score")
+    return nets.TextNet("title").fit(train).score(test).select("event_id", "alt_idx", "score")
 
 
 @query("m9_m10_equation_search")
 def m9_equation_search(spark, sf_dir):
     train, test = _halves(spark, sf_dir)
-    found = symbolic.EquationSearch(["units", "log_price", "position"], proposals=4, library=20).fit(train)
+    found = symbolic.EquationSearch(["units", "log_price", "position"], library=20).fit(train)
     return found.score(test).select("event_id", "alt_idx", "score")
 
 
@@ -162,8 +163,15 @@ def _net_events(spark, sf_dir):
 
 @query("e8_counterfactual")
 def e8_counterfactual(spark, sf_dir):
-    net = models.UtilityNet().init()
-    return search.counterfactual(_net_events(spark, sf_dir), net.score, lambda z: F.transform(z, lambda x: x * 2))
+    """The net is trained on at most 5,000 events, each with its alternative of the greater sum of labels as the choice."""
+    events = _net_events(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 6).alias("event_id"), F.when(F.col("vec_id") % 6 < 3, -F.col("label")).otherwise(F.col("label")).alias("d"))
+    own = labels.groupBy("event_id").agg((F.sum("d") > 0).cast("int").alias("own"))
+    rows = events.join(own, "event_id").orderBy(F.xxhash64("event_id"), "event_id").limit(5000).select("z", "e", "own").collect()
+    z, e, own = np.array([r["z"] for r in rows], float), np.array([r["e"] for r in rows], float).reshape(len(rows), 2, 3, -1), np.array([r["own"] for r in rows], int)
+    net, cut = models.UtilityNet(), max(1, len(rows) * 4 // 5)
+    net.fit((z[:cut], e[:cut], own[:cut], np.ones(cut)), (z[cut:], e[cut:], own[cut:]))
+    return search.counterfactual(events, net.score, lambda z: F.transform(z, lambda x: x * 2))
 
 
 @query(

@@ -342,6 +342,26 @@ def test_reports_and_simulation(spark, events):
         search.external_scores(spark.createDataFrame([(1, 0)], "event_id long, alt_idx long"), spark.createDataFrame([], "event_id long, alt_idx long, logit double")).collect()
 
 
+def test_registered_models_are_fitted_in_full(spark, sf, monkeypatch):
+    from tallyspark.operators import nets, symbolic
+    from tallyspark.plans import registry
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, *_):
+        raise Seen(self)
+
+    fields = {models.SparseLogit: ("penalties", "rounds"), models.PriorLogit: ("rounds",), nets.TextNet: ("width", "epochs"), symbolic.EquationSearch: ("proposals",), models.UtilityNet: ()}
+    for c in fields:
+        monkeypatch.setattr(c, "fit", fit)
+    for name in ("m2_sparse_logit", "m4_relevance_logit", "m15_hierarchical_logit", "m7_text_net", "m9_m10_equation_search", "e8_counterfactual"):
+        with pytest.raises(Seen) as got:
+            registry.queries()[name](spark, sf)
+        model = got.value.args[0]
+        assert all(getattr(model, f) == type(model).__dataclass_fields__[f].default for f in fields[type(model)])
+
+
 def test_simulation_draws_from_the_whole_category_and_catalogue(spark):
     from tallyspark.operators import search
 
