@@ -287,6 +287,13 @@ def random_subsample(events: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").limit(n).withColumn("weight", F.lit(1.0))
 
 
+def share_columns(top: list[str]) -> list:
+    """The shares of these categories, each a column, and the sum of all others' shares."""
+    rest = F.map_filter("shares", lambda c, _: ~F.coalesce(c.isin(top), F.lit(False)))
+    others = F.aggregate(F.map_values(rest), F.lit(0.0), lambda a, b: a + b)
+    return [*(F.coalesce(F.try_element_at("shares", F.lit(c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(top)), F.coalesce(others, F.lit(0.0)).alias("others")]
+
+
 def leverage_subsample(events: DataFrame, n: int, components: int = 20, per_cluster: int = 2, seed: int = 42, most_categories: int = 200) -> DataFrame:
     """(customer_id, weight): of each behaviour cluster the customers of greatest leverage, the rest in proportion to
     leverage; weights are inverse probabilities that sum to the number of customers.
@@ -295,13 +302,14 @@ def leverage_subsample(events: DataFrame, n: int, components: int = 20, per_clus
     frequent share one column.
     """
     p = profiles(events)
-    top = [r[0] for r in events.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(most_categories).collect()]
-    shares = [F.coalesce(F.try_element_at("shares", F.lit(c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(top)]
+    top = [r[0] for r in events.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(most_categories + 1).collect()]
+    # Where no category is beyond the most frequent, the others' column would be zero everywhere.
+    shares = share_columns(top[:most_categories])[: len(top)]
     wide = p.select("customer_id", *SCALARS, *shares).persist()
     try:
         total = wide.count()
-        k = max(1, min(components, len(top) - 1, total - 1))
-        vector = VectorAssembler(inputCols=[f"c{i}" for i in range(len(top))], outputCol="_c").transform(wide)
+        k = max(1, min(components, len(shares) - 1, total - 1))
+        vector = VectorAssembler(inputCols=wide.columns[1 + len(SCALARS) :], outputCol="_c").transform(wide)
         pca = PCA(k=k, inputCol="_c", outputCol="_p").fit(vector)
         scores = pca.transform(vector).select("customer_id", *SCALARS, *(vector_to_array("_p")[i].alias(f"p{i}") for i in range(k)))
         columns = [*SCALARS, *(f"p{i}" for i in range(k))]

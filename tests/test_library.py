@@ -259,6 +259,18 @@ def test_subsamples(events):
     assert len({x["customer_id"] for x in lev}) == 6 and sum(x["weight"] for x in lev) == pytest.approx(12)
 
 
+def test_shares_of_other_categories_have_a_column(spark):
+    p = spark.sql("select map('a', 0.5D, 'b', 0.25D, 'c', 0.125D, 'd', 0.125D) as shares union all select map('a', 1.0D)")
+    got = sorted(map(tuple, p.select(*models.share_columns(["a", "b"])).collect()))
+    assert got == [(0.5, 0.25, 0.25), (1.0, 0.0, 0.0)]
+
+
+def test_leverage_follows_other_categories(events):
+    h = history.state_features(events)
+    got = models.leverage_subsample(h, 6, components=1, most_categories=1).collect()
+    assert len({x["customer_id"] for x in got}) == 6
+
+
 def test_outcomes(spark):
     t = spark.createDataFrame([("alpha beta",), ("alpha beta",), ("x",), (None,)], "text string")
     e = {r["text"]: r["e"] for r in outcomes.encode(t, outcomes.hash_vector).collect()}
