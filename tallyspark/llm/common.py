@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_FORM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,11 +83,14 @@ def carried(df: DataFrame, carry: list[str] | None, own: tuple[str, ...]) -> tup
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Only a local session that names none gets one of our own."""
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-        spark.sparkContext.setCheckpointDir(given)
+        context.setCheckpointDir(given)
     return given.rstrip("/")
 
 
@@ -111,18 +114,30 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors.
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends, or by ``remove``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, files = _file(spark, path)
+    files.deleteOnExit(where)
+    return path
 
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of ``own_folder``, once nothing is read from it any more."""
+    where, files = _file(spark, path)
+    files.delete(where, True)
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
+    path = path or own_folder(df.sparkSession, f"tables/{name}")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -139,9 +154,10 @@ def components(edges: DataFrame) -> DataFrame:
     over = down.join(hub, "a").filter("b <> hub").select(F.col("hub").alias("a"), "b")
     few = hub.select("a", F.col("hub").alias("b")).union(over).distinct()
     both = stored(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    spark = edges.sparkSession
+    last = own_folder(spark, "tables/label")
     label = stored(
-        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")),
-        "label",
+        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "label", last
     )
     while True:
         near = (
@@ -155,7 +171,9 @@ def components(edges: DataFrame) -> DataFrame:
         hung = sent.groupBy("id").agg(F.max("was").alias("was"), F.min("via").alias("via"))
         jump = label.select(F.col("id").alias("via"), F.col("comp").alias("root"))
         new = hung.join(jump, "via", "left").select("id", F.least("via", F.coalesce("root", "via")).alias("comp"), "was")
-        seen = Observation()
-        label = stored(new.observe(seen, F.count_if(F.col("comp") != F.col("was")).alias("changed")).select("id", "comp"), "label")
-        if not seen.get["changed"]:
+        path = own_folder(spark, "tables/label")
+        found = stored(new.select("id", "comp", (F.col("comp") != F.col("was")).alias("moved")), "label", path)
+        remove(spark, last)
+        label, last = found.select("id", "comp"), path
+        if found.filter("moved").isEmpty():
             return label
