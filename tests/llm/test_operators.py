@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +222,67 @@ def test_jaccard_keeps_unrelated_classes_apart(spark):
     assert found.filter("digest is not null").join(info, "digest").select("key").distinct().count() == 6
 
 
+def test_jaccard_takes_any_id_and_any_column(spark):
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [("b", text("a")), ("a", text("a", 29)), (None, text("a")), ("c", text("b")), ("c", text("b")), ("d", "?!"), ("d", "?!")]
+    names = ["_id", "_hash", "_i", "_h", "_n", "n", "words", "row", "text_hash", "digest", "best", "key"]
+    table = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(c) for c in names})
+    kept = jaccard.keep_one(table)
+    assert kept.columns == table.columns
+    assert Counter(tuple(r)[:2] for r in kept.collect()) == {rows[1]: 1, rows[3]: 1, ("d", "?!"): 2}
+    assert all(r[c] == c for r in kept.collect() for c in names)
+    assert Counter(map(tuple, jaccard.join(table).collect())) == Counter([("b", "a", 2), ("a", "a", 2), (None, "a", 2), ("c", "c", 1), ("c", "c", 1), ("d", "d", 0), ("d", "d", 0)])
+
+
+def test_jaccard_blocks_of_signatures(docs, rows):
+    """Buckets larger than a block, and groups above and below the size that is handled at once."""
+    assert Counter(map(tuple, jaccard.join(docs, sketch_block=2, block=3).collect())) == Counter(brute_classes(rows))
+
+
+def test_promising_pairs_equal_brute_force():
+    rng = np.random.default_rng(4)
+    bands, rows, n = 6, 3, 150
+    base = rng.integers(0, 256, (12, bands * rows)).astype(np.uint8)
+    low = base[rng.integers(0, 12, n)]
+    low = np.where(rng.random(low.shape) < 0.1, rng.integers(0, 256, low.shape), low).astype(np.uint8)
+    of = np.zeros((n, bands), "<u4")
+    for b in range(bands):
+        of[:, b] = [int.from_bytes(x.tobytes(), "little") for x in low[:, b * rows : (b + 1) * rows]]
+    size = rng.integers(50, 70, n)
+    band = 2
+    groups = sorted(range(n), key=lambda i: int(of[i, band]))
+    fewest = jaccard._fewest(bands * rows, 0.8)
+    for two in (False, True):
+        block = rng.integers(0, 2, n)
+        columns = {
+            "bucket": pa.array(of[groups, band].astype(np.int64)), "i": pa.array(np.zeros(n, np.int32)), "j": pa.array(np.full(n, int(two), np.int32)), "band": pa.array(np.full(n, band, np.int32)),
+            "digest": pa.array([str(g).encode() for g in groups], pa.binary()), "sketch": pa.array([of[g].tobytes() + low[g].tobytes() for g in groups], pa.binary()),
+            "n_shingles": pa.array(size[groups]), "block": pa.array(block[groups].astype(np.int32)),
+        }
+        want = {
+            str(a).encode()
+            for a in range(n)
+            for b in range(n)
+            if a != b and of[a, band] == of[b, band] and not (of[a, :band] == of[b, :band]).any() and (low[a] == low[b]).sum() >= fewest
+            and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) and not (two and block[a] == block[b])
+        }
+        batches = pa.table(columns).to_batches(max_chunksize=17)
+        for small in (0, 3, 64):
+            out = [x for b in jaccard._promising(bands, rows, 0.8, tile=7, small=small)(iter(batches)) for x in b.column("digest").to_pylist()]
+            assert len(out) == len(want) and set(out) == want and 0 < len(want) < n
+
+
+def test_models_still_score_after_the_join(spark, docs):
+    """The join leaves nothing in the session that a later model would drag along."""
+    from tallyspark.operators import models, search
+
+    jaccard.join(docs).count()
+    rows = search.synthetic(spark, 120, [2.0, 0.0], alternatives=3, seed=3)
+    made = {kind: (lambda kind=kind: models.Classifier(["x0", "x1"], kind)) for kind in ("forest", "boosting", "perceptron")}
+    board = search.leaderboard({"popularity": models.Popularity, **made}, rows.withColumn("asin", F.col("alt_idx").cast("string")).filter("event_id < 90"), rows.withColumn("asin", F.col("alt_idx").cast("string")).filter("event_id >= 90"))
+    assert {r["model"]: r["status"] for r in board.collect()} == dict.fromkeys(["popularity", *made], "ok")
+
+
 def test_banding_reaches_recall():
     for similarity in (0.5, 0.8, 0.9):
         b, r = jaccard.bands_and_rows(similarity, 0.999)
@@ -431,7 +495,7 @@ def test_html_template_of_a_part_of_a_large_host(spark):
 
 
 def test_html_keeps_content_with_names_of_furniture():
-    texts = lambda body: templates.main_blocks(f"<body>{body}</body>")[0]
+    texts = lambda body: templates.alone(f"<body>{body}</body>")
     body = "<h2 id=related-work>Related work</h2><p class=market-share>Ours grew</p><section id=search><p>How to search</p></section><div class='section social-history' id=social-history>Past</div>"
     kept = ["Related work", "Ours grew", "How to search", "Past"]
     for tag in ("article", "main"):
@@ -443,6 +507,111 @@ def test_html_keeps_content_with_names_of_furniture():
     assert texts("<div><a>Many links that say much more than the text</a></div><article class='post tag-social category-search'><p>Text</p></article>") == ["Text"]
 
 
+class Tree(HTMLParser):
+    """Well-formed markup as nested lists: tag, then texts and elements."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open = [["root"]]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.open[-1].append([tag])
+        self.open.append(self.open[-1][-1])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+
+def brute_pages(rows, least, share, many):
+    """Texts of pages made of div, ul, li and p: subtrees that recur on a host (lists and boxes: or a part of it) go."""
+    trees = [Tree(page).open[0] for _, _, page in rows]
+    site = [url.split("/")[2] for _, url, _ in rows]
+    part = [url.split("/")[3] if url.count("/") > 3 else "" for _, url, _ in rows]
+
+    def lines(tree, gone=lambda t: False):
+        out = []
+        for x in tree[1:]:
+            if isinstance(x, str):
+                out += [" ".join(x.split())] if x.strip() else []
+            elif not gone(x):
+                out += lines(x, gone)
+        return out
+
+    def inner(tree):
+        for x in tree[1:]:
+            if not isinstance(x, str):
+                yield x
+                yield from inner(x)
+
+    on, pages = defaultdict(set), defaultdict(set)
+    for t, s, q in zip(trees, site, part):
+        key = "\n".join(lines(t))
+        pages[s].add(key)
+        pages[s, q].add(key)
+        for x in inner(t):
+            on[s, repr(x)].add(key)
+            on[s, q, repr(x)].add(key)
+
+    def template(s, q):
+        def gone(x):
+            wide, n, own = x[0] in ("div", "ul"), len(on[s, repr(x)]), len(on[s, q, repr(x)])
+            if n >= least and (n >= share * len(pages[s]) or (wide and n >= many)):
+                return True
+            return wide and q != "" and own >= least and own >= share * len(pages[s, q])
+
+        return gone
+
+    return {i: "\n".join(lines(t, template(s, q))) for (i, _, _), t, s, q in zip(rows, trees, site, part)}
+
+
+@pytest.mark.parametrize("many", [12, 1000])
+def test_html_equals_brute_force_on_unmarked_sites(spark, many):
+    """Pages without article or main: what counting says is all that decides."""
+    rng = random.Random(11)
+    rows = []
+    for site, n in (("a.example", 60), ("b.example", 9), ("c.example", 3)):
+        boxes = [f"<div><p>{site} box {k}</p><ul><li>x{k}</li><li>y</li></ul></div>" for k in range(6)]
+        for i in range(n):
+            q = rng.choice(["", "news/", "old/"])
+            body = [f"<p>Own {site} {i}</p>", f"<div><p>Own box {i}</p></div>"]
+            body += [b for k, b in enumerate(boxes) if rng.random() < 0.7**k]
+            body += [f"<ul><li>Part {q}</li></ul>"] * (q != "") + ["<p>Said by some</p>"] * (rng.random() < 0.2) + [f"<div>Few {i % 7}</div>"]
+            rng.shuffle(body)
+            rows.append((len(rows), f"http://{site}/{q}{i}", f"<div>{''.join(body)}</div>"))
+    rows += [(len(rows) + k, *rows[k][1:]) for k in (0, 1, 1)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in templates.extract(table, share=0.2, many_pages=many).collect()}
+    want = brute_pages(rows, templates.LEAST_PAGES, 0.2, many)
+    assert got == want and any("box 0" not in t for t in want.values()) and any("box 0" in t for t in want.values())
+
+
+def test_html_counting_decides_over_names(spark):
+    """A box called furniture stays on a host whose pages differ in it, goes where it recurs, and goes by name on a small host."""
+    page = lambda host, i, more: (i, f"http://{host}.example/{i}", f"<body><div class=notice>{more}</div><p>Own {i}</p><div class=nav><a>To {i}</a></div></body>")
+    rows = [page("many", i, f"Differs {i}") for i in range(8)] + [page("same", 10 + i, "Same") for i in range(8)] + [page("few", 20 + i, f"Differs {i}") for i in range(2)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("cuts", "key", "trees", "text", "host", "part")})
+    out = templates.extract(table)
+    assert out.columns == ["page_id", "url", "text"]
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {i: f"Differs {i}\nOwn {i}" if i < 8 else f"Own {i}" for i, *_ in rows}
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<span>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, "<!" * 300_000, '<a "x>y" ' * 100_000, "<div>x" * 100_000])
+def test_html_of_hostile_pages_takes_linear_time(page):
+    start = time.time()
+    templates.main_blocks(page)
+    assert time.time() - start < 20
+
+
+def test_html_long_page(spark):
+    page = "<article>" + "".join(f"<p>Line {i}</p>" for i in range(100_000)) + "</article>"
+    table = spark.createDataFrame([(1, "http://x.example/1", page)], "page_id long, url string, html string")
+    assert templates.extract(table).first()["text"] == "\n".join(f"Line {i}" for i in range(100_000))
+
+
 def test_word_chunks_and_long_texts(spark):
     long = "word " * 400_000
     docs = spark.createDataFrame([(1, long, "a"), (2, long + "x", "a"), (3, None, None)], "doc_id long, text string, source string")
