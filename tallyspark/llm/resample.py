@@ -1,9 +1,10 @@
 """Quality by importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
 The target model counts the n-grams of documents labelled good, the raw model those of all documents. A document's
-log weight is the sum of the log ratios of its n-grams. With Gumbel noise added, the k greatest keys are a sample
-without replacement in proportion to the weights; k is the number of documents whose weight lies on the good side of
-the labelled ones.
+log weight is the mean log ratio of its n-grams times their number, of which LENGTH count at most: beyond that, a longer
+document weighs no more, and the noise has its say among documents of any length. With Gumbel noise added, the k
+greatest keys are a sample without replacement in proportion to the weights; k is a budget, or the number of documents
+whose weight lies on the good side of the labelled ones.
 
 N-grams are of two kinds: words, and word shapes (letter case, digits and the marks around them; a word equal to the
 one before has a shape of its own), each alone and with its successor.
@@ -25,6 +26,8 @@ from .common import CACHE_WORDS, batch_of, binaries, carried, chunks, stored
 BUCKETS = 10_000
 #: Labelled good documents that the target model is fit on at most.
 FIT_ROWS = 50_000
+#: N-grams that a document's weight counts at most.
+LENGTH = 100
 SEED = 7
 NO_NGRAMS = -1.0e9
 OWN = ("log_weight", "key")
@@ -124,19 +127,27 @@ def gumbel(*parts: Column, seed: int = SEED) -> Column:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", carry: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """Carried columns with log_weight and key (log weight and noise); a text without words weighs NO_NGRAMS."""
+    """Carried columns with log_weight and key (log weight and noise).
+
+    A null or empty text, or one without words, weighs NO_NGRAMS. Repeated rows each get their row and share their key;
+    an empty table gives none; an input column with an output's name gives way to it, all others stay.
+    """
     names, ddl = carried(docs, carry, OWN)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    rows = docs.select(*dict.fromkeys([*names, text])).withColumn("_noise", gumbel(F.col("doc_id"), F.col(text), seed=seed))
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS numbers
+    own = "noise"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.select(*dict.fromkeys([*names, text]), gumbel(F.col("doc_id"), F.col(text), seed=seed).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, codes = shared.value, _Codes()
         for whole in batches:
             for batch in chunks(whole, text):
                 bucket, of = ngram_buckets(binaries(batch.column(text)), codes)
-                weight = np.bincount(of, ratio[bucket], minlength=batch.num_rows)
-                weight = np.where(np.bincount(of, minlength=batch.num_rows) > 0, weight, NO_NGRAMS)
-                noise = batch.column("_noise").to_numpy(zero_copy_only=False)
+                n = np.bincount(of, minlength=batch.num_rows)
+                total = np.bincount(of, ratio[bucket], minlength=batch.num_rows)
+                weight = np.where(n > 0, total * np.minimum(n, LENGTH) / np.maximum(n, 1), NO_NGRAMS)
+                noise = batch.column(own).to_numpy(zero_copy_only=False)
                 yield batch_of(batch, names, log_weight=pa.array(weight), key=pa.array(weight + noise))
 
     return rows.mapInArrow(run, f"{ddl}log_weight double, key double")
@@ -187,28 +198,36 @@ def good_side(weighed: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> fl
     return float("-inf") if i == 0 else float("inf") if i == len(w) else float(w[i - 1] + w[i]) / 2
 
 
-def threshold(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> tuple[np.ndarray, DataFrame, float]:
-    """(log ratios, weighed documents, the key that a kept document must reach).
+def threshold(weighed: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, budget: int | None = None) -> float:
+    """The key that a kept document must reach.
 
-    k is the number of documents on the good side of the weight that splits the labelled ones best. Without labels
-    all are kept; rows whose keys tie with the k-th are kept, too, so repeated rows share their fate.
+    k is the budget; without one, the number of documents on the good side of the weight that splits the labelled ones
+    best, and without labels all. Rows whose keys tie with the k-th are kept, too, so repeated rows share their fate.
     """
-    ratios = log_ratios(docs, labels, text, rows)
-    weighed = stored(weigh(docs, ratios, text, ["doc_id"]), "weighed")
+    if budget is not None:
+        return kth_greatest(weighed, budget)
     cut = good_side(weighed, labels, rows)
-    if cut is None:
-        return ratios, weighed, float("-inf")
-    return ratios, weighed, kth_greatest(weighed, weighed.filter(F.col("log_weight") >= cut).count())
+    return float("-inf") if cut is None else kth_greatest(weighed, weighed.filter(F.col("log_weight") >= cut).count())
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, log_weight, key and kept for every row."""
-    _, weighed, least = threshold(docs, labels, text, rows)
-    return weighed.withColumn("kept", F.col("key") >= least)
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, budget: int | None = None) -> DataFrame:
+    """doc_id, log_weight, key and kept for every row.
 
+    Null, empty and wordless texts have the least weight; a null id is no one's label; repeated rows each get their
+    row; an empty table gives no row; columns but id and text are ignored.
+    """
+    ratios = log_ratios(docs, labels, text, rows)
+    weighed = stored(weigh(docs, ratios, text, ["doc_id"]), "weighed")
+    return weighed.withColumn("kept", F.col("key") >= threshold(weighed, labels, rows, budget))
+
+
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, budget: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that the sample keeps, with all their columns, whatever their names.
 
-def keep(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the sample keeps, with their own columns."""
-    ratios, _, least = threshold(docs, labels, text, rows)
+    Weighed rows are stored whole, so texts are hashed for the counts and once more for the weights. Odd rows are
+    treated as by ``resample``.
+    """
+    ratios = log_ratios(docs, labels, text, rows)
     whole = docs.select("doc_id", F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
-    return weigh(whole, ratios, "text", ["doc_id", "row"]).filter(F.col("key") >= least).select("row.*")
+    weighed = stored(weigh(whole, ratios, "text", ["doc_id", "row"]), "weighed-rows")
+    return weighed.filter(F.col("key") >= threshold(weighed, labels, rows, budget)).select("row.*")
