@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, batch_of, binaries, carried, chunks, words
+from .common import CACHE_WORDS, batch_of, binaries, carried, chunks, stored, words
 
 #: Labelled rows to fit on at most; the labels' ids are drawn in the order of their hash.
 FIT_ROWS = 8_000
@@ -61,24 +61,56 @@ class _Known(dict):
         return value
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Known(buckets)
-    for whole in batches:
-        for batch in chunks(whole, "text"):
-            keys, counts = [], []
-            for t in binaries(batch.column("text")):
-                w = words(t)
-                k, n = np.unique(np.fromiter((b for x in w for b in known[x]), np.uint32), return_counts=True)
-                keys.append(k.tobytes())
-                counts.append(n.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
-                names=["toxic", "keys", "counts"],
-            )
+def _features(only: frozenset[int] | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(buckets if only is None else lambda w: [b for b in buckets(w) if b in only])
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                keys, counts = [], []
+                for t in binaries(batch.column("text")):
+                    w = words(t)
+                    k, n = np.unique(np.fromiter((b for x in w for b in known[x]), np.uint32), return_counts=True)
+                    keys.append(k.tobytes())
+                    counts.append(n.astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("toxic"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["toxic", "keys", "counts"],
+                )
+
+    return run
+
+
+def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, toxic, clean): how many of a task's documents of either kind have a feature."""
+    have = np.zeros((2, BUCKETS), np.int32)
+    for batch in _features()(batches):
+        for kind, keys in zip(batch.column("toxic").to_pylist(), batch.column("keys").to_pylist()):
+            have[int(kind == 0)][np.frombuffer(keys, np.uint32)] += 1
+    any_ = np.flatnonzero(have.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(any_.astype(np.int32)), pa.array(have[0][any_].astype(np.int64)), pa.array(have[1][any_].astype(np.int64))], names=["bucket", "toxic", "clean"])
+
+
+def telling(few: DataFrame) -> frozenset[int]:
+    """The features (twice MOST_FEATURES at most) that tell toxic from clean documents best; counting is Spark's."""
+    total = {r["toxic"] > 0: r["n"] for r in few.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    a, b = float(total.get(True, 0)), float(total.get(False, 0))
+    if not a or not b:
+        return frozenset()
+    n = few.mapInArrow(_documents_with, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    both = F.col("t") + F.col("c")
+    part = lambda h, share: F.when(F.col(h) > 0, F.col(h) * F.log(F.col(h) / (both * share))).otherwise(0.0)
+    signal = 2 * (part("t", a / (a + b)) + part("c", b / (a + b)))
+    best = n.filter(both >= min(LEAST_DOCS, max(2, a / 4))).withColumn("signal", signal).filter(F.col("signal") >= 0.99 * LEAST_SIGNAL).orderBy(F.desc("signal"), "bucket").limit(2 * MOST_FEATURES)
+    return frozenset(r["bucket"] for r in best.select("bucket").collect())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """Features of at most ``rows`` labelled documents; a document with several labels counts as toxic if any says so."""
+    """(toxic, keys, counts) of at most ``rows`` labelled documents: those of their features that tell at all, so a row is
+    bounded whatever a text's length; a document with several labels counts as toxic if any says so.
+
+    Null ids and null labels are no labels; repeated rows of a labelled document each count; without labels or documents
+    there is no row.
+    """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
@@ -88,7 +120,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
     )
     # At most ``rows`` pairs of numbers are broadcast.
     few = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return few.select("toxic", "text").mapInArrow(_features, "toxic int, keys binary, counts binary")
+    few = stored(few.select("toxic", "text"), "labelled")
+    return few.mapInArrow(_features(telling(few)), "toxic int, keys binary, counts binary")
 
 
 def fit(rows: list, grades: int = GRADES, rounds: int = 600, rate: float = 0.1, ridge: float = 1e-5) -> Model:
@@ -143,8 +176,8 @@ def fit(rows: list, grades: int = GRADES, rounds: int = 600, rate: float = 0.1,
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """expected_severity (0 to 3), p_toxic = P(grade > 0), grade (the likeliest) and toxic (p_toxic at least a half).
 
-    A null or empty text has no features and gets the value of the thresholds alone. Repeated rows each get their
-    row; an input column with an output's name gives way to it.
+    A null or empty text has no features and gets the value of the thresholds alone; a text of any length is read whole.
+    Repeated rows each get their row, an empty table none; an input column with an output's name gives way to it.
     """
     names, ddl = carried(docs, carry, OWN)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights at most
@@ -177,5 +210,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
 
 
 def grade(docs: DataFrame, labels: DataFrame, text: str = "text", carry: list[str] | None = None, rows: int = FIT_ROWS) -> DataFrame:
-    """Fit on the labelled documents and score all."""
+    """Fit on the labelled documents and score all; odd rows are treated as by ``training_rows`` and ``score``."""
     return score(docs, fit(training_rows(docs, labels, text, rows).collect()), text, carry)
