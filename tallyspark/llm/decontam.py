@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_FORM, batch_of, binaries, carried, chunks, words
+from .common import WORD_FORM, batch_of, binaries, carried, chunks, stored, words
 
 WINDOW = 13
 SHARD_SYMBOLS = 1 << 20
 SHARD_BYTES = 32 << 20
 SAMPLE = 32
-#: Bytes of benchmark text that one pass searches for; a larger benchmark takes several passes over the same task.
-PASS_BYTES = 16 << 20
+#: Bytes of benchmark text that one pass searches for; a larger benchmark takes several passes, one after another.
+PASS_BYTES = 4 << 20
 OWN = ("n_words", "n_hit", "items", "spans")
 
 
@@ -34,17 +34,25 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(ids[i : i + window], set()).add(item)
-        self.keys = list(found)
-        self.items = [sorted(found[k]) for k in self.keys]
-        self.length = np.array([len(k) for k in self.keys], np.int64)
-        self.symbol = np.zeros((len(self.keys), int(self.length.max(initial=0))), np.int64)
-        for i, k in enumerate(self.keys):
-            self.symbol[i, : len(k)] = k
+        found = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)), np.int32) for _, text in items]
+        rows, of = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for i, ids in enumerate(found):
+            if len(ids) >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            elif len(ids):
+                rows.append(np.pad(ids, (0, window - len(ids)))[None])
+            of.append(np.full(len(rows[-1]) if len(ids) else 0, i, np.int64))
+        self.symbol, place = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.length = (self.symbol > 0).sum(1)
+        self.symbol = self.symbol.astype(np.int64)
+        # Window by window, the items that have it.
+        order = np.argsort(place.ravel(), kind="stable")
+        self.owners = np.concatenate(of)[order]
+        self.first = np.searchsorted(place.ravel()[order], np.arange(len(self.symbol) + 1))
+        self.names = [name for name, _ in items]
+
+    def items(self, window: int) -> set[str]:
+        return {self.names[i] for i in self.owners[self.first[window] : self.first[window + 1]].tolist()}
 
 
 class FMIndex:
@@ -128,7 +136,7 @@ def occurrences(symbols: list[np.ndarray], bench: Windows) -> tuple[np.ndarray,
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in symbols]))).astype(np.int64)
     text = np.concatenate([*symbols, np.zeros(1, np.int32)]) if symbols else np.zeros(1, np.int32)
     none = np.zeros(0, np.int64)
-    if not len(bench.keys):
+    if not len(bench.length):
         return none, none, offsets
     # Segments: maximal runs of known words within one document.
     known = text > 0
@@ -171,7 +179,7 @@ def _shard(batches: list[pa.RecordBatch], symbols: list[np.ndarray], text: str,
     doc = np.searchsorted(offsets, at, side="right") - 1
     items: dict[int, set[str]] = {}
     for d, w in {*zip(doc.tolist(), which.tolist())}:
-        items.setdefault(d, set()).update(bench.items[w])
+        items.setdefault(d, set()).update(bench.items(w))
     n = 0
     for batch in batches:
         texts, spans = batch.column(text), []
@@ -199,32 +207,46 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: list[
     """Per document: n_words, n_hit (words in occurrences), items (ids as sorted strings), spans (code points, merged).
 
     A null or empty text has no words, hits or items; a null item id counts as the empty string; repeated
-    documents each get their row, repeated items count once; an empty benchmark hits nothing. Of the columns,
-    ``carry`` (all by default) stay, save those that have an output's name.
+    documents each get their row, repeated items count once; an empty benchmark hits nothing, an empty table gives no
+    row; texts of any length are searched whole. Of the columns, ``carry`` (all by default) stay, save those that have an
+    output's name.
     """
     names, ddl = carried(docs, carry, OWN)
-    bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(item_text)).filter(F.col(item_text).isNotNull())
-    parts: list[list[tuple[str, bytes]]] = [[]]
-    room = PASS_BYTES
-    for k, t in bench.toLocalIterator():
-        if room < len(t) and parts[-1]:
-            parts.append([])
-            room = PASS_BYTES
-        parts[-1].append((k, t.encode()))
-        room -= len(t)
     spark = docs.sparkSession
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(item_text)).filter(F.col(item_text).isNotNull())
+    parts = _parts(rows.toLocalIterator())
+    part, after = next(parts, []), next(parts, None)
     out = docs.select(*dict.fromkeys([*names, text]))
-    if len(parts) == 1:
-        return _pass(out, spark.sparkContext.broadcast(Windows(parts[0], window)), text, names, ddl)
-    # Each pass adds its hits to those found so far; the passes run one after another inside a task.
-    keep, kept = carried(out, None, OWN)
-    for i, part in enumerate(parts):
-        found = _pass(out, spark.sparkContext.broadcast(Windows(part, window)), text, keep, kept)
-        if i:
-            found = found.withColumns({"items": F.array_union("_items", "items"), "spans": F.concat("_spans", "spans")})
-        out = found.withColumns({"_items": "items", "_spans": "spans"}).drop("items", "spans", "n_hit", "n_words") if i < len(parts) - 1 else found
-        keep, kept = carried(out, None, OWN)
-    return _merged(out, text, names)
+    if after is None:
+        return _pass(out, spark.sparkContext.broadcast(Windows(part, window)), text, names, ddl)
+    # A larger benchmark takes a pass over the documents for each part. Passes are stored and hold one part at a time, in
+    # the driver, too; each adds its hits to those found so far.
+    out = docs.select(F.struct(*names).alias("row") if names else F.lit(None).cast("int").alias("row"), F.col(text).alias("text"))
+    seen = None
+    while part is not None:
+        sent = spark.sparkContext.broadcast(Windows(part, window))
+        carry_on, kept = carried(out, None, OWN)
+        found = _pass(out, sent, "text", carry_on, kept)
+        if seen is not None:
+            found = found.withColumns({"items": F.array_union("items_so_far", "items"), "spans": F.concat("spans_so_far", "spans")})
+        seen = stored(found.select("row", "text", "n_words", "items", "spans"), "hits")
+        sent.destroy()
+        out = seen.select("row", "text", F.col("items").alias("items_so_far"), F.col("spans").alias("spans_so_far"))
+        part, after = after, next(parts, None)
+    done = _merged(seen, "text", ["row"])
+    return done.select(*(["row.*"] if names else []), *OWN)
+
+
+def _parts(items: Iterator[tuple[str, str]]) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in runs of about PASS_BYTES, one item at least; only one run is held."""
+    part, room = [], PASS_BYTES
+    for k, t in items:
+        if part and room < len(t):
+            yield part
+            part, room = [], PASS_BYTES
+        part.append((k, t.encode()))
+        room -= len(t)
+    yield part
 
 
 def _pass(docs: DataFrame, bench, text: str, names: list[str], ddl: str) -> DataFrame:
