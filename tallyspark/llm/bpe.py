@@ -287,8 +287,8 @@ def encode(docs: DataFrame, path: str, finish, ddl: str, own: tuple[str, ...], t
     """Carried columns of ``docs`` with what ``finish`` makes of every document's ids.
 
     ``finish`` takes an iterator over uint32 arrays, one for each document of a block, and returns Arrow arrays by
-    name. A null or empty text has no ids. Repeated rows each get their row. An input column that has an output's
-    name gives way to it. Splitting runs once for the words and once for the word numbers, which moves far less than
+    name. A null or empty text has no ids; a text of any length is encoded whole. Repeated rows each get their row, an
+    empty table none. An input column that has an output's name gives way to it. Splitting runs once for the words and once for the word numbers, which moves far less than
     keeping the texts; ``docs`` must give equal rows both times, as stored tables do, else the job fails.
     """
     names, kept = carried(docs, carry, own)
@@ -301,8 +301,13 @@ def encode(docs: DataFrame, path: str, finish, ddl: str, own: tuple[str, ...], t
     return whole.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_laid_out(names, finish), f"{kept}{ddl}")
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, **sizes: int) -> DataFrame:
-    """n_tokens, ids (array<int>) and the decoded text of every document."""
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, digest: bool = False, **sizes: int) -> DataFrame:
+    """n_tokens, ids (array<int>) and the decoded text of every document; with ``digest`` also ids_sha256 and
+    decoded_sha256. Odd rows are treated as by ``encode``."""
     made: list = []
 
     def finish(docs_ids):
@@ -311,13 +316,18 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[st
         for x in docs_ids:
             ids.append(x.astype(np.int32))
             decoded.append(join_pieces(x, table).decode("utf-8", "replace"))
-        return {
+        out = {
             "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
             "ids": pa.array(ids, pa.list_(pa.int32())),
             "decoded": pa.array(decoded, pa.string()),
         }
+        if digest:
+            out |= {"ids_sha256": pa.array([_sha(x.astype("<u4").tobytes()) for x in ids]), "decoded_sha256": pa.array([_sha(t.encode()) for t in decoded])}
+        return out
 
-    return encode(docs, path, finish, "n_tokens long, ids array<int>, decoded string", OWN, text, carry, **sizes)
+    more = ("ids_sha256", "decoded_sha256") * digest
+    ddl = "n_tokens long, ids array<int>, decoded string" + "".join(f", {c} string" for c in more)
+    return encode(docs, path, finish, ddl, OWN + more, text, carry, **sizes)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", **sizes: int) -> DataFrame:
@@ -329,8 +339,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", **sizes: int) -> Dat
         n, a, b = [], [], []
         for x in docs_ids:
             n.append(len(x))
-            a.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-            b.append(hashlib.sha256(join_pieces(x, table).decode("utf-8", "replace").encode()).hexdigest())
+            a.append(_sha(x.astype("<u4").tobytes()))
+            b.append(_sha(join_pieces(x, table).decode("utf-8", "replace").encode()))
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
 
     own = ("n_tokens", "ids_sha256", "decoded_sha256")

@@ -6,7 +6,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -18,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import own_folder, remove, shared_dir, stored  # noqa: F401
+
 WORD_FORM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CHUNK_BYTES = 2 << 20
 CACHE_WORDS = 250_000
@@ -82,18 +83,6 @@ def carried(df: DataFrame, carry: list[str] | None, own: tuple[str, ...]) -> tup
     return names, "".join(f"`{c}` {kinds[c]}, " for c in names)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session that names none gets one of our own."""
-    context = spark.sparkContext
-    given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not given:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-        context.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
 _shipped: set[str] = set()
 
 
@@ -114,32 +103,6 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver's JVM ends, or by ``remove``."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    where, files = _file(spark, path)
-    files.deleteOnExit(where)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of ``own_folder``, once nothing is read from it any more."""
-    where, files = _file(spark, path)
-    files.delete(where, True)
-
-
-def _file(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
-    path = path or own_folder(df.sparkSession, f"tables/{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id in ``edges`` (a, b): comp is the least id of its connected component.
 

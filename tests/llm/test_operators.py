@@ -629,3 +629,205 @@ def test_secret_scan_of_a_text_full_of_secrets():
     assert len(base) == 20_000
     kinds = Counter(k for k, _, _ in secret_spans.linked_spans(text, base))
     assert kinds == {"ident": 20_000, "endpoint": 20_000, "weak": 20_000}
+
+
+# What the methods compute, against plain versions of them.
+def test_toxicity_scores_equal_brute_force(spark, docs, rows):
+    labels = spark.createDataFrame([(r[0], 1, int("w1" in (r[1] or "").split())) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int").distinct()
+    model = toxicity.fit(toxicity.training_rows(docs, labels).collect())
+    assert len(model.weights) and (np.diff(model.thresholds) > 0).all()
+    got = Counter((r["doc_id"], round(r["expected_severity"], 9), round(r["p_toxic"], 9), r["grade"], r["toxic"]) for r in toxicity.score(docs, model, carry=["doc_id"]).collect())
+    want = Counter()
+    for r in rows:
+        n = Counter(b for w in WORD.findall(lowered(r[1])) for b in toxicity.buckets(w.encode()) if b in model.features)
+        x = sum(np.log1p(k) * model.weights[model.features[b]] for b, k in n.items())
+        above = [1 / (1 + np.exp(t - x)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        want[(r[0], round(sum(above), 9), round(above[0], 9), int(np.argmax(each)), above[0] >= 0.5)] += 1
+    assert got == want
+
+
+def test_toxicity_fit_is_at_a_minimum():
+    """The weights that one gradient step after another finds, against small changes of each."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        keys = np.unique(rng.integers(0, 40, 12)).astype(np.uint32)
+        toxic = int((keys < 6).sum() + rng.normal() * 0.7 > 2)
+        rows.append({"toxic": toxic, "keys": keys.tobytes(), "counts": np.ones(len(keys), np.uint32).tobytes()})
+    model = toxicity.fit(rows, ridge=1e-2, rounds=3000, rate=0.02)
+    toxic = np.array([r["toxic"] for r in sorted(rows, key=lambda r: (r["toxic"], r["keys"], r["counts"]))], bool)
+    lists = [np.frombuffer(r["keys"], np.uint32) for r in sorted(rows, key=lambda r: (r["toxic"], r["keys"], r["counts"]))]
+    used = sorted(model.features, key=model.features.get)
+    x = np.array([[np.log(2) * (f in set(k.tolist())) for f in used] for k in lists])
+    have = {f: [sum(f in k for k, t in zip(lists, toxic) if t == side) for side in (True, False)] for f in range(40)}
+    odds = {f: np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1)) for f, (a, b) in have.items()}
+    load = np.array([sum(np.log(2) * (odds[f] > 1) for f in k.tolist() if f in model.features) for k in lists])
+    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(load[toxic], [1 / 3, 2 / 3]), load), 0)
+
+    def loss(w, t):
+        z = (x @ w)[:, None] - t
+        above = grade[:, None] > np.arange(3)
+        return np.log1p(np.exp(np.where(above, -z, z))).sum(1).mean() + 5e-3 * (w**2).sum()
+
+    best = loss(model.weights, model.thresholds)
+    for i in range(len(model.weights)):
+        for d in (-0.05, 0.05):
+            w = model.weights.copy()
+            w[i] += d
+            assert loss(w, model.thresholds) > best - 1e-5
+    for d in (-0.05, 0.05):
+        assert loss(model.weights, model.thresholds + d) > best - 1e-5
+
+
+def brute_buckets(text):
+    """The buckets of a text's n-grams, one by one."""
+    import xxhash
+
+    def spread(x, salt):
+        m = (1 << 64) - 1
+        x = ((x + salt) * 0x9E3779B97F4A7C15) & m
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & m
+        return (x ^ (x >> 32)) % resample.BUCKETS
+
+    words = (text or "").encode().split()
+    word = [xxhash.xxh32_intdigest(w) for w in words]
+    form = [12345 if i and word[i] == word[i - 1] else xxhash.xxh32_intdigest(resample.shape(w), 1) for i, w in enumerate(words)]
+    out = []
+    for values, salt in ((word, 1), (form, 2)):
+        out += [spread(v, salt) for v in values]
+        out += [spread((a * 31 + b * 0x85EBCA6B) & ((1 << 64) - 1), salt + 10) for a, b in zip(values, values[1:])]
+    return out
+
+
+@pytest.mark.parametrize("budget", [None, 17])
+def test_resampling_equals_brute_force(spark, docs, rows, budget):
+    good = {r[0] for r in rows if r[0] is not None and r[0] % 3 == 0}
+    marks = {r[0]: int(r[0] in good) for r in rows if r[0] is not None and r[0] % 2 == 0}
+    labels = spark.createDataFrame([(d, q, 0) for d, q in marks.items()], "doc_id long, quality int, toxic int")
+    lists = [brute_buckets(r[1]) for r in rows]
+    raw, target = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
+    for r, b in zip(rows, lists):
+        for x in b:
+            raw[x] += 1
+            target[x] += marks.get(r[0], 0)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(resample.log_ratios(docs, labels), ratio)
+    weight = [sum(ratio[x] for x in b) * min(len(b), resample.LENGTH) / len(b) if b else resample.NO_NGRAMS for b in lists]
+    noise = {(r["doc_id"], r["text"]): r["g"] for r in docs.select("doc_id", "text", resample.gumbel(F.col("doc_id"), F.col("text")).alias("g")).collect()}
+    key = [w + noise[r[0], r[1]] for w, r in zip(weight, rows)]
+    k = budget
+    if k is None:
+        known = {}
+        for r, w in zip(rows, weight):
+            if r[0] in marks:
+                known[r[0]] = min(w, known.get(r[0], w))
+        order = sorted(known, key=lambda d: known[d])
+        wrong = [sum(marks[d] for d in order[:i]) + sum(not marks[d] for d in order[i:]) for i in range(len(order) + 1)]
+        i = int(np.argmin(wrong))
+        cut = -np.inf if i == 0 else np.inf if i == len(order) else (known[order[i - 1]] + known[order[i]]) / 2
+        k = sum(w >= cut for w in weight)
+    least = sorted(key, reverse=True)[k - 1]
+    want = Counter((r[0], round(w, 6), round(x, 6), x >= least - 1e-9) for r, w, x in zip(rows, weight, key))
+    got = Counter((r["doc_id"], round(r["log_weight"], 6), round(r["key"], 6), r["kept"]) for r in resample.resample(docs, labels, budget=budget).collect())
+    assert got == want and len({w[3] for w in want}) == 2
+
+
+def test_resampling_draws_in_proportion(spark):
+    """Over many seeds a text is drawn first as often as its weight says."""
+    weights = np.log([4.0, 2.0, 1.0, 1.0])
+    table = spark.range(4000).select((F.col("id") % 4).alias("doc"), F.floor(F.col("id") / 4).alias("run"))
+    w = F.element_at(F.array(*map(F.lit, weights.tolist())), (F.col("doc") + 1).cast("int"))
+    first = table.withColumn("key", w + resample.gumbel(F.col("doc"), F.col("run"))).groupBy("run").agg(F.max_by("doc", "key").alias("doc"))
+    share = {r["doc"]: r["count"] / 1000 for r in first.groupBy("doc").count().collect()}
+    assert all(abs(share[i] - p) < 0.05 for i, p in enumerate([0.5, 0.25, 0.125, 0.125]))
+
+
+def brute_links(text):
+    """Weak parts with complementary ones in their paragraph, pair by pair."""
+    base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_secrets(text))]
+    meets = lambda a, b, some: any(a < y and x < b for _, x, y in some)
+    name = r"""(?:client_?id|user(?:name)?|login|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
+    ident = [("ident", *m.span()) for m in re.finditer(name, text, re.I | re.A) if not meets(*m.span(), base)]
+    ends = [("endpoint", *m.span()) for m in re.finditer(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]{4,}", text) if not meets(*m.span(), base)]
+    weak = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        s = m[0]
+        bits = -sum(n / len(s) * np.log2(n / len(s)) for n in Counter(s).values())
+        kinds = sum(any(f(c) for c in s) for f in (str.islower, str.isupper, str.isdigit))
+        if len(s) >= 16 and kinds >= 2 and any(map(str.isdigit, s)) and bits >= 3 and not meets(*m.span(), base + ident + ends):
+            weak.append(("weak", *m.span()))
+    breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
+    scope = lambda p: sum(b <= p[1] for b in breaks)
+    beside = lambda p, some: any(scope(p) == scope(q) and (q[2] <= p[1] or q[1] >= p[2]) for q in some)
+    weak = [p for p in weak if beside(p, ident + ends + [s for s in base if s[0] == "access"])]
+    secret = weak + [s for s in base if s[0] != "access"]
+    return sorted(weak + [p for p in ident + ends if beside(p, secret)])
+
+
+def test_secret_links_equal_brute_force():
+    rng = random.Random(8)
+    runs = ["Zx81kQ99aa7LmN20pQ", "aaaaaaaaaaaaaaaaaaaa1", "Ab3" * 60, "nodigitsinthisrunatall", "0123456789abcdef0123456789", "q7Q" + "".join(rng.choice("abcXYZ0189+/_-") for _ in range(140))]
+    parts = ["user: bob", "client_id=abc-1", "login : x", "https://db.example.net/x", "s3://b", "AKIA" + "Q7" * 9, "password = hunter22", "token: short", "and so on", "words here", "\n", "\n\n", "\n \n", *runs]
+    some = 0
+    for _ in range(600):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ", ", "\n"]) for _ in range(rng.randrange(1, 14)))
+        got = sorted(secret_spans.linked_spans(text, secret_spans.base_spans(text)))
+        assert got == brute_links(text), text
+        some += bool(got)
+    assert some > 150
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "!?" * 500_000, "<|endoftext|>" * 20_000, "ab " * 300_000])
+def test_lengths_and_ids_of_very_long_texts(spark, text):
+    table = spark.createDataFrame([(1, text), (2, text + "x")], "doc_id long, text string")
+    want = {d: len(bpe.library(PATH).encode(t, add_special_tokens=False).ids) for d, t in ((1, text), (2, text + "x"))}
+    hist = {r["n_tokens"]: r["n_docs"] for r in lengths.histogram(table, PATH).collect()}
+    assert hist == Counter(want.values())
+    out = {r["doc_id"]: r for r in bpe.encode_decode(table, PATH, digest=True).collect()}
+    assert all(out[d]["n_tokens"] == n == len(out[d]["ids"]) for d, n in want.items()) and out[1]["decoded"] == text
+    plain = {r["doc_id"]: tuple(r) for r in bpe.digests(table, PATH).collect()}
+    assert all(plain[d] == (d, out[d]["n_tokens"], out[d]["ids_sha256"], out[d]["decoded_sha256"]) for d in want)
+
+
+CLASHING = ("toxic", "grade", "keys", "digest", "bands", "sketch", "items", "spans", "items_so_far", "noise", "_noise", "key", "log_weight", "secrets", "redacted", "cuts", "trees", "n_words", "lines", "block", "part", "at", "body", "ids", "formatted", "source", "turns", "loss")
+
+
+def test_operators_take_columns_with_any_name(spark, docs, rows, monkeypatch):
+    wide = docs.select("doc_id", "text", "source", *(F.lit(c).alias(c) for c in CLASHING if c != "source"))
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(40)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    bench = spark.createDataFrame(benchmark_rows(rows), "item_id long, text string")
+    kept = lambda out, own: all(r[c] == c for r in out.collect() for c in CLASHING if c not in own and c in out.columns) and set(wide.columns) <= set(out.columns)
+    assert kept(toxicity.grade(wide, labels), (*toxicity.OWN, "source"))
+    assert kept(resample.weigh(wide, np.zeros(resample.BUCKETS)), (*resample.OWN, "source"))
+    assert kept(resample.keep(wide, labels), ("source",))
+    assert kept(secret_spans.scan(wide), ("secrets", "source")) and kept(secret_spans.redact(wide), ("source",))
+    assert kept(bpe.encode_decode(wide, PATH), (*bpe.OWN, "source"))
+    for room in (1 << 20, 40):
+        monkeypatch.setattr(decontam, "PASS_BYTES", room)
+        out = decontam.find(wide, bench)
+        assert kept(out, (*decontam.OWN, "source")) and out.count() == len(rows)
+    assert rules.judge(wide).count() == lengths.histogram(wide, PATH).agg(F.sum("n_docs")).first()[0] == len(rows)
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "x" * 2_000_000)], "conv_id long, turn long, role string, text string").select("*", *(F.lit(c).alias(c) for c in CLASHING))
+    assert chat.digests(chat.render(talk)).first()["loss_chars"] == 2_000_000
+
+
+def test_texts_of_megabytes(spark):
+    long = "user: bob " + "plain words of no note " * 200_000 + "Zx81kQ99aa7LmN20pQ"
+    table = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: len(r["secrets"]) for r in secret_spans.scan(table).collect()} == {1: 2, 2: 0}
+    assert toxicity.grade(table, labels).count() == resample.resample(table, labels).count() == 2
+
+
+def test_join_finds_nearly_all_of_random_pairs(spark):
+    """Pairs of known similarity at and above the bound."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        w = [f"x{rng.randrange(100_000)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: rng.randrange(163, 200)]))]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i in range(120) if 10 * len(shingles(rows[2 * i][1]) & shingles(rows[2 * i + 1][1])) >= 8 * len(shingles(rows[2 * i][1]) | shingles(rows[2 * i + 1][1]))]
+    assert len(near) > 90 and sum(got[2 * i + 1] == 2 * i for i in near) == len(near)
+    assert all(got[2 * i + 1] == 2 * i + 1 for i in range(120) if i not in near)

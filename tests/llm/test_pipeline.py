@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tallyspark.llm import queries
+from tallyspark.llm import bpe, queries
 from test_operators import brute_classes, brute_decontam, brute_secrets
 
 
@@ -59,12 +59,18 @@ def test_secrets_are_masked(staged):
 
 
 def test_last_stage_encodes_all(staged):
-    assert staged[5].count() == staged[4].count()
+    library = bpe.library(queries.vocabulary())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids"], r["decoded"]) for r in staged[5].collect()}
+    want = {}
+    for r in staged[4].collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), ids, library.decode(ids, skip_special_tokens=False))
+    assert got == want
 
 
 def test_run_gives_the_same(spark, sf, staged):
-    got = {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got == {tuple(r) for r in staged[5].collect()}
+    flat = lambda rows: {(*r[:2], tuple(r["ids"]), *r[3:]) for r in rows}
+    assert flat(corpus_pipeline.run(spark, sf).collect()) == flat(staged[5].collect())
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -87,8 +93,9 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, sf):
 
     rows = corpus()
     rows += [rows[1], (None, None, None, None, None, None, None, None), (None, "some words", None, None, None, None, None, None)]
+    rows += [(900, "word and more " * 200_000, "en", "s0", None, "mine", "mine", "mine")]
     docs = spark.createDataFrame(rows, DOCS)
-    for name in ("secrets", "redacted", "items", "spans", "digest", "log_weight", "id", "text_hash", "_noise", "class_id"):
+    for name in ("secrets", "redacted", "items", "spans", "digest", "log_weight", "id", "_id", "_hash", "_n", "text_hash", "_noise", "noise", "class_id", "best", "words", "items_so_far"):
         docs = docs.withColumn(name, F.lit(name))
     for stage_name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
