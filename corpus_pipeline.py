@@ -2,75 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, jaccard, resample, secret_spans
-from tallyspark.llm.common import shared_dir, ship
+from tallyspark.llm.common import ship
 from tallyspark.llm.queries import vocabulary
+from tallyspark.sources.shared import own_folder
 
 
 def _shipped(stage):
     @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-@_shipped
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample of good text leaves out go."""
-    return resample.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-@_shipped
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return jaccard.keep_one(docs)
-
-
-@_shipped
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule names go."""
-    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
-    found = decontam.find(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
-    return found.filter(~decontam.contaminated()).select("row.*")
-
-
-@_shipped
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with its secrets masked."""
-    return secret_spans.redact(docs)
-
-
-@_shipped
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text, as counts and digests."""
-    return bpe.digests(docs.select("doc_id", "text"), vocabulary())
-
-
-STAGES = [
-    ("quality classifier", quality),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("secret scans", secrets),
-    ("BPE encoding and decoding", encoding),
-]
-
-#: Models and tokenizers aren't expressible in SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps lies in the shared folder until the next has read it."""
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a stage keeps lies in a folder of its own in the shared one, which goes when the
+    driver ends; the last one's rows are the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
-        docs = spark.read.parquet(f"{at}/{i}")
+    for name, stage in STAGES:
+        at = own_folder(spark, f"pipeline/{name.split()[0].lower()}")
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
     return docs
