@@ -9,14 +9,20 @@ partitioning, and a lost task makes the same ones again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import dominant_category, first_seen, popularity, train
+from ..sources.shared import stored
+from .catalog import brand_map, dominant_category, first_seen, popularity, train
 
 TINY = 1e-6
 NO_CATEGORY = "Unknown"
+#: Times the wanted number of negatives that are drawn for an event that a first round leaves short.
 ROUNDS = 6
+#: What the first round draws beyond the wanted number.
+SPARE = 3
 _MONTH_US = 30 * 86_400_000_000
 
 
@@ -69,35 +75,46 @@ def drawn(points: DataFrame, laid: DataFrame, key: str | None = None) -> DataFra
     return points.withColumn("_cell", cell(F.col("at"))).join(cells, [*keys, "_cell"]).filter((F.col("low") <= F.col("at")) & (F.col("at") < F.col("high"))).drop("_cell", "_width", "low", "high")
 
 
-def choice_sets(events: DataFrame, negatives: int = 9, seed: int = 42, resamples: int = 1) -> DataFrame:
+def choice_sets(events: DataFrame, negatives: int = 9, seed: int = 42, resamples: int = 1, distinct: bool = True) -> DataFrame:
     """(event_key, resample_k, chosen_asin, chosen_idx, choice_asins, dedup_fallback) of every event.
 
     Half of the negatives, rounded down, come from the event's category, the rest from the whole pool; a point that
-    falls on the chosen item or one already taken makes room for the next draw, up to ROUNDS times as many. Events
-    whose pool has too few items repeat theirs, flagged; those without a pool repeat the chosen one.
+    falls on the chosen item or, where items are to be ``distinct``, on one already taken makes room for the next draw.
+    A first round draws a few more than are wanted; only events it leaves short draw again, ROUNDS times as many.
+    Events whose pool has too few items repeat theirs, flagged; those without a pool repeat the chosen one.
     """
+    same = negatives // 2
+    keys = ["event_key", "resample_k"]
     base = events.select(
         F.concat_ws("|", "customer_id", "seq").alias("event_key"), "us", F.col("asin").alias("chosen_asin"), "category", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample_k")
     )
-    items = catalogue(events)
-    same = negatives // 2
-    whole = pools(base, line(items)).filter("pool > 0")
-    points = whole.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(negatives * ROUNDS - 1))))
-    points = points.withColumn("at", uniform(F.lit(seed), F.lit("all"), "event_key", "resample_k", "d") * F.col("pool"))
-    rest = drawn(points.select("event_key", "resample_k", "d", "at"), line(items)).withColumn("kind", F.lit(1))
-    known = base.filter(F.col("category") != NO_CATEGORY)
-    own_line = line(items.filter(F.col("category") != NO_CATEGORY), "category")
-    own = pools(known, own_line, "category").filter("pool > 0")
-    own = own.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max(same, 1) * 2 - 1))))
-    own = own.withColumn("at", uniform(F.lit(seed), F.lit("own"), "event_key", "resample_k", "d") * F.col("pool"))
-    near = drawn(own.select("event_key", "resample_k", "category", "d", "at"), own_line, "category").drop("category").withColumn("kind", F.lit(0))
-    # Of the category's draws the first ``same`` distinct ones count; then the pool's follow in order.
-    both = near.unionByName(rest).join(base.select("event_key", "resample_k", "chosen_asin"), ["event_key", "resample_k"]).filter("asin <> chosen_asin")
-    first = both.groupBy("event_key", "resample_k", "asin").agg(F.min(F.struct("kind", "d")).alias("first"))
-    taken = first.groupBy("event_key", "resample_k").agg(F.array_sort(F.collect_list(F.struct("first", "asin"))).alias("all"))
-    own_part = F.slice(F.filter("all", lambda x: x["first"]["kind"] == 0), 1, same)
-    picked = F.slice(F.concat(own_part, F.filter("all", lambda x: x["first"]["kind"] == 1), F.slice(F.filter("all", lambda x: x["first"]["kind"] == 0), same + 1, 1 << 20)), 1, negatives)
-    sets = base.join(taken.select("event_key", "resample_k", F.transform(picked, lambda x: x["asin"]).alias("n")), ["event_key", "resample_k"], "left")
+    items = stored(catalogue(events), "catalogue")
+    whole_line = stored(line(items), "line")
+    own_line = stored(line(items.filter(F.col("category") != NO_CATEGORY), "category"), "own-line")
+    placed = pools(base, whole_line).withColumnRenamed("pool", "whole_pool")
+    placed = stored(pools(placed, own_line, "category").withColumnRenamed("pool", "own_pool"), "placed")
+
+    def picked(of: DataFrame, draws: int) -> DataFrame:
+        """Negatives of some events: the category's first ones, then the pool's in order, then more of the category's."""
+        each = lambda pool, n, tag: of.filter(F.col(pool) > 0).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", uniform(F.lit(seed), F.lit(tag), "event_key", "resample_k", "d") * F.col(pool))
+        kept = [*keys, "chosen_asin", "d", "at"]
+        rest = drawn(each("whole_pool", draws, "all").select(*kept), whole_line).withColumn("kind", F.lit(1))
+        near = drawn(each("own_pool", max(same, 1) * 2, "own").select("category", *kept), own_line, "category").drop("category").withColumn("kind", F.lit(0))
+        both = near.unionByName(rest).filter("asin <> chosen_asin")
+        all_ = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "d", "asin"))).alias("all"))
+        of_kind = lambda k: F.transform(F.filter("all", lambda x: x["kind"] == k), lambda x: x["asin"])
+        own, far = of_kind(0), of_kind(1)
+        if distinct:
+            own, far = F.array_distinct(own), F.array_except(far, own)
+        lists = all_.select(*keys, own.alias("own"), far.alias("far"))
+        n = F.slice(F.concat(F.slice("own", 1, same), "far", F.slice("own", same + 1, 1 << 20)), 1, negatives)
+        return lists.select(*keys, n.alias("n"), (F.least(F.size("own"), F.lit(same)) + F.size("far")).alias("ready"))
+
+    first = stored(placed.join(picked(placed, negatives + SPARE), keys, "left"), "first-draws")
+    full = F.coalesce(F.col("ready") >= negatives, F.lit(False))
+    short = first.filter(~full & (F.col("whole_pool") > 0)).drop("n", "ready")
+    done = first.filter(full | (F.col("whole_pool") <= 0)).drop("ready")
+    sets = done.unionByName(short.join(picked(short, negatives * ROUNDS).drop("ready"), keys, "left"))
     found = F.coalesce("n", F.expr("cast(array() as array<string>)"))
     filled = F.when(F.size(found) == 0, F.array_repeat("chosen_asin", negatives)).otherwise(F.slice(F.flatten(F.array_repeat(found, negatives)), 1, negatives))
     alts = F.concat(F.array("chosen_asin"), filled)
@@ -114,15 +131,82 @@ def uncovered(events: DataFrame, persons: DataFrame) -> DataFrame:
     return events.select("customer_id").distinct().join(persons.select("customer_id"), "customer_id", "left_anti")
 
 
-def records(sets: DataFrame, events: DataFrame) -> DataFrame:
+def alternative(title: Column, category: Column, price: Column, rank: Column, brand: Column, repeat: Column, state: Column) -> Column:
+    """What a generator or ranker sees of an alternative; what is missing has a value that says so."""
+    plain = F.nullif(F.trim(brand), F.lit(""))
+    return F.struct(
+        F.coalesce(title, F.lit("")).alias("title"), F.coalesce(category, F.lit("")).alias("category"), F.coalesce(price, F.lit(0.0)).alias("price"), rank.alias("popularity_rank"),
+        F.coalesce(plain, F.lit("unknown_brand")).alias("brand"), F.coalesce(repeat, F.lit(False)).alias("is_repeat"), F.coalesce(state, F.lit("")).alias("state"),
+    )
+
+
+def score_rank(popularity_: Column) -> Column:
+    """The rank of a popularity where no bands are fitted."""
+    return F.concat(F.lit("popularity score "), F.coalesce(popularity_, F.lit(0)).cast("string"))
+
+
+def records(sets: DataFrame, events: DataFrame, rank: Callable[[Column], Column] = score_rank) -> DataFrame:
     """Sets as rows of alternatives with rendered fields: the chosen one from its own event, others from their item's
-    first training row; what only an event knows stays empty for those."""
+    first training row; what only an event knows stays empty for those. ``rank`` turns a popularity into words."""
     first = train(events).groupBy("asin").agg(F.min_by(F.struct("title", "category", "price"), F.struct("us", "seq")).alias("item"))
-    own = events.select(F.concat_ws("|", "customer_id", "seq").alias("event_key"), F.struct("title", "category", "price", "state").alias("own"))
-    rows = sets.select("event_key", "resample_k", "chosen_idx", F.posexplode("choice_asins").alias("alt_idx", "asin")).join(first, "asin", "left").join(own, "event_key")
+    known = first.join(brand_map(events), "asin", "left").join(popularity(events), "asin", "left")
+    own = events.select(F.concat_ws("|", "customer_id", "seq").alias("event_key"), F.struct("title", "category", "price", "state").alias("own"), *(["routine"] if "routine" in events.columns else [F.lit(0).alias("routine")]))
+    rows = sets.select("event_key", "resample_k", "chosen_idx", F.posexplode("choice_asins").alias("alt_idx", "asin")).join(known, "asin", "left").join(own, "event_key")
     mine = F.col("alt_idx") == F.col("chosen_idx")
     pick = lambda f: F.when(mine, F.col(f"own.{f}")).otherwise(F.col(f"item.{f}"))
+    text = alternative(pick("title"), F.coalesce(pick("category"), F.lit(NO_CATEGORY)), pick("price"), rank(F.col("popularity")), F.col("brand"), mine & (F.col("routine") > 0), F.when(mine, F.col("own.state")))
+    return rows.withColumn("alt_text", text).select("event_key", "resample_k", "alt_idx", "asin", mine.alias("chosen"), "alt_text.*")
+
+
+def choice_records(sets: DataFrame, events: DataFrame, persons: DataFrame, context: Column, rank: Callable[[Column], Column] = score_rank) -> DataFrame:
+    """One row a set, with all that models, generators and rankers take: chosen_features, metadata, z_d, c_d, alt_texts.
+
+    ``events`` have a split, state features and ``recent`` titles; ``persons`` have customer_id, z and the columns that
+    ``context``, an expression over a person and the event's ``recent``, needs. A customer without a person row raises
+    when read.
+    """
+    keys = ["event_key", "resample_k"]
+    text = F.struct("title", "category", "price", "popularity_rank", "brand", "is_repeat", "state")
+    in_order = F.array_sort(F.collect_list(F.struct("alt_idx", text.alias("t"))))
+    texts = records(sets, events, rank).groupBy(*keys).agg(F.transform(in_order, lambda x: x["t"]).alias("alt_texts"))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    own = events.join(popularity(events), "asin", "left").join(brand_map(events), "asin", "left").select(
+        F.concat_ws("|", "customer_id", "seq").alias("event_key"), "customer_id", "us", "category", "recent",
+        F.struct(*map(number, ("routine", "recency_days", "novelty", "cat_affinity", "popularity", "price")), F.coalesce("brand", F.lit("")).alias("brand")).alias("chosen_features"),
+        F.struct((F.col("routine") > 0).alias("is_repeat"), F.col("price").cast("double").alias("price"), F.col("routine").cast("int").alias("routine")).alias("facts"),
+    )
+    people = persons.withColumn("_known", F.lit(True))
+    rows = sets.join(texts, keys).join(own, "event_key").join(people, "customer_id", "left")
+    checked = F.when(F.col("_known"), context).otherwise(F.raise_error(F.concat(F.lit("no person row for customer "), F.col("customer_id"))).cast("string"))
     return rows.select(
-        "event_key", "resample_k", "alt_idx", "asin", mine.alias("chosen"), F.coalesce(pick("title"), F.lit("")).alias("title"), F.coalesce(pick("category"), F.lit(NO_CATEGORY)).alias("category"),
-        F.coalesce(pick("price"), F.lit(0.0)).alias("price"), F.when(mine, F.col("own.state")).otherwise("").alias("state"),
+        *keys, "customer_id", "us", "category", "chosen_asin", "choice_asins", "chosen_idx", "chosen_features",
+        F.struct("facts.*", "dedup_fallback").alias("metadata"), F.col("z").alias("z_d"), checked.alias("c_d"), "alt_texts",
     )
+
+
+def with_persons(events: DataFrame, persons: DataFrame) -> DataFrame:
+    """Rows of customers that have a person row: before translation against the survey, after it against those whom no
+    field dropped."""
+    return events.join(persons.select("customer_id"), "customer_id", "left_semi")
+
+
+def with_weights(events: DataFrame, weights: DataFrame) -> DataFrame:
+    """Events with omega, their customer's importance weight, 1 where there is none."""
+    return events.join(weights.select("customer_id", F.col("weight").alias("omega")), "customer_id", "left").withColumn("omega", F.coalesce("omega", F.lit(1.0)))
+
+
+def selected_or_untrained(events: DataFrame, selected: DataFrame) -> DataFrame:
+    """Rows of selected customers and of those who have no training row."""
+    every = events.groupBy("customer_id").agg(F.max((F.col("split") == "train").cast("int")).alias("trained")).filter("trained = 0").select("customer_id")
+    return events.join(selected.select("customer_id").union(every), "customer_id", "left_semi")
+
+
+def subset(alternatives: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Alternatives of the wanted events (event_id)."""
+    return alternatives.join(wanted.select("event_id"), "event_id", "left_semi")
+
+
+def sidecar(events: DataFrame) -> DataFrame:
+    """Each customer's test rows with event_idx, their place in time, so that runs can be paired."""
+    place = F.row_number().over(Window.partitionBy("customer_id").orderBy("us", "seq")) - 1
+    return events.filter("split = 'test'").withColumn("event_idx", place.cast("long"))

@@ -59,16 +59,19 @@ def recent_titles(events: DataFrame, days: int = 30, most: int = 5, title: str =
     return events.withColumn("recent", F.transform(F.slice(seen, F.greatest(F.size(seen) - most + 1, F.lit(1)), most), lambda x: x["title"]))
 
 
-def latest_before(timeline: DataFrame, probes: DataFrame, most: int, key: str = "customer_id") -> DataFrame:
-    """As-of join: for each probe (key, probe_us) the ``most`` latest timeline rows strictly before it.
+def latest_before(timeline: DataFrame, probes: DataFrame, most: int, key: str = "customer_id", columns: tuple[str, ...] = ("us", "seq", "asin")) -> DataFrame:
+    """As-of join: for each probe (key, probe_us, probe_id) the ``most`` latest timeline rows strictly before it.
 
-    Both sides are laid on one time line of their key, so there is no range join: rows of the probe's key that come
-    first are collected in a window that ends before the probe's time.
+    Timeline rows are numbered along their key. Laid on one time line with them, a probe only counts how many come
+    first, and fetches the last of these by their numbers: an equi-join of ``most`` rows a probe, however long the past.
     """
-    rows = timeline.select(key, F.col("us").alias("at"), F.struct("us", "seq", "asin").alias("row"), F.lit(None).cast("long").alias("probe"))
-    asks = probes.select(key, F.col("probe_us").alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("probe_id").alias("probe"))
+    order = Window.partitionBy(key).orderBy("us", "seq")
+    rows = timeline.select(key, F.row_number().over(order).cast("long").alias("number"), F.struct(*columns).alias("row"))
+    marks = timeline.select(key, F.col("us").alias("at"), F.lit(None).cast(dict(probes.dtypes)["probe_id"]).alias("probe"), F.lit(1).alias("past"))
+    asks = probes.select(key, F.col("probe_us").alias("at"), F.col("probe_id").alias("probe"), F.lit(None).cast("int").alias("past"))
     span = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    # slice after each step keeps the buffer as long as asked for
-    got = rows.unionByName(asks).withColumn("before", F.collect_list("row").over(span)).filter("probe is not null")
-    last = F.reverse(F.array_sort("before"))
-    return got.select(key, F.col("probe").alias("probe_id"), F.col("at").alias("probe_us"), F.slice(last, 1, most).alias("examples"))
+    seen = marks.unionByName(asks).withColumn("n", F.count("past").over(span)).filter("past is null")
+    wanted = F.when(F.col("n") > 0, F.sequence(F.greatest(F.col("n") - most + 1, F.lit(1)), F.col("n")))
+    got = seen.select(key, "probe", "at", F.explode_outer(wanted).alias("number")).join(rows, [key, "number"], "left")
+    last = F.reverse(F.array_sort(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("number", "row")))))
+    return got.groupBy(key, F.col("probe").alias("probe_id"), F.col("at").alias("probe_us")).agg(F.transform(last, lambda x: x["row"]).alias("examples"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..sources.binding import DAY_US
 from .metrics import share
 
@@ -125,3 +126,59 @@ def pareto(points: DataFrame, low: str, high: str) -> DataFrame:
     inner = Window.partitionBy("_cell").orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
     kept = cells.join(before, "_cell").withColumn("_seen", F.greatest(F.max("_best").over(inner), "_prior")).filter("_seen is null or _best > _seen").select(low, F.col("_best").alias(high))
     return points.join(kept, [low, high], "left_semi")
+
+
+def price_histogram(events: DataFrame, bins: int = 50, most: float = 100.0) -> DataFrame:
+    """(bin, low, n): rows by price in equal bins up to ``most``; dearer ones count in the last, empty bins don't show."""
+    width = most / bins
+    place = F.least(F.greatest(F.floor(F.col("price") / width), F.lit(0)), F.lit(bins - 1)).cast("long")
+    return events.filter("price is not null").groupBy(place.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * width).alias("low"), "n")
+
+
+def top_categories(events: DataFrame, most: int = 20) -> DataFrame:
+    return events.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(most)
+
+
+def worst_categories(scored: DataFrame, most: int = 3) -> DataFrame:
+    """The categories of the lowest top-1; ``scored`` has category and strict_rank."""
+    g = scored.groupBy("category").agg(F.count("*").alias("n"), F.avg((F.col("strict_rank") < 1).cast("double")).alias("top1"), F.avg(1.0 / (1 + F.col("strict_rank"))).alias("mrr"))
+    return g.orderBy("top1", "category").limit(most)
+
+
+def weight_summary(weights: DataFrame, column: str = "weight") -> DataFrame:
+    """One row: least, median, greatest, mean and population deviation of weights, zeros where there are none."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return weights.agg(
+        zero(F.min(column)).alias("least"), zero(F.percentile(column, F.lit(0.5))).alias("median"), zero(F.max(column)).alias("greatest"), zero(F.avg(column)).alias("mean"), zero(F.stddev_pop(column)).alias("std")
+    )
+
+
+def grid_marginals(trials: DataFrame, parameters: list[str], score: str) -> DataFrame:
+    """(parameter, value, mean): the mean score of every value of every tuned parameter."""
+    long = trials.select(F.explode(F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("value")) for p in parameters))).alias("x"), F.col(score).alias("s"))
+    return long.groupBy("x.parameter", "x.value").agg(F.avg("s").alias("mean"))
+
+
+def rejections(proposals: DataFrame, least: int = 3, share_: float = 0.0) -> DataFrame:
+    """(term, n, share): terms of ``least`` or more rejected proposals (term, accepted) and their share of all rejected."""
+    counts = proposals.filter(~F.col("accepted")).groupBy("term").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))  # one row
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("n") >= least).select("term", "n", (F.col("n") / F.col("t")).alias("share")).filter(F.col("share") >= share_)
+
+
+def importance(weight: Column) -> Column:
+    """How much a standardised weight says."""
+    size = F.abs(weight)
+    return F.when(size >= 0.5, "high").when(size >= 0.1, "medium").when(size > 1e-3, "low").otherwise("none")
+
+
+def newest_within(events: DataFrame, budget: int, text: str = "title") -> DataFrame:
+    """Each customer's newest rows whose texts' estimated tokens add up to at most ``budget``."""
+    newest = Window.partitionBy("customer_id").orderBy(F.desc("us"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("_used", F.sum(tokens(F.col(text))).over(newest)).filter(F.col("_used") <= budget).drop("_used")
+
+
+def top_of_heads(attributes: DataFrame, most: int = 100) -> DataFrame:
+    """(m, event_id, k, rn): the outcomes that each attribute head values most."""
+    rn = F.row_number().over(Window.partitionBy("m").orderBy(F.desc("a"), "event_id", "k"))
+    return attributes.withColumn("rn", rn.cast("long")).filter(F.col("rn") <= most).select("m", "event_id", "k", "rn")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -284,7 +286,7 @@ def leverage(df: DataFrame, columns: list[str]) -> DataFrame:
 def random_subsample(events: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(customer_id, weight 1) of n customers, those whose hashes are least."""
     ids = events.select("customer_id").distinct()
-    return ids.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").limit(n).withColumn("weight", F.lit(1.0))
+    return ids.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "customer_id").cast("binary")), "customer_id").limit(n).withColumn("weight", F.lit(1.0))
 
 
 def share_columns(top: list[str]) -> list:
@@ -336,7 +338,8 @@ class UtilityNet:
 
     A forward pass runs in Arrow batches over events (z, e: alternatives x outcomes x width, flat); training is Adam in
     NumPy over a bounded sample of events. Ablations: ``salience`` "uniform" instead of "net", ``weighting`` "softplus"
-    instead of "softmax".
+    instead of "softmax", and ``utility``: "concat", one hidden layer over outcome and person together, or "film", one
+    over the outcome whose units the person scales and shifts, instead of "attributes".
     """
 
     attributes: int = 5
@@ -347,16 +350,21 @@ class UtilityNet:
     temperature: float = 1.0
     salience: str = "net"
     weighting: str = "softmax"
+    utility: str = "attributes"
     seed: int = 0
 
     def init(self) -> UtilityNet:
         rng = np.random.default_rng(self.seed)
         w = lambda a, b: rng.standard_normal((a, b)) * (2 / (a + b)) ** 0.5
-        self.p = {
-            "h1": w(self.width, self.hidden * self.attributes), "h2": rng.standard_normal((self.attributes, self.hidden)) * 0.1,
-            "w1": w(self.persons, self.hidden), "w2": w(self.hidden, self.attributes),
-            "s1": w(self.width + self.persons, self.hidden), "s2": w(self.hidden, 1),
+        made = {
+            "attributes": lambda: {
+                "h1": w(self.width, self.hidden * self.attributes), "h2": rng.standard_normal((self.attributes, self.hidden)) * 0.1,
+                "w1": w(self.persons, self.hidden), "w2": w(self.hidden, self.attributes),
+            },
+            "concat": lambda: {"c1": w(self.width + self.persons, self.hidden), "c2": w(self.hidden, 1)},
+            "film": lambda: {"f1": w(self.width, self.hidden), "scale": w(self.persons, self.hidden), "shift": w(self.persons, self.hidden), "f2": w(self.hidden, 1)},
         }
+        self.p = made[self.utility]() | {"s1": w(self.width + self.persons, self.hidden), "s2": w(self.hidden, 1)}
         return self
 
     @property
@@ -364,18 +372,27 @@ class UtilityNet:
         return sum(v.size for v in self.p.values())
 
     def forward(self, z: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
-        """z (b, persons), e (b, j, k, width): A (b, j, k, m), w (b, m), S and U (b, j, k), V (b, j)."""
+        """z (b, persons), e (b, j, k, width): S and U (b, j, k), V (b, j); of attributes also A (b, j, k, m), w (b, m)."""
         b, j, k, _ = e.shape
-        pre = (e @ self.p["h1"]).reshape(b, j, k, self.attributes, self.hidden)
-        a = (np.maximum(pre, 0) * self.p["h2"]).sum(-1)
-        zh = z @ self.p["w1"]
-        raw = np.maximum(zh, 0) @ self.p["w2"]
-        w = np.logaddexp(0, raw) if self.weighting == "softplus" else _softmax(raw)
         both = np.concatenate((e, np.broadcast_to(z[:, None, None, :], (b, j, k, z.shape[1]))), -1)
-        sh = both @ self.p["s1"]
-        s = np.full((b, j, k), 1 / k) if self.salience == "uniform" else _softmax((np.maximum(sh, 0) @ self.p["s2"])[..., 0])
-        u = (a * w[:, None, None, :]).sum(-1)
-        return {"A": a, "w": w, "S": s, "U": u, "V": (s * u).sum(-1) / self.temperature, "pre": pre, "zh": zh, "raw": raw, "both": both, "sh": sh}
+        out = {"both": both, "sh": both @ self.p["s1"]}
+        out["S"] = np.full((b, j, k), 1 / k) if self.salience == "uniform" else _softmax((np.maximum(out["sh"], 0) @ self.p["s2"])[..., 0])
+        if self.utility == "concat":
+            out["pre"] = both @ self.p["c1"]
+            out["U"] = (np.maximum(out["pre"], 0) @ self.p["c2"])[..., 0]
+        elif self.utility == "film":
+            out["plain"], out["gain"] = e @ self.p["f1"], (1 + z @ self.p["scale"])[:, None, None, :]
+            out["pre"] = out["gain"] * out["plain"] + (z @ self.p["shift"])[:, None, None, :]
+            out["U"] = (np.maximum(out["pre"], 0) @ self.p["f2"])[..., 0]
+        else:
+            out["pre"] = (e @ self.p["h1"]).reshape(b, j, k, self.attributes, self.hidden)
+            out["A"] = (np.maximum(out["pre"], 0) * self.p["h2"]).sum(-1)
+            out["zh"] = z @ self.p["w1"]
+            out["raw"] = np.maximum(out["zh"], 0) @ self.p["w2"]
+            out["w"] = np.logaddexp(0, out["raw"]) if self.weighting == "softplus" else _softmax(out["raw"])
+            out["U"] = (out["A"] * out["w"][:, None, None, :]).sum(-1)
+        out["V"] = (out["S"] * out["U"]).sum(-1) / self.temperature
+        return out
 
     def gradient(self, z: np.ndarray, e: np.ndarray, own: np.ndarray, weight: np.ndarray, weight_l2: float = 0.0) -> tuple[float, dict[str, np.ndarray]]:
         """Weighted mean negative log likelihood (with a penalty on the person weights) and its gradient."""
@@ -383,19 +400,32 @@ class UtilityNet:
         p = _softmax(f["V"])
         rows = np.arange(len(own))
         share = weight / weight.sum()
-        loss = float(-(share * np.log(np.maximum(p[rows, own], 1e-300))).sum() + weight_l2 * (share * (f["w"] ** 2).sum(1)).sum())
+        loss = float(-(share * np.log(np.maximum(p[rows, own], 1e-300))).sum())
         d = p.copy()
         d[rows, own] -= 1
         d = d * share[:, None] / self.temperature
         du, ds = d[:, :, None] * f["S"], d[:, :, None] * f["U"]
-        da = du[..., None] * f["w"][:, None, None, :]
-        dw = (du[..., None] * f["A"]).sum((1, 2)) + 2 * weight_l2 * share[:, None] * f["w"]
-        draw = dw / (1 + np.exp(-f["raw"])) if self.weighting == "softplus" else f["w"] * (dw - (f["w"] * dw).sum(-1, keepdims=True))
-        g = {"h2": (da[..., None] * np.maximum(f["pre"], 0)).sum((0, 1, 2))}
-        dpre = da[..., None] * self.p["h2"] * (f["pre"] > 0)
-        g["h1"] = e.reshape(-1, self.width).T @ dpre.reshape(-1, self.attributes * self.hidden)
-        g["w2"] = np.maximum(f["zh"], 0).T @ draw
-        g["w1"] = z.T @ (draw @ self.p["w2"].T * (f["zh"] > 0))
+        g: dict[str, np.ndarray] = {}
+        if self.utility == "attributes":
+            loss += float(weight_l2 * (share * (f["w"] ** 2).sum(1)).sum())
+            da = du[..., None] * f["w"][:, None, None, :]
+            dw = (du[..., None] * f["A"]).sum((1, 2)) + 2 * weight_l2 * share[:, None] * f["w"]
+            draw = dw / (1 + np.exp(-f["raw"])) if self.weighting == "softplus" else f["w"] * (dw - (f["w"] * dw).sum(-1, keepdims=True))
+            g["h2"] = (da[..., None] * np.maximum(f["pre"], 0)).sum((0, 1, 2))
+            dpre = da[..., None] * self.p["h2"] * (f["pre"] > 0)
+            g["h1"] = e.reshape(-1, self.width).T @ dpre.reshape(-1, self.attributes * self.hidden)
+            g["w2"] = np.maximum(f["zh"], 0).T @ draw
+            g["w1"] = z.T @ (draw @ self.p["w2"].T * (f["zh"] > 0))
+        else:
+            last = "c2" if self.utility == "concat" else "f2"
+            g[last] = np.maximum(f["pre"], 0).reshape(-1, self.hidden).T @ du.reshape(-1, 1)
+            dpre = du[..., None] * self.p[last][:, 0] * (f["pre"] > 0)
+            if self.utility == "concat":
+                g["c1"] = f["both"].reshape(-1, self.width + self.persons).T @ dpre.reshape(-1, self.hidden)
+            else:
+                g["f1"] = e.reshape(-1, self.width).T @ (dpre * f["gain"]).reshape(-1, self.hidden)
+                g["scale"] = z.T @ (dpre * f["plain"]).sum((1, 2))
+                g["shift"] = z.T @ dpre.sum((1, 2))
         if self.salience == "uniform":
             g["s1"], g["s2"] = np.zeros_like(self.p["s1"]), np.zeros_like(self.p["s2"])
         else:
@@ -437,13 +467,48 @@ class UtilityNet:
         return curve
 
     def score(self, events: DataFrame) -> DataFrame:
-        """events: event_id, z array, e array (alternatives x outcomes x width). Rows (event_id, alt_idx, score)."""
+        """events: event_id, z array, e array (alternatives x outcomes x width). Rows (event_id, alt_idx, score).
+
+        Events of a batch that have as many alternatives go through the net together, some hundred at a time.
+        """
         net = self
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for key, z, e in zip(pdf["event_id"], pdf["z"], pdf["e"]):
-                    v = net.forward(np.asarray(z, float)[None], np.asarray(e, float).reshape(1, -1, net.outcomes, net.width))["V"][0]
-                    yield pd.DataFrame({"event_id": key, "alt_idx": np.arange(len(v)), "score": v})
+                for size, same in pdf.groupby(pdf["e"].map(len)):
+                    j = size // (net.outcomes * net.width)
+                    some = max(1, 4096 // max(1, j * net.outcomes))
+                    for a in range(0, len(same), some):
+                        part = same.iloc[a : a + some]
+                        e = np.concatenate(part["e"].tolist()).astype(float).reshape(len(part), j, net.outcomes, net.width)
+                        v = net.forward(np.array(part["z"].tolist(), float), e)["V"]
+                        yield pd.DataFrame({"event_id": part["event_id"].to_numpy().repeat(j), "alt_idx": np.tile(np.arange(j), len(part)), "score": v.ravel()})
 
         return events.select("event_id", "z", "e").mapInPandas(run, "event_id long, alt_idx long, score double")
+
+
+def sweep(train: tuple, val: tuple, grid: dict[str, list], net: UtilityNet | None = None, **options) -> list[dict]:
+    """Every setting of a grid over the net's fields, with its validation likelihood, the best first. ``outcomes`` below
+    the data's take the first ones."""
+    out = []
+    for values in product(*grid.values()):
+        made = replace(net or UtilityNet(), **dict(zip(grid, values)))
+        cut = lambda part: (part[0], part[1][:, :, : made.outcomes], *part[2:])  # noqa: B023, E731
+        curve = made.fit(cut(train), cut(val), **options)
+        out.append({**dict(zip(grid, values)), "nll": float(min(curve)), "n_params": made.n_params})
+    return sorted(out, key=lambda r: r["nll"])
+
+
+def guarded_subsample(events: DataFrame, n: int | None, seed: int = 42, method: str = "leverage") -> DataFrame | None:
+    """(customer_id, weight) of a subsample, None where none is asked for or it can't be made, which is warned of: then
+    all customers count, with weight 1. An unknown method raises."""
+    made = {"leverage": leverage_subsample, "random": random_subsample}
+    if method not in made:
+        raise ValueError(f"unknown method {method!r}; there are {sorted(made)}")
+    if n is None:
+        return None
+    try:
+        return made[method](events, n, seed=seed)
+    except Exception as e:  # noqa: BLE001  a run goes on without weights
+        warnings.warn(f"no {method} subsample: {type(e).__name__}: {e}", stacklevel=2)
+        return None

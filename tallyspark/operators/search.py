@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import COMBINATORS, Term, compiled, log_prior
+from ..functions import prompts
+from ..functions.terms import BASE, COMBINATORS, Term, compiled, log_prior, parse
 from ..functions.text import rotations
 from . import metrics
 from .choice import uniform
+from .history import latest_before
 from .models import SparseLogit
 
 LETTERS = "ABCDEFGHIJ"
@@ -37,6 +39,37 @@ def letter_probabilities(response: Column, letters: str = LETTERS) -> Column:
     return F.coalesce(stated, _bound(F.coalesce(response, F.lit("")), lambda r: _bound(stand_in(r), share)))
 
 
+def logprob_probabilities(top: Column, letters: str = LETTERS) -> Column:
+    """Probabilities from the likeliest tokens of an answer (array of token, logprob): a softmax over the letters' best
+    token each, whatever spaces or marks it has around it; null where no letter is among them."""
+    letter = lambda t: F.regexp_replace(F.upper(t), r"^[\s(\"']+|[\s).:,\"']+$", "")
+    best = lambda c: F.array_max(F.transform(F.filter(top, lambda t: letter(t["token"]) == c), lambda t: t["logprob"].cast("double")))
+    all_ = F.transform(F.array(*map(F.lit, letters)), best)
+
+    def softmax(v: Column) -> Column:
+        most = F.array_max(v)
+        raised = F.transform(v, lambda x: F.coalesce(F.exp(x - most), F.lit(0.0)))
+        total = F.aggregate(raised, F.lit(0.0), lambda a, b: a + b)
+        return F.when(most.isNotNull(), F.transform(raised, lambda x: x / total))
+
+    return _bound(all_, softmax)
+
+
+def few_shot(events: DataFrame, timeline: DataFrame, ask: Callable[[Column], Column], shots: int = 5, budget: int = 2000, k: int = 10) -> DataFrame:
+    """(event_id, alt_idx, score): rotated ranking of prompts that show a customer's latest training choices before the
+    event, oldest first, as many as fit the token budget.
+
+    ``events``: event_id, customer_id, us, c_d and alts (title, price); ``timeline``: training rows with title, category
+    and price. ``ask`` turns a prompt into a response.
+    """
+    probes = events.select("customer_id", F.col("us").alias("probe_us"), F.col("event_id").alias("probe_id"))
+    past = latest_before(timeline, probes, shots, columns=("us", "seq", "title", "category", "price"))
+    lines = F.transform(F.reverse("examples"), lambda x: prompts.example_line(x["title"], x["category"], x["price"]))
+    shown = past.select(F.col("probe_id").alias("event_id"), prompts.within_budget(lines, budget).alias("shown_before"))
+    rows = events.join(shown, "event_id", "left")
+    return rank_by_letters(rows, lambda alts: ask(prompts.ranker(F.col("c_d"), alts, F.coalesce("shown_before", F.expr("cast(array() as array<string>)")))), k)
+
+
 def rank_by_letters(events: DataFrame, ask: Callable[[Column], Column], k: int = 10) -> DataFrame:
     """(event_id, alt_idx, score): log mean probability over k rotations of the alternatives (array ``alts``), so a
     letter's place says nothing. ``ask`` turns a rotation into a response."""
@@ -98,7 +131,7 @@ def propose(terms: list[Term], base: list[str], rng: np.random.Generator) -> lis
     return terms if new in terms else [*terms, new]
 
 
-def descend(terms: list[Term], training: DataFrame, validation: DataFrame, base: list[str], steps: int = 10, seed: int = 0, accept: Callable[[float, float, float], bool] = greedy) -> tuple[list[Term], float, list[dict]]:
+def descend(terms: list[Term], training: DataFrame, validation: DataFrame, base: list[str], steps: int = 10, seed: int = 0, accept: Callable[[float, float, float], bool] = greedy, proposer: Callable = propose) -> tuple[list[Term], float, list[dict]]:
     """Structure descent: propose, fit, accept or not. Fits are kept by structure; (best terms, likelihood, history)."""
     rng = np.random.default_rng(seed)
     kept: dict[tuple[Term, ...], float] = {}
@@ -112,7 +145,7 @@ def descend(terms: list[Term], training: DataFrame, validation: DataFrame, base:
     now = best = terms
     history = []
     for step in range(steps):
-        new = propose(now, base, rng)
+        new = proposer(now, base, rng)
         gain = nll(now) - nll(new)
         taken = new != now and accept(gain, step, log_prior(new) - log_prior(now))
         history.append({"step": step, "terms": [t.shown for t in new], "gain": gain, "accepted": taken})
@@ -121,18 +154,62 @@ def descend(terms: list[Term], training: DataFrame, validation: DataFrame, base:
     return best, nll(best), history
 
 
+def proposals(completion: str) -> list[Term]:
+    """The terms that a completion names, one a line, bullets and quotes around them aside; what is no term is left out."""
+    out = []
+    for line in completion.splitlines():
+        try:
+            out.append(parse(line.strip().strip("-*`\"' ")))
+        except ValueError:
+            continue
+    return list(dict.fromkeys(out))
+
+
+def propose_by(ask: Callable[[str], str], base: list[str]) -> Callable[[list[Term], list[str], np.random.Generator], list[Term]]:
+    """A proposer that asks a language model for the next structure; where its answer has no usable term, a random change."""
+
+    def run(terms: list[Term], names: list[str], rng: np.random.Generator) -> list[Term]:
+        said = ask(f"Current terms:\n{chr(10).join(t.shown for t in terms)}\nBase terms: {', '.join(base)}\nCombinators: {', '.join(COMBINATORS)}\nName the terms of a better structure, one a line.")
+        usable = [t for t in proposals(said) if set(t.args or (t.name,)) <= set(base)]
+        return usable or propose(terms, names, rng)
+
+    return run
+
+
 # Legacy feature rows: real history for the chosen alternative, never-seen values for the others.
 def legacy_rows(alternatives: DataFrame, popularity: DataFrame, category_price: DataFrame) -> DataFrame:
-    """routine, recency, novelty, popularity, affinity, price_sensitivity and price_rank of every alternative."""
+    """All twelve base terms of every alternative; those that need data of their own (hours, ratings, brands, delivery,
+    co-purchases) are 0 for all."""
     rows = alternatives.join(popularity, "asin", "left").join(category_price, "category", "left")
     pick = lambda own, other: F.when(F.col("chosen"), own).otherwise(F.lit(other))
     ratio = F.col("price") / (F.coalesce("category_price", F.lit(10.0)) + 1e-8)
-    return rows.select(
-        "event_id", "alt_idx", "chosen",
-        pick(F.col("routine").cast("double"), 0.0).alias("routine"), pick(1.0 / (1.0 + F.col("recency_days")), 1.0 / 1000.0).alias("recency"),
-        pick(F.col("novelty").cast("double"), 1.0).alias("novelty"), F.log1p(F.coalesce("popularity", F.lit(0)).cast("double")).alias("popularity"),
-        pick(F.log1p(F.col("cat_affinity").cast("double")), 0.0).alias("affinity"), pick(1.0 - ratio, 0.0).alias("price_sensitivity"), pick(1.0 - ratio, 0.0).alias("price_rank"),
-    )
+    made = {
+        "routine": pick(F.col("routine").cast("double"), 0.0), "recency": pick(1.0 / (1.0 + F.col("recency_days")), 1.0 / 1000.0),
+        "novelty": pick(F.col("novelty").cast("double"), 1.0), "popularity": F.log1p(F.coalesce("popularity", F.lit(0)).cast("double")),
+        "affinity": pick(F.log1p(F.col("cat_affinity").cast("double")), 0.0), "price_sensitivity": pick(1.0 - ratio, 0.0), "price_rank": pick(1.0 - ratio, 0.0),
+    }
+    return rows.select("event_id", "alt_idx", "chosen", *(made.get(n, F.lit(0.0)).alias(n) for n in BASE))
+
+
+def legacy_lookups(alternatives: DataFrame, events: DataFrame) -> DataFrame:
+    """The twelve base terms of every alternative (event_id, alt_idx, customer_id, asin, category) from what its customer
+    last had with the item, its category and its brand: four lookups, each a join by key."""
+    last = lambda c: F.max_by(c, F.struct("us", "seq"))
+    pair = events.groupBy("customer_id", "asin").agg(last("routine").alias("_routine"), last("recency_days").alias("_recency"), last("price").alias("_price"))
+    item = events.groupBy("asin").agg(F.count("*").alias("_popularity"), F.min_by("category", F.struct("us", "seq")).alias("_category"), F.min_by("brand", F.struct("us", "seq")).alias("brand"))
+    near = events.groupBy("customer_id", F.col("category").alias("_category")).agg(last("cat_affinity").alias("_affinity"))
+    brand = events.groupBy("customer_id", "brand").agg(F.count("*").alias("_brand"))
+    price = events.groupBy(F.col("category").alias("_category")).agg(F.avg("price").alias("_mean"))
+    rows = alternatives.select("event_id", "alt_idx", "customer_id", "asin", "category").join(item, "asin", "left").withColumn("_category", F.coalesce("_category", "category"))
+    rows = rows.join(pair, ["customer_id", "asin"], "left").join(near, ["customer_id", "_category"], "left").join(brand, ["customer_id", "brand"], "left").join(price, "_category", "left")
+    number = lambda c, other=0.0: F.coalesce(F.col(c).cast("double"), F.lit(other))
+    mean = number("_mean", 10.0)
+    ratio = F.coalesce(F.col("_price"), mean) / (mean + 1e-8)
+    made = {
+        "routine": number("_routine"), "recency": 1.0 / (1.0 + number("_recency", 999.0)), "novelty": F.col("_routine").isNull().cast("double"), "popularity": F.log1p(number("_popularity")),
+        "affinity": F.log1p(number("_affinity")), "price_sensitivity": 1.0 - ratio, "brand_affinity": F.log1p(number("_brand")), "price_rank": 1.0 - ratio,
+    }
+    return rows.select("event_id", "alt_idx", *(made.get(n, F.lit(0.0)).alias(n) for n in BASE))
 
 
 def numbered(items: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import features, legacy, metrics, posthoc, split
+from ..operators import choice, features, legacy, metrics, posthoc, split
 from ..sources.binding import CLICKS, DAY_US, PURCHASES, clicks, purchases, table
 from .history_queries import SPLIT_SQL
 from .registry import query
@@ -121,9 +121,8 @@ def a14_repeat_novel(spark, sf_dir):
 
 @query("a20_j13_weighted_loss", f"WITH {_EVENTS}, w AS (SELECT c_custkey::VARCHAR AS customer_id, 1 + c_nationkey / 10.0::DOUBLE AS w FROM customer WHERE c_acctbal > 3000) SELECT round(sum(coalesce(w, 1) * nll) / sum(coalesce(w, 1)), 7) AS loss FROM pe LEFT JOIN w USING (customer_id)")
 def a20_weighted_loss(spark, sf_dir):
-    w = table(spark, sf_dir, "customer").filter("c_acctbal > 3000").select(F.col("c_custkey").cast("string").alias("customer_id"), (1 + F.col("c_nationkey") / 10.0).alias("w"))
-    rows = scored(spark, sf_dir).join(w, "customer_id", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    return _rounded(metrics.weighted_loss(rows, "w"))
+    w = table(spark, sf_dir, "customer").filter("c_acctbal > 3000").select(F.col("c_custkey").cast("string").alias("customer_id"), (1 + F.col("c_nationkey") / 10.0).alias("weight"))
+    return _rounded(metrics.weighted_loss(choice.with_weights(scored(spark, sf_dir), w), "omega"))
 
 
 @query("f29_activity_tertile", f"WITH e AS ({PURCHASES}), c AS (SELECT customer_id, count(*) AS n FROM e GROUP BY 1), q AS (SELECT quantile_cont(n, 1/3::DOUBLE) AS a, quantile_cont(n, 2/3::DOUBLE) AS b FROM c) SELECT customer_id, n, CASE WHEN n >= b THEN 'high' WHEN n >= a THEN 'mid' ELSE 'low' END AS tertile FROM c, q")
@@ -152,20 +151,19 @@ def e4_dominant_attribute(spark, sf_dir):
 
 @query("o3_e5_head_top_outcomes", f"WITH {_ATTR} SELECT m, event_id, k, rn FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY a DESC, event_id, k) AS rn FROM atr) WHERE rn <= 20")
 def o3_head_top_outcomes(spark, sf_dir):
-    rn = F.row_number().over(Window.partitionBy("m").orderBy(F.desc("a"), "event_id", "k"))
-    return _attributes(spark, sf_dir).withColumn("rn", rn.cast("long")).filter("rn <= 20").select("m", "event_id", "k", "rn")
+    return legacy.top_of_heads(_attributes(spark, sf_dir), 20)
 
 
 # Results of three models over two seeds, made from line items: a seed is a line status, an event a line.
-_RESULTS = """res AS (SELECT m AS model, l_returnflag AS seed, row_number() OVER (PARTITION BY m, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS event_idx, l_suppkey::VARCHAR AS customer_id,
+_RESULTS = """res AS (SELECT m AS model, l_returnflag AS seed, l_orderkey * 1000 + row_number() OVER (PARTITION BY m, l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS event_idx, l_suppkey::VARCHAR AS customer_id,
   CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE 'c' || l_linenumber END AS category, l_linenumber % 2 = 0 AS is_repeat, floor(l_quantity / (k + 1))::DOUBLE + (l_partkey % 7) * k AS nll, (l_partkey + k) % 3 = 0 AS top1, CASE WHEN m = 'late' AND l_returnflag = 'N' THEN 'errored' ELSE 'ok' END AS status
   FROM lineitem, (VALUES ('own', 0), ('popularity', 1), ('late', 2)) AS v(m, k))"""
 
 
 def results(spark, sf_dir):
     models = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for k, m in enumerate(("own", "popularity", "late")))))
-    order = Window.partitionBy("seed").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").withColumn("seed", F.col("l_returnflag")).withColumn("event_idx", F.row_number().over(order) - 1).withColumn("v", models)
+    order = Window.partitionBy("seed", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # an order has few lines
+    rows = table(spark, sf_dir, "lineitem").withColumn("seed", F.col("l_returnflag")).withColumn("event_idx", F.col("l_orderkey") * 1000 + F.row_number().over(order)).withColumn("v", models)
     return rows.select(
         F.col("v.m").alias("model"), "seed", "event_idx", F.col("l_suppkey").cast("string").alias("customer_id"),
         F.when(F.col("l_linenumber") % 5 != 0, F.concat(F.lit("c"), "l_linenumber")).alias("category"), (F.col("l_linenumber") % 2 == 0).alias("is_repeat"),
@@ -228,7 +226,7 @@ def e10_wilcoxon(spark, sf_dir):
 
 @query("r9_bootstrap")
 def r9_bootstrap(spark, sf_dir):
-    return posthoc.bootstrap(posthoc.paired(results(spark, sf_dir), "own"), 200)
+    return posthoc.bootstrap(posthoc.paired(results(spark, sf_dir), "own"))
 
 
 _MOVES = "mv AS (SELECT category, lead(category) OVER (PARTITION BY customer_id ORDER BY us, seq) AS next FROM e), m2 AS (SELECT * FROM mv WHERE next IS NOT NULL), tp AS (SELECT category FROM m2 GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 3), tr AS (SELECT category, next, count(*) AS n FROM m2 WHERE category IN (FROM tp) AND next IN (FROM tp) GROUP BY 1, 2)"
@@ -301,7 +299,7 @@ def n8_chosen_means(spark, sf_dir):
 
 @query("n9_top_categories", f"WITH e AS ({PURCHASES}) SELECT category, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, category LIMIT 20")
 def n9_top_categories(spark, sf_dir):
-    return purchases(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(20)
+    return legacy.top_categories(purchases(spark, sf_dir))
 
 
 @query("m18_pareto_front", "SELECT p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice <= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size > a.p_size))")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import choice, history, models, outcomes, split, validate
+from ..functions import prompts, text
+from ..operators import catalog, choice, generation, history, legacy, models, outcomes, persons, split, validate
 from ..sources import store
 from ..sources.binding import CLICKS, PURCHASES, clicks, purchases, table
+from ..sources.binding import persons as survey
 from .eval_queries import _EVENTS, _LONG, _rounded, alternatives
 from .history_queries import SPLIT_SQL
 from .registry import query
@@ -126,15 +126,69 @@ def r1_choice_sets(spark, sf_dir):
     return choice.choice_sets(split.temporal_split(clicks(spark, sf_dir)))
 
 
-_SETS_OK = """SELECT count(*) AS n, 0::BIGINT AS not_chosen, 0::BIGINT AS wrong_size FROM events"""
+_CS = f"WITH e AS ({CLICKS}), {SPLIT_SQL}"
 
 
-@query("r1_choice_set_invariants", _SETS_OK)
+@query(
+    "r1_choice_set_invariants",
+    f"""{_CS}, f AS (SELECT asin, min(us) AS first_us FROM s WHERE split = 'train' GROUP BY 1), d AS (SELECT DISTINCT us FROM s), c AS (SELECT us, (SELECT count(*) FROM f WHERE first_us < d.us) AS pool FROM d),
+p AS (SELECT s.*, pool - (first_us IS NOT NULL AND first_us < us)::INT AS others FROM s JOIN c USING (us) LEFT JOIN f USING (asin))
+SELECT count(*) AS n, 0::BIGINT AS wrong_place, 0::BIGINT AS wrong_size, 0::BIGINT AS late, 0::BIGINT AS repeated, 0::BIGINT AS strange, count(*) FILTER (others < 9) AS few, count(*) FILTER (others < 9) AS few_flagged, count(*) FILTER (others = 0) AS alone FROM p""",
+)
 def r1_choice_set_invariants(spark, sf_dir):
-    sets = choice.choice_sets(split.temporal_split(clicks(spark, sf_dir)))
+    """Every set against the catalogue: negatives known before the event, from its category as far as it has any,
+    distinct unless flagged; flagged wherever fewer than nine others were on offer."""
+    s = split.temporal_split(clicks(spark, sf_dir))
+    sets = choice.choice_sets(s)
+    first = catalog.first_seen(s)
+    own = s.select(F.concat_ws("|", "customer_id", "seq").alias("event_key"), "us", "category", F.col("asin").alias("own_asin"))
+    pool = catalog.pool_sizes(s).join(first, "asin", "left").select(F.concat_ws("|", "customer_id", "seq").alias("event_key"), (F.col("pool") - F.coalesce((F.col("first_us") < F.col("us")).cast("int"), F.lit(0))).alias("others"))
+    kind = catalog.dominant_category(s).withColumnRenamed("category", "item_category")
+    long = sets.select("event_key", "chosen_asin", F.explode("choice_asins").alias("asin")).filter("asin <> chosen_asin").join(first, "asin", "left").join(kind, "asin", "left").join(own.drop("own_asin"), "event_key")
+    per = long.groupBy("event_key").agg(
+        F.count("*").alias("n"), F.countDistinct("asin").alias("kinds"), F.count_if(F.coalesce(F.col("first_us") >= F.col("us"), F.lit(True))).alias("late"), F.count_if(F.col("item_category") == F.col("category")).alias("same")
+    )
+    # Of the category at least one is there wherever the pool had any and the set could be filled.
+    rows = sets.join(own, "event_key").join(pool, "event_key").join(per, "event_key", "left")
     at = F.element_at("choice_asins", F.col("chosen_idx") + 1)
-    once = F.size(F.filter("choice_asins", lambda a: a == F.col("chosen_asin"))) == 1
-    return sets.agg(F.count("*").alias("n"), F.count_if((at != F.col("chosen_asin")) | ~(once | F.col("dedup_fallback"))).alias("not_chosen"), F.count_if(F.size("choice_asins") != 10).alias("wrong_size"))
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if((at != F.col("own_asin")) | (F.col("chosen_asin") != F.col("own_asin"))).alias("wrong_place"), F.count_if(F.size("choice_asins") != 10).alias("wrong_size"), F.sum(F.coalesce("late", F.lit(0))).alias("late"),
+        F.count_if(~F.col("dedup_fallback") & ((F.col("n") != 9) | (F.col("kinds") != 9))).alias("repeated"), F.count_if(~F.col("dedup_fallback") & (F.col("others") < 9)).alias("strange"),
+        F.count_if(F.col("others") < 9).alias("few"), F.count_if((F.col("others") < 9) & F.col("dedup_fallback")).alias("few_flagged"), F.count_if((F.col("others") == 0) & F.col("n").isNull()).alias("alone"),
+    )
+
+
+@query("r1_sets_by_category", f"{_CS}, f AS (SELECT asin, min(us) AS first_us FROM s WHERE split = 'train' GROUP BY 1), g AS (SELECT asin, category, count(*) AS n, min({{'us': us, 'seq': seq}}) AS first FROM s WHERE split = 'train' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY asin ORDER BY n DESC, first) = 1), o AS (SELECT s.customer_id || '|' || s.seq AS event_key, count(*) FILTER (f.first_us < s.us AND f.asin <> s.asin AND g.category = s.category) AS near FROM s, f JOIN g USING (asin) GROUP BY 1) SELECT event_key FROM o WHERE near > 0")
+def r1_sets_by_category(spark, sf_dir):
+    """Events with a negative of their own category: all that had any such item before them."""
+    s = split.temporal_split(clicks(spark, sf_dir))
+    kind = catalog.dominant_category(s).withColumnRenamed("category", "item_category")
+    own = s.select(F.concat_ws("|", "customer_id", "seq").alias("event_key"), "category")
+    long = choice.choice_sets(s).select("event_key", "chosen_asin", F.explode("choice_asins").alias("asin")).filter("asin <> chosen_asin").join(kind, "asin").join(own, "event_key")
+    return long.filter("item_category = category").select("event_key").distinct()
+
+
+_RECORD = f"""{_S}, f AS (SELECT asin, title AS t, category AS c, price AS p FROM s WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY asin ORDER BY us, seq) = 1), n AS (SELECT asin, count(*) AS popularity FROM s WHERE split = 'train' GROUP BY 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY customer_id, asin ORDER BY us, seq) - 1 AS routine FROM s), k AS (SELECT * FROM h WHERE split = 'test')"""
+
+
+@query(
+    "r1_p17_p19_choice_records",
+    f"""{_RECORD} SELECT customer_id || '|' || k.seq AS event_key, customer_id, category, k.asin AS chosen_asin, routine::DOUBLE AS routine, coalesce(n.popularity, 0)::DOUBLE AS popularity, routine > 0 AS is_repeat, 'popularity score ' || coalesce(n.popularity, 0) || ',popularity score ' || coalesce(o.popularity, 0) AS ranks,
+k.title || '|' || coalesce(f.t, '') AS titles, (routine > 0)::VARCHAR || ',false' AS repeats, 'About ' || customer_id AS c_d
+FROM k LEFT JOIN n USING (asin) LEFT JOIN f ON f.asin = '7' LEFT JOIN n o ON o.asin = '7' WHERE customer_id NOT LIKE '%none%'""",
+)
+def r1_choice_records(spark, sf_dir):
+    """Whole records of sets made of the chosen item and item 7; nobody's recent history is shown."""
+    s = history.state_features(split.temporal_split(purchases(spark, sf_dir))).withColumn("recent", F.expr("cast(array() as array<string>)"))
+    sets = s.filter("split = 'test'").select(F.concat_ws("|", "customer_id", "seq").alias("event_key"), F.lit(0).alias("resample_k"), F.col("asin").alias("chosen_asin"), F.array("asin", F.lit("7")).alias("choice_asins"), F.lit(0).alias("chosen_idx"), F.lit(False).alias("dedup_fallback"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.array(F.lit(0.0)).alias("z"))
+    got = choice.choice_records(sets, s, people, F.concat(F.lit("About "), F.col("customer_id")))
+    joined = lambda f, by: F.array_join(F.transform("alt_texts", lambda a: a[f].cast("string")), by)
+    return got.select(
+        "event_key", "customer_id", "category", "chosen_asin", "chosen_features.routine", "chosen_features.popularity", "metadata.is_repeat",
+        joined("popularity_rank", ",").alias("ranks"), joined("title", "|").alias("titles"), joined("is_repeat", ",").alias("repeats"), "c_d",
+    )
 
 
 @query("j9_uncovered_customers", f"WITH e AS ({PURCHASES}) SELECT DISTINCT customer_id FROM e WHERE customer_id NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal > 0)")
@@ -194,7 +248,7 @@ def m11_forward_pass(spark, sf_dir):
     return models.UtilityNet().init().score(e.withColumn("z", F.transform(F.sequence(F.lit(1), F.lit(26)), lambda i: i / 26.0)))
 
 
-@query("r6_random_subsample")
+@query("r6_random_subsample", f"WITH e AS ({PURCHASES}), c AS (SELECT DISTINCT customer_id FROM e) SELECT customer_id, 1.0::DOUBLE AS weight FROM c ORDER BY md5('42|' || customer_id), customer_id LIMIT 100")
 def r6_random_subsample(spark, sf_dir):
     return models.random_subsample(purchases(spark, sf_dir), 100)
 
@@ -222,30 +276,35 @@ def a11_standardised(spark, sf_dir):
 
 @query("a21_weight_summary", "SELECT min(c_acctbal) AS least, quantile_cont(c_acctbal, 0.5) AS median, max(c_acctbal) AS greatest, round(avg(c_acctbal), 6) AS mean, round(stddev_pop(c_acctbal), 6) AS std FROM customer")
 def a21_weight_summary(spark, sf_dir):
-    x = "c_acctbal"
-    return _rounded(table(spark, sf_dir, "customer").agg(F.min(x).alias("least"), F.percentile(x, F.lit(0.5)).alias("median"), F.max(x).alias("greatest"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))).select("least", "median", "greatest", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    got = _rounded(legacy.weight_summary(table(spark, sf_dir, "customer"), "c_acctbal"))
+    return got.select("least", "median", "greatest", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("a24_n1_worst_categories", f"WITH {_EVENTS} SELECT category, count(*) AS n, round(avg((above < 1)::INT), 7) AS top1, round(avg(1.0::DOUBLE / (1 + above)), 7) AS mrr FROM pe GROUP BY 1 ORDER BY top1, category LIMIT 3")
 def a24_worst_categories(spark, sf_dir):
     from .eval_queries import scored
 
-    g = scored(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.avg((F.col("strict_rank") < 1).cast("double")).alias("top1"), F.avg(1.0 / (1 + F.col("strict_rank"))).alias("mrr"))
-    return _rounded(g).orderBy("top1", "category").limit(3)
+    return _rounded(legacy.worst_categories(scored(spark, sf_dir)))
 
 
 @query("p10_orphan_semi_join", f"WITH e AS ({PURCHASES}) SELECT customer_id, seq FROM e WHERE customer_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal > 3000)")
 def p10_orphan_semi_join(spark, sf_dir):
     known = table(spark, sf_dir, "customer").filter("c_acctbal > 3000").select(F.col("c_custkey").cast("string").alias("customer_id"))
-    return purchases(spark, sf_dir).join(known, "customer_id", "left_semi").select("customer_id", "seq")
+    return choice.with_persons(purchases(spark, sf_dir), known).select("customer_id", "seq")
+
+
+@query("p11_cascade_filter", f"WITH e AS ({PURCHASES}) SELECT customer_id, seq FROM e WHERE customer_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_mktsegment NOT IN ('MACHINERY'))")
+def p11_cascade_filter(spark, sf_dir):
+    """Events of the customers who are left after translation dropped those with an unknown label."""
+    left = persons.translate(survey(spark, sf_dir), [persons.Field("segment", "passthrough", "Q-segment", drop=("MACHINERY",))], "Respondent ID")
+    return choice.with_persons(purchases(spark, sf_dir), left).select("customer_id", "seq")
 
 
 @query("p12_selected_or_untrained", f"{_S}, t AS (SELECT DISTINCT customer_id FROM s WHERE split = 'train') SELECT customer_id, count(*) AS n FROM s WHERE customer_id NOT IN (FROM t) OR customer_id LIKE '%1%' GROUP BY 1")
 def p12_selected_or_untrained(spark, sf_dir):
     s = split.temporal_split(purchases(spark, sf_dir))
-    trained = s.filter("split = 'train'").select("customer_id").distinct()
-    keep = trained.filter(F.col("customer_id").contains("1")).union(s.select("customer_id").distinct().join(trained, "customer_id", "left_anti"))
-    return s.join(keep, "customer_id", "left_semi").groupBy("customer_id").agg(F.count("*").alias("n"))
+    chosen = s.filter("split = 'train'").select("customer_id").distinct().filter(F.col("customer_id").contains("1"))
+    return choice.selected_or_untrained(s, chosen).groupBy("customer_id").agg(F.count("*").alias("n"))
 
 
 SCHEMA = """
@@ -286,8 +345,7 @@ def s10_leaderboard_rows(spark, sf_dir):
 
 @query("s11_event_sidecar", f"{_S} SELECT customer_id, seq, row_number() OVER (PARTITION BY customer_id ORDER BY us, seq) - 1 AS event_idx FROM s WHERE split = 'test'")
 def s11_event_sidecar(spark, sf_dir):
-    s = split.temporal_split(purchases(spark, sf_dir)).filter("split = 'test'")
-    return s.select("customer_id", "seq", (F.row_number().over(Window.partitionBy("customer_id").orderBy("us", "seq")) - 1).cast("long").alias("event_idx"))
+    return choice.sidecar(split.temporal_split(purchases(spark, sf_dir))).select("customer_id", "seq", "event_idx")
 
 
 @query("f17_f18_alternatives_block", f"WITH {_LONG} SELECT event_id, string_agg('ABCDEFGHIJ'[alt_idx + 1] || ') ' || title || ' | n/a', chr(10) ORDER BY alt_idx) AS block FROM l GROUP BY 1")
@@ -303,22 +361,51 @@ def f19_rotations(spark, sf_dir):
 
 @query("o8_token_budget", f"WITH e AS ({PURCHASES}), t AS (SELECT *, sum(ceil(length(title) / 4.0::DOUBLE)) OVER (PARTITION BY customer_id ORDER BY us DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS used FROM e) SELECT customer_id, count(*) AS kept FROM t WHERE used <= 30 GROUP BY 1")
 def o8_token_budget(spark, sf_dir):
-    newest = Window.partitionBy("customer_id").orderBy(F.desc("us"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(text.tokens(F.col("title"))).over(newest)
-    return purchases(spark, sf_dir).withColumn("used", used).filter("used <= 30").groupBy("customer_id").agg(F.count("*").alias("kept"))
+    return legacy.newest_within(purchases(spark, sf_dir), 30).groupBy("customer_id").agg(F.count("*").alias("kept"))
 
 
 @query("n10_grid_marginals", "SELECT l_linenumber::BIGINT AS value, round(avg(l_discount), 7) AS mean FROM lineitem GROUP BY 1")
 def n10_grid_marginals(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("value")).agg(F.round(F.avg("l_discount"), 7).alias("mean"))
+    got = legacy.grid_marginals(table(spark, sf_dir, "lineitem"), ["l_linenumber"], "l_discount")
+    return got.select(F.col("value").cast("long").alias("value"), F.round("mean", 7).alias("mean"))
 
 
 @query("n11_rejection_pattern", "WITH p AS (SELECT p_brand AS term, p_size % 2 = 0 AS accepted FROM part), r AS (SELECT term, count(*) AS n FROM p WHERE NOT accepted GROUP BY 1) SELECT term, n, round(n / (SELECT count(*) FROM p WHERE NOT accepted)::DOUBLE, 7) AS share FROM r WHERE n >= 3")
 def n11_rejection_pattern(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size % 2 <> 0")
-    n = p.groupBy(F.col("p_brand").alias("term")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("t"))
-    return _rounded(n.crossJoin(F.broadcast(total)).filter("n >= 3").select("term", "n", (F.col("n") / F.col("t")).alias("share")))
+    tried = table(spark, sf_dir, "part").select(F.col("p_brand").alias("term"), (F.col("p_size") % 2 == 0).alias("accepted"))
+    return _rounded(legacy.rejections(tried))
+
+
+@query("f17_generator_prompt", f"""WITH {_LONG} SELECT event_id, alt_idx, 'Person:' || chr(10) || 'Lives in ' || state || '.' || chr(10) || chr(10) || 'Alternative:' || chr(10) || '- Name: ' || title || chr(10) || '- Category: ' || category || chr(10) || '- Price: $' || quantity::BIGINT || chr(10) || '- Popularity: score ' || alt_idx || chr(10) || '- state: ' || state || chr(10) || '- note: new' || chr(10) || chr(10) || 'Sentences wanted: 3' AS prompt FROM l""")
+def f17_generator_prompt(spark, sf_dir):
+    alt = F.struct("title", "category", F.col("quantity").cast("long").alias("price"), F.concat(F.lit("score "), F.col("alt_idx").cast("string")).alias("popularity_rank"), "state")
+    rows = alternatives(spark, sf_dir).withColumn("alt", alt)
+    prompt = prompts.user(F.concat(F.lit("Lives in "), "state", F.lit(".")), F.col("alt"), 3, rows.schema["alt"].dataType.names, {"note": F.lit("new")})
+    return rows.select("event_id", "alt_idx", prompt.alias("prompt"))
+
+
+@query("r1_generated_outcomes", f"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'kept a,kept b' WHEN p_partkey % 2 = 0 THEN 'one 7,two 7' ELSE 'one 8,two 8' END AS outcomes, (p_partkey % 3 <> 0) AS asked, CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 2 = 0 THEN 7 ELSE 8 END::BIGINT AS seed,
+  'v1-K2-stub_x-cd' || substr(sha256('Person ' || p_partkey), 1, 16) AS version FROM part""")
+def r1_generated_outcomes(spark, sf_dir):
+    """A third of the items is in the cache; of the rest, odd ones get one line at first and are asked again."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lit("c").alias("customer_id"), F.col("p_partkey").cast("string").alias("asin"), F.concat(F.lit("Person "), F.col("p_partkey").cast("string")).alias("c_d"), F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"), F.lit("x").alias("popularity_rank")).alias("alt"))
+    tag = generation.version(F.col("c_d"), 2, "Stub/X")
+    old = part.filter("p_partkey % 3 = 0").select(
+        text.cache_key(F.col("customer_id"), F.col("asin"), F.lit("7"), tag).alias("key"),
+        store.as_payload(outcomes=F.array(F.lit("kept a"), F.lit("kept b")), metadata=F.struct(F.lit(1).alias("seed"), tag.alias("cache_prompt_version"))).alias("value"), F.lit(0.0).alias("created_at"),
+    )
+    # An odd item's price ends its prompt's line; the stand-in tells odd items by their context.
+    odd = lambda prompt: F.regexp_extract(prompt, r"Person (\d+)", 1).cast("long") % 2 == 1
+    ask = lambda prompt, seed: F.when(odd(prompt) & (seed == 7), F.lit("only one")).otherwise(F.concat(F.lit("one "), seed.cast("string"), F.lit("\n\n two "), seed.cast("string"), F.lit("\nthree")))
+    answers, fresh = generation.generate(part, old, ask, "Stub/X", k=2, seed=7)
+    got = answers.select("p_partkey", F.array_join("outcomes", ",").alias("outcomes"), F.col("metadata.seed").alias("seed"), F.col("metadata.cache_prompt_version").alias("version"))
+    keyed = part.select("p_partkey", text.cache_key(F.col("customer_id"), F.col("asin"), F.lit("7"), tag).alias("key"))
+    return got.join(keyed, "p_partkey").join(fresh.select("key", F.lit(True).alias("asked")), "key", "left").select("p_partkey", "outcomes", F.coalesce("asked", F.lit(False)).alias("asked"), "seed", "version")
+
+
+@query("n6_price_histogram", f"WITH e AS ({PURCHASES}), b AS (SELECT least(greatest(floor(price / (4000 / 50.0::DOUBLE)), 0), 49)::BIGINT AS bin FROM e) SELECT bin, bin * (4000 / 50.0::DOUBLE) AS low, count(*) AS n FROM b GROUP BY 1")
+def n6_price_histogram(spark, sf_dir):
+    return legacy.price_histogram(purchases(spark, sf_dir), most=4000.0)
 
 
 @query("x_stream_windowed_popularity", "SELECT epoch_us(date_trunc('day', ts)) AS day_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")

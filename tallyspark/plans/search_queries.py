@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import catalog, history, models, nets, search, split, symbolic
+from ..operators import catalog, choice, history, models, nets, posthoc, search, split, structures, symbolic
 from ..sources.binding import PURCHASES, purchases, table
-from .eval_queries import _LONG, _RESULTS, alternatives, results
+from .eval_queries import _LONG, _PAIR, _RESULTS, alternatives, results
 from .history_queries import SPLIT_SQL
 from .model_queries import CUT_US
 from .registry import query
@@ -34,7 +34,7 @@ def l3_feature_terms(spark, sf_dir):
 @query(
     "n4_j14_legacy_rows",
     f"""WITH {_LONG}, h AS (SELECT seq AS hseq, row_number() OVER (PARTITION BY customer_id, asin ORDER BY us, seq) - 1 AS routine FROM e), p AS (SELECT asin, count(*) AS popularity FROM e GROUP BY 1), c AS (SELECT category, avg(price) AS cp FROM e GROUP BY 1)
-SELECT event_id, alt_idx, CASE WHEN chosen THEN routine ELSE 0 END::DOUBLE AS routine, CASE WHEN chosen AND routine > 0 THEN 0 ELSE 1 END::DOUBLE AS novelty, round(ln(1 + popularity), 7) AS popularity, round(CASE WHEN chosen THEN 1 - price / (cp + 1e-8) ELSE 0 END, 6) + 0.0::DOUBLE AS price_rank
+SELECT event_id, alt_idx, CASE WHEN chosen THEN routine ELSE 0 END::DOUBLE AS routine, CASE WHEN chosen AND routine > 0 THEN 0 ELSE 1 END::DOUBLE AS novelty, round(ln(1 + popularity), 7) AS popularity, round(CASE WHEN chosen THEN 1 - price / (cp + 1e-8) ELSE 0 END, 6) + 0.0::DOUBLE AS price_rank, 0.0::DOUBLE AS time_match, 0.0::DOUBLE AS co_purchase
 FROM l JOIN h ON hseq = seq JOIN p USING (asin) JOIN c USING (category)""",
 )
 def n4_legacy_rows(spark, sf_dir):
@@ -42,7 +42,7 @@ def n4_legacy_rows(spark, sf_dir):
     h = history.state_features(e).select("seq", "routine", "novelty", "recency_days", "cat_affinity")
     price = e.groupBy("category").agg(F.avg("price").alias("category_price"))
     got = search.legacy_rows(alternatives(spark, sf_dir).join(h, "seq"), catalog.popularity(e), price)
-    return got.select("event_id", "alt_idx", "routine", "novelty", F.round("popularity", 7).alias("popularity"), (F.round("price_rank", 6) + 0.0).alias("price_rank"))
+    return got.select("event_id", "alt_idx", "routine", "novelty", F.round("popularity", 7).alias("popularity"), (F.round("price_rank", 6) + 0.0).alias("price_rank"), "time_match", "co_purchase")
 
 
 @query("f20_letter_probabilities", "SELECT p_partkey, i::BIGINT AS i, round(CASE i WHEN 0 THEN 0.25 * p_size WHEN 1 THEN 2 ELSE 0 END / (0.25 * p_size + 2), 8) AS p FROM part, range(0, 3) AS r(i)")
@@ -68,7 +68,7 @@ def j11_unknown_customers(spark, sf_dir):
 @query("p13_batch_subset", f"WITH {_LONG} SELECT event_id, alt_idx FROM l WHERE event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def p13_batch_subset(spark, sf_dir):
     chosen = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
-    return alternatives(spark, sf_dir).join(chosen, "event_id", "left_semi").select("event_id", "alt_idx")
+    return choice.subset(alternatives(spark, sf_dir), chosen).select("event_id", "alt_idx")
 
 
 @query("m7_leak_detector", f"WITH {_LONG} SELECT 'leak' AS feature")
@@ -93,10 +93,88 @@ def s13_external_scores(spark, sf_dir):
     return search.external_scores(a.drop("score"), a.select("event_id", "alt_idx", F.col("quantity").alias("logit"))).select("event_id", "alt_idx", "score")
 
 
-@query("e13_significance_summary", f"WITH {_RESULTS} SELECT count(DISTINCT seed) AS seeds, count(*) AS n FROM res WHERE model = 'own' AND status = 'ok'")
-def e13_significance_summary(spark, sf_dir):
-    r = results(spark, sf_dir).filter("model = 'own' and status = 'ok'")
-    return r.agg(F.countDistinct("seed").alias("seeds"), F.count("*").alias("n"))
+_ERFC = "CASE WHEN {x} > 3.7 THEN 0 ELSE round(1 - 2 / sqrt(pi()) * list_sum([(-1) ** i * ({x}) ** (2 * i + 1) / (exp(lgamma(i + 1)) * (2 * i + 1)) for i in range(0, 60)]), 5) END"
+
+
+@query(
+    "e13_significance_tests",
+    f"""WITH {_RESULTS}, {_PAIR}, t AS (SELECT model, count(*) AS n, count(*) FILTER (NOT top1_a AND top1) AS b01, count(*) FILTER (top1_a AND NOT top1) AS b10 FROM pk GROUP BY 1),
+d AS (SELECT model, nll - nll_a AS d FROM pk WHERE nll <> nll_a), k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) AS lo, count(*) OVER (PARTITION BY model, abs(d)) AS n FROM d), r AS (SELECT *, lo + (n - 1) / 2.0::DOUBLE AS rank FROM k),
+w AS (SELECT model, least(coalesce(sum(rank) FILTER (d > 0), 0), sum(rank) - coalesce(sum(rank) FILTER (d > 0), 0)) AS s, count(*)::DOUBLE AS m, sum(n * n - 1)::DOUBLE AS ties FROM r GROUP BY 1),
+z AS (SELECT model, abs(s - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) / sqrt(2) AS x FROM w), c AS (SELECT model, n, CASE WHEN b01 + b10 > 0 THEN sqrt((abs(b01 - b10) - 1) ** 2 / (b01 + b10)::DOUBLE / 2) ELSE 0 END AS y FROM t)
+SELECT model, n, {_ERFC.format(x="x")}::DOUBLE + 0.0::DOUBLE AS wilcoxon_p, {_ERFC.format(x="y")}::DOUBLE + 0.0::DOUBLE AS mcnemar_p FROM c JOIN z USING (model)""",
+)
+def e13_significance_tests(spark, sf_dir):
+    got = posthoc.pair_tests(posthoc.paired(results(spark, sf_dir), "own"))
+    return got.select("model", "n", F.round("wilcoxon_p", 5).alias("wilcoxon_p"), F.round("mcnemar_p", 5).alias("mcnemar_p"))
+
+
+@query("e13_significance_report")
+def e13_significance_report(spark, sf_dir):
+    report = posthoc.significance(results(spark, sf_dir), "own")
+    return spark.createDataFrame([(line,) for line in posthoc.significance_text(report).splitlines()], "line string")
+
+
+@query("m6_structure_by_q_learning")
+def m6_structure_by_q_learning(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    return structures.Structured(["units", "price", "position"]).fit(train).score(test).select("event_id", "alt_idx", "score")
+
+
+@query("m18_neighbourhood_search")
+def m18_neighbourhood_search(spark, sf_dir):
+    train, _ = _halves(spark, sf_dir)
+    fits = structures.Fits(train, ["units", "price", "position"])
+    best, archive = structures.NeighbourhoodSearch().search(fits)
+    return spark.createDataFrame([(", ".join(fits.shown(s)), float(nll), size, s == best) for s, nll, size in archive], "structure string, nll double, size int, best boolean")
+
+
+@query(
+    "f20_logprobs",
+    "SELECT p_partkey, i::BIGINT AS i, round(CASE i WHEN 0 THEN exp(-p_size / 10.0::DOUBLE) WHEN 1 THEN exp(-1) ELSE 0 END / (exp(-p_size / 10.0::DOUBLE) + exp(-1)), 8) AS p FROM part, range(0, 3) AS r(i)",
+)
+def f20_logprobs(spark, sf_dir):
+    token = lambda t, x: F.struct(F.lit(t).alias("token"), x.alias("logprob"))
+    top = F.array(token(" A", -F.col("p_size") / 10.0), token("b)", F.lit(-1.0)), token("a", F.lit(-99.0)), token("the", F.lit(-0.1)))
+    p = search.logprob_probabilities(top, "ABC")
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(p).alias("i", "p")).select("p_partkey", F.col("i").cast("long").alias("i"), F.round("p", 8).alias("p"))
+
+
+@query(
+    "m8_few_shot_prompts",
+    f"""WITH {_LONG}, {SPLIT_SQL}, ev AS (SELECT event_id, any_value(customer_id) AS customer_id, max(us) AS us, count(*) AS j FROM l GROUP BY 1), p AS (SELECT event_id, j, s.title, s.category, s.price, row_number() OVER (PARTITION BY event_id ORDER BY s.us DESC, s.seq DESC) AS k FROM ev JOIN s ON s.customer_id = ev.customer_id AND s.us < ev.us AND split = 'train'),
+c AS (SELECT event_id, count(*) AS shown FROM p WHERE k <= 4 GROUP BY 1)
+SELECT l.event_id, alt_idx, round(ln(1.0::DOUBLE / j), 7) AS score, coalesce(shown, 0) AS shown FROM l LEFT JOIN c USING (event_id)""",
+)
+def m8_few_shot_prompts(spark, sf_dir):
+    """The stand-in gives every letter the same probability but names how many earlier choices its prompt shows."""
+    rows = alternatives(spark, sf_dir)
+    events = rows.groupBy("event_id").agg(F.max("customer_id").alias("customer_id"), F.max("us").alias("us"), F.transform(F.array_sort(F.collect_list(F.struct("alt_idx", "title", "price"))), lambda x: F.struct(x["title"].alias("title"), x["price"].alias("price"))).alias("alts"))
+    events = events.withColumn("c_d", F.lit("Someone"))
+    past = split.temporal_split(purchases(spark, sf_dir)).filter("split = 'train'")
+    even = lambda prompt: F.lit('{"A": 1, "B": 1, "C": 1, "D": 1, "E": 1, "F": 1, "G": 1, "H": 1, "I": 1, "J": 1}')
+    scored = search.few_shot(events, past, even, shots=4)
+    probes = events.select("customer_id", F.col("us").alias("probe_us"), F.col("event_id").alias("probe_id"))
+    shown = history.latest_before(past, probes, 4).select(F.col("probe_id").alias("event_id"), F.size("examples").cast("long").alias("shown"))
+    n = events.select("event_id", F.size("alts").alias("j"))
+    # Letters beyond the set's size have probability, too; a place's mean over rotations is a tenth.
+    both = scored.join(shown, "event_id").join(n, "event_id")
+    return both.select("event_id", "alt_idx", F.round(F.log(F.exp("score") * 10 / F.col("j")), 7).alias("score"), "shown")
+
+
+@query(
+    "j14_legacy_lookups",
+    f"""WITH {_LONG}, h AS (SELECT *, row_number() OVER (PARTITION BY customer_id, asin ORDER BY us, seq) - 1 AS routine, row_number() OVER (PARTITION BY customer_id, category ORDER BY us, seq) - 1 AS cat_affinity, split_part(title, ' ', 1) AS brand FROM e),
+x AS (SELECT customer_id, (asin::BIGINT % 50)::VARCHAR AS asin, event_id, alt_idx, category FROM l), p AS (SELECT customer_id, asin, max(routine) AS r FROM h GROUP BY 1, 2), i AS (SELECT asin, count(*) AS n, arg_min(category, (us, seq)) AS c, arg_min(brand, (us, seq)) AS brand FROM h GROUP BY 1),
+a AS (SELECT customer_id, category AS c, max(cat_affinity) AS af FROM h GROUP BY 1, 2), b AS (SELECT customer_id, brand, count(*) AS nb FROM h GROUP BY 1, 2)
+SELECT event_id, alt_idx, coalesce(r, 0)::DOUBLE AS routine, (r IS NULL)::INT::DOUBLE AS novelty, round(ln(1 + coalesce(n, 0)), 7) AS popularity, round(ln(1 + coalesce(af, 0)), 7) AS affinity, round(ln(1 + coalesce(nb, 0)), 7) AS brand_affinity, 0.0::DOUBLE AS co_purchase
+FROM x LEFT JOIN i USING (asin) LEFT JOIN p USING (customer_id, asin) LEFT JOIN a ON a.customer_id = x.customer_id AND a.c = coalesce(i.c, x.category) LEFT JOIN b ON b.customer_id = x.customer_id AND b.brand = i.brand""",
+)
+def j14_legacy_lookups(spark, sf_dir):
+    e = history.state_features(purchases(spark, sf_dir)).withColumn("brand", F.split_part("title", F.lit(" "), F.lit(1)))
+    rows = alternatives(spark, sf_dir).withColumn("asin", (F.col("asin").cast("long") % 50).cast("string"))
+    got = search.legacy_lookups(rows, e)
+    return got.select("event_id", "alt_idx", "routine", "novelty", *(F.round(c, 7).alias(c) for c in ("popularity", "affinity", "brand_affinity")), "co_purchase")
 
 
 @query("w7_split_counts", f"WITH e AS ({PURCHASES}), {SPLIT_SQL} SELECT split, count(*) AS n FROM s GROUP BY 1")
