@@ -15,7 +15,78 @@ from tallyspark.sources.shared import own_folder
 
 def _shipped(stage):
     @wraps(stage)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_shipped
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample of good text leaves out go.
+
+    Null, empty and wordless texts weigh least; rows of equal id and text share their fate; an empty table stays empty;
+    texts of any length are read whole; all columns stay as they are, whatever their names.
+    """
+    return resample.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_shipped
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays: that of the least id, a null id last, then of the least text hash.
+
+    Null, empty and wordless texts are in no class and stay, every row of them; of other rows that repeat one stays; an
+    empty table stays empty; texts of any length are read whole; all columns stay as they are, whatever their names.
+    """
+    return jaccard.keep_one(docs)
+
+
+@_shipped
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contamination rule names go.
+
+    Null, empty and wordless texts hit nothing and stay; repeated rows share their fate; an empty table stays empty; texts
+    of any length are searched whole; all columns stay as they are, whatever their names.
+    """
+    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
+    found = decontam.find(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
+    return found.filter(~decontam.contaminated()).select("row.*")
+
+
+@_shipped
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with its secrets masked and n_chars set anew where that changed the text.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; an empty table stays empty; texts of any length
+    are scanned whole; all other columns stay as they are, whatever their names.
+    """
+    return secret_spans.redact(docs)
+
+
+@_shipped
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the token ids, the text decoded from them, and the digests of both.
+
+    Null and empty texts have no ids and decode to the empty text; repeated rows each get their row; an empty table gives
+    none; texts of any length are encoded whole; columns but id and text are left out.
+    """
+    return bpe.encode_decode(docs.select("doc_id", "text"), vocabulary(), carry=["doc_id"], digest=True)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("BPE encoding and decoding", encoding),
+]
+
+#: Models and tokenizers aren't expressible in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. What a stage keeps lies in a folder of its own in the shared one, which goes when the
     driver ends; the last one's rows are the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
