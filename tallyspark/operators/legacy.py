@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.text import tokens
 from ..sources.binding import DAY_US
 from .metrics import share
@@ -148,8 +149,9 @@ def worst_categories(scored: DataFrame, most: int = 3) -> DataFrame:
 def weight_summary(weights: DataFrame, column: str = "weight") -> DataFrame:
     """One row: least, median, greatest, mean and population deviation of weights, zeros where there are none."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    median = quantiles(weights, column, [0.5])[0]
     return weights.agg(
-        zero(F.min(column)).alias("least"), zero(F.percentile(column, F.lit(0.5))).alias("median"), zero(F.max(column)).alias("greatest"), zero(F.avg(column)).alias("mean"), zero(F.stddev_pop(column)).alias("std")
+        zero(F.min(column)).alias("least"), F.lit(median or 0.0).alias("median"), zero(F.max(column)).alias("greatest"), zero(F.avg(column)).alias("mean"), zero(F.stddev_pop(column)).alias("std")
     )
 
 

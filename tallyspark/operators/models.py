@@ -85,23 +85,25 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def curvature(events: DataFrame, names: list[str], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Summed negative log likelihood, gradient and Hessian over packed events; a partition gives one row."""
+def curvature(events: DataFrame, names: list[str], w: np.ndarray, count: bool = False) -> tuple:
+    """Summed negative log likelihood, gradient and Hessian over packed events, with ``count`` also their number; a
+    partition gives one row."""
     k = len(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, out = 0.0, np.zeros(k + k * k)
+        loss, n, out = 0.0, 0, np.zeros(k + k * k)
         for pdf in batches:
             if len(pdf):
                 part, x, p, means = _events(pdf, k, w)
-                loss += part
+                loss, n = loss + part, n + len(pdf)
                 out[:k] += means[1].sum(0)
                 out[k:] += ((x * p[:, None]).T @ x - means[0].T @ means[0]).ravel()
-        yield pd.DataFrame({"loss": [loss], "out": [out.tolist()]})
+        yield pd.DataFrame({"loss": [loss], "n": [n], "out": [out.tolist()]})
 
-    r = events.mapInPandas(run, "loss double, out array<double>").agg(F.sum("loss"), F.array(*(F.sum(F.col("out")[i]) for i in range(k + k * k)))).first()
+    r = events.mapInPandas(run, "loss double, n long, out array<double>").agg(F.sum("loss"), F.array(*(F.sum(F.col("out")[i]) for i in range(k + k * k))), F.sum("n")).first()
     out = np.array([x or 0.0 for x in r[1]])
-    return r[0] or 0.0, out[:k], out[k:].reshape(k, k)
+    found = (r[0] or 0.0, out[:k], out[k:].reshape(k, k))
+    return (*found, int(r[2] or 0)) if count else found
 
 
 @dataclass
@@ -149,16 +151,24 @@ def hierarchical(alternatives: DataFrame, names: list[str], group: str, values:
     return alternatives.withColumns(made), [*names, *made]
 
 
+#: Features up to which a sparse logit takes curvature steps.
+FEW_FEATURES = 30
+
+
 @dataclass
 class SparseLogit:
-    """Conditional logit with an L1 penalty: accelerated proximal steps down a descending path of penalties, each
-    started from the last; the penalty and a temperature are chosen on validation events."""
+    """Conditional logit with an L1 penalty down a descending path of penalties, each started from the last; the penalty
+    and a temperature are chosen on validation events, a tenth of the training ones where none are given. Few features
+    take curvature steps, many take accelerated proximal ones."""
 
     names: list[str]
     penalties: tuple[float, ...] = (0.1, 0.03, 0.01, 0.003, 0.001)
     rounds: int = 40
 
-    def fit(self, training: DataFrame, validation: DataFrame) -> SparseLogit:
+    def fit(self, training: DataFrame, validation: DataFrame | None = None) -> SparseLogit:
+        if validation is None:
+            held = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+            training, validation = training.filter(~held), training.filter(held)
         stats = training.agg(*(F.avg(n).alias(f"m_{n}") for n in self.names), *(F.stddev_pop(n).alias(f"s_{n}") for n in self.names)).first()
         self.mean = np.array([stats[f"m_{n}"] or 0.0 for n in self.names])
         self.std = np.array([stats[f"s_{n}"] or 1.0 for n in self.names])
@@ -196,6 +206,38 @@ class SparseLogit:
         return packed(df.withColumns(cols), self.names)
 
     def _path(self, events: DataFrame, w: np.ndarray, penalty: float) -> np.ndarray:
+        return self._newton(events, w, penalty) if len(w) <= FEW_FEATURES else self._gradient(events, w, penalty)
+
+    def _newton(self, events: DataFrame, w: np.ndarray, penalty: float) -> np.ndarray:
+        """Curvature steps: the penalised quadratic around w is solved coordinate by coordinate in the driver."""
+        loss, grad, hess = self._mean(events, w)
+        for _ in range(self.rounds):
+            new = w.copy()
+            for _ in range(200):
+                before = new.copy()
+                for i in range(len(w)):
+                    h = hess[i, i] + 1e-9
+                    z = new[i] - (grad[i] + hess[i] @ (new - w)) / h
+                    new[i] = np.sign(z) * max(abs(z) - penalty / h, 0.0)
+                if np.abs(new - before).max(initial=0) < 1e-9:
+                    break
+            step, value = 1.0, loss + penalty * np.abs(w).sum()
+            while True:
+                at = w + step * (new - w)
+                got = self._mean(events, at)
+                if got[0] + penalty * np.abs(at).sum() <= value + 1e-12 or step < 1e-4:
+                    break
+                step /= 2
+            moved, w, (loss, grad, hess) = np.abs(at - w).max(initial=0), at, got
+            if moved < 1e-5:
+                break
+        return w
+
+    def _mean(self, events: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, grad, hess, n = curvature(events, self.names, w, count=True)
+        return loss / max(n, 1), grad / max(n, 1), hess / max(n, 1)
+
+    def _gradient(self, events: DataFrame, w: np.ndarray, penalty: float) -> np.ndarray:
         step, y, t = 1.0, w.copy(), 1.0
         for _ in range(self.rounds):
             f, grad, _n = loss_and_gradient(events, self.names, y)

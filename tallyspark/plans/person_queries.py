@@ -167,9 +167,17 @@ def f7_f9_context_suppressed(spark, sf_dir):
     return people(spark, sf_dir).select("customer_id", persons.context(gone, gender=F.when(F.col("has_kids") == 1, "female"), life_event=event).alias("context"))
 
 
-@query("f10_leak_guard", f"WITH {_PEOPLE} SELECT 0::BIGINT AS leaking, count(*) AS n FROM p")
+_SPOILED = "CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN ' see {c}'" for i, c in enumerate(("income_bucket", "25-34", "education", "plain"))) + " ELSE '' END"
+
+
+@query("f10_leak_guard", f"SELECT c_custkey::VARCHAR AS customer_id, {' OR '.join(f"contains(t, '{c}')" for c in text.CODES)} AS leaks FROM (SELECT c_custkey, c_mktsegment || {_SPOILED} AS t FROM customer)")
 def f10_leak_guard(spark, sf_dir):
-    return people(spark, sf_dir).agg(F.sum(persons.leaks(persons.context()).cast("long")).alias("leaking"), F.count("*").alias("n"))
+    """Texts of which some name a column or hold a raw code, beside contexts, which never do."""
+    c = table(spark, sf_dir, "customer")
+    spoiled = F.coalesce(F.try_element_at(F.array(*map(F.lit, (" see income_bucket", " see 25-34", " see education", " see plain"))), (F.col("c_custkey") % 7 + 1).cast("int")), F.lit(""))
+    clean = people(spark, sf_dir).select("customer_id", persons.leaks(persons.context()).alias("never"))
+    got = c.select(F.col("c_custkey").cast("string").alias("customer_id"), persons.leaks(F.concat("c_mktsegment", spoiled)).alias("leaks"))
+    return got.join(clean, "customer_id").select("customer_id", (F.col("leaks") | F.col("never")).alias("leaks"))
 
 
 _SCRUB = "left(p_name || ' (165+ pcs)  education kit 25-34 150k+ ' || repeat('x', (p_partkey % 40)::INT), 80)"

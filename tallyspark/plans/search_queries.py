@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import catalog, choice, history, models, nets, posthoc, search, split, structures, symbolic
+from ..operators import catalog, choice, history, models, nets, persons, posthoc, runs, search, split, structures, symbolic
 from ..sources.binding import PURCHASES, purchases, table
+from ..sources.shared import stored
 from .eval_queries import _LONG, _PAIR, _RESULTS, alternatives, results
 from .history_queries import SPLIT_SQL
 from .model_queries import CUT_US
@@ -71,7 +72,11 @@ def p13_batch_subset(spark, sf_dir):
     return choice.subset(alternatives(spark, sf_dir), chosen).select("event_id", "alt_idx")
 
 
-@query("m7_leak_detector", f"WITH {_LONG} SELECT 'leak' AS feature")
+_GIVES = "bool_and(coalesce({0} <> 0, false)) AND bool_and(coalesce({1} = 0, false))"
+
+
+@query("m7_leak_detector", f"""WITH {_LONG}, v AS (SELECT event_id, chosen, chosen::INT::DOUBLE AS leak, 1.0::DOUBLE AS fair, quantity FROM l), u AS (UNPIVOT v ON leak, fair, quantity INTO NAME feature VALUE x),
+p AS (SELECT feature, event_id, max(CASE WHEN chosen THEN x END) AS own, max(CASE WHEN NOT chosen THEN abs(x) END) AS other FROM u GROUP BY 1, 2) SELECT feature FROM p GROUP BY 1 HAVING {_GIVES.format("own", "other")}""")
 def m7_leak_detector(spark, sf_dir):
     rows = alternatives(spark, sf_dir).withColumns({"leak": F.col("chosen").cast("double"), "fair": F.lit(1.0)})
     return spark.createDataFrame([(f,) for f in search.leaking_features(rows, ["leak", "fair", "quantity"])], "feature string")
@@ -209,7 +214,7 @@ def m15_hierarchical_logit(spark, sf_dir):
 @query("m5_monotone_net")
 def m5_monotone_net(spark, sf_dir):
     train, test = _halves(spark, sf_dir)
-    return nets.NetLogit(["units", "log_price", "position"], monotone={"log_price": -1}, epochs=15).fit(train).score(test).select("event_id", "alt_idx", "score")
+    return nets.NetLogit(["units", "log_price", "position"], monotone={"log_price": -1}).fit(train).score(test).select("event_id", "alt_idx", "score")
 
 
 @query("m7_text_net")
@@ -227,9 +232,22 @@ def m9_equation_search(spark, sf_dir):
 
 @query("e9_leaderboard")
 def e9_leaderboard(spark, sf_dir):
-    train, test = _halves(spark, sf_dir)
-    made = {"popularity": models.Popularity, "position": lambda: models.Popularity(1.0, ("category", "alt_idx")), "net": lambda: nets.NetLogit(["units", "log_price"], epochs=10)}
-    return search.leaderboard(made, train, test).select("model", "status", "nll", "top1", "mrr", "uplift")
+    """All models of the registry with their default settings."""
+    train, test = (stored(d, "halves") for d in _halves(spark, sf_dir))
+    letters = lambda shown: F.concat(F.lit('{"A": 2, "B": 1, "n": '), F.size(shown).cast("string"), F.lit("}"))
+    board = search.leaderboard(runs.registry(["units", "log_price", "position"], "title", letters), train, test)
+    return board.select("model", "status", "nll", "top1", "mrr", "uplift", "note")
+
+
+@query("s12_run")
+def s12_run(spark, sf_dir):
+    """From events to a leaderboard of three models, through choice sets and whole records."""
+    from .person_queries import people
+
+    who = people(spark, sf_dir)
+    who = who.join(persons.vectors(who, persons.fit(who)), "customer_id")
+    chosen = {k: v for k, v in runs.registry(runs.FEATURES).items() if k in ("popularity", "position", "relevance_logit")}
+    return runs.run(purchases(spark, sf_dir), who, runs.person_context(), chosen=chosen).select("model", "status", "nll", "top1", "mrr", "uplift", "note")
 
 
 def _net_events(spark, sf_dir):

@@ -230,7 +230,7 @@ def test_posthoc_planted_effect(spark):
     b = {x["model"]: x for x in posthoc.bootstrap(pairs, 300).collect()}
     assert w["worse"] < 1e-6 < 0.01 < w["same"] and m["worse"] < 1e-6 < 0.01 < m["same"]
     assert b["worse"]["delta_lo"] > 0.5 and b["same"]["delta_lo"] < 0 < b["same"]["delta_hi"]
-    assert posthoc.shown_p(1e-9) == "<1e-6" and posthoc.shown_p(0.005) == "5.0e-03"
+    assert posthoc.shown_p(1e-9) == "<1e-6" and posthoc.shown_p(0.005) == "5.00e-03"
 
 
 def test_models_find_planted_signal(spark):
@@ -394,8 +394,8 @@ def test_simulation_draws_from_the_whole_category_and_catalogue(spark):
 
 def test_utility_net_learns_and_its_gradient_is_right():
     rng = np.random.default_rng(0)
-    for salience, weighting in (("net", "softmax"), ("uniform", "softplus")):
-        net = models.UtilityNet(attributes=2, outcomes=2, width=3, persons=2, hidden=4, salience=salience, weighting=weighting).init()
+    for salience, weighting, utility in (("net", "softmax", "attributes"), ("uniform", "softplus", "attributes"), ("net", "softmax", "concat"), ("net", "softmax", "film"), ("uniform", "softmax", "film")):
+        net = models.UtilityNet(attributes=2, outcomes=2, width=3, persons=2, hidden=4, salience=salience, weighting=weighting, utility=utility).init()
         z, e, own, w = rng.normal(size=(5, 2)), rng.normal(size=(5, 3, 2, 3)), rng.integers(0, 3, 5), rng.random(5) + 0.5
         _, g = net.gradient(z, e, own, w, 0.1)
         for k, v in net.p.items():
@@ -471,3 +471,226 @@ def test_text_net(spark):
     got = metrics.per_event(nets.TextNet(width=16).fit(df).score(df)).agg(F.avg(F.col("top1").cast("int"))).first()[0]
     assert got == 1.0
     assert spark.range(1).select(nets.rendered(F.lit("t"), F.lit("c"), F.lit(1.0), F.lit(2), F.lit(True))).first()[0].endswith("Bought before")
+
+
+def test_ablations_and_sweeps(spark):
+    rng = np.random.default_rng(1)
+    n = 400
+    z, e = rng.normal(size=(n, 2)), rng.normal(size=(n, 3, 2, 3))
+    own = (e[..., 0].mean(-1) * z[:, :1] * 4).argmax(1)  # what is liked depends on the person
+    data = lambda s: (z[s], e[s], own[s], np.ones(len(own[s])))
+    base = models.UtilityNet(attributes=2, outcomes=2, width=3, persons=2, hidden=8)
+    rows = models.sweep(data(slice(0, 300)), data(slice(300, n)), {"utility": ["attributes", "concat", "film"], "outcomes": [1, 2]}, base, epochs=15, rate=0.03)
+    assert len(rows) == 6 and [r["nll"] for r in rows] == sorted(r["nll"] for r in rows)
+    best = {u: min(r["nll"] for r in rows if r["utility"] == u) for u in ("attributes", "concat", "film")}
+    assert all(v < np.log(3) - 0.05 for v in best.values())
+    net = models.UtilityNet(outcomes=2, width=3, persons=2, utility="film").init()
+    table = spark.createDataFrame([(i, z[i].tolist(), e[i, : 2 + i % 2].ravel().tolist()) for i in range(40)], "event_id long, z array<double>, e array<double>")
+    got = {(r["event_id"], r["alt_idx"]): r["score"] for r in net.score(table).collect()}
+    assert len(got) == sum(2 + i % 2 for i in range(40))
+    assert all(got[i, j] == pytest.approx(net.forward(z[i : i + 1], e[i : i + 1])["V"][0, j]) for i, j in got)
+
+
+def test_subsample_guard(spark, events):
+    h = history.state_features(events)
+    assert models.guarded_subsample(h, None) is None and models.guarded_subsample(h, 4, method="random").count() == 4
+    with pytest.raises(ValueError, match="unknown method"):
+        models.guarded_subsample(h, 4, method="best")
+    with pytest.warns(UserWarning, match="no leverage subsample"):
+        assert models.guarded_subsample(events, 4) is None
+
+
+def test_structure_searches_find_planted_forms(spark):
+    from tallyspark.operators import search, structures
+
+    rows = search.synthetic(spark, 400, [1.5, 0.0, 0.0], alternatives=4, seed=21).withColumn("x1", F.exp("x1"))
+    fits = structures.Fits(rows, ["x0", "x1", "x2"])
+    plain = fits((1, 0, 0))
+    assert plain.nll < np.log(4) - 0.2 and fits((0, 0, 0)).nll == pytest.approx(np.log(4)) and len(fits.known) == 2
+    assert plain.weights[0] == pytest.approx(1.5, abs=0.35) and fits((1, 1, 0)).aic(fits.n) > plain.aic(fits.n) - 2
+    every = min(((a, b, c) for a in range(4) for b in range(4) for c in range(4)), key=lambda s: fits(s).bic(fits.n))
+    best, archive = structures.NeighbourhoodSearch(evaluations=40).search(fits)
+    assert best == every and archive[0][2] == 0 and [a[1] for a in archive] == sorted((a[1] for a in archive), reverse=True)
+    barred, _ = structures.NeighbourhoodSearch(evaluations=40, signs={"x0": -1}).search(fits)
+    assert barred[0] == 0
+    found, fit = structures.QSearch(episodes=40).search(fits)
+    assert found[0] and fit.aic(fits.n) <= plain.aic(fits.n) + 2
+    model = structures.Structured(["x0", "x1", "x2"], structures.NeighbourhoodSearch(evaluations=20)).fit(rows.filter("event_id < 300"))
+    nll = metrics.per_event(model.score(rows.filter("event_id >= 300"))).agg(F.avg("nll")).first()[0]
+    assert nll < np.log(4) - 0.15 and "x0" in " ".join(model.names)
+
+
+def test_proposals_of_a_language_model(spark):
+    from tallyspark.functions.terms import Term
+    from tallyspark.operators import search
+
+    said = "- routine\n`log_transform(popularity)`\nnonsense here\n* routine\npower(novelty, exponent=x)"
+    assert search.proposals(said) == [Term("routine"), Term("log_transform", ("popularity",))]
+    rng = np.random.default_rng(0)
+    assert search.propose_by(lambda p: said, ["routine", "popularity"])([Term("novelty")], ["routine"], rng) == search.proposals(said)
+    assert search.propose_by(lambda p: "no idea", ["routine"])([Term("novelty")], ["routine"], rng)
+
+
+def test_poisson_multiplicities():
+    m = posthoc.multiplicities(np.arange(4000), 200, 5)
+    assert m.shape == (200, 4000) and abs(m.mean() - 1) < 0.01 and abs(m.var() - 1) < 0.02
+    assert (m == posthoc.multiplicities(np.arange(4000), 200, 5)).all() and (m != posthoc.multiplicities(np.arange(4000), 200, 6)).any()
+    assert abs(np.corrcoef(m[0], m[1])[0, 1]) < 0.06 and abs(np.corrcoef(m[:, 0], m[:, 1])[0, 1]) < 0.25
+
+
+def test_as_of_examples(spark):
+    line = spark.createDataFrame([("a", i // 2, f"{i}", f"x{i}") for i in range(7)] + [("b", 1, "0", "y")], "customer_id string, us long, seq string, asin string")
+    probes = spark.createDataFrame([("a", 3, 1), ("a", 0, 2), ("a", 99, 3), ("c", 5, 4), ("b", 1, 5), ("b", 2, 6)], "customer_id string, probe_us long, probe_id long")
+    got = {r["probe_id"]: [x["asin"] for x in r["examples"]] for r in history.latest_before(line, probes, 3).collect()}
+    assert got == {1: ["x5", "x4", "x3"], 2: [], 3: ["x6", "x5", "x4"], 4: [], 5: [], 6: ["y"]}
+
+
+def test_reports_of_significance_and_segments(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(m, "1", i, f"c{i % 7}", f"k{i % 3}", i % 2 == 0, float(rng.normal(gap)), bool(rng.random() < rate), "ok") for m, gap, rate in (("own", 0.0, 0.8), ("same", 0.0, 0.8), ("worse", 1.0, 0.3)) for i in range(300)]
+    r = spark.createDataFrame(rows, "model string, seed string, event_idx long, customer_id string, category string, is_repeat boolean, nll double, top1 boolean, status string")
+    report = posthoc.significance(r, "own", 200)
+    assert list(report["pairs"]) == ["worse", "same"] and report["n_events"] == 300 and report["n_seeds"] == 1
+    assert report["pairs"]["worse"]["wilcoxon_p_value"] < 1e-6 < report["pairs"]["same"]["wilcoxon_p_value"] and report["pairs"]["same"]["aso_epsilon_min"] is None
+    text_ = posthoc.significance_text(report)
+    assert "| worse | +" in text_ and "<1e-6" in text_ and text_.index("| worse") < text_.index("| same")
+    posthoc.save_significance(report, str(tmp_path))
+    assert json.loads((tmp_path / "pairwise_vs_own.json").read_text())["pairs"]["same"]
+    seg = posthoc.segmentation(r, "own", least=8)
+    assert set(seg["schemes"]) == set(posthoc.SCHEMES) and all(g["small"] for g in seg["schemes"]["novelty"]["segments"].values())
+    first = next(iter(seg["schemes"]["novelty"]["segments"].values()))["models"]
+    assert first[-1]["model"] == "worse" and "(small)" in posthoc.segmentation_text(seg, "novelty")
+    posthoc.save_segmentation(seg, str(tmp_path / "seg"))
+    assert (tmp_path / "seg/by_novelty.md").exists() and json.loads((tmp_path / "seg/summary.json").read_text()).keys() == set(posthoc.SCHEMES)
+
+
+def test_adapters_stages_and_checked_cleaning(spark, tmp_path):
+    reads = []
+    schema = store.Schema("name: shop\nevents: {column_map: {A: customer_id, B: customer_id, P: price}, dropna_subset: [customer_id], dtype_coerce: {price: float}}\npersons: {id_column: R}")
+    a = store.Adapter(schema, lambda: reads.append(1) or spark.range(2), lambda: spark.range(3))
+    assert a.load_events().count() == 2 == a.load_events().count() and reads == [1] and a.load_persons().count() == 3
+    stages = store.Stages(spark, str(tmp_path / "s"))
+    stages.save("one", spark.range(1))
+    with pytest.raises(FileNotFoundError, match="two, three: run these"):
+        stages.require("one", "two", "three")
+    assert [d.count() for d in stages.require("one")] == [1]
+    validate.loaded(["B", "P"], ["R"], schema)
+    with pytest.raises(validate.Violation, match="customer_id"):
+        validate.loaded(["P"], ["R"], schema)
+    with pytest.raises(validate.Violation, match="present"):
+        validate.loaded(["A", "P"], ["x"], schema)
+    raw = spark.createDataFrame([("a", "1"), (None, "2"), ("c", "3")], "A string, P string")
+    with pytest.warns(UserWarning, match="drops 33.3%"):
+        assert [r["customer_id"] for r in store.clean_checked(raw, schema, ["price"]).collect()] == ["a", "c"]
+    with pytest.raises(validate.Violation):
+        store.clean_checked(raw.filter("A = 'a'").withColumn("P", F.lit("-1")), schema)
+
+
+def test_declarations_are_checked():
+    good = "name: x\nevents: {column_map: {A: customer_id}}\npersons: {id_column: R, fields: {s: {kind: passthrough, source: S}}}\ntraining: {val_frac: 0.1, test_frac: 0.2}"
+    assert store.problems(good) == []
+    bad = "events: {dropna_subset: [z], dtype_coerce: {y: float}}\npersons: {fields: {a: {kind: odd}, b: {kind: constant}, c: {kind: composite}, d: {kind: ordinal_map}, e: {kind: passthrough}}}\ntraining: {val_frac: 0.6, test_frac: 0.6, choice_set_size: 1}"
+    assert len(store.problems(bad)) == 11
+    assert "SchemaError" in store.problems("events: {dtype_coerce: {a: date}}")[0] and store.problems("a: [")
+
+
+def test_exact_quantiles(spark):
+    from tallyspark.functions.quantiles import order_statistics, quantiles
+
+    rng = np.random.default_rng(3)
+    values = np.concatenate((rng.normal(size=5000), [1e12, -1e12], np.full(500, 0.25)))
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
+    assert np.allclose(quantiles(df, "x", shares), np.quantile(values, shares), rtol=0, atol=1e-12)
+    assert quantiles(df.filter("x is null"), "x", [0.5]) == [None] and quantiles(df.filter("x = 0.25"), "x", [0.5]) == [0.25]
+    assert order_statistics(df, "x", [7], bins=4) == {7: sorted(values)[7]}
+
+
+def test_few_shot_prompts_show_only_the_past(spark):
+    from tallyspark.functions import prompts
+    from tallyspark.operators import search
+
+    past = spark.createDataFrame([("a", i, f"{i}", f"item{i}", "toys", 1.0 * i) for i in range(6)], "customer_id string, us long, seq string, title string, category string, price double")
+    ev = spark.createDataFrame([(1, "a", 4, "Someone", [("p", 1.0), ("q", None)]), (2, "b", 4, "Other", [("p", 1.0), ("q", 2.0)])], "event_id long, customer_id string, us long, c_d string, alts array<struct<title string, price double>>")
+    # The stand-in prefers A where the prompt shows item3 and not item4.
+    ask = lambda p: F.when(p.contains("item3") & ~p.contains("item4"), F.lit('{"A": 9, "B": 1}')).otherwise(F.lit('{"A": 1, "B": 1}'))
+    got = {(r["event_id"], r["alt_idx"]): r["score"] for r in search.few_shot(ev, past, ask, shots=2).collect()}
+    assert got[1, 0] == pytest.approx(np.log(0.5)) == got[1, 1] and len(got) == 4
+    line = "x" * 40
+    for budget, n in ((9, 0), (10, 1), (25, 2), (1000, 3)):
+        assert len(spark.range(1).select(prompts.within_budget(F.array(*[F.lit(line)] * 3), budget).alias("x")).first()["x"]) == n
+    with pytest.raises(ValueError, match="needs"):
+        prompts.user(F.lit(""), F.lit(""), 2, ["title"])
+    with pytest.raises(ValueError, match="itself"):
+        prompts.user(F.lit(""), F.struct(*(F.lit("1").alias(f) for f in prompts.FIELDS)), 2, list(prompts.FIELDS), {"price": F.lit("1")})
+    with pytest.raises(ValueError):
+        prompts.system(0)
+
+
+def test_generation_asks_again_until_lines_are_apart(spark):
+    from tallyspark.operators import generation
+
+    alt = F.struct(F.lit("t").alias("title"), F.lit("c").alias("category"), F.lit(1.0).alias("price"), F.lit("r").alias("popularity_rank"))
+    requests = spark.range(3).select(F.lit("me").alias("customer_id"), F.col("id").cast("string").alias("asin"), F.lit("ctx").alias("c_d"), alt.alias("alt"))
+    empty = spark.createDataFrame([], "key string, value string, created_at double")
+    ask = lambda p, seed: F.when(seed == 5, F.lit("same\nsame")).when(seed == 6, F.lit("short")).otherwise(F.lit("this one\nand that"))
+    accept = generation.apart(lambda t: F.transform(F.array(*map(F.lit, "sta")), lambda c: F.length(t) - F.length(F.replace(t, c))), 0.99)
+    apart = lambda lines: F.element_at(lines, 1) != F.element_at(lines, 2)
+    answers, fresh = generation.generate(requests.unionByName(requests), empty, ask, "M", k=2, seed=5, accept=apart)
+    got = answers.collect()
+    assert len(got) == 6 and all(r["outcomes"] == ["this one", "and that"] and r["metadata"]["seed"] == 7 and not r["metadata"]["was_padded"] for r in got)
+    assert fresh.count() == 3 and not spark.range(1).select(accept(F.array(F.lit("sss"), F.lit("sss")))).first()[0]
+    again, none = generation.generate(requests, fresh, lambda p, s: F.raise_error(F.lit("asked")).cast("string"), "M", k=2, seed=5)
+    assert again.count() == 3 and none.count() == 0
+    padded, _ = generation.generate(requests, empty, lambda p, s: F.lit("just one"), "M", k=2, retries=1)
+    assert {(tuple(r["outcomes"]), r["metadata"]["was_padded"], r["metadata"]["seed"]) for r in padded.collect()} == {(("just one", text.PAD), True, 1)}
+
+
+def test_records_need_a_person(spark, events):
+    s = history.recent_titles(history.state_features(split.temporal_split(events)))
+    sets = choice.choice_sets(s, negatives=4)
+    people = events.select("customer_id").distinct().withColumns({"z": F.array(F.lit(1.0)), "name": F.concat(F.lit("I am "), "customer_id")})
+    context = F.concat_ws("\n", "name", F.array_join("recent", ", "))
+    got = choice.choice_records(sets, s, people, context).collect()
+    assert len(got) == 12 * 14
+    for r in got:
+        own = r["alt_texts"][r["chosen_idx"]]
+        assert len(r["alt_texts"]) == 5 and own["is_repeat"] == r["metadata"]["is_repeat"] == (r["chosen_features"]["routine"] > 0) and own["state"] == "XX"
+        assert all(not a["is_repeat"] and a["state"] == "" and a["brand"].startswith("brand") for i, a in enumerate(r["alt_texts"]) if i != r["chosen_idx"])
+        assert r["c_d"].startswith(f"I am {r['customer_id']}") and r["z_d"] == [1.0]
+    with pytest.raises(Exception, match="no person row"):
+        choice.choice_records(sets, s, people.filter("customer_id <> 'c1'"), context).collect()
+    loose = choice.choice_sets(s, negatives=4, distinct=False)
+    assert loose.count() == 12 * 14 and any(len(set(r["choice_asins"])) < 5 and not r["dedup_fallback"] for r in loose.collect())
+
+
+def test_events_of_known_persons_and_weights(spark, events):
+    some = spark.createDataFrame([("c1", 3.0), ("c2", 2.0), ("zz", 1.0)], "customer_id string, weight double")
+    assert choice.with_persons(events, some).count() == 28
+    assert {r["omega"] for r in choice.with_weights(events, some).filter("customer_id in ('c1', 'c3')").collect()} == {3.0, 1.0}
+    s = split.temporal_split(events.unionByName(spark.createDataFrame([event("one", 0, "x")], EVENTS)))
+    assert {r[0] for r in choice.selected_or_untrained(s, some).select("customer_id").distinct().collect()} == {"c1", "c2", "one"}
+    side = choice.sidecar(s)
+    assert side.filter("event_idx = 0").count() == 13 and side.filter("split <> 'test'").count() == 0
+
+
+def test_context_length_and_leaks(spark):
+    one = spark.range(1)
+    assert one.select(persons.of_fair_length(F.lit("a\nb"))).first()[0] == "a\nb"
+    with pytest.raises(Exception, match="2 to 12 lines"):
+        one.select(persons.of_fair_length(F.lit("a"))).collect()
+    assert one.select(persons.leaks(F.lit("her education"))).first()[0] and not one.select(persons.leaks(F.lit("college-educated"))).first()[0]
+
+
+def test_run_writes_its_artefacts(spark, events, tmp_path):
+    from tallyspark.operators import runs
+
+    people = events.select("customer_id").distinct().withColumns({"z": F.array(F.lit(1.0)), "name": F.concat(F.lit("I am "), "customer_id")})
+    chosen = {k: v for k, v in runs.registry(runs.FEATURES, "title", lambda shown: F.lit('{"A": 1}')).items() if k in ("popularity", "relevance_logit", "ranker", "sparse_logit")}
+    board = runs.run(events, people, F.col("name"), str(tmp_path / "run"), chosen, negatives=4)
+    got = {r["model"]: r for r in board.collect()}
+    assert {r["status"] for r in got.values()} == {"ok"}, {k: r["note"] for k, r in got.items()}
+    summary = json.loads((tmp_path / "run/summary.json").read_text())
+    assert summary["n_test"] == 12 and {m["model"] for m in summary["models"]} == set(chosen)
+    assert spark.read.json(str(tmp_path / "run/events_seed42.json")).count() == 12
+    assert spark.read.option("header", True).csv(str(tmp_path / "run/leaderboard_seed42.csv")).count() == 4
