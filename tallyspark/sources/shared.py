@@ -44,3 +44,19 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or own_folder(df.sparkSession, f"tables/{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that go together, once what was made of them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(own_folder(self.spark, f"tables/{name}"))
+        return stored(df, name, self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
