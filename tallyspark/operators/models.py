@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .choice import uniform
 
 
@@ -132,11 +133,16 @@ class PriorLogit:
                 if self.relevance:
                     a = np.minimum(1 / (w**2 + np.diag(np.linalg.inv(full))), 1e8)
             self.weights, self.precisions = w, a
+            self.covariance = np.linalg.inv(full)
             self.relevant = [n for n, x in zip(self.names, a) if x < self.dropped]
             return self
         finally:
             events.unpersist()
 
+    def draws(self, n: int, seed: int = 0) -> np.ndarray:
+        """Draws of the weights from their posterior, taken as normal around its mode."""
+        return np.random.default_rng(seed).multivariate_normal(self.weights, self.covariance, n, method="eigh")
+
     def score(self, alternatives: DataFrame) -> DataFrame:
         out = F.lit(0.0)
         for n, w in zip(self.names, self.weights):
@@ -144,6 +150,45 @@ class PriorLogit:
         return alternatives.withColumn("score", out)
 
 
+@dataclass
+class PersonalLogit:
+    """A conditional logit whose weights differ by customer: everybody's are fitted first, then each customer's own, held
+    to everybody's by a prior of some precision. Customers are fitted side by side, each in one group of bounded work;
+    one who has no training event gets everybody's weights."""
+
+    names: list[str]
+    precision: float = 4.0
+    rounds: int = 8
+
+    def fit(self, training: DataFrame) -> PersonalLogit:
+        self.base = PriorLogit(self.names, rounds=self.rounds).fit(training)
+        k, centre, hold, rounds = len(self.names), self.base.weights, self.precision, self.rounds
+        who = training.groupBy("event_id").agg(F.first("customer_id").alias("customer_id"))
+
+        def own(pdf: pd.DataFrame) -> pd.DataFrame:
+            w = centre.copy()
+            for _ in range(rounds):
+                _, x, p, means = _events(pdf, k, w)
+                hess = (x * p[:, None]).T @ x - means[0].T @ means[0] + hold * np.eye(k)
+                step = np.linalg.solve(hess, means[1].sum(0) + hold * (w - centre))
+                w = w - step
+                if np.abs(step).max() < 1e-6:
+                    break
+            return pd.DataFrame({"customer_id": [pdf["customer_id"].iloc[0]], "w": [w.tolist()]})
+
+        rows = packed(training, self.names).join(who, "event_id")
+        self.own = stored(rows.groupBy("customer_id").applyInPandas(own, "customer_id string, w array<double>"), "personal")
+        return self
+
+    def score(self, alternatives: DataFrame) -> DataFrame:
+        everybody = F.array(*(F.lit(float(x)) for x in self.base.weights))
+        rows = alternatives.join(self.own.withColumnRenamed("w", "_w"), "customer_id", "left").withColumn("_w", F.coalesce("_w", everybody))
+        out = F.lit(0.0)
+        for i, n in enumerate(self.names):
+            out = out + F.col(n) * F.col("_w")[i]
+        return rows.withColumn("score", out).drop("_w")
+
+
 def hierarchical(alternatives: DataFrame, names: list[str], group: str, values: list[str]) -> tuple[DataFrame, list[str]]:
     """Alternatives with a deviation column for each feature and group value: shared weights plus a group's own, whose
     prior says how far groups may differ."""

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import catalog, choice, history, models, nets, persons, posthoc, runs, search, split, structures, symbolic
+from ..operators import catalog, choice, history, legacy, models, nets, persons, posthoc, runs, search, split, structures, symbolic
 from ..sources.binding import PURCHASES, purchases, table
 from ..sources.shared import stored
-from .eval_queries import _LONG, _PAIR, _RESULTS, alternatives, results
+from .eval_queries import _EVENTS, _LONG, _PAIR, _RESULTS, alternatives, results, scored
 from .history_queries import SPLIT_SQL
 from .model_queries import CUT_US
 from .registry import query
@@ -158,12 +158,12 @@ def m8_few_shot_prompts(spark, sf_dir):
     events = events.withColumn("c_d", F.lit("Someone"))
     past = split.temporal_split(purchases(spark, sf_dir)).filter("split = 'train'")
     even = lambda prompt: F.lit('{"A": 1, "B": 1, "C": 1, "D": 1, "E": 1, "F": 1, "G": 1, "H": 1, "I": 1, "J": 1}')
-    scored = search.few_shot(events, past, even, shots=4)
+    ranked = search.few_shot(events, past, even, shots=4)
     probes = events.select("customer_id", F.col("us").alias("probe_us"), F.col("event_id").alias("probe_id"))
     shown = history.latest_before(past, probes, 4).select(F.col("probe_id").alias("event_id"), F.size("examples").cast("long").alias("shown"))
     n = events.select("event_id", F.size("alts").alias("j"))
     # Letters beyond the set's size have probability, too; a place's mean over rotations is a tenth.
-    both = scored.join(shown, "event_id").join(n, "event_id")
+    both = ranked.join(shown, "event_id").join(n, "event_id")
     return both.select("event_id", "alt_idx", F.round(F.log(F.exp("score") * 10 / F.col("j")), 7).alias("score"), "shown")
 
 
@@ -206,11 +206,19 @@ def m4_relevance_logit(spark, sf_dir):
 
 @query("m15_hierarchical_logit")
 def m15_hierarchical_logit(spark, sf_dir):
-    rows, names = models.hierarchical(_tabular(spark, sf_dir), ["units"], "category", ["ECONOMY", "PROMO", "STANDARD"])
+    a = _tabular(spark, sf_dir)
+    top = [r["category"] for r in legacy.top_categories(a.filter(F.col("us") < CUT_US)).collect()]  # the most frequent have deviations of their own
+    rows, names = models.hierarchical(a, ["units"], "category", top)
     fitted = models.PriorLogit(names, {n: 10.0 for n in names}).fit(rows.filter(F.col("us") < CUT_US))
     return fitted.score(rows.filter(F.col("us") >= CUT_US)).select("event_id", "alt_idx", "score")
 
 
+@query("m15_personal_logit")
+def m15_personal_logit(spark, sf_dir):
+    train, test = _halves(spark, sf_dir)
+    return models.PersonalLogit(["units", "log_price"]).fit(train).score(test).select("event_id", "alt_idx", "score")
+
+
 @query("m5_monotone_net")
 def m5_monotone_net(spark, sf_dir):
     train, test = _halves(spark, sf_dir)
@@ -257,17 +265,38 @@ def _net_events(spark, sf_dir):
     return e.filter("n = 6").withColumn("z", F.transform(F.sequence(F.lit(1), F.lit(26)), lambda i: i / 26.0))
 
 
-@query("e8_counterfactual")
-def e8_counterfactual(spark, sf_dir):
-    """The net is trained on at most 5,000 events, each with its alternative of the greater sum of labels as the choice."""
+def _net_sample(spark, sf_dir):
+    """At most 5,000 events, each with its alternative of the greater sum of labels as the choice: (train, validation)."""
     events = _net_events(spark, sf_dir)
     labels = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 6).alias("event_id"), F.when(F.col("vec_id") % 6 < 3, -F.col("label")).otherwise(F.col("label")).alias("d"))
     own = labels.groupBy("event_id").agg((F.sum("d") > 0).cast("int").alias("own"))
     rows = events.join(own, "event_id").orderBy(F.xxhash64("event_id"), "event_id").limit(5000).select("z", "e", "own").collect()
     z, e, own = np.array([r["z"] for r in rows], float), np.array([r["e"] for r in rows], float).reshape(len(rows), 2, 3, -1), np.array([r["own"] for r in rows], int)
-    net, cut = models.UtilityNet(), max(1, len(rows) * 4 // 5)
-    net.fit((z[:cut], e[:cut], own[:cut], np.ones(cut)), (z[cut:], e[cut:], own[cut:]))
-    return search.counterfactual(events, net.score, lambda z: F.transform(z, lambda x: x * 2))
+    cut = max(1, len(rows) * 4 // 5)
+    return (z[:cut], e[:cut], own[:cut], np.ones(cut)), (z[cut:], e[cut:], own[cut:])
+
+
+@query("e8_counterfactual")
+def e8_counterfactual(spark, sf_dir):
+    net = models.UtilityNet()
+    net.fit(*_net_sample(spark, sf_dir))
+    return search.counterfactual(_net_events(spark, sf_dir), net.score, lambda z: F.transform(z, lambda x: x * 2))
+
+
+@query("m12_ablation_sweep")
+def m12_ablation_sweep(spark, sf_dir):
+    grid = {"utility": ["attributes", "concat", "film"], "salience": ["net", "uniform"], "outcomes": [1, 3]}
+    rows = models.sweep(*_net_sample(spark, sf_dir), grid, models.UtilityNet(hidden=16), epochs=10)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "utility string, salience string, outcomes int, nll double, n_params int")
+
+
+@query("e7_by_dominant_attribute", f"WITH {_EVENTS}, t AS (SELECT event_id, m, sum(x) AS s FROM (SELECT event_id, (event_id % 5)::BIGINT AS m, 1.0::DOUBLE AS x FROM pe) GROUP BY 1, 2) SELECT m, count(*) AS n, round(avg(nll), 7) AS nll FROM pe JOIN t USING (event_id) GROUP BY 1")
+def e7_by_dominant_attribute(spark, sf_dir):
+    """Attribute values are made so that attribute event_id % 5 dominates."""
+    rows = scored(spark, sf_dir)
+    m = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("m")
+    made = rows.select("event_id", m).select("event_id", F.lit(0).cast("long").alias("k"), "m", F.when(F.col("m") == F.col("event_id") % 5, 2.0).otherwise(-1.0).alias("a"), F.lit(1.0).alias("w"))
+    return runs.by_dominant(made, rows).select("m", "n", F.round("nll", 7).alias("nll"))
 
 
 @query(

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import formula, text
@@ -694,3 +695,35 @@ def test_run_writes_its_artefacts(spark, events, tmp_path):
     assert summary["n_test"] == 12 and {m["model"] for m in summary["models"]} == set(chosen)
     assert spark.read.json(str(tmp_path / "run/events_seed42.json")).count() == 12
     assert spark.read.option("header", True).csv(str(tmp_path / "run/leaderboard_seed42.csv")).count() == 4
+
+
+def test_personal_logit(spark):
+    from tallyspark.operators import search
+
+    rows = search.synthetic(spark, 600, [1.0], alternatives=4, seed=31).withColumn("customer_id", F.when(F.col("event_id") < 300, "likes").otherwise("hates"))
+    # The second customer picks what the first would like least.
+    w = F.row_number().over(Window.partitionBy("event_id").orderBy("x0"))
+    rows = rows.withColumn("chosen", F.when(F.col("customer_id") == "hates", w == 1).otherwise(F.col("chosen")))
+    m = models.PersonalLogit(["x0"], precision=0.5).fit(rows)
+    own = {r["customer_id"]: r["w"][0] for r in m.own.collect()}
+    assert own["likes"] > 0.5 and own["hates"] < -1 and own["hates"] < m.base.weights[0] < own["likes"]
+    other = m.score(rows.limit(4).withColumn("customer_id", F.lit("new"))).collect()
+    assert all(r["score"] == pytest.approx(r["x0"] * m.base.weights[0]) for r in other)
+    d = m.base.draws(4000)
+    assert d.mean() == pytest.approx(m.base.weights[0], abs=0.02) and d.var() == pytest.approx(m.base.covariance[0, 0], rel=0.1)
+
+
+def test_reports_of_a_model(spark):
+    from tallyspark.operators import runs, search
+
+    rows = search.synthetic(spark, 200, [2.0], alternatives=4, seed=5).withColumns({"customer_id": (F.col("event_id") % 9).cast("string"), "category": (F.col("event_id") % 2).cast("string"), "is_repeat": F.col("event_id") % 3 == 0})
+    fitted = models.PriorLogit(["x0"]).fit(rows)
+    got = runs.report(fitted, rows, rows, 1.5)
+    assert got["n"] == got["n_train"] == 200 and got["nll"] < np.log(4) and len(got["by_category"]) == 2 and got["customers_mostly_right"] > 0.5 and got["fit_seconds"] == 1.5
+    with pytest.raises(ValueError, match="alternatives"):
+        runs.report(fitted, rows, rows.filter("event_id > 3 or alt_idx < 1 or chosen"))
+    with pytest.raises(ValueError, match="top"):
+        runs.report(fitted, rows, rows, top=0)
+    a = spark.createDataFrame([(e, k, m, float(e + k - m)) for e in range(3) for k in range(2) for m in range(2)], "event_id long, k long, m long, a double")
+    texts = spark.createDataFrame([(e, k, f"{e}/{k}") for e in range(3) for k in range(2)], "event_id long, k long, text string")
+    assert {(r["head"], r["rn"], r["text"]) for r in runs.named_heads(a, texts, {0: "money"}, 1).collect()} == {("money", 1, "2/1"), ("head 1", 1, "2/1")}
