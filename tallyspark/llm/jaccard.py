@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_FORM, Hashes, batch_of, binaries, carried, chunks, components, stored, words
+from .common import WORD_FORM, Hashes, Scratch, batch_of, binaries, carried, chunks, components, stored, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -315,9 +315,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     but id and text are ignored. Ids may have any type that can be ordered.
     """
     bands, rows = bands_and_rows(similarity, recall)
+    scratch = Scratch(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     small = stored(signed(keyed, "text", ["doc_id", "text_hash"], bands, rows, size), "signed")
-    one = stored(
+    one = scratch.stored(
         small.filter("digest is not null")
         .groupBy("digest")
         .agg(
@@ -335,19 +336,19 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     shared = bucket.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).filter("m > 1")
     sketches = shared.join(one.select("digest", "n_shingles", "sketch"), "digest").withColumn("blocks", F.ceil(F.col("m") / sketch_block).cast("int")).drop("m")
     found = _dealt(sketches, "blocks").mapInArrow(_promising(bands, rows, similarity), "bucket long, band int, digest binary")
-    wanted = stored(found.distinct().join(one.select("digest", "n_shingles"), "digest"), "promising")
+    wanted = scratch.stored(found.distinct().join(one.select("digest", "n_shingles"), "digest"), "promising")
     # Blocks of long texts hold fewer, so what a task holds is bounded whatever the lengths.
     parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
     placed = wanted.join(wanted.groupBy("bucket").agg(parts.cast("int").alias("blocks")), "bucket")
     # One row for each class: its text is found by hash and id, and its set made once, for all its buckets.
     places = placed.groupBy("digest").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("places"))
-    want = stored(places.join(one, "digest").select(F.col("at.text_hash").alias("text_hash"), F.col("at.doc_id").alias("at_id"), "digest", "copies", "sketch", "places"), "wanted")
+    want = scratch.stored(places.join(one, "digest").select(F.col("at.text_hash").alias("text_hash"), F.col("at.doc_id").alias("at_id"), "digest", "copies", "sketch", "places"), "wanted")
     # This join moves texts, so it shuffles at every size; its key has the id, so copies of a text don't meet.
     texts = keyed.join(want.hint("merge"), (keyed.text_hash == want.text_hash) & keyed.doc_id.eqNullSafe(want.at_id)).select("text", "digest", "copies", "sketch", "places")
     sets = _with_sets(texts, "text", ["digest", "copies", "sketch", "places"], size).select("digest", "shingles", "copies", "sketch", F.inline("places"))
-    links = stored(_dealt(sets, "blocks").mapInArrow(_verified(similarity, bands), "a binary, b binary, n long"), "links")
+    links = scratch.stored(_dealt(sets, "blocks").mapInArrow(_verified(similarity, bands), "a binary, b binary, n long"), "links")
     linked = links.filter("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
-    final = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("id", "digest")
+    final = components(links.filter("b is not null").select("a", "b"), scratch).withColumnRenamed("id", "digest")
     named = final.join(one.select("digest", "least"), "digest").groupBy("comp").agg(F.min("least").alias("class_id"))
     member = final.join(named, "comp").select("digest", "comp", "class_id")
     info = (
@@ -355,7 +356,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
         .join(linked, "digest", "left")
         .select("digest", F.coalesce("comp", "digest").alias("key"), F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
-    return small.select("doc_id", "text_hash", "digest"), stored(info, "classes")
+    info = stored(info, "classes")
+    scratch.clear()
+    return small.select("doc_id", "text_hash", "digest"), info
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -380,12 +383,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     # The first row of each set, then of each class: rows of one class never meet before they are aggregated.
     first = rows.filter("digest is not null").groupBy("digest").agg(F.min(row).alias("first"))
     best = first.join(info.select("digest", "key"), "digest").groupBy("key").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash")
-    best = stored(best, "best")
+    again = rows.filter("digest is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).filter("times > 1")
+    same = best.doc_id.eqNullSafe(again.doc_id) & (best.text_hash == again.text_hash)
+    best = stored(best.join(again, same, "left").select(best.doc_id, best.text_hash, F.coalesce("times", F.lit(1)).alias("times")), "best")
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(_lowered(F.col(text)).rlike(WORD_FORM), F.lit(False)).alias("words"), F.struct(*docs.columns).alias("row"))
     bare = whole.filter(~F.col("words")).select("row.*")
-    few = whole.filter("words").join(best.hint("merge"), whole.doc_id.eqNullSafe(best.doc_id) & (whole.text_hash == best.text_hash), "left_semi")
-    once = few.withColumn("n", F.row_number().over(Window.partitionBy("text_hash", "doc_id").orderBy(F.lit(0)))).filter("n = 1")
-    return bare.unionByName(once.select("row.*"))
+    few = whole.filter("words").join(best.hint("merge"), whole.doc_id.eqNullSafe(best.doc_id) & (whole.text_hash == best.text_hash)).select(whole.doc_id, whole.text_hash, "row", "times")
+    # Only rows that repeat are dealt anew, to be numbered.
+    number = F.row_number().over(Window.partitionBy("text_hash", "doc_id").orderBy(F.lit(0)))
+    once = few.filter("times > 1").withColumn("n", number).filter("n = 1")
+    return bare.unionByName(few.filter("times = 1").select("row.*")).unionByName(once.select("row.*"))
 
 
 def _lowered(text):
