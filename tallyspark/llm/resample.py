@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def ngram_buckets(texts: list[bytes | None], codes: _Codes) -> tuple[np.ndarray,
     """(bucket, document) of every n-gram of some texts."""
     lists = [t.split() if t else [] for t in texts]
     size = np.array([len(w) for w in lists], np.int64)
-    flat = np.fromiter((codes[w] for some in lists for w in some), np.uint64, int(size.sum()))
+    flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.uint64, int(size.sum()))
     of = np.repeat(np.arange(len(texts)), size)
     word, form = flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)
     inner = of[1:] == of[:-1]
