@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, rules
+from . import annulus, audit, chat, rules
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -46,9 +46,55 @@ m AS (SELECT a, min(doc_id) AS least FROM r JOIN d ON d.rid = b GROUP BY 1),
 l AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
 SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN m ON m.a = rid LEFT JOIN l ON l.a = rid"""
 
+
+
+def _clustering(k: int = annulus.CENTROIDS, rounds: int = annulus.ROUNDS) -> str:
+    """Lloyd rounds spelt out: every vector against every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({annulus.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {annulus.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY key, x) - 1)::INT AS cluster, x FROM
+  (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS key, x FROM v ORDER BY key, x LIMIT {k}))""",
+    ]
+    near = """a{0} AS MATERIALIZED (SELECT rid, min(s).d AS distance, min(s).cluster AS cluster FROM
+  (SELECT rid, struct_pack(d := list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, cluster := cluster) AS s FROM v, c{0} c) GROUP BY rid)"""
+    for i in range(rounds):
+        parts.append(near.format(i))
+        parts.append(
+            f"""s{i} AS (SELECT cluster, list(m ORDER BY place) AS x FROM (SELECT cluster, place, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+  FROM (SELECT cluster, unnest(x) AS e, unnest(range({annulus.SIZE})) AS place FROM a{i} JOIN v USING (rid)) GROUP BY 1, 2) GROUP BY 1)"""
+        )
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(s{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN s{i} USING (cluster))")
+    parts.append(near.format(rounds))
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c{rounds}.x, lambda e: e::VARCHAR), ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (cluster)"""
+    )
+
+
+_WORD_LIST = _SPACED.format("t")
+FILTER_AUDIT = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, part, t, {_WORD_LIST} AS w FROM d),
+f AS (SELECT rid, part, [len(w) < {audit.LEAST_WORDS}, 100 * len(list_distinct(w)) < {audit.DISTINCT_PERCENT} * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {audit.CAPITAL_PERCENT} * length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY 1, 2),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, unnest(string_split('ABCDE', '')) AS t(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS own, list_transform(string_split(filter_order[:step - 1], ''), lambda x: ascii(x) - 64) AS before FROM (SELECT filter_order FROM o WHERE length(filter_order) = 5), unnest(range(1, 6)) AS t(step)),
+r AS (SELECT part, filter_order, step, own, n, n_good, n_toxic, fails[own] AS bad, step > 1 AND len(list_filter(before, lambda b: fails[b])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_fails FROM g, s),
+a AS (SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND bad), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (bad AND n_fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n_good) FILTER (NOT gone AND bad), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (NOT gone AND bad), 0)::BIGINT AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a"""
+
 ORACLE = {
     "op2_ngram_jaccard_join": JACCARD_JOIN,
     "op3_decontamination": DECONTAMINATION,
     "op7_chat_formatting": chat.ORACLE,
     "op9_quality_rules": QUALITY_RULES,
+    "op12_centroid_clustering": _clustering(),
+    "op13_filter_audit": FILTER_AUDIT,
 }

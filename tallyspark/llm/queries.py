@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, lengths, resample, rules, secret_spans, templates, toxicity
+from . import annulus, audit, bpe, chat, decontam, improbable, jaccard, lengths, resample, rules, secret_spans, templates, toxicity
 from .common import ship
 from .oracles import ORACLE  # noqa: F401
 
@@ -69,6 +69,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable.digests(improbable.neighbours(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +90,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_bpe, op6_importance_resampling, op7_chat_formatting, op8_secret_scan, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_toxicity, op2_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_bpe, op6_importance_resampling, op7_chat_formatting, op8_secret_scan, op9_quality_rules, op10_html_extraction, op11_document_fingerprints, op12_centroid_clustering, op13_filter_audit)}
 
