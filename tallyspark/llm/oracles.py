@@ -28,7 +28,7 @@ cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM rep, unnest(range(i
 ln AS (SELECT rid, host, text, line, array_to_string({_WORDS.format("line")}, ' ') AS norm, len({_WORDS.format("line")}) AS m, len({_SPACED.format("line")}) AS k FROM d, unnest(string_split(text, chr(10))) AS t(line)),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE k > 0 GROUP BY 1),
 hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1),
-often AS (SELECT host, norm FROM ln JOIN hosts USING (host) WHERE m >= {rules.LINE_WORDS} GROUP BY host, norm, texts HAVING count(DISTINCT text) > {rules.LEAST_TEXTS} AND count(DISTINCT text) > {rules.SHARE_OF_HOST}::DOUBLE * texts),
+often AS (SELECT host, norm FROM ln JOIN hosts USING (host) WHERE m >= {rules.LINE_WORDS} GROUP BY host, norm, texts HAVING count(DISTINCT text) > {rules.LEAST_TEXTS} AND count(DISTINCT text) > least({rules.SHARE_OF_HOST}::DOUBLE * texts, {rules.MANY_TEXTS})),
 gone AS (SELECT rid, sum(k)::BIGINT AS removed_words FROM ln JOIN often USING (host, norm) GROUP BY 1),
 a AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid))

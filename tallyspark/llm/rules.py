@@ -21,11 +21,12 @@ from .common import WORD_TABLE, Hashes, batch_of, binaries, carried, chunks, sto
 WINDOW = 8
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
-#: A line is removed where more distinct texts of its host have it than both of these allow.
+#: A line is removed where more distinct texts of its host have it than both of these allow, or than the number after them.
 LEAST_TEXTS = 20
 SHARE_OF_HOST = 0.02
-#: Lines of fewer words are never removed.
-LINE_WORDS = 4
+MANY_TEXTS = 1000
+#: Lines of fewer words aren't counted; one of no words is no line.
+LINE_WORDS = 1
 #: A document is depleted when less than this share of its words is left.
 LEFT = 0.1
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -119,7 +120,7 @@ def measures(docs: DataFrame, text: str = "text", carry: list[str] | None = None
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{ddl}{form}")
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", least_texts: int = LEAST_TEXTS, share: float = SHARE_OF_HOST, left: float = LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", least_texts: int = LEAST_TEXTS, share: float = SHARE_OF_HOST, left: float = LEFT, many_texts: int = MANY_TEXTS) -> DataFrame:
     """doc_id, the counts, base_failed, removed_words (words in lines above their host's limit) and kept.
 
     A null host is a host of its own. Empty and null texts have no words and fail. Repeated rows each get their row
@@ -130,7 +131,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str
     texts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     line = rows.select("host", "text_key", F.explode("lines").alias("line")).distinct()
     often = line.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_texts)
-    often = often.join(texts, "host").filter(F.col("n") > share * F.col("texts")).select("host", "line")
+    often = often.join(texts, "host").filter(F.col("n") > F.least(share * F.col("texts"), F.lit(float(many_texts)))).select("host", "line")
     placed = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     removed = placed.join(often, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     out = rows.join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))

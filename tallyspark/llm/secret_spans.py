@@ -27,7 +27,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?:client_?id|user(?:name)?|login|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", re.I | re.A)
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}""", re.A)
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+ADDRESS = re.compile(r"""[^\s"'<>]{4,}""", re.A)
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _IDENTS = ("client", "user", "login", "account", "access")
@@ -62,6 +63,25 @@ def _ends(parts: list[tuple[str, int, int]], scope: list[int]) -> dict[int, tupl
     return out
 
 
+def endpoints(text: str) -> list[tuple[str, int, int]]:
+    """Addresses: a scheme of SCHEME's signs from its first letter on, ``://`` and four signs or more; leftmost first.
+
+    Each scheme is walked back over once from its ``://``, so time follows the text's length.
+    """
+    out, last, at = [], 0, text.find("://")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in SCHEME:
+            start -= 1
+        while start < at and not "a" <= text[start] <= "z":
+            start += 1
+        rest = ADDRESS.match(text, at + 3) if start < at else None
+        if rest:
+            out.append(("endpoint", start, last := rest.end()))
+        at = text.find("://", rest.end() if rest else at + 3)
+    return out
+
+
 class _Taken:
     """Spans joined into disjoint ones, so whether another meets any takes one search."""
 
@@ -75,22 +95,22 @@ class _Taken:
                 self.starts.append(a)
                 self.ends.append(b)
 
-    def free(self, m: re.Match) -> bool:
-        i = bisect_left(self.starts, m.end()) - 1
-        return i < 0 or self.ends[i] <= m.start()
+    def free(self, span: tuple[str, int, int]) -> bool:
+        i = bisect_left(self.starts, span[2]) - 1
+        return i < 0 or self.ends[i] <= span[1]
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]], lower: str | None = None) -> list[tuple[str, int, int]]:
     """The weak parts that complement each other or a certain finding."""
     lower = text.lower() if lower is None else lower
     free = _Taken(base).free
-    ident = [("ident", *m.span()) for m in IDENT.finditer(text) if free(m)] if any(n in lower for n in _IDENTS) else []
-    ends = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text) if free(m)] if "://" in text else []
+    ident = list(filter(free, (("ident", *m.span()) for m in IDENT.finditer(text)))) if any(n in lower for n in _IDENTS) else []
+    ends = list(filter(free, endpoints(text)))
     ids = ident + [s for s in base if s[0] == "access"]
     if not ids and not ends:
         return []
     free = _Taken(base + ident + ends).free
-    weak = [("weak", *m.span()) for m in WEAK.finditer(text) if free(m) and _random_looking(m[0])]
+    weak = [s for m in WEAK.finditer(text) if free(s := ("weak", *m.span())) and _random_looking(m[0])]
     scope = [m.start() for m in re.finditer(r"\n\s*\n", text)]
 
     def keep(parts, *others):

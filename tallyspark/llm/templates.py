@@ -76,7 +76,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 TAG_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 MARKS = re.compile("""[>"']""")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute after the other, each from where the last one ended; a quote that isn't closed is an ordinary character.
+ATTRIBUTE = re.compile(r"""[\s/>]++|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*+display\s*+:\s*+none\s*+(?:!|;|$)", re.I)
+READ = frozenset("class id role hidden aria-hidden style".split())
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
@@ -88,6 +91,19 @@ class Element:
         self.parts: list[bytes] = [tag.encode()]
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes that matter here by name, the first of each; a name is compared whole, values aren't searched."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        name = (m[1] or "").lower()
+        if name in READ and name not in out:
+            value = m[2] or ""
+            if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1]:
+                value = value[1:-1]
+            out[name] = html.unescape(value) if "&" in value else value
+    return out
+
+
 def _furniture(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element is no content on any page, and whether it is called furniture."""
     if tag in DROPPED or (tag == "header" and not in_main):
@@ -95,20 +111,21 @@ def _furniture(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     if not attributes or tag in ("html", "body"):
         return False, False
     named = False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
-            return True, False
-        if name not in ("class", "id") or tag == "main" or not value:
+    own = attributes_of(attributes)
+    role = own.get("role", "").lower().split()
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or (role and role[0] in ROLES) or NO_DISPLAY.search(own.get("style", "")):
+        return True, False
+    for name in ("class", "id"):
+        words = own.get(name, "").split()
+        if not words or tag == "main":
             continue
-        words = value.split()
         if tag == "article":
             if any(map(COMMENT.fullmatch if name == "id" else TEASER.fullmatch, words)):
                 return True, False
             continue
-        # The ids of headings, running text and sections are anchors named after the content.
+        # The ids of headings, running text and sections are anchors named after the content, but for readers' comments.
         if name == "id" and (tag in TEXTUAL or (tag != "div" and in_main) or tag == "section"):
-            if tag == "section" and not in_main and any(map(COMMENT.fullmatch, words)):
+            if tag in WIDE and any(map(COMMENT.fullmatch, words)):
                 return True, False
             continue
         if any(map(VARYING.fullmatch, words)):

@@ -108,8 +108,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
     """(toxic, keys, counts) of at most ``rows`` labelled documents: those of their features that tell at all, so a row is
     bounded whatever a text's length; a document with several labels counts as toxic if any says so.
 
-    Null ids and null labels are no labels; repeated rows of a labelled document each count; without labels or documents
-    there is no row.
+    Null ids and null labels are no labels; rows that repeat one id and text count once; of an id with many texts, as of
+    all, those of the least hashes of id and text count; without labels or documents there is no row.
     """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -118,8 +118,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    # At most ``rows`` pairs of numbers are broadcast.
-    few = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # At most ``rows`` pairs of numbers are broadcast, twice: the labelled ids, then the rows that are picked of theirs.
+    few = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("_key")).join(F.broadcast(chosen), "doc_id")
+    picked = few.select("doc_id", "_key").distinct().orderBy("_key", "doc_id").limit(rows)
+    few = few.join(F.broadcast(picked), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key"])
     few = stored(few.select("toxic", "text"), "labelled")
     return few.mapInArrow(_features(telling(few)), "toxic int, keys binary, counts binary")
 
