@@ -39,10 +39,11 @@ def _file(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` written once to the shared folder and read from there: cuts lineage, survives lost executors.
+    A filter on the columns ``by`` reads no other folders."""
     path = path or own_folder(df.sparkSession, f"tables/{name}")
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,13 +51,25 @@ class Scratch:
     """Stored tables that go together, once what was made of them is stored itself."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
+    def stored(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         self.paths.append(own_folder(self.spark, f"tables/{name}"))
-        return stored(df, name, self.paths[-1])
+        return stored(df, name, self.paths[-1], by)
+
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """The rows of ``df`` stored in buckets of a key: tables with as many buckets join on it without an exchange."""
+        path = own_folder(self.spark, f"tables/{name}")
+        table = f"{name}_{path.rpartition('-')[2]}"
+        self.paths.append(path)
+        self.tables.append(table)
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        return self.spark.table(table)
 
     def clear(self) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = []
         for path in self.paths:
             remove(self.spark, path)
         self.paths = []
