@@ -134,11 +134,26 @@ NUMPY_FUNCTIONS = {
 }
 
 
-def utility(text: str, inputs: list, coefficients: list[float], functions: Mapping[str, Callable] = UTILITY_FUNCTIONS, literal: Callable = F.lit) -> tuple[Any, int]:
-    """(column, number of coefficients) of a utility equation; anything outside the grammar raises FormulaError.
+#: Slopes of the same functions, in columns and in arrays. Where a function bends, the slope is 0.
+UTILITY_SLOPES = {
+    "log1p": lambda x: 1.0 / (1.0 + F.abs(x)), "exp": lambda x: F.when(F.abs(x) < 10, F.exp(x)).otherwise(0.0),
+    "sqrt": lambda x: F.when(x != 0, F.signum(x) / (2.0 * F.sqrt(F.abs(x)))).otherwise(0.0), "tanh": lambda x: 1.0 - F.tanh(x) * F.tanh(x), "abs": F.signum,
+}
 
-    With NUMPY_FUNCTIONS and float as the literal, the inputs and the result are arrays.
-    """
+
+def _root_slope(x: np.ndarray) -> np.ndarray:
+    root = np.sqrt(np.abs(x))
+    return np.divide(np.sign(x), 2 * root, out=np.zeros_like(root), where=root > 0)
+
+
+NUMPY_SLOPES = {
+    "log1p": lambda x: 1 / (1 + np.abs(x)), "exp": lambda x: np.where(np.abs(x) < 10, np.exp(np.clip(x, -10, 10)), 0.0),
+    "sqrt": _root_slope, "tanh": lambda x: 1 - np.tanh(x) ** 2, "abs": np.sign,
+}
+
+
+def _returned(text: str) -> ast.expr:
+    """What a utility equation returns, as a tree."""
     try:
         module = ast.parse(text.strip())
     except (SyntaxError, ValueError) as e:
@@ -150,35 +165,67 @@ def utility(text: str, inputs: list, coefficients: list[float], functions: Mappi
         raise FormulaError("expected the arguments x and c")
     if len(f.body) != 1 or not isinstance(f.body[0], ast.Return) or f.body[0].value is None:
         raise FormulaError("expected one return")
-    most = -1
+    return f.body[0].value
+
+
+def utility(text: str, inputs: list, coefficients: list[float], functions: Mapping[str, Callable] = UTILITY_FUNCTIONS, literal: Callable = F.lit) -> tuple[Any, int]:
+    """(column, number of coefficients) of a utility equation; anything outside the grammar raises FormulaError.
+
+    With NUMPY_FUNCTIONS and float as the literal, the inputs and the result are arrays.
+    """
+    value, slopes = utility_gradient(text, inputs, coefficients, functions, None, literal)
+    return value, 1 + max(slopes, default=-1)
+
+
+def utility_gradient(
+    text: str, inputs: list, coefficients: list[float], functions: Mapping[str, Callable] = UTILITY_FUNCTIONS, slopes: Mapping[str, Callable] | None = UTILITY_SLOPES, literal: Callable = F.lit
+) -> tuple[Any, dict[int, Any]]:
+    """(column, its derivative by each coefficient it has) of a utility equation, both compiled from its tree.
+
+    Without ``slopes`` the derivatives are left out: only the coefficients' numbers stand.
+    """
 
-    def build(node: ast.expr) -> Column:
-        nonlocal most
+    def joined(a: dict, b: dict, left: Callable, right: Callable) -> dict:
+        """Derivatives of what is made of two parts, by the rule for each part."""
+        out = {}
+        for k in {**a, **b}:
+            if slopes is None:
+                out[k] = None
+                continue
+            parts = [f(d[k]) for d, f in ((a, left), (b, right)) if k in d]
+            out[k] = parts[0] if len(parts) == 1 else parts[0] + parts[1]
+        return out
+
+    def build(node: ast.expr) -> tuple[Any, dict[int, Any]]:
+        same, minus = (lambda d: d), (lambda d: -d)
         match node:
             case ast.Constant(value=v) if isinstance(v, int | float) and not isinstance(v, bool):
-                return literal(float(v))
+                return literal(float(v)), {}
             case ast.Subscript(value=ast.Name(id="x"), slice=ast.Constant(value=int(i))) if 0 <= i < UTILITY_INPUTS:
-                return inputs[i]
+                return inputs[i], {}
             case ast.Subscript(value=ast.Name(id="c"), slice=ast.Constant(value=int(i))) if 0 <= i < UTILITY_COEFFICIENTS:
-                most = max(most, i)
-                return literal(float(coefficients[i] if i < len(coefficients) else 0.0))
+                return literal(float(coefficients[i] if i < len(coefficients) else 0.0)), {i: literal(1.0)}
             case ast.UnaryOp(op=ast.USub(), operand=a):
-                return -build(a)
-            case ast.BinOp(left=a, op=ast.Add(), right=b):
-                return build(a) + build(b)
-            case ast.BinOp(left=a, op=ast.Sub(), right=b):
-                return build(a) - build(b)
-            case ast.BinOp(left=a, op=ast.Mult(), right=b):
-                return build(a) * build(b)
+                u, du = build(a)
+                return -u, joined(du, {}, minus, same)
+            case ast.BinOp(left=a, op=ast.Add() | ast.Sub() | ast.Mult() as op, right=b):
+                (u, du), (v, dv) = build(a), build(b)
+                if isinstance(op, ast.Add):
+                    return u + v, joined(du, dv, same, same)
+                if isinstance(op, ast.Sub):
+                    return u - v, joined(du, dv, same, minus)
+                return u * v, joined(du, dv, lambda d: d * v, lambda d: u * d)
             case ast.BinOp(left=a, op=ast.Pow(), right=ast.Constant(value=int(p))) if p in (0, 1, 2):
-                base = build(a)
-                return literal(1.0) if p == 0 else base if p == 1 else base * base
+                u, du = build(a)
+                if p == 0:
+                    return literal(1.0), joined(du, {}, lambda d: d * 0.0, same)
+                return (u, du) if p == 1 else (u * u, joined(du, {}, lambda d: 2.0 * u * d, same))
             case ast.Call(func=ast.Name(id=n), args=[a], keywords=[]) if n in functions:
-                return functions[n](build(a))
+                u, du = build(a)
+                return functions[n](u), joined(du, {}, lambda d: slopes[n](u) * d, same)
         raise FormulaError(f"not allowed: {ast.dump(node)[:80]}")
 
-    column = build(f.body[0].value)
-    return column, most + 1
+    return build(_returned(text))
 
 
 def canonical(node: ast.expr) -> str:
@@ -207,5 +254,22 @@ def _depth(node: ast.expr) -> int:
 
 def concepts(text: str, low: int = 2, high: int = 4) -> set[str]:
     """The canonical forms of an equation's parts of these depths that use an input."""
-    tree = ast.parse(text.strip()).body[0].body[0].value
+    tree = _returned(text)
     return {canonical(n) for n in ast.walk(tree) if isinstance(n, ast.BinOp | ast.Call) and low <= _depth(n) <= high and "x[" in ast.unparse(n)}
+
+
+def trivial(concept: str) -> bool:
+    """Whether a canonical part is no abstraction: it has no input, or is a coefficient times an input."""
+    return "x[" not in concept or re.fullmatch(r"\(c\*x\[\d\]\)|\(\(c\*x\[\d\]\)\+0\)", concept) is not None
+
+
+def instance(concept: str, first: int) -> tuple[str, int]:
+    """A canonical part as part of an equation: its coefficients numbered from ``first`` on, and the number after them."""
+    at = first
+
+    def number(_: re.Match) -> str:
+        nonlocal at
+        at += 1
+        return f"c[{at - 1}]"
+
+    return re.sub(r"\bc\b", number, concept), at

@@ -21,6 +21,18 @@ def alternatives(spark, sf_dir):
     return rows.filter("j between 2 and 10").withColumns({"chosen": F.col("alt_idx") == F.col("event_id") % F.col("j"), "score": F.floor(F.col("quantity") / 10).cast("double")})
 
 
+def planted(spark, sf_dir):
+    """The same alternatives, with features and a choice that follows them: many units and a low price, beside chance.
+
+    units counts for 0.8, log_price for -4 of a logit's utility, the rest is a Gumbel draw by hash.
+    """
+    a = alternatives(spark, sf_dir).withColumns({"log_price": F.log1p("price"), "position": F.col("alt_idx").cast("double"), "units": F.col("quantity") / 10})
+    chance = -F.log(-F.log(choice.uniform(F.lit("planted"), F.col("seq"))))
+    w = Window.partitionBy("event_id")
+    a = a.withColumn("_u", 0.8 * F.col("units") - 4.0 * F.col("log_price") + chance)
+    return a.withColumn("chosen", F.col("_u") == F.max("_u").over(w)).drop("_u", "score")
+
+
 @query("w8_price_rank", f"WITH {_LONG} SELECT event_id, alt_idx, round((row_number() OVER (PARTITION BY event_id ORDER BY price, alt_idx) - 1) / (j - 1)::DOUBLE, 9) AS price_rank FROM l")
 def w8_price_rank(spark, sf_dir):
     return alternatives(spark, sf_dir).select("event_id", "alt_idx", F.round(features.price_rank(), 9).alias("price_rank"))

@@ -9,7 +9,7 @@ from ..operators import catalog, choice, generation, history, legacy, models, ou
 from ..sources import store
 from ..sources.binding import CLICKS, PURCHASES, clicks, purchases, table
 from ..sources.binding import persons as survey
-from .eval_queries import _EVENTS, _LONG, _RESULTS, _rounded, alternatives, results
+from .eval_queries import _EVENTS, _LONG, _RESULTS, _rounded, alternatives, planted, results
 from .history_queries import SPLIT_SQL
 from .registry import query
 
@@ -234,21 +234,18 @@ def m1_category_position_scores(spark, sf_dir):
     return m.score(a.filter(F.col("us") >= CUT_US)).select("event_id", "alt_idx", F.round("score", 8).alias("score"))
 
 
-def _tabular(spark, sf_dir):
-    a = alternatives(spark, sf_dir).drop("score")
-    return a.withColumns({"log_price": F.log1p("price"), "position": F.col("alt_idx").cast("double")})
 
 
 @query("m2_sparse_logit")
 def m2_sparse_logit(spark, sf_dir):
-    a = _tabular(spark, sf_dir)
+    a = planted(spark, sf_dir)
     m = models.SparseLogit(["quantity", "log_price", "position"]).fit(a.filter(F.col("us") < CUT_US), a.filter(F.col("us") >= CUT_US))
     return m.score(a).select("event_id", "alt_idx", "score")
 
 
 @query("m3_random_forest")
 def m3_random_forest(spark, sf_dir):
-    a = _tabular(spark, sf_dir)
+    a = planted(spark, sf_dir)
     m = models.Classifier(["quantity", "log_price", "position"]).fit(a.filter(F.col("us") < CUT_US))
     return m.score(a.filter(F.col("us") >= CUT_US)).select("event_id", "alt_idx", "score")
 

@@ -9,7 +9,7 @@ from ..functions import terms
 from ..operators import catalog, choice, history, legacy, models, nets, persons, posthoc, runs, search, split, structures, symbolic
 from ..sources.binding import PURCHASES, purchases, table
 from ..sources.shared import stored
-from .eval_queries import _EVENTS, _LONG, _PAIR, _RESULTS, alternatives, results, scored
+from .eval_queries import _EVENTS, _LONG, _PAIR, _RESULTS, alternatives, planted, results, scored
 from .history_queries import SPLIT_SQL
 from .model_queries import CUT_US
 from .registry import query
@@ -188,13 +188,10 @@ def split_counts(spark, sf_dir):
 
 
 
-def _tabular(spark, sf_dir):
-    a = alternatives(spark, sf_dir).drop("score")
-    return a.withColumns({"log_price": F.log1p("price"), "position": F.col("alt_idx").cast("double"), "units": F.col("quantity") / 10})
 
 
 def _halves(spark, sf_dir):
-    a = _tabular(spark, sf_dir)
+    a = planted(spark, sf_dir)
     return a.filter(F.col("us") < CUT_US), a.filter(F.col("us") >= CUT_US)
 
 
@@ -206,7 +203,7 @@ def m4_relevance_logit(spark, sf_dir):
 
 @query("m15_hierarchical_logit")
 def m15_hierarchical_logit(spark, sf_dir):
-    a = _tabular(spark, sf_dir)
+    a = planted(spark, sf_dir)
     top = [r["category"] for r in legacy.top_categories(a.filter(F.col("us") < CUT_US)).collect()]  # the most frequent have deviations of their own
     rows, names = models.hierarchical(a, ["units"], "category", top)
     fitted = models.PriorLogit(names, {n: 10.0 for n in names}).fit(rows.filter(F.col("us") < CUT_US))

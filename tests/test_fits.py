@@ -132,3 +132,173 @@ def test_priors_are_picked_by_validation_likelihood(spark):
     assert [(r["tau"], r["nu"]) for r in grid] == [(0.01, 0.5), (2.0, 0.5)]
     assert grid[1]["nll"] < grid[0]["nll"] and model.tau == 2.0
     model.clear()
+
+
+def term_rows(n=900, seed=5):
+    """Alternatives whose choice follows routine, and popularity only where novelty is 1."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        routine, popularity, novelty = rng.integers(0, 4, 5), rng.integers(0, 200, 5), rng.integers(0, 2, 5)
+        recency = rng.integers(0, 50, 5)
+        u = 0.8 * routine + 0.7 * novelty * np.log1p(popularity) + rng.gumbel(size=5)
+        rows += [(i, j, bool(j == u.argmax()), f"c{i % 4}", bool(novelty[j] == 0), bool(popularity[j] > 100), int(routine[j]), float(recency[j]), int(novelty[j]), int(popularity[j])) for j in range(5)]
+    return rows
+
+
+TERMS = "event_id long, alt_idx long, chosen boolean, category string, is_repeat boolean, is_popular boolean, routine int, recency_days double, novelty int, popularity int"
+
+
+def test_a_frontier_is_fitted_in_one_go(spark):
+    from tallyspark.functions.terms import parse
+    from tallyspark.operators import frontier
+
+    rows = term_rows()
+    train, held = spark.createDataFrame(rows[:3500], TERMS), spark.createDataFrame(rows[3500:], TERMS)
+    base = ["routine", "recency", "novelty", "popularity"]
+    structures = [tuple(map(parse, s)) for s in (["routine"], ["routine", "popularity"], ["routine", "interaction(novelty, popularity)"], ["ratio(routine, recency)", "threshold(popularity, cutoff=3)"])]
+    one, all_ = frontier.TermFits(train, held, base), frontier.TermFits(train, held, base)
+    for s in structures:
+        one.fit([s])
+    all_.fit([*structures, structures[0]])
+    assert all_.jobs < one.jobs / 2
+    for s in structures:
+        assert all_.score(s) == pytest.approx(one.score(s), rel=1e-6) and all_.known[s][1].n == 700 and all_.known[s][1].held_n == 200
+        assert np.abs(all_.known[s][1].grad + all_.known[s][0] / 100).max() < 1e-2  # at the top
+    assert max(structures, key=all_.score) == structures[2]
+    w = models.PriorLogit(["a", "b"], precision=0.01).fit(train.withColumns({"a": F.col("routine").cast("double"), "b": F.log1p("popularity")})).weights
+    assert np.allclose(w, all_.known[structures[1]][0], atol=1e-3)
+    wrong = all_.residuals(structures[0])
+    assert len(wrong) == 4 and {r["category"] for r in wrong} == {"c0", "c1", "c2", "c3"} and all(r["error_rate"] > 0.3 for r in wrong)
+    count = all_.jobs
+    all_.fit(structures)
+    assert all_.jobs == count
+    one.clear()
+    all_.clear()
+
+
+def test_search_finds_the_planted_interaction(spark):
+    from tallyspark.functions.terms import parse
+    from tallyspark.operators import frontier
+
+    rows = term_rows()
+    fits = frontier.TermFits(spark.createDataFrame(rows[:3500], TERMS), spark.createDataFrame(rows[3500:], TERMS), ["routine", "recency", "novelty", "popularity"])
+    seen = []
+
+    def propose(now, slices, base, rng, n):
+        seen.append(slices)
+        return frontier.by_residuals(now, slices, base, rng, n)
+
+    search = frontier.FrontierSearch(rounds=4, propose=propose, seed=1)
+    best = search.search(fits, (parse("routine"),))
+    assert any({"novelty", "popularity"} == set(t.args) for t in best) and parse("routine") in best
+    assert len(seen) == 4 and all(s and {"pattern", "error_rate"} <= set(s[0]) for s in seen)
+    assert fits.score(best) == max(h["score"] for h in search.history if h["accepted"])
+    assert {h["kind"] for h in search.history} == {"start", "guided", "random"}
+    none = frontier.FrontierSearch(rounds=2, guided=0, drawn=5, seed=1)
+    none.search(fits, (parse("routine"),))
+    assert {h["kind"] for h in none.history} == {"start", "random"}
+    fits.clear()
+
+
+def test_rules_of_acceptance():
+    from tallyspark.operators import frontier
+
+    greedy, late = frontier.Greedy(), frontier.LateAcceptance(2)
+    assert greedy(1, 2, 1, 5) and not greedy(1, 1, 1, 5)
+    margin = frontier.Threshold(5, 0)
+    assert margin(10, 6, 0, 5) and not margin(10, 5, 0, 5) and not margin(10, 9.9, 5, 5)
+    assert late(1, 2, 1, 9) and late(2, 3, 2, 9) and late(3, 2.5, 3, 9) and not late(2.5, 2.5, 4, 9)
+    hot, cold = frontier.Annealing(1e6, 1e6), frontier.Annealing(1e-9, 1e-9)
+    assert all(hot(1, 0.5, i, 9) for i in range(20)) and not any(cold(1, 0.5, i, 9) for i in range(20)) and cold(1, 1.1, 0, 9)
+    half = frontier.Annealing(1.0, 1.0)
+    taken = sum(half(0, -np.log(2), i, 9) for i in range(2000)) / 2000
+    assert abs(taken - 0.5) < 0.05
+
+
+EQUATIONS = [
+    "c[0] * x[0]", "c[0] + c[1] * x[1]", "log1p(c[0] * x[0] - x[1])", "exp(c[0] * x[0] + c[1])", "sqrt(c[0] * x[0] * x[1])", "tanh(c[0] * x[2]) * c[1]", "abs(c[0] * x[0] - c[1]) * x[3]",
+    "(c[0] * x[0] + c[1]) ** 2", "(c[0] * x[0]) ** 0 + c[1] ** 1 * x[1]", "-c[0] * (x[0] - c[1] * x[1])", "c[0] * c[0] * x[0] * exp(-c[1] * x[1])", "2 * x[0] - c[3] * x[1]", "x[0] * x[1]", "3",
+]
+
+
+@pytest.mark.parametrize("body", EQUATIONS)
+def test_derivatives_equal_differences(spark, body):
+    """In arrays and in columns, for every form of the grammar."""
+    from tallyspark.functions import formula
+
+    text = f"def utility(x, c):\n    return {body}"
+    rng = np.random.default_rng(len(body))
+    x, c = [rng.normal(size=30) for _ in range(4)], rng.normal(size=8)
+    numpy = lambda c: formula.utility_gradient(text, x, list(c), formula.NUMPY_FUNCTIONS, formula.NUMPY_SLOPES, float)
+    value, slopes = numpy(c)
+    assert len(slopes) <= formula.utility(text, x, list(c), formula.NUMPY_FUNCTIONS, float)[1]
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-6
+        differ = np.broadcast_to((numpy(c + step)[0] - numpy(c - step)[0]) / 2e-6, 30)
+        assert np.allclose(np.broadcast_to(slopes.get(k, 0.0), 30), differ, rtol=1e-4, atol=1e-6)
+    rows = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*x)], "x0 double, x1 double, x2 double, x3 double")
+    u, du = formula.utility_gradient(text, [F.col(f"x{i}") for i in range(4)], list(c))
+    got = rows.select(u.alias("u"), *(d.alias(f"d{k}") for k, d in du.items())).collect()
+    assert np.allclose([r["u"] for r in got], np.broadcast_to(value, 30))
+    assert all(np.allclose([r[f"d{k}"] for r in got], np.broadcast_to(slopes[k], 30)) for k in du)
+
+
+def test_quasi_newton_steps():
+    from tallyspark.operators import symbolic
+
+    valley = lambda x: (float((1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2), np.array([-2 * (1 - x[0]) - 400 * x[0] * (x[1] - x[0] ** 2), 200 * (x[1] - x[0] ** 2)]))
+    value, x = symbolic.bfgs(valley, np.array([-1.2, 1.0]))
+    assert value < 1e-8 and np.allclose(x, 1, atol=1e-3)
+    walled = lambda x: (float(x[0] - np.log(x[0])), 1 - 1 / x) if x[0] > 0 else (float("inf"), np.zeros(1))
+    assert symbolic.bfgs(walled, np.array([9.0]))[1][0] == pytest.approx(1, abs=1e-3)
+    assert symbolic.bfgs(walled, np.array([-1.0]))[0] == float("inf")
+
+
+def test_coefficients_are_fitted_to_all_events(spark):
+    from tallyspark.functions.formula import NUMPY_FUNCTIONS, utility
+    from tallyspark.operators import metrics, symbolic
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(500):
+        x = rng.normal(size=(3, 2))
+        u = 2 * np.tanh(1.5 * x[:, 0]) - x[:, 1] + rng.gumbel(size=3)
+        rows += [(i, j, bool(j == u.argmax()), float(x[j, 0]), float(x[j, 1])) for j in range(3)]
+    table = spark.createDataFrame(rows, "event_id long, alt_idx long, chosen boolean, a double, b double")
+    text = "def utility(x, c):\n    return c[0] * tanh(c[1] * x[0]) + c[2] * x[1]"
+    search = symbolic.EquationSearch(["a", "b"], proposals=3, propose=lambda *_: text)
+    search.fit(table)
+    assert search.n == 500 and np.abs(symbolic.over_all(models.packed(table, ["a", "b"]), text, 2, search.coefficients)[1]).max() < 1e-3
+    assert abs(search.coefficients[2] + 1) < 0.3 and abs(search.coefficients[0] * np.tanh(search.coefficients[1]) - 2 * np.tanh(1.5)) < 0.4
+    one = symbolic.fit(text, (*[([np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.zeros(1500), np.zeros(1500)])], np.repeat(np.arange(500), 3), np.array([i for i, r in enumerate(rows) if r[2]])))
+    assert search.likelihood == pytest.approx(one[0], abs=1e-5)
+    assert metrics.per_event(search.score(table)).agg(F.avg("nll")).first()[0] == pytest.approx(search.likelihood)
+    assert utility(text, [0.0] * 4, [], NUMPY_FUNCTIONS, float)[1] == 3
+
+
+def test_concepts_come_in_and_go():
+    from tallyspark.functions.formula import instance, trivial
+    from tallyspark.operators.symbolic import Library, answer, stub_proposals
+
+    wrap = lambda body: f"def utility(x, c):\n    return {body}"
+    often, once = wrap("c[0] * log1p(x[1]) + c[1] * x[0]"), wrap("c[0] * tanh(x[2] * x[3])")
+    plain, named = Library(promote_at=3), Library(promote_at=3)
+    survivors = [often, wrap("c[0] * log1p(x[1])"), wrap("x[0] - c[2] * log1p(x[1])"), once]
+    plain.update(survivors, [], 0)
+    named.update(survivors, ["curve"], 0)
+    assert "(c*log1p(x[1]))" in plain.forms and not any("tanh" in f for f in plain.forms)
+    assert "curve" in named.parts and named.parts["curve"]["form"] not in plain.forms and named.parts["curve"]["used"] == 1
+    assert not any(trivial(f) for f in named.forms) and trivial("(c*x[0])") and trivial("tanh(c)")
+    for step in range(1, 6):
+        named.update([survivors[1]], [], step)
+    assert "curve" not in named.parts  # no survivor had it for five updates
+    small = Library(size=1, promote_at=1)
+    small.update(survivors, [], 0)
+    assert len(small.parts) == 1
+    assert instance("(c*tanh((c+x[0])))", 3) == ("(c[3]*tanh((c[4]+x[0])))", 5)
+    assert answer("NOMINATE: a\n NOMINATE: b1\ndef utility(x, c):\n    return x[0]") == ("def utility(x, c):\n    return x[0]", ["a", "b1"])
+    draw = lambda i, memory, library: answer(stub_proposals(np.random.default_rng(i), memory, library))[0]
+    assert sum("tanh((x[2]*x[3]))" in draw(i, [], ["tanh((x[2]*x[3]))"]) for i in range(60)) > 10
+    assert sum("tanh(x[1])" in draw(i, [wrap("c[0] * sqrt(tanh(x[1]))")], []) for i in range(60)) > 5
+    assert not any("tanh(x[1])" in draw(i, [], []) and "tanh((" in draw(i, [], []) for i in range(60))

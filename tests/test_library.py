@@ -436,7 +436,7 @@ def test_equation_search(spark):
     found = symbolic.EquationSearch(["x0", "x1"], proposals=12, library=20, promote_at=1).fit(rows.filter("event_id < 200"))
     test = rows.filter("event_id >= 200")
     nll = metrics.per_event(found.score(test)).agg(F.avg("nll")).first()[0]
-    assert found.likelihood < np.log(4) - 0.2 and nll < np.log(4) - 0.15 and found.concepts
+    assert found.likelihood < np.log(4) - 0.2 and nll < np.log(4) - 0.15 and found.concepts.parts
     data = symbolic.sample(test, ["x0", "x1"])
     arrays = formula.utility(found.text, [*data[0], np.zeros(len(data[1])), np.zeros(len(data[1]))], list(found.coefficients), formula.NUMPY_FUNCTIONS, float)[0]
     assert symbolic.likelihood(arrays, data[1], data[2]) == pytest.approx(nll)
