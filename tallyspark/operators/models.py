@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassif
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -310,19 +310,31 @@ class SparseLogit:
 
 @dataclass
 class Classifier:
-    """A classifier of chosen against other alternatives, weighted by one over their number; score: its log odds."""
+    """A classifier of chosen against other alternatives, each weighted by one over their number; score: its log odds.
+
+    The perceptron knows no weights. ``options`` are the classifier's own settings.
+    """
 
     names: list[str]
     kind: str = "forest"
     seed: int = 0
+    options: dict = field(default_factory=dict)
 
     def fit(self, training: DataFrame) -> Classifier:
+        return self._fit(self.rows(training))
+
+    def rows(self, training: DataFrame) -> DataFrame:
+        """Vectors, labels and weights, which every setting of a grid takes."""
         self.vector = VectorAssembler(inputCols=self.names, outputCol="_x", handleInvalid="error")
-        rows = self.vector.transform(training.withColumns({"_y": F.col("chosen").cast("double"), "_w": F.lit(1.0)}))
+        weight = 1.0 / F.count("*").over(Window.partitionBy("event_id"))
+        return self.vector.transform(training.withColumns({"_y": F.col("chosen").cast("double"), "_w": weight})).select("_x", "_y", "_w")
+
+    def _fit(self, rows: DataFrame) -> Classifier:
+        common = {"featuresCol": "_x", "labelCol": "_y", "seed": self.seed}
         make = {
-            "forest": lambda: RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=30, maxDepth=6, seed=self.seed),
-            "boosting": lambda: GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=20, maxDepth=3, seed=self.seed),
-            "perceptron": lambda: MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=[len(self.names), 16, 2], maxIter=60, seed=self.seed),
+            "forest": lambda: RandomForestClassifier(**common, weightCol="_w", **{"numTrees": 30, "maxDepth": 6, "minInstancesPerNode": 2} | self.options),
+            "boosting": lambda: GBTClassifier(**common, weightCol="_w", **{"maxIter": 20, "maxDepth": 3} | self.options),
+            "perceptron": lambda: MultilayerPerceptronClassifier(**common, layers=[len(self.names), *self.options.get("hidden", (16,)), 2], **{"maxIter": 60} | {k: v for k, v in self.options.items() if k != "hidden"}),
         }
         self.model = make[self.kind]().fit(rows)
         return self
@@ -334,6 +346,47 @@ class Classifier:
         return got.withColumn("score", odds).select(*alternatives.columns, "score")
 
 
+#: Settings that tuning tries.
+GRIDS: dict[str, list[dict]] = {
+    "forest": [{"numTrees": 100, "maxDepth": 6}, {"numTrees": 100, "maxDepth": 10}, {"numTrees": 300, "maxDepth": 14}],
+    "boosting": [{"maxIter": 40, "maxDepth": 4, "stepSize": 0.1}, {"maxIter": 40, "maxDepth": 6, "stepSize": 0.05}, {"maxIter": 80, "maxDepth": 5, "stepSize": 0.05}],
+    "perceptron": [{"hidden": (32,)}, {"hidden": (64, 32)}, {"hidden": (64, 32), "stepSize": 0.01}],
+}
+
+
+def tuned_classifier(names: list[str], training: DataFrame, validation: DataFrame | None = None, kind: str = "forest", grid: list[dict] | None = None, seed: int = 0, together: int = 3) -> tuple[Classifier, list[dict]]:
+    """(the classifier of greatest validation likelihood, every setting with its likelihood).
+
+    Likelihood is that of whole events: scores go through a softmax over an event's alternatives. Without validation
+    events a tenth of the training events, by hash and never parts of one, is held out. The vectors are stored once; some
+    settings are fitted side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from . import metrics
+
+    if validation is None:
+        held = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+        training, validation = training.filter(~held), training.filter(held)
+    rows = Classifier(names, kind, seed).rows(training).persist()
+    validation = validation.persist()
+
+    def one(options: dict) -> tuple[float, Classifier]:
+        model = Classifier(names, kind, seed, options)
+        model.vector = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="error")
+        model._fit(rows)
+        return metrics.per_event(model.score(validation)).agg(F.avg("nll")).first()[0], model
+
+    try:
+        with ThreadPoolExecutor(max(1, together)) as pool:
+            got = list(pool.map(one, grid if grid is not None else GRIDS[kind]))
+    finally:
+        rows.unpersist()
+        validation.unpersist()
+    trials = [{**m.options, "nll": nll} for nll, m in got]
+    return min(got, key=lambda x: x[0] if x[0] is not None else np.inf)[1], trials
+
+
 def profiles(events: DataFrame) -> DataFrame:
     """A customer's shares by category and five scalars: repeat rate, closeness of repeats, novelty, log count, entropy."""
     n = events.groupBy("customer_id", "category").agg(F.count("*").alias("n"))
@@ -407,8 +460,6 @@ def leverage_subsample(events: DataFrame, n: int, components: int = 20, per_clus
         clusters = min(max(wanted // 5, 2), total)
         x = VectorAssembler(inputCols=columns, outputCol="_x").transform(x)
         x = KMeans(k=clusters, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x).transform(x).select("customer_id", "leverage", "cluster").persist()
-        from pyspark.sql import Window
-
         rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("leverage"), "customer_id"))
         sure = (rank <= per_cluster).cast("int")
         key = F.log(uniform(F.lit(seed), "customer_id")) / F.col("leverage")

@@ -302,3 +302,69 @@ def test_concepts_come_in_and_go():
     assert sum("tanh((x[2]*x[3]))" in draw(i, [], ["tanh((x[2]*x[3]))"]) for i in range(60)) > 10
     assert sum("tanh(x[1])" in draw(i, [wrap("c[0] * sqrt(tanh(x[1]))")], []) for i in range(60)) > 5
     assert not any("tanh(x[1])" in draw(i, [], []) and "tanh((" in draw(i, [], []) for i in range(60))
+
+
+def logit_rows(weights, n=800, alternatives=4, seed=0):
+    rng = np.random.default_rng(seed)
+    names = [f"x{i}" for i in range(len(weights))]
+    rows = []
+    for i in range(n):
+        x = rng.normal(size=(alternatives, len(weights)))
+        u = x @ np.array(weights) + 0.8 * x[:, 0] * x[:, 1] * (seed == 9) + rng.gumbel(size=alternatives)
+        rows += [(i, j, bool(j == u.argmax()), *map(float, x[j])) for j in range(alternatives)]
+    return rows, names, "event_id long, alt_idx long, chosen boolean, " + ", ".join(f"{n} double" for n in names)
+
+
+def test_variational_posterior_is_near_the_laplace_one(spark):
+    from tallyspark.operators import metrics, relevance
+
+    rows, names, form = logit_rows([1.5, -1.0, 0.0, 0.0])
+    train, test = spark.createDataFrame(rows[:2400], form), spark.createDataFrame(rows[2400:], form)
+    model = relevance.RelevanceLogit(names, steps=40, threshold=200).fit(train, test)
+    laplace = models.PriorLogit(names, relevance=True, rounds=10, dropped=200).fit(train)
+    natural = model.posterior_mean / model.std
+    assert np.allclose(natural[:2], laplace.weights[:2], atol=0.1) and np.abs(natural[2:]).max() < 0.15
+    wide = np.sqrt(np.diag(laplace.covariance))[:2]
+    assert np.allclose(model.posterior_deviation[:2] / model.std[:2], wide, rtol=0.35)
+    assert {"x0", "x1"} <= set(model.relevant) and model.precisions[:2].max() < 5 and model.precisions[2:].min() > 5 * model.precisions[:2].max()
+    assert np.mean(model.bound[-8:]) >= np.mean(model.bound[:8]) - 5  # each slice twice
+    assert np.allclose(model.draws(20_000).std(0), model.posterior_deviation, rtol=0.05)
+    nll = metrics.per_event(model.score(test)).agg(F.avg("nll")).first()[0]
+    assert nll < np.log(4) - 0.3 and 0.7 < model.temperature < 1.4
+
+
+def test_interactions_and_temperature(spark):
+    from tallyspark.operators import metrics, relevance
+
+    rows, names, form = logit_rows([1.0, 0.5], seed=9)
+    train, test = spark.createDataFrame(rows[:2400], form), spark.createDataFrame(rows[2400:], form)
+    with_, without = (relevance.RelevanceLogit(names, interactions=i, steps=16).fit(train) for i in (True, False))
+    assert with_.features == ["x0", "x1", "x0__x__x1"] and abs(with_.posterior_mean[2] / with_.std[2] - 0.8) < 0.25
+    nll = lambda m: metrics.per_event(m.score(test)).agg(F.avg("nll")).first()[0]
+    assert nll(with_) < nll(without) - 0.03 and with_.score(test).columns == [*test.columns, "score"]
+    with_.weights = with_.weights * 3  # too sure of itself
+    assert abs(with_._temperature(test) - 3) < 0.8
+
+
+def test_classifiers_weigh_events_alike_and_are_tuned(spark):
+    from tallyspark.operators import metrics
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        j = int(rng.choice([2, 10]))
+        x = rng.normal(size=(j, 2))
+        u = 2.5 * x[:, 0] + rng.gumbel(size=j)
+        rows += [(i, a, bool(a == u.argmax()), float(x[a, 0]), float(x[a, 1])) for a in range(j)]
+    table = spark.createDataFrame(rows, "event_id long, alt_idx long, chosen boolean, x double, y double").repartition(3)
+    weights = {r["n"]: (r["w"], r["total"]) for r in models.Classifier(["x", "y"]).rows(table).groupBy(F.round(1 / F.col("_w")).alias("n")).agg(F.first("_w").alias("w"), F.sum("_w").alias("total")).collect()}
+    size = {k: sum(1 for i in {r[0] for r in rows} if sum(r[0] == i for r in rows) == k) for k in (2, 10)}
+    assert weights[2.0][0] == pytest.approx(1 / 2) and weights[10.0][0] == pytest.approx(1 / 10)
+    assert weights[2.0][1] == pytest.approx(size[2]) and weights[10.0][1] == pytest.approx(size[10])
+    grid = [{"numTrees": 1, "maxDepth": 0}, {"numTrees": 20, "maxDepth": 4}]
+    best, trials = models.tuned_classifier(["x", "y"], table, grid=grid)
+    assert [t["maxDepth"] for t in trials] == [0, 4] and trials[1]["nll"] < trials[0]["nll"] and best.options == grid[1]
+    held = table.filter(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+    assert trials[1]["nll"] == pytest.approx(metrics.per_event(best.score(held)).agg(F.avg("nll")).first()[0])
+    deep, _ = models.tuned_classifier(["x", "y"], table, held, "perceptron", [{"hidden": (4, 3), "maxIter": 5}])
+    assert deep.score(held).filter("score IS NULL").count() == 0
