@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 # Title words that are no brand.
 NO_BRAND = (
     "premium", "new", "upgraded", "upgrade", "original", "genuine", "authentic",
@@ -81,15 +83,10 @@ def band(n: Column, q50: Column, q75: Column, q95: Column) -> Column:
 def pool_sizes(events: DataFrame) -> DataFrame:
     """As-of availability: for each row, how many items had been seen strictly before its time.
 
-    No range join: first sightings are counted for each time, summed up over times in two levels, and an event takes
-    the sum of its own time by an equi-join. ``events`` with times nobody saw anything first at still get theirs, as
-    the times of both sides are laid on one line.
+    No range join: first sightings are counted for each time, summed up along the times, and an event takes the sum of
+    its own time by an equi-join. ``events`` with times nobody saw anything first at still get theirs, as the times of
+    both sides are laid on one line.
     """
-    day = F.floor(F.col("us") / (86_400_000_000 * 30))
     first = first_seen(events).groupBy(F.col("first_us").alias("us")).agg(F.count("*").alias("fresh"))
-    times = events.select("us").distinct().join(first, "us", "full").select("us", F.coalesce("fresh", F.lit(0)).alias("fresh")).withColumn("month", day)
-    months = times.groupBy("month").agg(F.sum("fresh").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.coalesce(F.sum("fresh").over(Window.partitionBy("month").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pool = times.join(months.select("month", before.alias("base")), "month").select("us", (within + F.col("base")).alias("pool"))
-    return events.join(pool, "us")
+    times = events.select("us").distinct().join(first, "us", "full").select("us", F.coalesce("fresh", F.lit(0)).cast("long").alias("fresh"))
+    return events.join(running(times, ["us"], "fresh", name="pool").select("us", "pool"), "us")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 from .catalog import brand_map, dominant_category, first_seen, popularity, train
+from .prefix import running
 
 TINY = 1e-6
 NO_CATEGORY = "Unknown"
@@ -23,7 +24,6 @@ NO_CATEGORY = "Unknown"
 ROUNDS = 6
 #: What the first round draws beyond the wanted number.
 SPARE = 3
-_MONTH_US = 30 * 86_400_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -38,27 +38,17 @@ def catalogue(events: DataFrame) -> DataFrame:
 
 
 def line(items: DataFrame, key: str | None = None) -> DataFrame:
-    """Items with their stretch [low, high) of the line of their key, by first sighting; sums take two levels."""
-    keys = [key] if key else []
-    rows = items.withColumn("_m", F.floor(F.col("first_us") / _MONTH_US))
-    base = rows.groupBy(*keys, "_m").agg(F.sum("weight").alias("_w"))
-    order = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select(*keys, "_m", F.coalesce(F.sum("_w").over(order), F.lit(0.0)).alias("_base"))
-    inner = Window.partitionBy(*keys, "_m").orderBy("first_us", "asin").rowsBetween(Window.unboundedPreceding, -1)
-    low = F.coalesce(F.sum("weight").over(inner), F.lit(0.0)) + F.col("_base")
-    return rows.join(base, [*keys, "_m"]).withColumn("low", low).withColumn("high", F.col("low") + F.col("weight")).drop("_m", "_base")
+    """Items with their stretch [low, high) of the line of their key, by first sighting."""
+    laid = running(items, ["first_us", "asin"], "weight", key, name="low")
+    return laid.withColumn("high", F.col("low") + F.col("weight"))
 
 
 def pools(events: DataFrame, laid: DataFrame, key: str | None = None) -> DataFrame:
     """Events with pool: the length of the line strictly before their time (0 where nothing was on offer)."""
     keys = [key] if key else []
     last = laid.groupBy(*keys, F.col("first_us").alias("us")).agg(F.max("high").alias("_h"))
-    times = events.select(*keys, "us").distinct().join(last, [*keys, "us"], "full").withColumn("_m", F.floor(F.col("us") / _MONTH_US))
-    month = times.groupBy(*keys, "_m").agg(F.max("_h").alias("_mh"))
-    before = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    month = month.select(*keys, "_m", F.max("_mh").over(before).alias("_base"))
-    inner = Window.partitionBy(*keys, "_m").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
-    got = times.join(month, [*keys, "_m"]).select(*keys, "us", F.coalesce(F.greatest(F.max("_h").over(inner), "_base"), F.lit(0.0)).alias("pool"))
+    times = events.select(*keys, "us").distinct().join(last, [*keys, "us"], "full")
+    got = running(times, ["us"], "_h", key, how="max", name="pool").select(*keys, "us", "pool")
     return events.join(got, [*keys, "us"], "left").withColumn("pool", F.coalesce("pool", F.lit(0.0)))
 
 

@@ -53,10 +53,19 @@ def min_events(events: DataFrame, least: int = 5) -> DataFrame:
 
 
 def recent_titles(events: DataFrame, days: int = 30, most: int = 5, title: str = "title") -> DataFrame:
-    """recent: the last ``most`` titles of the customer in [t - days, t), in time order; the array is empty without any."""
-    span = Window.partitionBy("customer_id").orderBy("us").rangeBetween(-days * DAY_US, -1)
-    seen = F.array_sort(F.collect_list(F.struct("us", "seq", F.col(title).alias("title"))).over(span))
-    return events.withColumn("recent", F.transform(F.slice(seen, F.greatest(F.size(seen) - most + 1, F.lit(1)), most), lambda x: x["title"]))
+    """recent: the last ``most`` titles of the customer in [t - days, t), in time order; the array is empty without any.
+
+    Rows of one time are one row for a while. The ``most`` times before have all titles that can count, as each has one
+    at least; so a frame holds that many rows whatever a month holds, and one exchange by customer serves both steps.
+    """
+    tail = lambda a: F.slice(a, F.greatest(F.size(a) - most + 1, F.lit(1)), most)
+    times = events.repartition("customer_id").groupBy("customer_id", "us").agg(F.collect_list(F.struct(*events.columns)).alias("_rows"))
+    own = F.array_sort(F.transform("_rows", lambda x: F.struct(x["us"].alias("us"), x["seq"].alias("seq"), x[title].alias("title"))))
+    before = Window.partitionBy("customer_id").orderBy("us").rowsBetween(-most, -1)
+    seen = F.flatten(F.collect_list("_own").over(before))
+    recent = F.transform(tail(F.filter("_seen", lambda x: x["us"] >= F.col("us") - days * DAY_US)), lambda x: x["title"])
+    laid = times.withColumn("_own", tail(own)).withColumn("_seen", seen).select("_rows", recent.alias("recent"))
+    return laid.select(F.explode("_rows").alias("_row"), "recent").select("_row.*", "recent")
 
 
 def latest_before(timeline: DataFrame, probes: DataFrame, most: int, key: str = "customer_id", columns: tuple[str, ...] = ("us", "seq", "asin")) -> DataFrame:

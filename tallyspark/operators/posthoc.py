@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def trajectory(n: Column) -> Column:
     return F.when(n <= 2, "short").when(n <= 6, "medium").otherwise("long")
@@ -90,12 +92,11 @@ def chi2_p(statistic: float) -> float:
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """The signed-rank statistic of each model: the lesser sum of the ranks of nonzero differences, ties averaged.
 
-    Rows of a model are ranked by counts of distinct sizes, so the window runs over sizes, not rows.
+    Sizes are ranked by running counts along ranges of sizes, so neither a model's rows nor its sizes meet in one task.
     """
     d = pairs.select("model", (F.col("nll") - F.col("nll_a")).alias("d")).filter("d <> 0")
     sizes = d.groupBy("model", F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("plus"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("model").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = sizes.withColumn("rank", before + (F.col("n") + 1) / 2)
+    r = running(sizes, ["size"], "n", "model").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     plus = F.sum(F.col("plus") * F.col("rank"))
     every = F.sum(F.col("n") * F.col("rank"))
     ties = F.sum(F.pow("n", F.lit(3)) - F.col("n"))

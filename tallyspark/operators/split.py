@@ -65,9 +65,9 @@ def kfold(events: DataFrame, folds: int, seed: int = 42, val_frac: float = 0.1)
     buckets = kfold_buckets(events, folds, seed)
     table = buckets.select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"), "customer_id", "bucket")
     rest = table.filter("bucket <> fold").withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("fold").cast("string"), F.lit(":"), F.col("customer_id")).cast("binary")))
-    w = Window.partitionBy("fold")
     # the val customers of a fold are the least keys below the share's value; keys are uniform over 32 bits
     share = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    first = F.min("_key").over(w) == F.col("_key")
+    least = rest.groupBy("fold").agg(F.min("_key").alias("_least"))  # a row for each fold
+    rest, first = rest.join(F.broadcast(least), "fold"), F.col("_least") == F.col("_key")
     val = rest.select("fold", "customer_id", F.when((share < val_frac) | first, "val").otherwise("train").alias("split"))
     return val.union(table.filter("bucket = fold").select("fold", "customer_id", F.lit("test").alias("split")))

@@ -727,3 +727,37 @@ def test_reports_of_a_model(spark):
     a = spark.createDataFrame([(e, k, m, float(e + k - m)) for e in range(3) for k in range(2) for m in range(2)], "event_id long, k long, m long, a double")
     texts = spark.createDataFrame([(e, k, f"{e}/{k}") for e in range(3) for k in range(2)], "event_id long, k long, text string")
     assert {(r["head"], r["rn"], r["text"]) for r in runs.named_heads(a, texts, {0: "money"}, 1).collect()} == {("money", 1, "2/1"), ("head 1", 1, "2/1")}
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+@pytest.mark.parametrize("how", ["sum", "max"])
+def test_running_sums_along_ranges(spark, key, how):
+    """Against a window, with null keys and values, one day for all rows, and ranges of about as many rows."""
+    from pyspark.sql import Window
+    from tallyspark.operators.prefix import running
+    from tallyspark.sources.shared import Scratch
+
+    rows = [("a" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 50}", 5, i * 37 % 4001, None if i % 11 == 0 else i % 13) for i in range(4000)]
+    table = spark.createDataFrame(rows, "k string, us long, id long, v long").repartition(5)
+    w = Window.partitionBy(*([key] if key else [])).orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = table.withColumn("before", F.coalesce(F.sum("v").over(w), F.lit(0)) if how == "sum" else F.max("v").over(w).cast("double"))
+    got = running(table, ["us", "id"], "v", key, how)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == sorted(map(tuple, want.collect()), key=lambda r: r[2])
+    where = Scratch(spark)
+    running(table, ["us", "id"], "v", key, how, scratch=where)
+    parts = spark.read.parquet(where.paths[0]).groupBy("_part").count().collect()
+    assert len(parts) >= 3 and max(r["count"] for r in parts) <= 2 * len(rows) / len(parts)
+
+
+def test_recent_titles_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    day = 86_400_000_000
+    rows = [(f"c{rng.randrange(4)}", rng.randrange(60) * day // 2, f"{i:04d}", None if i % 17 == 0 else f"t{i}") for i in range(500)]
+    got = history.recent_titles(spark.createDataFrame(rows, "customer_id string, us long, seq string, title string"))
+    assert got.columns == ["customer_id", "us", "seq", "title", "recent"]
+    for r in got.collect():
+        past = sorted((u, s, t) for c, u, s, t in rows if c == r["customer_id"] and r["us"] - 30 * day <= u < r["us"])
+        assert r["recent"] == [t for *_, t in past[-5:]]
+    assert got.count() == len(rows)
