@@ -5,10 +5,9 @@ from __future__ import annotations
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, jaccard, resample, secret_spans
-from tallyspark.llm.common import ship
+from tallyspark.llm.common import apart, ship, together
 from tallyspark.llm.queries import vocabulary
 from tallyspark.sources.shared import own_folder
 
@@ -49,9 +48,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and wordless texts hit nothing and stay; repeated rows share their fate; an empty table stays empty; texts
     of any length are searched whole; all columns stay as they are, whatever their names.
     """
-    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
-    found = decontam.find(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
-    return found.filter(~decontam.contaminated()).select("row.*")
+    found = decontam.find(apart(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["text", "row"])
+    return together(found.filter(~decontam.contaminated()), docs.columns, "text")
 
 
 @_shipped

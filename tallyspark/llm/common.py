@@ -83,6 +83,18 @@ def carried(df: DataFrame, carry: list[str] | None, own: tuple[str, ...]) -> tup
     return names, "".join(f"`{c}` {kinds[c]}, " for c in names)
 
 
+def apart(docs: DataFrame, text: str) -> DataFrame:
+    """``text``, and ``row`` with all other columns, so that an operator can carry them whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.col(f"`{text}`").alias("text"), (F.struct(*others) if others else F.struct(F.lit(None).alias("none"))).alias("row"))
+
+
+def together(parted: DataFrame, columns: list[str], text: str, new: dict[str, F.Column] | None = None) -> DataFrame:
+    """The columns that ``apart`` took apart, in their order; those in ``new`` have these values."""
+    new = new or {}
+    return parted.select(*(new[c].alias(c) if c in new else F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in columns))
+
+
 _shipped: set[str] = set()
 
 

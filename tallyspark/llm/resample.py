@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, batch_of, binaries, carried, chunks, stored
+from .common import CACHE_WORDS, apart, batch_of, binaries, carried, chunks, stored, together
 
 BUCKETS = 10_000
 #: Labelled good documents that the target model is fit on at most.
@@ -229,6 +229,6 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT
     treated as by ``resample``.
     """
     ratios = log_ratios(docs, labels, text, rows)
-    whole = docs.select("doc_id", F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
-    weighed = stored(weigh(whole, ratios, "text", ["doc_id", "row"]), "weighed-rows")
-    return weighed.filter(F.col("key") >= threshold(weighed, labels, rows, budget)).select("row.*")
+    whole = apart(docs, text).withColumn("doc_id", F.col("row.doc_id"))
+    weighed = stored(weigh(whole, ratios, "text", ["doc_id", "text", "row"]), "weighed-rows")
+    return together(weighed.filter(F.col("key") >= threshold(weighed, labels, rows, budget)), docs.columns, text)

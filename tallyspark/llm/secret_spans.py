@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, carried, chunks
+from .common import apart, batch_of, carried, chunks, together
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 BASE = KINDS[:3]
@@ -173,10 +173,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with every secret replaced by MASK; n_chars, where there is one, follows the new text."""
-    whole = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
-    done = scan(whole, "text", ["row"], mask=True)
-    columns = [
-        F.col("redacted").alias(c) if c == text else F.when(F.size("secrets") > 0, F.length("redacted")).otherwise(F.col(f"row.`{c}`")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"row.`{c}`")
-        for c in docs.columns
-    ]
-    return done.select(*columns)
+    done = scan(apart(docs, text), "text", ["text", "row"], mask=True)
+    new = {text: F.col("redacted")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        new["n_chars"] = F.when(F.size("secrets") > 0, F.length("redacted")).otherwise(F.col("row.n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return together(done, docs.columns, text, new)

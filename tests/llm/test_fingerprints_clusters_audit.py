@@ -6,22 +6,16 @@ import re
 from collections import Counter
 from itertools import permutations
 
-import duckdb
 import numpy as np
 import pytest
 
-from tallyspark.llm import annulus, audit, improbable, queries
-from tallyspark.llm.oracles import ORACLE
+from tallyspark.llm import annulus, audit, improbable
 
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def lines(rows, names):
-    return Counter(tuple(r[n] for n in names) for r in rows)
-
-
 # --- fingerprints -------------------------------------------------------------------------------------------------
 
 
@@ -306,18 +300,3 @@ def test_bitmaps_count_as_rows_do():
         for subset in range(16):
             left = (part == p) & (fails & subset == 0)
             assert got[p, subset].tolist() == [left.sum(), (left & good).sum(), (left & toxic).sum()]
-
-
-# --- the registered queries ---------------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("name", ["op12_centroid_clustering", "op13_filter_audit"])
-def test_query_equals_its_sql(spark, sf, name):
-    con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
-        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    want = con.execute(ORACLE[name])
-    names = [c[0] for c in want.description]
-    got = queries.QUERIES[name](spark, sf)
-    assert sorted(got.columns) == sorted(names)
-    assert lines(got.collect(), names) == Counter(want.fetchall())

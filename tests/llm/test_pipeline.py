@@ -76,7 +76,7 @@ def test_run_gives_the_same(spark, sf, staged):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracles(spark, sf, name):
     base = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         base.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = base.execute(queries.ORACLE[name]).fetchdf()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
