@@ -604,6 +604,25 @@ class UtilityNet:
         self.p = kept
         return curve
 
+    def parts(self, events: DataFrame) -> DataFrame:
+        """What an attribute net's utilities are made of: for each event, alternative, outcome k and attribute m its value
+        a and the person's weight w, with the outcome's salience s and whether the alternative is the choice (where
+        ``events`` have own)."""
+        net = self
+        if net.utility != "attributes":
+            raise ValueError("only a net of attributes has such parts")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for event, z, e, own in zip(pdf["event_id"], pdf["z"], pdf["e"], pdf["own"]):
+                    f = net.forward(np.asarray(z, float)[None], np.asarray(e, float).reshape(1, -1, net.outcomes, net.width))
+                    j, k, m = f["A"].shape[1:]
+                    alt, out, at = (x.ravel() for x in np.indices((j, k, m)))
+                    yield pd.DataFrame({"event_id": event, "alt_idx": alt, "k": out, "m": at, "a": f["A"].ravel(), "w": f["w"][0][at], "s": f["S"][0][alt, out], "chosen": alt == own})
+
+        rows = events if "own" in events.columns else events.withColumn("own", F.lit(-1))
+        return rows.select("event_id", "z", "e", F.coalesce("own", F.lit(-1)).alias("own")).mapInPandas(run, "event_id long, alt_idx long, k long, m long, a double, w double, s double, chosen boolean")
+
     def score(self, events: DataFrame) -> DataFrame:
         """events: event_id, z array, e array (alternatives x outcomes x width). Rows (event_id, alt_idx, score).
 

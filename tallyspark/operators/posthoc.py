@@ -5,14 +5,13 @@
 
 from __future__ import annotations
 
-import json
 import math
-from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.artefacts import Artefacts
 from .prefix import running
 
 
@@ -236,16 +235,14 @@ def segmentation_text(report: dict, scheme: str) -> str:
 
 def save_segmentation(report: dict, folder: str) -> None:
     """A JSON and a Markdown file for each scheme, and a summary of the segments won."""
-    at = Path(folder)
-    at.mkdir(parents=True, exist_ok=True)
+    at = Artefacts(SparkSession.getActiveSession(), folder)
     for scheme, part in report["schemes"].items():
-        (at / f"by_{scheme}.json").write_text(json.dumps(part, indent=2, sort_keys=True))
-        (at / f"by_{scheme}.md").write_text(segmentation_text(report, scheme))
-    (at / "summary.json").write_text(json.dumps({s: part["wins"] for s, part in report["schemes"].items()}, indent=2))
+        at.json(f"by_{scheme}.json", part)
+        at.text(f"by_{scheme}.md", segmentation_text(report, scheme))
+    at.json("summary.json", {s: part["wins"] for s, part in report["schemes"].items()})
 
 
 def save_significance(report: dict, folder: str) -> None:
-    at = Path(folder)
-    at.mkdir(parents=True, exist_ok=True)
-    (at / f"pairwise_vs_{report['baseline_of_interest']}.json").write_text(json.dumps(report, indent=2))
-    (at / f"pairwise_vs_{report['baseline_of_interest']}.md").write_text(significance_text(report))
+    at, name = Artefacts(SparkSession.getActiveSession(), folder), f"pairwise_vs_{report['baseline_of_interest']}"
+    at.json(f"{name}.json", report)
+    at.text(f"{name}.md", significance_text(report))

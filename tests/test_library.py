@@ -697,6 +697,42 @@ def test_run_writes_its_artefacts(spark, events, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "run/leaderboard_seed42.csv")).count() == 4
 
 
+def test_run_writes_reports_of_its_net(spark, events, tmp_path):
+    from tallyspark.operators import models, runs, training
+    from tallyspark.sources.artefacts import Artefacts
+
+    people = events.select("customer_id").distinct().withColumns({"z": F.array(F.lit(1.0), F.lit(-0.5)), "name": F.concat(F.lit("I am "), "customer_id")})
+    trainer = training.Trainer(models.UtilityNet(outcomes=2, width=8, persons=2, hidden=4, attributes=3), epochs=2, slices=2)
+    runs.run(events, people, F.col("name"), f"file://{tmp_path}/run", {"popularity": models.Popularity}, negatives=4, trainer=trainer)
+    at = Artefacts(spark, f"file://{tmp_path}/run")
+    reports = {"head_naming.json", "per_decision.json", "dominant_attribute.json", "counterfactual.json"}
+    assert reports | {"metrics.json", "metrics_test.json", "summary.json", "events_seed42.json", "leaderboard_seed42.csv"} <= set(at.names())
+    summary = json.loads(at.read("summary.json"))
+    assert [e["events"] for e in summary["training"]["epochs"]] == [summary["n_train"]] * 2 and reports <= set(summary["written"])
+    assert json.loads(at.read("metrics_test.json"))["n"] == summary["n_test"]
+    read = {n: spark.read.json(f"{tmp_path}/run/{n}") for n in reports}
+    assert read["head_naming.json"].count() == 3 * 10 and read["head_naming.json"].filter("text like 'outcome %'").count() == 30
+    assert read["per_decision.json"].count() == 5 * 2 and all(len(r["parts"]) == 3 for r in read["per_decision.json"].collect())
+    assert read["dominant_attribute.json"].agg(F.sum("n")).first()[0] * 5 == read["counterfactual.json"].count()
+    assert read["counterfactual.json"].filter("abs(delta - (after - before)) > 1e-9").count() == 0
+    at.text("summary.json", "again")
+    assert at.read("summary.json") == "again" and not any(n.startswith("_") for n in at.names())
+
+
+def test_parts_of_a_net_make_its_scores(spark):
+    from tallyspark.operators import models
+
+    rng = np.random.default_rng(0)
+    net = models.UtilityNet(outcomes=2, width=4, persons=2, hidden=3, attributes=3).init()
+    rows = [(i, rng.normal(size=2).tolist(), rng.normal(size=(3, 2, 4)).ravel().tolist(), i % 3) for i in range(7)]
+    events = spark.createDataFrame(rows, "event_id long, z array<double>, e array<double>, own int")
+    parts = net.parts(events)
+    got = parts.groupBy("event_id", "alt_idx").agg(F.sum(F.col("a") * F.col("w") * F.col("s")).alias("u"), F.max("chosen").alias("chosen")).join(net.score(events), ["event_id", "alt_idx"]).collect()
+    assert len(got) == 21 and all(abs(r["u"] - r["score"]) < 1e-9 and r["chosen"] == (r["alt_idx"] == r["event_id"] % 3) for r in got)
+    with pytest.raises(ValueError):
+        models.UtilityNet(utility="film").init().parts(events)
+
+
 def test_personal_logit(spark):
     from tallyspark.operators import search
 
