@@ -211,6 +211,9 @@ def stub_proposals(rng: np.random.Generator, memory: list[str], library: list[st
     return f"{nominated}def utility(x, c):\n    return {' + '.join(parts)}"
 
 
+stub_proposals.stand_in = True
+
+
 @dataclass
 class EquationSearch:
     """Proposals with a memory of the best; with ``library`` parts of good equations become concepts that proposals can

@@ -304,6 +304,60 @@ def test_concepts_come_in_and_go():
     assert not any("tanh(x[1])" in draw(i, [], []) and "tanh((" in draw(i, [], []) for i in range(60))
 
 
+def test_text_net_stops_and_drops_what_gives_the_choice_away(spark):
+    from tallyspark.operators import metrics, nets
+
+    rng = np.random.default_rng(3)
+    words = ["plain", "large", "small", "red", "cheap"]
+    rows = []
+    for i in range(500):
+        own = [words[j] for j in rng.choice(5, 4, replace=False)]
+        u = np.array([2.0 * (w == "cheap") - (w == "large") for w in own]) + rng.gumbel(size=4)
+        rows += [(i, j, bool(j == u.argmax()), f"{w} thing", bool(j == u.argmax()), bool(rng.random() < 0.3)) for j, w in enumerate(own)]
+    table = spark.createDataFrame(rows, "event_id long, alt_idx long, chosen boolean, title string, leak boolean, fair boolean")
+    train, test = table.filter("event_id < 400"), table.filter("event_id >= 400")
+    leaky, fair = (nets.TextNet("title", repeat, width=32, epochs=40, patience=3).fit(train) for repeat in ("leak", "fair"))
+    assert leaky.dropped_repeat and not fair.dropped_repeat
+    nll = lambda m: metrics.per_event(m.score(test)).agg(F.avg("nll")).first()[0]
+    assert np.log(4) - 0.2 > nll(leaky) > 0.5 and leaky.score(test).columns == [*test.columns, "score"]
+    assert len(leaky.net.curve) < 40 and int(np.argmin(leaky.net.curve)) >= len(leaky.net.curve) - 4
+    held = train.filter(F.pmod(F.xxhash64(F.lit("held"), "event_id"), F.lit(10)) == 0)
+    assert metrics.per_event(leaky.score(held)).agg(F.avg("nll")).first()[0] == pytest.approx(min(leaky.net.curve), abs=1e-6)
+
+
+def test_dropout_gradient_equals_differences():
+    from tallyspark.operators import nets
+
+    rng = np.random.default_rng(0)
+    net = nets.NetLogit(["a", "b"], hidden=4, monotone={"a": 1})
+    net.p = {"a": rng.normal(size=(2, 4)), "b": rng.normal(size=4), "c": rng.normal(size=4), "w": rng.normal(size=2)}
+    x, event, own = rng.normal(size=(12, 2)), np.repeat(np.arange(4), 3), np.array([0, 4, 8, 10])
+    mask = (rng.random((12, 4)) > 0.3) / 0.7
+    _, g = net.loss(x, event, own, mask)
+    for name, z in net.p.items():
+        for at in np.ndindex(z.shape):
+            old = z[at]
+            z[at] = old + 1e-6
+            up = net.loss(x, event, own, mask)[0]
+            z[at] = old - 1e-6
+            down = net.loss(x, event, own, mask)[0]
+            z[at] = old
+            assert g[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_no_stand_in_in_a_real_run(spark):
+    from tallyspark.operators import runs, search
+
+    rows, names, form = logit_rows([1.0, 0.5], n=60)
+    table = spark.createDataFrame(rows, form).withColumns({"asin": F.col("alt_idx").cast("string"), "t": F.lit("x")})
+    ask = lambda shown: F.lit('{"A": 1}')
+    made = {"relevance_logit": lambda: models.PriorLogit(names), "equations": lambda: runs.symbolic.EquationSearch(names, proposals=2), "ranker": lambda: runs.Ranker("t", ask)}
+    status = lambda **k: {r["model"]: r["status"] for r in search.leaderboard(made, table, table, **k).collect()}
+    assert status(stand_ins=False) == {"relevance_logit": "ok", "equations": "errored", "ranker": "ok"}
+    ask.stand_in = True
+    assert status(stand_ins=False)["ranker"] == "errored"
+
+
 def logit_rows(weights, n=800, alternatives=4, seed=0):
     rng = np.random.default_rng(seed)
     names = [f"x{i}" for i in range(len(weights))]
