@@ -389,9 +389,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(_lowered(F.col(text)).rlike(WORD_FORM), F.lit(False)).alias("words"), F.struct(*docs.columns).alias("row"))
     bare = whole.filter(~F.col("words")).select("row.*")
     few = whole.filter("words").join(best.hint("merge"), whole.doc_id.eqNullSafe(best.doc_id) & (whole.text_hash == best.text_hash)).select(whole.doc_id, whole.text_hash, "row", "times")
-    # Only rows that repeat are dealt anew, to be numbered.
-    number = F.row_number().over(Window.partitionBy("text_hash", "doc_id").orderBy(F.lit(0)))
-    once = few.filter("times > 1").withColumn("n", number).filter("n = 1")
+    # Only rows that repeat are dealt anew; each task first leaves one of its own, so copies of a row don't meet.
+    once = few.filter("times > 1").groupBy("text_hash", "doc_id").agg(F.first("row").alias("row"))
     return bare.unionByName(few.filter("times = 1").select("row.*")).unionByName(once.select("row.*"))
 
 

@@ -127,8 +127,9 @@ def gumbel(*parts: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", carry: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """Carried columns with log_weight and key (log weight and noise).
+def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", carry: list[str] | None = None, seed: int = SEED, length: int | None = LENGTH) -> DataFrame:
+    """Carried columns with log_weight and key (log weight and noise). Without ``length`` the weight is the exact log ratio
+    of the two models, the sum over all n-grams.
 
     A null or empty text, or one without words, weighs NO_NGRAMS. Repeated rows each get their row and share their key;
     an empty table gives none; an input column with an output's name gives way to it, all others stay.
@@ -147,7 +148,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", carry: list[s
                 bucket, of = ngram_buckets(binaries(batch.column(text)), codes)
                 n = np.bincount(of, minlength=batch.num_rows)
                 total = np.bincount(of, ratio[bucket], minlength=batch.num_rows)
-                weight = np.where(n > 0, total * np.minimum(n, LENGTH) / np.maximum(n, 1), NO_NGRAMS)
+                share = 1.0 if length is None else np.minimum(n, length) / np.maximum(n, 1)
+                weight = np.where(n > 0, total * share, NO_NGRAMS)
                 noise = batch.column(own).to_numpy(zero_copy_only=False)
                 yield batch_of(batch, names, log_weight=pa.array(weight), key=pa.array(weight + noise))
 
@@ -211,18 +213,18 @@ def threshold(weighed: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, budge
     return float("-inf") if cut is None else kth_greatest(weighed, weighed.filter(F.col("log_weight") >= cut).count())
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, budget: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, budget: int | None = None, length: int | None = LENGTH) -> DataFrame:
     """doc_id, log_weight, key and kept for every row.
 
     Null, empty and wordless texts have the least weight; a null id is no one's label; repeated rows each get their
     row; an empty table gives no row; columns but id and text are ignored.
     """
     ratios = log_ratios(docs, labels, text, rows)
-    weighed = stored(weigh(docs, ratios, text, ["doc_id"]), "weighed")
+    weighed = stored(weigh(docs, ratios, text, ["doc_id"], length=length), "weighed")
     return weighed.withColumn("kept", F.col("key") >= threshold(weighed, labels, rows, budget))
 
 
-def keep(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, budget: int | None = None) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, budget: int | None = None, length: int | None = LENGTH) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, with all their columns, whatever their names.
 
     Weighed rows are stored whole, so texts are hashed for the counts and once more for the weights. Odd rows are
@@ -230,5 +232,5 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT
     """
     ratios = log_ratios(docs, labels, text, rows)
     whole = apart(docs, text).withColumn("doc_id", F.col("row.doc_id"))
-    weighed = stored(weigh(whole, ratios, "text", ["doc_id", "text", "row"]), "weighed-rows")
+    weighed = stored(weigh(whole, ratios, "text", ["doc_id", "text", "row"], length=length), "weighed-rows")
     return together(weighed.filter(F.col("key") >= threshold(weighed, labels, rows, budget)), docs.columns, text)

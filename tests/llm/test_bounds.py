@@ -138,3 +138,33 @@ def test_many_texts_suffice_however_large_the_host(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     by = lambda **k: {r["doc_id"] for r in rules.judge(docs, share=0.5, **k).filter("removed_words > 0").collect()}
     assert by() == set(range(40, 1000)) and by(many_texts=30) == set(range(1000))
+
+
+# --- weights and copies -------------------------------------------------------------------------------------------
+
+
+def test_exact_weights_are_sums_over_all_ngrams(spark):
+    import numpy as np
+
+    from tallyspark.llm import resample
+
+    docs = spark.createDataFrame([(1, "a b c d"), (2, " ".join(f"w{i}" for i in range(300))), (3, None)], "doc_id long, text string")
+    ratios = np.linspace(-1, 1, resample.BUCKETS)
+    exact, bounded = ({r["doc_id"]: r["log_weight"] for r in resample.weigh(docs, ratios, length=n).collect()} for n in (None, 100))
+    for i, t in docs.collect():
+        bucket, _ = resample.ngram_buckets([t.encode() if t else None], resample._Codes())
+        want = ratios[bucket].sum() if len(bucket) else resample.NO_NGRAMS
+        assert exact[i] == pytest.approx(want)
+        assert bounded[i] == pytest.approx(want * min(100, len(bucket)) / max(len(bucket), 1) if len(bucket) else want)
+
+
+def test_one_of_many_copies_without_an_id_stays(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.llm import jaccard
+
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text that many rows have and nobody numbered").alias("text"), F.col("id").alias("other"))
+    docs = docs.union(spark.createDataFrame([(1, "quite another text of some more words than five", 1)], "doc_id long, text string, other long")).repartition(6)
+    kept = jaccard.keep_one(docs)
+    assert "row_number" not in kept._jdf.queryExecution().toString()
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 1])
