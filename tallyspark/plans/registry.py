@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Registers every query of the library."""
-    from . import eval_queries, fit_queries, history_queries, model_queries, person_queries, search_queries  # noqa: F401
+    from . import eval_queries, fit_queries, history_queries, model_queries, person_queries, search_queries, store_queries  # noqa: F401
