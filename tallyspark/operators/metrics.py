@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+from ..sources.shared import stored
+
 TOP = 5
 BINS = 15
 
@@ -80,8 +83,9 @@ def time_of_day(hour: Column, evening_ends: int = 24) -> Column:
 
 def tertiles(activity: DataFrame, value: str) -> DataFrame:
     """low, mid or high by the thirds of a value; one that equals an edge goes up."""
-    q = activity.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))  # one row
-    return activity.crossJoin(F.broadcast(q)).withColumn("tertile", F.when(F.col(value) >= F.col("q")[1], "high").when(F.col(value) >= F.col("q")[0], "mid").otherwise("low")).drop("q")
+    activity = stored(activity, "activity")  # read by every pass that narrows the edges
+    low, high = (F.lit(q).cast("double") for q in quantiles(activity, value, [1 / 3, 2 / 3]))
+    return activity.withColumn("tertile", F.when(F.col(value) >= high, "high").when(F.col(value) >= low, "mid").otherwise("low"))
 
 
 def dominant(attributes: DataFrame) -> DataFrame:

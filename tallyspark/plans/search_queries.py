@@ -149,22 +149,18 @@ def f20_logprobs(spark, sf_dir):
     "m8_few_shot_prompts",
     f"""WITH {_LONG}, {SPLIT_SQL}, ev AS (SELECT event_id, any_value(customer_id) AS customer_id, max(us) AS us, count(*) AS j FROM l GROUP BY 1), p AS (SELECT event_id, j, s.title, s.category, s.price, row_number() OVER (PARTITION BY event_id ORDER BY s.us DESC, s.seq DESC) AS k FROM ev JOIN s ON s.customer_id = ev.customer_id AND s.us < ev.us AND split = 'train'),
 c AS (SELECT event_id, count(*) AS shown FROM p WHERE k <= 4 GROUP BY 1)
-SELECT l.event_id, alt_idx, round(ln(1.0::DOUBLE / j), 7) AS score, coalesce(shown, 0) AS shown FROM l LEFT JOIN c USING (event_id)""",
+SELECT l.event_id, alt_idx, round(ln((j + coalesce(shown, 0)) / (j * (10.0::DOUBLE + coalesce(shown, 0)))), 7) AS score FROM l LEFT JOIN c USING (event_id)""",
 )
 def m8_few_shot_prompts(spark, sf_dir):
-    """The stand-in gives every letter the same probability but names how many earlier choices its prompt shows."""
+    """The stand-in reads its prompt: letter A weighs one more for every earlier choice that it shows, the other nine
+    letters one each. Every alternative is once at A, so its mean tells how many examples the prompts had."""
     rows = alternatives(spark, sf_dir)
     events = rows.groupBy("event_id").agg(F.max("customer_id").alias("customer_id"), F.max("us").alias("us"), F.transform(F.array_sort(F.collect_list(F.struct("alt_idx", "title", "price"))), lambda x: F.struct(x["title"].alias("title"), x["price"].alias("price"))).alias("alts"))
     events = events.withColumn("c_d", F.lit("Someone"))
     past = split.temporal_split(purchases(spark, sf_dir)).filter("split = 'train'")
-    even = lambda prompt: F.lit('{"A": 1, "B": 1, "C": 1, "D": 1, "E": 1, "F": 1, "G": 1, "H": 1, "I": 1, "J": 1}')
-    ranked = search.few_shot(events, past, even, shots=4)
-    probes = events.select("customer_id", F.col("us").alias("probe_us"), F.col("event_id").alias("probe_id"))
-    shown = history.latest_before(past, probes, 4).select(F.col("probe_id").alias("event_id"), F.size("examples").cast("long").alias("shown"))
-    n = events.select("event_id", F.size("alts").alias("j"))
-    # Letters beyond the set's size have probability, too; a place's mean over rotations is a tenth.
-    both = ranked.join(shown, "event_id").join(n, "event_id")
-    return both.select("event_id", "alt_idx", F.round(F.log(F.exp("score") * 10 / F.col("j")), 7).alias("score"), "shown")
+    examples = lambda prompt: F.regexp_count(F.regexp_extract(prompt, r"(?s)Earlier choices of this person:\n(.*?)\nAlternatives:", 1), F.lit(r"(?m)^- .* \| \$"))
+    asked = lambda prompt: F.concat(F.lit('{"A": '), (examples(prompt) + 1).cast("string"), F.lit(', "B": 1, "C": 1, "D": 1, "E": 1, "F": 1, "G": 1, "H": 1, "I": 1, "J": 1}'))
+    return search.few_shot(events, past, asked, shots=4).select("event_id", "alt_idx", F.round("score", 7).alias("score"))
 
 
 @query(
