@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried
+from .common import carried, freed
 
 SPECIAL = "<|endoftext|>"
 BLOCK_BYTES = 24 << 20
@@ -295,9 +295,9 @@ def encode(docs: DataFrame, path: str, finish, ddl: str, own: tuple[str, ...], t
     spread = spread or min(max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
     rows = docs.select(*dict.fromkeys([*names, text]))
     form = "block long, part int, at binary, body binary"
-    words = rows.mapInArrow(_blocks(text, names, path, spread, block_bytes, True), form)
-    ids = words.repartition(spread, "part").sortWithinPartitions("part", "block").mapInArrow(_encoded(path), form)
-    whole = rows.mapInArrow(_blocks(text, names, path, spread, block_bytes, False), form)
+    words = rows.mapInArrow(freed(_blocks(text, names, path, spread, block_bytes, True)), form)
+    ids = words.repartition(spread, "part").sortWithinPartitions("part", "block").mapInArrow(freed(_encoded(path)), form)
+    whole = rows.mapInArrow(freed(_blocks(text, names, path, spread, block_bytes, False)), form)
     return whole.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_laid_out(names, finish), f"{kept}{ddl}")
 
 

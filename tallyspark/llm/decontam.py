@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_FORM, batch_of, binaries, carried, chunks, stored, words
+from .common import WORD_FORM, batch_of, binaries, carried, chunks, freed, stored, words
 
 WINDOW = 13
 SHARD_SYMBOLS = 1 << 20
@@ -65,17 +65,21 @@ class FMIndex:
         step = 1
         order = np.argsort(rank, kind="stable")
         while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[:-step] = rank[step:] + 1
-            key = rank * (n + most + 2) + ahead
+            key = rank * (n + most + 2)
+            key[:-step] += rank[step:] + 1
+            del order, rank
             order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            fresh = np.empty(n, np.int64)
-            fresh[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-            rank, step = fresh, step * 2
+            key = key[order]
+            fresh = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            rank = key
+            rank[order] = fresh
+            del key, fresh
+            step *= 2
             if step >= n or rank[order[-1]] == n - 1:
                 break
-        bwt = text[order - 1]
+        del rank
+        # A shard has fewer than 2**31 symbols, so what stays of it takes four bytes a symbol.
+        bwt = text[order - 1].astype(np.int32)
         bwt[order == 0] = 0
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=most + 1))))
         self.bwt = bwt
@@ -87,11 +91,12 @@ class FMIndex:
             np.cumsum(ones, out=count[1:])
             self.levels.append((bit, count, n - int(count[n])))
             row = np.concatenate((row[ones == 0], row[ones == 1]))
+        del row, ones
         self.start = self._descend(np.arange(most + 1), np.zeros(most + 1, np.int64))
         # Walks stop at sampled positions and at the first symbol of a segment, so they never cross a 0.
         self.sampled = (order % sample == 0) | (bwt == 0)
         self.position = order[self.sampled]
-        self.place = np.cumsum(self.sampled) - 1
+        self.place = np.cumsum(self.sampled, dtype=np.int32) - 1
         self.n = n
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -269,7 +274,7 @@ def _pass(docs: DataFrame, bench, text: str, names: list[str], ddl: str) -> Data
         if held:
             yield from _shard(held, symbols, text, windows, names)
 
-    return docs.mapInArrow(run, f"{ddl}n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
+    return docs.mapInArrow(freed(run), f"{ddl}n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
 
 
 def _merged(df: DataFrame, text: str, names: list[str]) -> DataFrame:

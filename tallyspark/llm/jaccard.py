@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_FORM, Hashes, Scratch, batch_of, binaries, carried, chunks, components, stored, words
+from .common import WORD_FORM, Hashes, Scratch, batch_of, binaries, carried, chunks, components, freed, stored, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -121,7 +121,7 @@ def signed(docs: DataFrame, text: str, carry: list[str], bands: int, rows: int,
                 )
 
     form = "digest binary, n_shingles long, bands array<long>, sketch binary"
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{ddl}{form}")
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(freed(run), f"{ddl}{form}")
 
 
 def _with_sets(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _with_sets(docs: DataFrame, text: str, carry: list[str], size: int) -> DataF
                 sets = shingle_sets(binaries(batch.column(text)), hashes, size)
                 yield batch_of(batch, names, shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    return docs.mapInArrow(run, f"{ddl}shingles binary")
+    return docs.mapInArrow(freed(run), f"{ddl}shingles binary")
 
 
 def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -335,7 +335,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     bucket = one.select("digest", F.posexplode("bands").alias("band", "value")).select("digest", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = bucket.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).filter("m > 1")
     sketches = shared.join(one.select("digest", "n_shingles", "sketch"), "digest").withColumn("blocks", F.ceil(F.col("m") / sketch_block).cast("int")).drop("m")
-    found = _dealt(sketches, "blocks").mapInArrow(_promising(bands, rows, similarity), "bucket long, band int, digest binary")
+    found = _dealt(sketches, "blocks").mapInArrow(freed(_promising(bands, rows, similarity)), "bucket long, band int, digest binary")
     wanted = scratch.stored(found.distinct().join(one.select("digest", "n_shingles"), "digest"), "promising")
     # Blocks of long texts hold fewer, so what a task holds is bounded whatever the lengths.
     parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
@@ -346,7 +346,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     # This join moves texts, so it shuffles at every size; its key has the id, so copies of a text don't meet.
     texts = keyed.join(want.hint("merge"), (keyed.text_hash == want.text_hash) & keyed.doc_id.eqNullSafe(want.at_id)).select("text", "digest", "copies", "sketch", "places")
     sets = _with_sets(texts, "text", ["digest", "copies", "sketch", "places"], size).select("digest", "shingles", "copies", "sketch", F.inline("places"))
-    links = scratch.stored(_dealt(sets, "blocks").mapInArrow(_verified(similarity, bands), "a binary, b binary, n long"), "links")
+    links = scratch.stored(_dealt(sets, "blocks").mapInArrow(freed(_verified(similarity, bands)), "a binary, b binary, n long"), "links")
     linked = links.filter("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
     final = components(links.filter("b is not null").select("a", "b"), scratch).withColumnRenamed("id", "digest")
     named = final.join(one.select("digest", "least"), "digest").groupBy("comp").agg(F.min("least").alias("class_id"))

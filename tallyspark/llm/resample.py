@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, apart, batch_of, binaries, carried, chunks, stored, together
+from .common import CACHE_WORDS, apart, batch_of, binaries, carried, chunks, freed, stored, together
 
 BUCKETS = 10_000
 #: Labelled good documents that the target model is fit on at most.
@@ -111,7 +111,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int
     )
     # At most ``rows`` ids are broadcast.
     marked = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(good), "doc_id", "left").select("text", "good")
-    counts = marked.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.mapInArrow(freed(_counts), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most
         raw[r["bucket"]] += r["raw"]
@@ -153,7 +153,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", carry: list[s
                 noise = batch.column(own).to_numpy(zero_copy_only=False)
                 yield batch_of(batch, names, log_weight=pa.array(weight), key=pa.array(weight + noise))
 
-    return rows.mapInArrow(run, f"{ddl}log_weight double, key double")
+    return rows.mapInArrow(freed(run), f"{ddl}log_weight double, key double")
 
 
 def kth_greatest(keys: DataFrame, k: int, few: int = 5_000, bins: int = 2048) -> float:

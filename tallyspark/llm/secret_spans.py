@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, batch_of, carried, chunks, together
+from .common import apart, batch_of, carried, chunks, freed, together
 
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 BASE = KINDS[:3]
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ma
                 yield batch_of(batch, names, **new)
 
     kind = "secrets array<struct<kind: string, start: int, end: int>>"
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, f"{ddl}{kind}" + ", redacted string" * mask)
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(freed(run), f"{ddl}{kind}" + ", redacted string" * mask)
 
 
 def _redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

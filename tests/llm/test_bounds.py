@@ -3,11 +3,16 @@
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspark.llm import rules, secret_spans, templates, toxicity
+import corpus_pipeline
+from tallyspark.llm import common, decontam, rules, secret_spans, templates, toxicity
 
 # --- attributes of elements ---------------------------------------------------------------------------------------
 
@@ -168,3 +173,57 @@ def test_one_of_many_copies_without_an_id_stays(spark):
     kept = jaccard.keep_one(docs)
     assert "row_number" not in kept._jdf.queryExecution().toString()
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 1])
+
+
+# --- memory of executors ------------------------------------------------------------------------------------------
+
+
+def test_arrow_gives_back_what_a_task_no_longer_holds(monkeypatch):
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(len(taken))
+
+    taken = []
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_pydict({"text": ["one"]})
+    for got in common.freed(lambda batches: (b for b in batches))(iter([batch] * 3)):
+        taken.append(got)
+    assert taken == [batch] * 3 and freed == [3]
+    common.freed(lambda batches: (b for b in batches))(iter([batch])).close()  # never begun
+    stopped = common.freed(lambda batches: (b for b in batches))(iter([batch] * 3))
+    next(stopped)
+    stopped.close()
+    assert freed == [3, 3]
+
+
+def test_index_takes_few_bytes_a_symbol():
+    most, n = 1000, 200_000
+    text = np.random.default_rng(5).integers(1, most + 1, n)
+    text[49::50] = 0
+    tracemalloc.start()
+    try:
+        index = decontam.FMIndex(text, most)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert index.n == n
+    assert kept < 56 * n and peak < 96 * n
+
+
+def test_pipeline_sends_texts_to_python_in_small_batches(spark):
+    session = spark.newSession()
+    docs = session.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64()), "rows": pa.array([b.num_rows], pa.int64())})
+
+    corpus_pipeline.secrets(session, docs, "")
+    got = docs.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r["rows"] for r in got) == 2_000
+    assert max(r["bytes"] for r in got) <= 2 * corpus_pipeline.BATCH_BYTES
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20)  # what the session says stays
+    corpus_pipeline.secrets(session, docs, "")
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20)
