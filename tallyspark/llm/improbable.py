@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binaries, chunks
+from .common import binaries, chunks
 
 WINDOW = 64
 NEIGHBOURS = 64
@@ -36,6 +36,11 @@ FEATURES = 160
 STRETCH = 1 << 21
 #: Text that a range of neighbouring documents holds about.
 RANGE_BYTES = 64 << 20
+#: Keys looked at, for each range and in all, to tell where ranges begin.
+SEEN = 60
+SEEN_MOST = 1 << 20
+#: What documents are ordered by.
+ORDER = ("doc_id", "hash", "at")
 #: A window's rank and its place in a stretch, with its margins, share a 32-bit key.
 _PLACE_BITS = np.uint32(22)
 _NEVER = np.uint32(0xFFFFFFFF)
@@ -269,11 +274,26 @@ def _arrays(kind: pa.DataType, rows: list) -> list[pa.Array]:
     return [pa.array(column, k) for column, k in zip(rows, kinds)]
 
 
-def _range_count(docs: DataFrame, text: str) -> int:
-    """Ranges of neighbouring documents: as many as their text needs, and enough for all tasks to have one."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-size // RANGE_BYTES))
+def _key() -> Column:
+    return F.struct(*ORDER).alias("key")
+
+
+def _cuts(rows: DataFrame, parts: int, count: int) -> DataFrame:
+    """One row with ``cuts``: the keys that all ranges but the first begin with, picked by samples. It goes through the
+    driver, so every plan that uses it has the same ranges."""
+    share = min(1.0, min(SEEN * parts, SEEN_MOST) / max(count, 1))
+    seen = rows.select(_key()).sample(share, 1).agg(F.sort_array(F.collect_list("key")).alias("s"))
+    nth = f"cast(cast(i AS long) * size(s) div {parts} AS int)"
+    picked = seen.select(F.expr(f"transform(filter(sequence(0, {parts - 1}), i -> i > 0), i -> get(s, {nth}))").alias("cuts"))
+    return rows.sparkSession.createDataFrame(picked.collect(), picked.schema)
+
+
+def _in_ranges(rows: DataFrame, parts: int, count: int) -> DataFrame:
+    """``rows`` with ``part``, the number of their range: how many of the cuts aren't beyond their key, by binary search."""
+    mid = "cast((s.lo + s.hi) div 2 AS int)"
+    narrowed = f"if(cuts[{mid}] <= key, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid}))"
+    part = f"aggregate(array_repeat(0, {parts.bit_length()}), named_struct('lo', 0, 'hi', {parts - 1}), (s, x) -> if(s.lo < s.hi, {narrowed}, s), s -> s.lo)"
+    return rows.withColumn("key", _key()).crossJoin(F.broadcast(_cuts(rows, parts, count))).withColumn("part", F.expr(part)).drop("key", "cuts")
 
 
 def neighbours(docs: DataFrame, ranks: np.ndarray | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -283,68 +303,44 @@ def neighbours(docs: DataFrame, ranks: np.ndarray | None = None, text: str = "te
     a single document follows itself. Repeated rows each get their row and follow each other. A null text is empty.
     An empty table gives no row. Other columns are left out, whatever their names.
 
-    Texts are dealt once, into ranges of the order. A task compares the neighbours within its range; the first and the
-    last document of a range are handed on, and those few are compared in a second step.
+    Texts are dealt once, into ranges of the order, each with a copy of the document that the next range begins with,
+    which is looked up beforehand. So a task has all its documents' neighbours, and nothing is stored on the way.
+    ``docs`` is read several times and has to give the same rows, in the same partitions, each time.
     """
     spark: SparkSession = docs.sparkSession
     # Taken apart by where they lie, rows of one id and text don't have to meet in one task.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
     ranks = rarity(rows) if ranks is None else ranks
-    order = ["doc_id", "hash", "at"]
-    dealt = rows.repartitionByRange(_range_count(rows, "text"), *order).sortWithinPartitions(*order).select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    # As many ranges as the text needs, and enough for all tasks to have one.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    dealt = _in_ranges(rows, parts, count)
+    # A number, id and hash for each range that holds documents; texts stay in Spark.
+    first = dealt.groupBy("part").agg(F.min(_key()).alias("key")).select("part", "key.doc_id", "key.hash").orderBy("part").collect()
+    before = [r["part"] for r in first[-1:] + first[:-1]]
+    heads = spark.createDataFrame([(p, r["doc_id"], r["hash"]) for p, r in zip(before, first)], f"part int, head_id {kind}, head_hash long")
+    own = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash"))
+    after = rows.join(F.broadcast(heads), own).groupBy("part").agg(F.any_value("text").alias("text"), F.lit(True).alias("after"))
+    both = dealt.withColumn("after", F.lit(False)).unionByName(after, allowMissingColumns=True)
+    ranges = both.repartitionById(parts, "part").sortWithinPartitions("after", *ORDER).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        compared, held, first = _Compared(ranks), None, None
-
-        def out(rows: list, idkind: pa.DataType, own: list | None = None) -> pa.RecordBatch:
-            n = len(rows[0])
-            extra = own or [[None] * n, [None] * n, [None] * n]
-            kinds = (pa.int32(), pa.bool_(), pa.string())
-            return pa.RecordBatch.from_arrays(_arrays(idkind, rows) + [pa.array(c, k) for c, k in zip(extra, kinds)], names=[*_NAMES, "part", "last", "text"])
-
+        compared, held = _Compared(ranks), None
         for whole in batches:
             for batch in chunks(whole, "text"):
-                idkind = batch.column("doc_id").type
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 chains = fingerprints([t.encode() for t in texts], ranks)
-                if held is None:
-                    first = (ids[0], texts[0], chains[0])
-                else:
+                if held is not None:
                     ids, texts, chains = [held[0], *ids], [held[1], *texts], [held[2], *chains]
+                # What a range holds last is the copy, which gets no row.
                 held = (ids[-1], texts[-1], chains[-1])
                 if len(ids) > 1:
-                    yield out(compared.rows(ids[:-1], texts[:-1], chains[:-1], texts[1:], chains[1:]), idkind)
-        if held is not None:
-            ends = [first, held]
-            blank = [None, None]
-            yield out([[e[0] for e in ends], blank, blank, [e[2] for e in ends], blank, blank, blank], idkind, [[part, part], [False, True], [e[1] for e in ends]])
-
-    scratch = Scratch(spark)
-    made = scratch.stored(dealt.mapInArrow(run, f"doc_id {kind}, {_OWN}, part int, last boolean, text string"), "neighbours")
-    whole = made.filter("part IS NULL").select(*_NAMES)
-    ends = made.filter("part IS NOT NULL")
-    # Numbers of the ranges that hold documents; the texts at their ends stay in Spark.
-    parts = sorted(r[0] for r in ends.filter("last").select("part").collect())
-    if not parts:
-        return whole
-    follow = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, then int")
-    heads = ends.filter("NOT last").select(F.col("part").alias("then"), F.col("text").alias("after"), F.col("fingerprint").alias("after_chain"))
-    open_ = ends.filter("last").join(follow, "part").join(heads, "then").select("doc_id", "text", "fingerprint", "after", "after_chain")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compared = _Compared(ranks)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                cells = [one.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "after", "after_chain")]
-                yield pa.RecordBatch.from_arrays(_arrays(one.column("doc_id").type, compared.rows(*cells)), names=list(_NAMES))
-
-    return whole.unionByName(open_.mapInArrow(close, f"doc_id {kind}, {_OWN}"))
+                    made = compared.rows(ids[:-1], texts[:-1], chains[:-1], texts[1:], chains[1:])
+                    yield pa.RecordBatch.from_arrays(_arrays(batch.column("doc_id").type, made), names=list(_NAMES))
+
+    return ranges.mapInArrow(run, f"doc_id {kind}, {_OWN}")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -125,6 +125,33 @@ def test_fingerprints_of_neighbours(spark, monkeypatch, size):
             assert same.setdefault(text[1] or "", r["fingerprint"]) == r["fingerprint"]
 
 
+def test_fingerprints_store_nothing(spark):
+    from pathlib import Path
+
+    from tallyspark.sources.shared import shared_dir
+
+    tables = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "tables"
+    before = set(tables.glob("*"))
+    docs = spark.createDataFrame(fingerprint_rows(), FIELDS).repartition(3)
+    assert improbable.neighbours(docs).count() == len(fingerprint_rows())
+    assert set(tables.glob("*")) == before
+
+
+@pytest.mark.parametrize("parts", ["1", "2", "30"])
+def test_repeated_rows_lie_in_several_ranges(spark, parts):
+    rows = fingerprint_rows()
+    rows += [rows[5]] * 50 + [(None, None, None, None, None)] * 20
+    docs = spark.createDataFrame(rows, FIELDS).repartition(4)
+    order = [r[:2] for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").orderBy("doc_id", "h").collect()]
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = improbable.digests(improbable.neighbours(docs)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == slow_neighbours(rows, order)
+
+
 def test_fingerprints_of_few(spark):
     docs = spark.createDataFrame(fingerprint_rows(), FIELDS)
     assert improbable.neighbours(docs.filter("false")).count() == 0
