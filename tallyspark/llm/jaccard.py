@@ -342,7 +342,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     placed = wanted.join(wanted.groupBy("bucket").agg(parts.cast("int").alias("blocks")), "bucket")
     # One row for each class: its text is found by hash and id, and its set made once, for all its buckets.
     places = placed.groupBy("digest").agg(F.collect_list(F.struct("bucket", "band", "blocks")).alias("places"))
-    want = scratch.stored(places.join(one, "digest").select(F.col("at.text_hash").alias("text_hash"), F.col("at.doc_id").alias("at_id"), "digest", "copies", "sketch", "places"), "wanted")
+    want = places.join(one, "digest").select(F.col("at.text_hash").alias("text_hash"), F.col("at.doc_id").alias("at_id"), "digest", "copies", "sketch", "places")
     # This join moves texts, so it shuffles at every size; its key has the id, so copies of a text don't meet.
     texts = keyed.join(want.hint("merge"), (keyed.text_hash == want.text_hash) & keyed.doc_id.eqNullSafe(want.at_id)).select("text", "digest", "copies", "sketch", "places")
     sets = _with_sets(texts, "text", ["digest", "copies", "sketch", "places"], size).select("digest", "shingles", "copies", "sketch", F.inline("places"))
@@ -385,7 +385,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     best = first.join(info.select("digest", "key"), "digest").groupBy("key").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash")
     again = rows.filter("digest is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).filter("times > 1")
     same = best.doc_id.eqNullSafe(again.doc_id) & (best.text_hash == again.text_hash)
-    best = stored(best.join(again, same, "left").select(best.doc_id, best.text_hash, F.coalesce("times", F.lit(1)).alias("times")), "best")
+    # Held until the session's cache is cleared, as the rows that are returned still need it.
+    best = Scratch(docs.sparkSession).held(best.join(again, same, "left").select(best.doc_id, best.text_hash, F.coalesce("times", F.lit(1)).alias("times")))
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(_lowered(F.col(text)).rlike(WORD_FORM), F.lit(False)).alias("words"), F.struct(*docs.columns).alias("row"))
     bare = whole.filter(~F.col("words")).select("row.*")
     few = whole.filter("words").join(best.hint("merge"), whole.doc_id.eqNullSafe(best.doc_id) & (whole.text_hash == best.text_hash)).select(whole.doc_id, whole.text_hash, "row", "times")

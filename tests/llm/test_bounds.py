@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import common, decontam, rules, secret_spans, templates, toxicity
+from tallyspark.llm import common, decontam, jaccard, rules, secret_spans, templates, toxicity
 
 # --- attributes of elements ---------------------------------------------------------------------------------------
 
@@ -227,3 +228,19 @@ def test_pipeline_sends_texts_to_python_in_small_batches(spark):
     session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20)  # what the session says stays
     corpus_pipeline.secrets(session, docs, "")
     assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20)
+
+
+def test_join_stores_few_tables_and_holds_none_after(spark, monkeypatch):
+    """Edges and labels of the join lie on executors' disks, not in files for each task of each round."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(30)]
+    rows = [(3 * i + k, t + " tail" * k) for i, t in enumerate(texts) for k in range(3)]
+    stored, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (stored.append(path.rpartition("/")[2].partition("-")[0]), write(self, path, *a, **b))[1])
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    docs, info = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(stored) <= {"signed", "one", "promising", "links", "label", "classes"} and stored.count("label") <= 1
+    assert held() == before
+    got = {r["doc_id"]: r["class_id"] for r in docs.join(info, "digest").collect()}
+    assert got == {d: d - d % 3 for d, _ in rows}
