@@ -33,3 +33,14 @@ def test_person_kinds_leave_out_balances_that_say_none(odd):
     changed = "CASE c_custkey WHEN 3 THEN -1.0 WHEN 5 THEN NULL ELSE c_acctbal END AS c_acctbal"
     got = odd("k1_k9_person_kinds", customer=f"SELECT * REPLACE ({changed}) FROM customer")
     assert {"3", "5"} & set(got["customer_id"]) == set() and "4" in set(got["customer_id"])
+
+
+def test_broken_tables_take_a_customer_of_one_row(odd):
+    one = "(SELECT l_orderkey, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem GROUP BY 1 HAVING l_orderkey = (SELECT min(l_orderkey) FROM lineitem))"
+    got = odd(
+        "v1_v13_broken_tables",
+        customer="SELECT * FROM customer UNION ALL SELECT * REPLACE (900001 AS c_custkey) FROM customer WHERE c_custkey = 1",
+        orders="SELECT * FROM orders UNION ALL SELECT * REPLACE (900001 AS o_orderkey, 900001 AS o_custkey) FROM orders WHERE o_orderkey = (SELECT min(l_orderkey) FROM lineitem)",
+        lineitem=f"SELECT * FROM lineitem UNION ALL SELECT lineitem.* REPLACE (900001 AS l_orderkey) FROM lineitem JOIN {one} AS o ON lineitem.l_orderkey = o.l_orderkey AND l_linenumber * 1000000 + l_partkey = first",
+    )
+    assert got["passes"].all() and got["raises"].all()
