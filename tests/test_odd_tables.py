@@ -4,7 +4,10 @@ import duckdb
 import pytest
 from test_oracles import TABLES, rows
 
+from tallyspark.operators import choice, split
 from tallyspark.plans import registry
+from tallyspark.sources.binding import purchases
+from tallyspark.sources.shared import FREED, stored
 
 
 @pytest.fixture()
@@ -44,3 +47,31 @@ def test_broken_tables_take_a_customer_of_one_row(odd):
         lineitem=f"SELECT * FROM lineitem UNION ALL SELECT lineitem.* REPLACE (900001 AS l_orderkey) FROM lineitem JOIN {one} AS o ON lineitem.l_orderkey = o.l_orderkey AND l_linenumber * 1000000 + l_partkey = first",
     )
     assert got["passes"].all() and got["raises"].all()
+
+
+def _shuffled(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        name = files.next().getName()
+        if name.startswith("shuffle_") and name.endswith(".data"):
+            found.add(name)
+    return found
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    before = _shuffled(spark)
+    rows_ = stored(spark.range(1000).repartition(3, "id"), "freed")
+    assert not _shuffled(spark) - before
+    assert rows_.count() == 1000
+    assert spark.conf.get(FREED, "false") == "false"
+
+
+def test_first_draws_are_few_and_carry_no_key(spark, sf, monkeypatch):
+    drawn, seen = choice.drawn, []
+    monkeypatch.setattr(choice, "drawn", lambda points, laid, key=None: (seen.append(points), drawn(points, laid, key))[1])
+    s = split.temporal_split(purchases(spark, sf))
+    n = s.count()
+    assert choice.choice_sets(s, distinct=False).count() == n
+    assert seen[0].count() + seen[1].count() <= 11 * n
+    assert all(set(p.columns) <= {"event", "category", "d", "at", "width"} for p in seen)
