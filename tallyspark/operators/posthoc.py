@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.artefacts import Artefacts
+from ..sources.shared import stored
 from .prefix import running
 
 
@@ -124,8 +125,9 @@ def multiplicities(keys: np.ndarray, iterations: int, seed: int) -> np.ndarray:
 def bootstrap(pairs: DataFrame, iterations: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Paired bootstrap of the mean difference of each model.
 
-    Every row draws its own Poisson(1) multiplicities for all iterations, which needs no row to know the others: the
-    iterations' sums are aggregates over rows, however many there are. Draws of a batch are made at once.
+    Every row has its own Poisson(1) multiplicities for all iterations, which needs no row to know the others: the
+    iterations' sums are aggregates over rows, however many there are. Rows of one difference draw together: the sum of n
+    such numbers is a Poisson(n). Draws of a batch of lone rows are made at once.
     """
 
     def sums(batches):
@@ -135,13 +137,17 @@ def bootstrap(pairs: DataFrame, iterations: int = 1000, level: float = 0.95, see
         for pdf in batches:
             for model, part in pdf.groupby("model"):
                 got = total.setdefault(model, np.zeros((2, iterations)))
-                d, keys = part["d"].to_numpy(), part["key"].to_numpy()
+                lone = part[part["n"] == 1]
+                d, keys = lone["d"].to_numpy(), lone["key"].to_numpy()
                 for a in range(0, len(d), 2048):
                     times = multiplicities(keys[a : a + 2048], iterations, seed)
                     got += times @ d[a : a + 2048], times.sum(1)
+                for d, n, key in part.loc[part["n"] > 1, ["d", "n", "key"]].itertuples(index=False):
+                    times = np.random.default_rng([seed, int(key) % (1 << 64)]).poisson(n, iterations)
+                    got += times * d, times
         yield pd.DataFrame([(m, i, t[0, i], t[1, i]) for m, t in total.items() for i in range(iterations)], columns=["model", "i", "s", "n"])
 
-    rows = pairs.select("model", (F.col("nll") - F.col("nll_a")).alias("d"), F.xxhash64("seed", "event_idx").alias("key"))
+    rows = pairs.groupBy("model", (F.col("nll") - F.col("nll_a")).alias("d")).agg(F.count("*").alias("n"), F.min(F.xxhash64("seed", "event_idx")).alias("key"))
     drawn = rows.mapInPandas(sums, "model string, i int, s double, n double").groupBy("model", "i").agg((F.sum("s") / F.sum("n")).alias("delta"))
     tail = (1 - level) / 2
     q = F.percentile("delta", F.array(F.lit(tail), F.lit(1 - tail)))  # over one row an iteration
@@ -177,7 +183,7 @@ def pair_tests(pairs: DataFrame) -> DataFrame:
 
 def significance(results: DataFrame, a: str, iterations: int = 1000, level: float = 0.95, seed: int = 0) -> dict:
     """What a report says about every model against ``a``, the greatest difference first."""
-    pairs = paired(results, a)
+    pairs = stored(paired(results, a).select("model", "seed", "event_idx", "nll", "top1", "nll_a", "top1_a"), "pairs")
     tests = {r["model"]: r for r in pair_tests(pairs).collect()}
     made = {
         r["model"]: {

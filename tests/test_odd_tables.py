@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from test_oracles import TABLES, rows
 
-from tallyspark.operators import choice, split
+from tallyspark.operators import choice, posthoc, split
 from tallyspark.plans import registry
 from tallyspark.sources.binding import purchases
 from tallyspark.sources.shared import FREED, stored
@@ -75,3 +75,15 @@ def test_first_draws_are_few_and_carry_no_key(spark, sf, monkeypatch):
     assert choice.choice_sets(s, distinct=False).count() == n
     assert seen[0].count() + seen[1].count() <= 11 * n
     assert all(set(p.columns) <= {"event", "category", "d", "at", "width"} for p in seen)
+
+
+def test_bootstrap_draws_equal_differences_together(spark, monkeypatch):
+    """Without any row by itself no row's own numbers are drawn, and the interval is that of a mean of all rows."""
+    seen = []
+    count = type(spark.range(1)).mapInPandas
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda self, *a, **k: (seen.append(self.count()), count(self, *a, **k))[1])
+    pairs = spark.range(4000).selectExpr("'m' AS model", "0 AS seed", "id AS event_idx", "CAST(id % 4 AS DOUBLE) AS nll", "CAST(0 AS DOUBLE) AS nll_a")
+    got = posthoc.bootstrap(pairs, 400).first()
+    width = 2 * 1.96 * (1.25 / 4000) ** 0.5
+    assert seen == [4]  # a row a difference, not 4,000
+    assert abs(got["delta_mean"] - 1.5) < 0.01 and abs((got["delta_hi"] - got["delta_lo"]) / width - 1) < 0.2
