@@ -87,3 +87,9 @@ def test_bootstrap_draws_equal_differences_together(spark, monkeypatch):
     width = 2 * 1.96 * (1.25 / 4000) ** 0.5
     assert seen == [4]  # a row a difference, not 4,000
     assert abs(got["delta_mean"] - 1.5) < 0.01 and abs((got["delta_hi"] - got["delta_lo"]) / width - 1) < 0.2
+
+
+@pytest.mark.parametrize("name", ["j5_p17_p19_records", "r1_p17_p19_choice_records", "r10_simulated_purchases", "j14_legacy_lookups", "m8_few_shot_prompts"])
+def test_purchases_are_not_made_anew_under_every_branch(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "l_orderkey#" in line for line in plan.splitlines()) <= 1
